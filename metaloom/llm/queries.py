@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.llm import mixing, packing, sharding
+from metaloom.llm import mixing, packing, sharding, spotsigs
 from metaloom.llm.common import table
 
 
@@ -21,5 +21,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), [1.0] * 24)
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op8_mixing, op9_sharding)}
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_packing, op8_mixing, op9_sharding, op10_spotsigs)}
 ORACLES: dict[str, str] = {}
