@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.llm import mixing, packing, sharding, spotsigs
+from metaloom.llm import mixing, ngram_join, packing, sharding, spotsigs
 from metaloom.llm.common import table
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -25,5 +29,5 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op8_mixing, op9_sharding, op10_spotsigs)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_packing, op8_mixing, op9_sharding, op10_spotsigs)}
 ORACLES: dict[str, str] = {}
