@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.llm import mixing, ngram_join, packing, sharding, spotsigs
+from metaloom.llm import mixing, ngram_join, packing, sharding, spotsigs, substring_dedup
 from metaloom.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.dedup(docs)
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,5 +34,5 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_packing, op8_mixing, op9_sharding, op10_spotsigs)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_ngram_join, op3_packing, op8_mixing, op9_sharding, op10_spotsigs)}
 ORACLES: dict[str, str] = {}
