@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.llm import mixing, ngram_join, packing, sharding, spotsigs, substring_dedup
+from metaloom.llm import mixing, ngram_join, packing, sharding, spotsigs, substring_dedup, toxicity
 from metaloom.llm.common import table
 
 
@@ -22,6 +22,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -34,5 +41,5 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_ngram_join, op3_packing, op8_mixing, op9_sharding, op10_spotsigs)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_ngram_join, op3_packing, op4_toxicity, op8_mixing, op9_sharding, op10_spotsigs)}
 ORACLES: dict[str, str] = {}
