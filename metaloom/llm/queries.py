@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.llm import ann, html_text, mixing, ngram_join, packing, sharding, spotsigs, substring_dedup, toxicity
+from metaloom.llm import ann, html_text, mixing, ngram_join, packing, quality, sharding, spotsigs, substring_dedup, toxicity
 from metaloom.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, *quality.train(docs))
+
+
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -50,5 +55,5 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_ngram_join, op3_packing, op4_toxicity, op6_html_text, op7_nearest, op8_mixing, op9_sharding, op10_spotsigs)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_ngram_join, op3_packing, op4_toxicity, op5_quality, op6_html_text, op7_nearest, op8_mixing, op9_sharding, op10_spotsigs)}
 ORACLES: dict[str, str] = {}
