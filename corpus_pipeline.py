@@ -10,10 +10,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metaloom.llm import mixing, packing
+from metaloom.llm import mixing, ngram_join, packing, substring_dedup, toxicity
 from metaloom.llm.common import stored, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier doesn't reject."""
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.drop_toxic(docs, model)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest id."""
+    return ngram_join.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier place holds; n_chars is that of the text that is left."""
+    cut = substring_dedup.dedup(docs)
+    changed = F.size("cut_starts") > 0
+    return cut.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out as the mix to target weights takes them."""
     taken = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "copies")
@@ -25,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("mixing", mix), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("ngram_join", drop_near_copies), ("substring_dedup", cut_repeats), ("mixing", mix), ("packing", pack)]
 ORACLE_SQL = None
 
 

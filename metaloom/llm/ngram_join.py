@@ -331,5 +331,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
 
 
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that are the smallest id of their group of near-duplicates; of a repeated id one row, and all rows with a null id."""
+    first = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter(F.col(id_col) == F.col("class_id")).select(F.col("class_id").alias("__first"))
+    kept = docs.join(first, F.col(f"`{id_col}`").cast("long") == F.col("__first"), "left_semi")
+    if _repeats(docs.select(F.col(id_col).alias("id")).filter("id is not null")):
+        kept = kept.dropDuplicates([id_col])
+    return kept.unionAll(docs.filter(F.col(f"`{id_col}`").isNull()))
+
+
 def _repeats(base: DataFrame) -> bool:
     return base.select("id").groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count() > 0

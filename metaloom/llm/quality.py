@@ -36,7 +36,7 @@ VOTES = {
     "fresh": (0.6, 0.9, True),
 }
 #: The fewest words at which a statistic votes.
-FROM_WORDS = {"variety": 30, "common": 20, "fresh": 20, "length": 5, "echo": 5}
+FROM_WORDS = {"variety": 30, "common": 20, "fresh": 20, "length": 30, "echo": 20}
 
 
 def _sum(mask: np.ndarray, off: np.ndarray) -> np.ndarray:

@@ -275,6 +275,23 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text isn't predicted toxic. Null and empty texts are judged as empty ones."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, names = docs.columns.index(text_col), [f"c{k}" for k in range(len(docs.columns))]
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            b = pa.RecordBatch.from_arrays(b.columns, names)
+            keep = [m.scores(read(data, off)) < CUT for _, _, data, off in text_slices(lower(b.column(at).cast(pa.large_string())), 1 << 19)]
+            if keep:
+                yield b.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, kinds).toDF(*docs.columns)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that training never sees: those with crc32 of the id's text leaving 1 modulo 3."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
