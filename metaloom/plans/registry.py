@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from metaloom.plans import evaluation
+from metaloom.plans import evaluation, ontology
 
-MODULES = (evaluation,)
+MODULES = (evaluation, ontology)
 FLAGSHIP = "prf_micro"
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
