@@ -125,19 +125,52 @@ def threshold_pairs(vectors: DataFrame, by: list[str], least: float) -> DataFram
     return x.join(y, by).filter("a < b").select(*by, "a", "b", M.cosine(F.col("va"), F.col("vb")).alias("cosine")).filter(F.col("cosine") >= least)
 
 
-def clusters(nodes: DataFrame, links: DataFrame, most: int = 32) -> DataFrame:
-    """(id, cluster): connected components named by their smallest id, by passing the least label along links and then to the label's own label, until nothing changes or ``most`` rounds are over."""
-    e = links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(links.select("b", "a")).persist()
-    label = nodes.select("id", F.col("id").alias("cluster"))
-    for _ in range(most):
-        near = e.join(label, F.col("y") == F.col("id")).groupBy("x").agg(F.min("cluster").alias("m"))
-        new = label.join(near, F.col("id") == F.col("x"), "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
-        jump = new.select(F.col("id").alias("cluster"), F.col("cluster").alias("up"))
-        new = new.join(jump, "cluster", "left").select("id", F.least("cluster", F.coalesce("up", "cluster")).alias("cluster")).persist()
-        if not new.join(label.withColumnRenamed("cluster", "old"), "id").filter("cluster <> old").limit(1).count():
-            return new
-        label = new
-    return label
+SMALL = 1 << 18  # links that one task may join
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links of a partition as stars, each node linked to the smallest of its component there."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (p := up.setdefault(x, x)) != x:
+            up[x] = up.setdefault(p, p)
+            x = p
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            x, y = root(x), root(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["a", "b"])
+
+
+def clusters(nodes: DataFrame, links: DataFrame, most: int = 32, small: int = SMALL) -> DataFrame:
+    """(id, cluster): connected components of links (a, b), named by their smallest id; nodes without links are their own.
+
+    Partitions first turn their links into stars. Where at most ``small`` are left, one task joins them; else labels pass
+    along links and to the label's own label until nothing changes, or ``most`` rounds are over.
+    """
+    shape = "a long, b long"
+    e = links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_stars, shape).persist()
+    if e.count() <= small:
+        found = e.coalesce(1).mapInArrow(_stars, shape).toDF("__n", "cluster")
+    else:
+        both = e.unionAll(e.select("b", "a")).toDF("x", "y")
+        label = e.select(F.col("a").alias("id")).distinct().withColumn("cluster", F.col("id"))
+        for _ in range(most):
+            near = both.join(label, F.col("y") == F.col("id")).groupBy("x").agg(F.min("cluster").alias("m"))
+            new = label.join(near, F.col("id") == F.col("x"), "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
+            jump = new.select(F.col("id").alias("cluster"), F.col("cluster").alias("up"))
+            new = new.join(jump, "cluster", "left").select("id", F.least("cluster", F.coalesce("up", "cluster")).alias("cluster")).checkpoint()
+            same = new.join(label.withColumnRenamed("cluster", "old"), "id").filter("cluster <> old").isEmpty()
+            label = new
+            if same:
+                break
+        found = label.toDF("__n", "cluster")
+    return nodes.join(found, F.col("id") == F.col("__n"), "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def max_similarity(pairs: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from metaloom.plans import evaluation, ontology
+from metaloom.plans import evaluation, merging, ontology, vectors
 
-MODULES = (evaluation, ontology)
+MODULES = (evaluation, ontology, merging, vectors)
 FLAGSHIP = "prf_micro"
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
