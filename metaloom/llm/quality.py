@@ -19,6 +19,8 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~!"]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(192, 256)]] = True  # of a character beyond ASCII, its first byte
+_DIGIT, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
+_DIGIT[48:58], _BLANK[[9, 10, 11, 12, 13, 32]] = True, True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _COMMON = np.sort(_hash_words(" ".join(LANGUAGE_WORDS.values()).split()))
@@ -27,7 +29,7 @@ STATS = ("symbols", "letters", "capitals", "echo", "variety", "common", "length"
 #: Per statistic: at or below the first it votes one way, at or above the second the other; between them it abstains. ``True``: high is good.
 VOTES = {
     "symbols": (0.005, 0.03, False),
-    "letters": (0.72, 0.76, True),
+    "letters": (0.88, 0.93, True),
     "capitals": (0.15, 0.4, False),
     "echo": (0.04, 0.1, False),
     "variety": (0.45, 0.6, True),
@@ -36,7 +38,7 @@ VOTES = {
     "fresh": (0.6, 0.9, True),
 }
 #: The fewest words at which a statistic votes.
-FROM_WORDS = {"variety": 30, "common": 20, "fresh": 20, "length": 30, "echo": 20}
+FROM_WORDS = {"letters": 10, "capitals": 5, "variety": 30, "common": 20, "fresh": 20, "length": 30, "echo": 20}
 
 
 def _sum(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -47,7 +49,7 @@ def _sum(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
 def stats(data: np.ndarray, off: np.ndarray, low: np.ndarray, low_off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """STATS of each text, and its number of words; ``low`` is the text in lower case.
 
-    The shares of symbols and letters in characters, of capitals in letters, of words equal to the one before, of
+    The share of symbols in characters, that of letters and digits in characters other than white space, of capitals in letters, of words equal to the one before, of
     different words, of common words, the mean bytes of a word, and the share of different five-word shingles.
     """
     n = len(off) - 1
@@ -71,7 +73,7 @@ def stats(data: np.ndarray, off: np.ndarray, low: np.ndarray, low_off: np.ndarra
     common = _COMMON[np.minimum(np.searchsorted(_COMMON, words), len(_COMMON) - 1)] == words
     out = [
         _sum(_SYMBOL[data], off) / chars,
-        letters / chars,
+        (letters + _sum(_DIGIT[data], off)) / np.maximum(1, chars - _sum(_BLANK[data], off)),
         _sum(_UPPER[data], off) / np.maximum(1, letters),
         np.bincount(text[same], minlength=n) / many,
         share(words, first),

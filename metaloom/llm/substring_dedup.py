@@ -105,14 +105,34 @@ def _cutter(least_words: int, text_at: int):
 
 
 def repeats(raw: bytes, spans: list[tuple[int, int, int]], least_words: int) -> list[tuple[int, int, int]]:
-    """(start, end, first document) of the runs of adjoining repeated chunks that hold ``least_words`` words or more."""
-    out: list[tuple[int, int, int]] = []
-    for at, n, first in spans:
-        if out and out[-1][1] == at:
-            out[-1] = (out[-1][0], at + n, out[-1][2])
+    """(start, end, document) of the runs of adjoining repeated chunks (start, length, first document) that hold ``least_words`` words or more.
+
+    A run's document is the one that holds the first occurrence of most of its bytes. Chunks at its ends that occurred
+    first elsewhere may adjoin it by chance; they are runs of their own.
+    """
+    joined: list[list[tuple[int, int, int]]] = []
+    for s in spans:
+        if joined and sum(joined[-1][-1][:2]) == s[0]:
+            joined[-1].append(s)
+        else:
+            joined.append([s])
+    out = []
+    while joined:
+        run = joined.pop()
+        start, end = run[0][0], run[-1][0] + run[-1][1]
+        if len(raw[start:end].split()) < least_words:
+            continue
+        share: dict[int, int] = {}
+        for _, n, first in run:
+            share[first] = share.get(first, 0) + n
+        main = min(share, key=lambda k: (-share[k], k))
+        mine = [i for i, s in enumerate(run) if s[2] == main]
+        lo, hi = mine[0], mine[-1] + 1
+        if lo or hi < len(run):
+            joined += [part for part in (run[:lo], run[hi:], run[lo:hi]) if part]
         else:
-            out.append((at, at + n, first))
-    return [x for x in out if len(raw[x[0] : x[1]].split()) >= least_words]
+            out.append((start, end, main))
+    return sorted(out)
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 16, mean_words: int = 3, span: int = 8, forced: int = 256) -> DataFrame:
@@ -124,7 +144,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     phrase or line) are left alone. A passage's ends, up to the nearest chunk bounds, remain.
 
     Columns: those of ``docs``, with the text replaced where something was cut, and added: cut_starts, cut_lengths (code
-    points of the given text), cut_firsts (the document that holds the first occurrence of a run's first chunk).
+    points of the given text), cut_firsts (the document that holds the first occurrence of most of a run).
 
     One row for each chunk is shuffled to count digests with partial aggregation; only chunks that repeat come back, by a
     join on the digest whose large partitions Spark may split. A document's repeated chunks are gathered by document, which
@@ -141,10 +161,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     place = F.struct("id", "at")
     many = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
     again = chunks.join(many, "digest").filter(place != F.col("first")).select("id", F.struct("at", "len", F.col("first.id").alias("first")).alias("span"))
-    spans = again.groupBy(F.col("id").alias("row")).agg(F.collect_list("span").alias("spans"))
+    spans = again.groupBy(F.col("id").alias("__row")).agg(F.collect_list("span").alias("__spans"))
     columns = docs.columns
-    joined = docs.withColumn("__key", F.col(f"`{id_col}`").cast("long")).join(spans, F.col("__key") == F.col("row"), "left")
-    joined = joined.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns], F.when(F.col(f"`{text_col}`").isNotNull(), F.col("spans")).alias("spans"))
+    joined = docs.withColumn("__key", F.col(f"`{id_col}`").cast("long")).join(spans, F.col("__key") == F.col("__row"), "left")
+    joined = joined.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns], F.when(F.col(f"`{text_col}`").isNotNull(), F.col("__spans")).alias("__spans"))
     kinds = [f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(joined.schema.fields[:-1])]
     kinds += [f"c{len(columns) + k} array<long>" for k in range(3)]
     return joined.mapInArrow(_cutter(least_words, columns.index(text_col)), ", ".join(kinds)).toDF(*columns, *added)
