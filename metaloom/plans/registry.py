@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from metaloom.plans import evaluation, merging, ontology, vectors
+from metaloom.plans import evaluation, merging, ontology, texts, vectors
 
-MODULES = (evaluation, ontology, merging, vectors)
+MODULES = (evaluation, ontology, merging, vectors, texts)
 FLAGSHIP = "prf_micro"
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
