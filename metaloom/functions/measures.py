@@ -79,7 +79,8 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors, kept within 0 and 1; null for a zero vector."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), norm(a) * norm(b))))
+    length = norm(a) * norm(b)
+    return F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), length))))
 
 
 #: The score of a match so many edges away.

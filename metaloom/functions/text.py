@@ -261,7 +261,7 @@ def confidence_bucket(x: Column) -> Column:
 def sections(x: Column | str) -> Column:
     """Map from section name to text, for texts of '=== NAME ===' blocks. The first of a repeated name stays."""
     found = F.regexp_extract_all(_c(x), F.lit(r"(?s)(===[^=\n]+===.*?)(?=(?:===[^=\n]+===)|\z)"), F.lit(1))
-    pairs = F.transform(found, lambda s: F.struct(F.trim(F.regexp_extract(s, "^===([^=\n]+)===", 1)).alias("k"), F.trim(F.regexp_replace(s, "^===[^=\n]+===", "")).alias("v")))
+    pairs = F.transform(found, lambda s: F.struct(F.trim(F.regexp_extract(s, "^===([^=\n]+)===", 1)).alias("k"), F.regexp_replace(s, r"^===[^=\n]+===\s*|\s+\z", "").alias("v")))
     once = F.aggregate(pairs, F.slice(pairs, 1, 0), lambda acc, p: F.when(F.exists(acc, lambda q: q["k"] == p["k"]), acc).otherwise(F.concat(acc, F.array(p))))
     return F.map_from_entries(once)
 
