@@ -118,11 +118,35 @@ def knn_by_centroids(queries: DataFrame, vectors: DataFrame, k: int, cells: int,
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", "rank", "id", "cosine")
 
 
-def threshold_pairs(vectors: DataFrame, by: list[str], least: float) -> DataFrame:
-    """(by..., a, b, cosine) of the pairs within a group of cosine ``least`` or more, a < b. Groups are the values of one field or label."""
-    x = vectors.select(*by, F.col("id").alias("a"), F.col("vec").alias("va"))
-    y = vectors.select(*by, F.col("id").alias("b"), F.col("vec").alias("vb"))
-    return x.join(y, by).filter("a < b").select(*by, "a", "b", M.cosine(F.col("va"), F.col("vb")).alias("cosine")).filter(F.col("cosine") >= least)
+def threshold_pairs(vectors: DataFrame, by: list[str], least: float, block: int = 2048) -> DataFrame:
+    """(by..., a, b, cosine) of the pairs within a group of cosine ``least`` or more, a < b; exact.
+
+    A group, the values of one field or label, is dealt into blocks of about ``block`` vectors; each two blocks meet in
+    one task, so a large group is spread over many, and only pairs that reach ``least`` become rows.
+    """
+    size = vectors.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("__n"))
+    v = vectors.select(*by, "id", "vec").join(size, by).withColumn("__b", F.pmod(F.xxhash64("id"), F.col("__n").cast("long")).cast("int"))
+    v = v.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    v = v.withColumn("__x", F.least("__b", "__o")).withColumn("__y", F.greatest("__b", "__o"))
+    kinds = vectors.select(*by).schema
+    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds] + ["a long", "b long", "cosine double"])
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, blk = t.column("id").to_numpy(), t.column("__b").to_numpy()
+        x, y = t.column("__x")[0].as_py(), t.column("__y")[0].as_py()
+        m = np.array(t.column("vec").to_pylist(), np.float64)
+        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        m /= np.where(n == 0, 1, n)
+        p, q = np.flatnonzero(blk == x), np.flatnonzero(blk == y)
+        s = m[p] @ m[q].T
+        keep = (s >= least) & (n[p] > 0) & (n[q] > 0).T
+        keep &= ids[p][:, None] < ids[q][None, :] if x == y else ids[p][:, None] != ids[q][None, :]
+        i, j = np.nonzero(keep)
+        u, w = ids[p][i], ids[q][j]
+        cols = [pa.array([t.column(c)[0].as_py()] * len(u), t.schema.field(c).type) for c in by]
+        return pa.table([*cols, pa.array(np.minimum(u, w)), pa.array(np.maximum(u, w)), pa.array(np.clip(s[i, j], 0, 1))], [*by, "a", "b", "cosine"])
+
+    return v.groupBy(*by, "__x", "__y").applyInArrow(run, shape)
 
 
 SMALL = 1 << 18  # links that one task may join

@@ -107,6 +107,15 @@ def test_knn_blocks_agree_with_brute_force(spark):
     assert sum(got.get((x.q, x.rank)) == x.id for x in near.collect()) >= 20
 
 
+def test_threshold_pairs_in_blocks(spark):
+    r = random.Random(1)
+    rows = [(i, i % 2, [r.gauss(0, 1) for _ in range(3)]) for i in range(60)] + [(99, 0, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, g int, vec array<double>")
+    one = {(x.g, x.a, x.b): round(x.cosine, 9) for x in V.threshold_pairs(df, ["g"], 0.5).collect()}
+    many = {(x.g, x.a, x.b): round(x.cosine, 9) for x in V.threshold_pairs(df, ["g"], 0.5, block=7).collect()}
+    assert one == many and one and all(a < b for _, a, b in one) and 99 not in {a for _, a, _ in one}
+
+
 def test_embedding_and_tiers(spark):
     t = spark.createDataFrame([("liver",), ("Liver tissue",), ("kidney",)], "term string")
     vecs = {r.term: r.vec for r in V.hashed_ngrams(t).collect()}
