@@ -56,4 +56,24 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_ngram_join, op3_packing, op4_toxicity, op5_quality, op6_html_text, op7_nearest, op8_mixing, op9_sharding, op10_spotsigs)}
-ORACLES: dict[str, str] = {}
+# Hashes, token ids, trained models and packings have no SQL; tests/llm compares those queries with brute force.
+ORACLES: dict[str, str] = {
+    "op2_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_\x{80}-\x{10FFFF}]+') ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) g FROM w),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY 1),
+c AS (SELECT x.doc_id a, y.doc_id b, count(*) k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, k = p.n AND k = q.n AS same FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 5 * k >= 4 * (p.n + q.n - k)),
+e AS (SELECT a, b, same FROM l UNION ALL SELECT b, a, same FROM l),
+r AS (SELECT doc_id AS node, doc_id AS lead_id FROM documents UNION SELECT e.b, r.lead_id FROM r JOIN e ON e.a = r.node),
+class AS (SELECT node, min(lead_id) class_id FROM r GROUP BY node),
+copy AS (SELECT d.doc_id, least(d.doc_id, coalesce(min(e.b) FILTER (e.same), d.doc_id)) copy_id FROM documents d LEFT JOIN e ON e.a = d.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, class_id, y.copy_id, count(e.b) n_links, count(DISTINCT CASE WHEN NOT e.same THEN z.copy_id END) n_text_links
+FROM documents d JOIN class ON node = d.doc_id JOIN copy y ON y.doc_id = d.doc_id LEFT JOIN e ON e.a = d.doc_id LEFT JOIN copy z ON z.doc_id = e.b GROUP BY 1, 2, 3""",
+    # for pages as these are: one article of h1, p, b and br elements
+    "op6_html_text": r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g') x FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(x, '</?(?:p|h1)>|<br>'), lambda t: trim(regexp_replace(
+  replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) ls FROM a)
+SELECT page_id, url, array_to_string(list_filter(ls, lambda t: t <> ''), chr(10)) AS text, length(array_to_string(list_filter(ls, lambda t: t <> ''), chr(10))) n_chars FROM b""",
+}
