@@ -27,20 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read again: cuts lineage and outlives lost executors."""
+    """``df`` written once as Parquet in the shared folder and read again: cuts lineage and outlives lost executors. It goes when the driver ends, or by ``discard``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/metaloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(discard, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._metaloom_path = path
+    atexit.register(_remove, spark, path)
+    return out
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Removes a stored intermediate, if the session still runs."""
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Removes a stored intermediate that nothing reads any more."""
+    _remove(spark, df._metaloom_path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
     jsc = spark.sparkContext._jsc
     if jsc is not None:
         p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -82,6 +88,13 @@ def text_slices(column: pa.Array, most_bytes: int = 1 << 21):
         lo = hi
 
 
+def thin(batches, rows: int = 1024):
+    """Batches of at most ``rows`` rows, so that copies of their texts stay small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def runs(mask: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of true bytes, none of which crosses a text's end."""
     if not len(mask):

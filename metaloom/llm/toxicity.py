@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import _WORD_BYTE, lower, mix64, runs, span_hashes, text_slices, word_hashes
+from metaloom.llm.common import _WORD_BYTE, lower, mix64, runs, span_hashes, text_slices, thin, word_hashes
 
 BUCKETS = 1 << 16  # of each of the two hash tables of embeddings
 WIDTHS = (1, 2, 3)
@@ -60,6 +60,15 @@ class Words:
     rows: np.ndarray
     first: np.ndarray
 
+    def slices(self, most: int = 1 << 17):
+        """Runs of texts of about ``most`` words, so that what is computed for each word stays small."""
+        lo, n = 0, len(self.first) - 1
+        while lo < n:
+            hi = min(n, max(lo + 1, int(np.searchsorted(self.first, self.first[lo] + most, "right")) - 1))
+            a, b = self.first[lo], self.first[hi]
+            yield Words(self.hashes[a:b], self.rows[a:b], self.first[lo : hi + 1] - a)
+            lo = hi
+
 
 def read(data: np.ndarray, off: np.ndarray) -> Words:
     """Two rows for the hash of each word, and one for each of its prefixes; the last row, of zeros, where it has none so long."""
@@ -165,12 +174,9 @@ def fit(texts: list[str | None], labels: list[int], *, dims: int = 8, filters: i
     b, first = words.rows, words.first
     held = np.arange(n) % 4 == 3
     fit_rows = np.flatnonzero(~held)
-    text = np.repeat(np.arange(n), np.diff(first))
     counts = np.zeros((2, SIZE))
-    for side in range(b.shape[1]):
-        seen = np.unique((text * SIZE + b[:, side])[~held[text]])
-        for label in (0, 1):
-            counts[label] += np.bincount(seen[y[seen // SIZE] == label] % SIZE, minlength=SIZE)
+    for i in fit_rows.tolist():
+        counts[int(y[i]), np.unique(b[first[i] : first[i + 1]])] += 1
     pos, neg = max(1.0, y[fit_rows].sum()), max(1.0, len(fit_rows) - y[fit_rows].sum())
     prior = 12 * pos / (pos + neg)  # as of 12 texts at the mean rate
     odds = np.log((counts[1] + prior) / (counts[0] + 12 - prior)) - np.log(pos / neg)
@@ -241,7 +247,8 @@ def fit(texts: list[str | None], labels: list[int], *, dims: int = 8, filters: i
     table = np.concatenate([E @ f[k] for f in W for k in range(len(f))], axis=1).astype(np.float32)
     model = Model(table, [v.astype(np.float32) for v in B], out.astype(np.float32), float(base[0]), np.zeros(len(LANGUAGE_WORDS) + 1))
     if n:
-        z, lang = model.logits(words), languages(words.hashes, first)
+        z = np.concatenate([model.logits(w) for w in words.slices()])
+        lang = np.concatenate([languages(w.hashes, w.first) for w in words.slices()])
         # A language without enough labels, or whose labels the text doesn't tell, takes the strictest cut of the others.
         own = {}
         for k in range(len(model.cuts)):
@@ -267,7 +274,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in thin(batches):
             for lo, hi, data, off in text_slices(lower(b.column(1)), 1 << 19):
                 s = m.scores(read(data, off)).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(s), pa.array((s >= CUT).astype(np.int32))], [id_col, "score", "predicted"])
@@ -283,7 +290,7 @@ def drop_toxic(docs: DataFrame, model: Model, *, text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in thin(batches):
             b = pa.RecordBatch.from_arrays(b.columns, names)
             keep = [m.scores(read(data, off)) < CUT for _, _, data, off in text_slices(lower(b.column(at).cast(pa.large_string())), 1 << 19)]
             if keep:
@@ -297,7 +304,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 6000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
     """A model from labels outside the held-out part: at most ``rows`` labelled documents, a third of them toxic if there are so many.
 
     The sample is the first by a hash of the id, so it is the same in each run. Its ids are found among the labels alone;
