@@ -156,15 +156,15 @@ def _search(k: int, dims: int):
             ids = c.column("ids").to_pylist()
             flat = np.array([i for s in ids for i in s], np.int64)
             of = np.repeat(np.arange(len(ids)), [len(s) for s in ids])
-            for raw in q.column("qvec").to_pylist():
+            for key, raw in zip(q.column("qkey").to_pylist(), q.column("qvec").to_pylist(), strict=True):
                 d = np.sqrt(((x - np.frombuffer(raw, np.float64)) ** 2).sum(axis=1))
                 # each vector has one id at least, so the k nearest ids are among the k nearest vectors and their ties
                 near = d <= np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
                 rows = np.flatnonzero(near[of])
                 best = rows[np.lexsort((flat[rows], d[of[rows]]))][:k]
-                out += [(raw, int(flat[r]), float(d[of[r]])) for r in best]
+                out += [(key, int(flat[r]), float(d[of[r]])) for r in best]
         cols = list(zip(*out, strict=True)) or [(), (), ()]
-        return pa.table({"qvec": pa.array(cols[0], pa.binary()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
+        return pa.table({"qkey": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
     return run
 
@@ -217,8 +217,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
     def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, n = shared.value, held.value
         for b in batches:
-            raws, leaves = [], []
-            for raw in b.column(0).to_pylist():
+            keys, raws, leaves = [], [], []
+            for key, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen = got = 0
                 for leaf in t.order(np.frombuffer(raw, np.float64)):
                     if seen >= visits and got > k:
@@ -226,22 +226,26 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
                     seen += 1
                     if leaf in n:
                         got += n[leaf][1]
+                        keys.append(key)
                         raws.append(raw)
                         leaves.append(leaf)
-            yield pa.RecordBatch.from_arrays([pa.array(raws, pa.binary()), pa.array(leaves, pa.int64())], ["qvec", "leaf"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(raws, pa.binary()), pa.array(leaves, pa.int64())], ["qkey", "qvec", "leaf"])
 
+    # Equal queries go by their smallest id, so that their vector isn't carried beyond the search.
     ids = asked.mapInArrow(keyed, "query_id long, qvec binary")
-    paths = stored(ids.select("qvec").distinct().mapInArrow(visited, "qvec binary, leaf long"), "visits")
+    alone = ids.groupBy("qvec").agg(F.min("query_id").alias("qkey"))
+    paths = stored(alone.select("qkey", "qvec").mapInArrow(visited, "qkey long, qvec binary, leaf long"), "visits")
     many = {r["leaf"]: r["n"] for r in paths.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = spark.createDataFrame([(leaf, -(-n // CHUNK), -(-many.get(leaf, 1) // CHUNK)) for leaf, (n, _) in sizes.items()], "leaf long, c_parts long, q_parts long")
     parts = F.broadcast(parts)  # a row for each leaf
     c_part, q_part = F.pmod(F.xxhash64("vec"), F.col("c_parts")), F.pmod(F.xxhash64("qvec"), F.col("q_parts"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = paths.join(parts, "leaf").select("leaf", "qvec", q_part.alias("q"), every("c_parts").alias("c"))
+    left = paths.join(parts, "leaf").select("leaf", "qkey", "qvec", q_part.alias("q"), every("c_parts").alias("c"))
     right = index.join(parts, "leaf").select("leaf", "vec", "ids", c_part.alias("c"), every("q_parts").alias("q"))
-    found = left.groupBy("leaf", "q", "c").cogroup(right.groupBy("leaf", "q", "c")).applyInArrow(_search(k + 1, dims), "qvec binary, vec_id long, score double")
-    by_vector = W.partitionBy("qvec").orderBy("score", "vec_id")
-    best = found.dropDuplicates(["qvec", "vec_id", "score"]).withColumn("r", F.row_number().over(by_vector)).filter(F.col("r") <= k + 1)
+    found = left.groupBy("leaf", "q", "c").cogroup(right.groupBy("leaf", "q", "c")).applyInArrow(_search(k + 1, dims), "qkey long, vec_id long, score double")
+    by_vector = W.partitionBy("qkey").orderBy("score", "vec_id")
+    best = found.withColumn("r", F.row_number().over(by_vector)).filter(F.col("r") <= k + 1)
     own = W.partitionBy("query_id").orderBy("score", "vec_id")
-    out = ids.dropDuplicates(["query_id", "qvec"]).join(best, "qvec").filter("query_id <> vec_id").withColumn("rank", F.row_number().over(own).cast("int"))
+    asking = ids.distinct().join(alone, "qvec").select("query_id", "qkey")
+    out = asking.join(best, "qkey").filter("query_id <> vec_id").withColumn("rank", F.row_number().over(own).cast("int"))
     return out.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
