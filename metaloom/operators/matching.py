@@ -242,12 +242,52 @@ def normalise(terms: DataFrame, lexical: DataFrame, neighbours: DataFrame, unimo
     return j.select("term", F.coalesce("u", "l", semantic).alias("node"), method.alias("method"), F.when(F.coalesce("u", "l").isNotNull(), 1.0).otherwise(F.when(semantic.isNotNull(), F.col("s.similarity"))).alias("similarity"))
 
 
-def evidence_status(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+def _found_by_automaton(quotes: list[tuple], shape: str, sources: DataFrame) -> DataFrame:
+    """Quotes (item_id, quote, key) in texts, all searched for at once in one pass over each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        by_key: dict[str, list[int]] = {}
+        for i, (_, _, k) in enumerate(quotes):
+            by_key.setdefault(k, []).append(i)
+        search = ahocorasick.Automaton()
+        for k, v in by_key.items():
+            search.add_word(k, v)
+        search.make_automaton()
+        for b in batches:
+            docs, items, how = [], [], []
+            for doc, text, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for i in sorted({i for _, v in search.iter(key) for i in v}) if key else ():
+                    docs.append(doc)
+                    items.append(quotes[i][0])
+                    how.append("verbatim" if quotes[i][1] in text else "normalized")
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(docs, b.schema.field(0).type), pa.array(how, pa.string())], ["item_id", "doc_id", "status"])
+
+    return sources.select("doc_id", "text", X.key("text").alias("key")).filter("text is not null").mapInArrow(run, shape)
+
+
+def evidence_status(quotes: DataFrame, sources: DataFrame, small: int = 16 << 20) -> DataFrame:
     """(item_id, doc_id, status): where each quote stands, ``verbatim`` or ``normalized`` (but for case and white space).
 
-    Quotes and texts meet on runs of eight key words taken from the quote's start, so that only texts that hold the run
-    are searched; a quote of fewer words meets on all of them. Quotes found nowhere have a row with null doc_id, ``absent``.
+    Quotes of at most ``small`` characters in all are searched for at once, by an automaton that each task builds. More of
+    them meet texts on runs of eight key words taken from the quote's start, so that only texts that hold the run are
+    searched; a quote of fewer words meets on all of them. Quotes found nowhere have a row with null doc_id, ``absent``;
+    empty quotes are nowhere.
     """
+    q = quotes.select(F.col("item_id").cast("long").alias("item_id"), "quote", X.key("quote").alias("k")).filter("k <> ''")
+    total = q.agg(F.coalesce(F.sum(F.length("quote")), F.lit(0))).first()[0]
+    if total <= small:
+        shape = f"item_id long, doc_id {sources.schema['doc_id'].dataType.simpleString()}, status string"
+        met = _found_by_automaton([tuple(r) for r in q.collect()], shape, sources) if total else sources.sparkSession.createDataFrame([], shape)
+    else:
+        met = _found_by_runs(q.select("item_id", "quote"), sources)
+    none = quotes.select(F.col("item_id").cast("long").alias("item_id")).join(met.select("item_id").distinct(), "item_id", "left_anti")
+    return met.unionAll(none.select("item_id", F.lit(None).cast(sources.schema["doc_id"].dataType).alias("doc_id"), F.lit("absent").alias("status")))
+
+
+def _found_by_runs(quotes: DataFrame, sources: DataFrame) -> DataFrame:
+    """As evidence_status, for quotes of any number: a join on runs of words."""
     width = 8
     q = quotes.select("item_id", "quote").withColumn("k", X.key("quote")).withColumn("w", F.split("k", " "))
     q = q.withColumn("n", F.least(F.size("w"), F.lit(width))).withColumn("probe", F.array_join(F.slice("w", 1, F.col("n")), " "))
@@ -267,5 +307,4 @@ def evidence_status(quotes: DataFrame, sources: DataFrame) -> DataFrame:
             part = keyed.join(qs, "item_id").join(t, "doc_id").filter(F.contains("tk", F.col("k")))
         part = part.select("item_id", "doc_id", F.when(F.contains("text", F.col("quote")), "verbatim").otherwise("normalized").alias("status"))
         met = part if met is None else met.unionAll(part)
-    none = quotes.select("item_id").join(met.select("item_id").distinct(), "item_id", "left_anti").select("item_id", F.lit(None).cast("long").alias("doc_id"), F.lit("absent").alias("status"))
-    return met.unionAll(none)
+    return met

@@ -107,6 +107,15 @@ def test_knn_blocks_agree_with_brute_force(spark):
     assert sum(got.get((x.q, x.rank)) == x.id for x in near.collect()) >= 20
 
 
+def test_evidence_both_ways(spark):
+    words = [f"w{i}" for i in range(40)]
+    q = spark.createDataFrame([(1, " ".join(words[3:15])), (2, "W3  w4 W5 w6 w7 w8 w9 w10 w11"), (3, "w1 w2"), (4, "never there at all in any of these texts"), (5, "")], "item_id long, quote string")
+    d = spark.createDataFrame([(10, " ".join(words)), (11, "w1 w2x"), (12, None), (13, "")], "doc_id long, text string")
+    want = {(1, 10, "verbatim"), (2, 10, "normalized"), (3, 10, "verbatim"), (3, 11, "verbatim"), (4, None, "absent"), (5, None, "absent")}
+    for small in (1 << 20, 0):
+        assert {tuple(r) for r in V.evidence_status(q, d, small=small).collect()} == want
+
+
 def test_threshold_pairs_in_blocks(spark):
     r = random.Random(1)
     rows = [(i, i % 2, [r.gauss(0, 1) for _ in range(3)]) for i in range(60)] + [(99, 0, [0.0, 0.0, 0.0])]
