@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import lower, mix64, shingles, text_slices, word_hashes
+from metaloom.llm.common import lower, mix64, shingles, text_slices, thin, word_hashes
 from metaloom.llm.toxicity import LANGUAGE_WORDS, _hash_words
 
 BUCKETS = 1 << 16
@@ -210,7 +210,7 @@ def patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(votes, n): how many texts have each pattern of votes; at most 3 ** 8 rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in thin(batches):
             for _, _, values, words in _read(b.column(0)):
                 own, n = np.unique(votes(values, words), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in own], pa.binary()), pa.array(n, pa.int64())], ["votes", "n"])
@@ -245,7 +245,7 @@ def score(docs: DataFrame, model: LabelModel, scorer: Scorer, *, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, s = shared.value
-        for b in batches:
+        for b in thin(batches):
             at = 0
             for data, off, values, words in _read(b.column(1)):
                 n = len(off) - 1
