@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import lower, mix64, random_table, shingles, stored, text_slices, word_hashes
+from metaloom.llm.common import lower, mix64, random_table, shingles, stored, text_slices, thin, word_hashes
 from metaloom.llm.graph import components
 
 CHUNK = 4096  # members of a bucket that one task compares
@@ -76,7 +76,7 @@ def signed(docs: DataFrame, width: int, trees: int, depth: int) -> DataFrame:
     salt = random_table(trees, 7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in thin(batches):
             for lo, hi, h, first in _sets(b.column(1), width):
                 n = np.diff(first)
                 has = np.flatnonzero(n)
