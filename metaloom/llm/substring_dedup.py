@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import random_table, span_hashes, text_slices
+from metaloom.llm.common import random_table, span_hashes, text_slices, thin
 
 _GEAR = (random_table(256, 31) & np.uint64(0xFFFF)).astype(np.uint16)
 WINDOW = 16  # bytes that the hash looks back on: each step shifts by one bit, so older bytes have left 16 bits
@@ -54,10 +54,10 @@ def boundaries(data: np.ndarray, off: np.ndarray, mean_words: int, span: int, fo
 
 
 def chunked(docs: DataFrame, mean_words: int, span: int, forced: int) -> DataFrame:
-    """(id, at, len, digest) for each chunk of each text, in bytes of UTF-8; chunks tile the text."""
+    """(id, at, len, digest, again) for each chunk of each text, in bytes of UTF-8; chunks tile the text. ``again``: its digest came before in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in thin(batches):
             ids = b.column(0).to_numpy()
             for lo, hi, data, off in text_slices(b.column(1)):
                 ends = boundaries(data, off, mean_words, span, forced)
@@ -67,12 +67,15 @@ def chunked(docs: DataFrame, mean_words: int, span: int, forced: int) -> DataFra
                 starts, ends = starts[full], ends[full]
                 text = np.searchsorted(off, starts, "right") - 1
                 digest = span_hashes(data, starts, ends)
+                order = np.lexsort((starts, digest, text))
+                again = np.zeros(len(order), bool)
+                again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi][text]), pa.array((starts - off[text]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(digest.view(np.int64))],
-                    ["id", "at", "len", "digest"],
+                    [pa.array(ids[lo:hi][text]), pa.array((starts - off[text]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(again)],
+                    ["id", "at", "len", "digest", "again"],
                 )
 
-    return docs.mapInArrow(run, "id long, at int, len int, digest long")
+    return docs.mapInArrow(run, "id long, at int, len int, digest long, again boolean")
 
 
 def _cutter(least_words: int, text_at: int):
@@ -158,9 +161,9 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     docs = docs.drop(*added)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     chunks = chunked(base.filter("id is not null and text is not null"), mean_words, span, forced)
-    place = F.struct("id", "at")
-    many = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
-    again = chunks.join(many, "digest").filter(place != F.col("first")).select("id", F.struct("at", "len", F.col("first.id").alias("first")).alias("span"))
+    # Longs alone, so that counts are kept in hash tables from the map side on; places within a text were ranked there.
+    many = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1").drop("n")
+    again = chunks.join(many, "digest").filter("again or id <> first").select("id", F.struct("at", "len", "first").alias("span"))
     spans = again.groupBy(F.col("id").alias("__row")).agg(F.collect_list("span").alias("__spans"))
     columns = docs.columns
     joined = docs.withColumn("__key", F.col(f"`{id_col}`").cast("long")).join(spans, F.col("__key") == F.col("__row"), "left")
