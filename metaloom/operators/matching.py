@@ -118,16 +118,21 @@ def knn_by_centroids(queries: DataFrame, vectors: DataFrame, k: int, cells: int,
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", "rank", "id", "cosine")
 
 
+def _meetings(vectors: DataFrame, by: list[str], block: int) -> DataFrame:
+    """``vectors`` dealt within groups into blocks __b of about ``block``, a row for each meeting (__x, __y) of two blocks."""
+    size = vectors.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("__n"))
+    v = vectors.join(size, by).withColumn("__b", F.pmod(F.xxhash64("id"), F.col("__n").cast("long")).cast("int"))
+    v = v.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    return v.withColumn("__x", F.least("__b", "__o")).withColumn("__y", F.greatest("__b", "__o"))
+
+
 def threshold_pairs(vectors: DataFrame, by: list[str], least: float, block: int = 2048) -> DataFrame:
     """(by..., a, b, cosine) of the pairs within a group of cosine ``least`` or more, a < b; exact.
 
     A group, the values of one field or label, is dealt into blocks of about ``block`` vectors; each two blocks meet in
     one task, so a large group is spread over many, and only pairs that reach ``least`` become rows.
     """
-    size = vectors.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("__n"))
-    v = vectors.select(*by, "id", "vec").join(size, by).withColumn("__b", F.pmod(F.xxhash64("id"), F.col("__n").cast("long")).cast("int"))
-    v = v.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    v = v.withColumn("__x", F.least("__b", "__o")).withColumn("__y", F.greatest("__b", "__o"))
+    v = _meetings(vectors.select(*by, "id", "vec"), by, block)
     kinds = vectors.select(*by).schema
     shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kinds] + ["a long", "b long", "cosine double"])
 
@@ -149,6 +154,25 @@ def threshold_pairs(vectors: DataFrame, by: list[str], least: float, block: int
     return v.groupBy(*by, "__x", "__y").applyInArrow(run, shape)
 
 
+def best_between(vectors: DataFrame, by: list[str], side: Column, block: int = 2048) -> DataFrame:
+    """(by..., cosine): the greatest cosine of two vectors of a group that differ in ``side``; exact. Each meeting of blocks gives one row, so no pair becomes one."""
+    v = _meetings(vectors.select(*by, "id", "vec", side.cast("long").alias("__s")), by, block)
+    shape = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.select(*by).schema] + ["cosine double"])
+
+    def run(t: pa.Table) -> pa.Table:
+        blk, side_ = t.column("__b").to_numpy(), t.column("__s").to_numpy()
+        m = np.array(t.column("vec").to_pylist(), np.float64)
+        n = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        m /= np.where(n == 0, 1, n)
+        p, q = np.flatnonzero(blk == t.column("__x")[0].as_py()), np.flatnonzero(blk == t.column("__y")[0].as_py())
+        keep = (side_[p][:, None] != side_[q][None, :]) & (n[p] > 0) & (n[q] > 0).T
+        best = [float(np.clip((m[p] @ m[q].T)[keep].max(), 0, 1))] if keep.any() else []
+        cols = [pa.array([t.column(c)[0].as_py()] * len(best), t.schema.field(c).type) for c in by]
+        return pa.table([*cols, pa.array(best, pa.float64())], [*by, "cosine"])
+
+    return v.groupBy(*by, "__x", "__y").applyInArrow(run, shape)
+
+
 SMALL = 1 << 18  # links that one task may join
 
 

@@ -46,9 +46,8 @@ def value_clusters(spark, sf_dir):
 
 
 def max_sim_sets(spark, sf_dir):
-    """The greatest cosine between each label's even and odd rows of the first two hundred."""
-    v = vecs(spark, sf_dir).filter("id < 200")
-    p = V.threshold_pairs(v, ["label"], 0.0).filter("a % 2 <> b % 2").select(F.col("label").alias("id"), "cosine")
+    """The greatest cosine between each label's even and odd rows."""
+    p = V.best_between(vecs(spark, sf_dir), ["label"], F.col("id") % 2).select(F.col("label").alias("id"), "cosine")
     return V.max_similarity(p).select(F.col("id").alias("label"), F.round("best", 6).alias("best"))
 
 
@@ -67,7 +66,7 @@ def topk_restricted_choice(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    v = vecs(spark, sf_dir).filter("id < 120").withColumn("g", F.floor(F.col("id") / 12))
+    v = vecs(spark, sf_dir).withColumn("g", F.floor(F.col("id") / 12))
     x = v.filter("id % 2 = 0").select("g", F.col("id").alias("i"), F.col("vec").alias("va"))
     y = v.filter("id % 2 = 1").select("g", F.col("id").alias("j"), F.col("vec").alias("vb"))
     return x.join(y, "g").select("g", "i", "j", F.round(M.cosine(F.col("va"), F.col("vb")), 6).alias("s"))
