@@ -34,7 +34,7 @@ def setup_best_match(spark, sf_dir):
 
 
 def _runs(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_id < 4000")
+    e = table(spark, sf_dir, "events")
     name = F.concat(F.lit("user"), F.col("user_id").cast("string"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("_F"), (F.col("event_id") % 17).cast("string"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("_fraction_"), (F.col("event_id") % 17).cast("string"))).otherwise("_x"))
     return e.select(F.concat(F.lit("P"), (F.col("user_id") % 10).cast("string")).alias("project"), name.alias("run")).distinct()
 
@@ -63,7 +63,7 @@ def agree_disagree_status(spark, sf_dir):
 
 def provenance_first_wins(spark, sf_dir):
     """Per conversation turn parity the value of the earliest role, with all that gave one."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") % 2).alias("field"), F.col("role").alias("agent"), F.left("text", F.lit(20)).alias("value"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") % 2).alias("field"), F.col("role").alias("agent"), F.col("text").alias("value"))
     return G.first_agent(c, ["conv_id", "field"], ["system", "assistant", "user"])
 
 
@@ -120,7 +120,7 @@ def uncached_requests(spark, sf_dir):
 
 def run_keys(spark, sf_dir):
     """Keys for line items as runs of an order: the line number if unique, else the row's number."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").withColumn("ord", F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"))
+    li = table(spark, sf_dir, "lineitem").withColumn("ord", F.struct("l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"))
     out = G.run_key(li.select("l_orderkey", "l_linenumber", "l_partkey", "ord"), "l_orderkey", ["l_linenumber", "l_partkey"], "ord")
     return out.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("run_key").alias("keys"))
 
