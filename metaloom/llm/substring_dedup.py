@@ -10,10 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import random_table, span_hashes, text_slices, thin
+from metaloom.llm.common import _STEP, mix64, random_table, span_hashes, text_slices, thin
 
 _GEAR = (random_table(256, 31) & np.uint64(0xFFFF)).astype(np.uint16)
 WINDOW = 16  # bytes that the hash looks back on: each step shifts by one bit, so older bytes have left 16 bits
+BYTES_A_WORD = 8  # a chunk counts one word for each at least
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -53,8 +54,33 @@ def boundaries(data: np.ndarray, off: np.ndarray, mean_words: int, span: int, fo
     return np.unique(np.concatenate([at, off[1:]]))
 
 
-def chunked(docs: DataFrame, mean_words: int, span: int, forced: int) -> DataFrame:
-    """(id, at, len, digest, again) for each chunk of each text, in bytes of UTF-8; chunks tile the text. ``again``: its digest came before in the text."""
+def windows(data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarray, text: np.ndarray, digest: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chunk, end, digest) of the shortest run of whole chunks from each chunk on, within its text, that holds ``least_words`` words.
+
+    A chunk counts as many words as begin in it, and one for each BYTES_A_WORD bytes at least, so that text without white
+    space is measured too. Chunks from which the text's rest is shorter have no window.
+    """
+    begins = ~_SPACE[data]
+    begins[1:] &= _SPACE[data[:-1]]
+    begins[off[:-1][off[:-1] < len(data)]] |= ~_SPACE[data[off[:-1][off[:-1] < len(data)]]]
+    words = np.concatenate([[0], np.cumsum(begins)])
+    size = np.maximum(words[ends] - words[starts], (ends - starts) // BYTES_A_WORD)
+    total = np.concatenate([[0], np.cumsum(size)])
+    last = np.searchsorted(total, total[:-1] + least_words, "left")  # chunks up to here, exclusive
+    has = np.flatnonzero(last <= len(starts))
+    has = has[text[np.maximum(last[has] - 1, has)] == text[has]]
+    last = np.maximum(last[has], has + 1)
+    # The digest of a window is a polynomial of its chunks' digests, by differences of running sums.
+    n = np.uint64(_STEP)
+    inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
+    powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(starts), n, np.uint64)]), dtype=np.uint64)
+    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(starts), inverse, np.uint64)]), dtype=np.uint64)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(digest * powers[:-1], dtype=np.uint64)])
+    return has, ends[last - 1], mix64((sums[last] - sums[has]) * back[has] + (last - has).astype(np.uint64))
+
+
+def chunked(docs: DataFrame, mean_words: int, span: int, forced: int, least_words: int) -> DataFrame:
+    """(id, at, len, digest, again) for each window of chunks of each text, in bytes of UTF-8. ``again``: its digest came before in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in thin(batches):
@@ -66,7 +92,8 @@ def chunked(docs: DataFrame, mean_words: int, span: int, forced: int) -> DataFra
                 full = ends > starts
                 starts, ends = starts[full], ends[full]
                 text = np.searchsorted(off, starts, "right") - 1
-                digest = span_hashes(data, starts, ends)
+                i, ends, digest = windows(data, off, starts, ends, text, span_hashes(data, starts, ends), least_words)
+                starts, text = starts[i], text[i]
                 order = np.lexsort((starts, digest, text))
                 again = np.zeros(len(order), bool)
                 again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
@@ -78,13 +105,13 @@ def chunked(docs: DataFrame, mean_words: int, span: int, forced: int) -> DataFra
     return docs.mapInArrow(run, "id long, at int, len int, digest long, again boolean")
 
 
-def _cutter(least_words: int, text_at: int):
+def _cutter(text_at: int):
     """Cuts the texts of column ``text_at`` by the spans in the last column, which gives way to starts, lengths and firsts."""
 
     def one(text: str, spans: list[dict]) -> tuple[str, list[int], list[int], list[int]]:
         raw = text.encode()
         out, end, starts, lengths, firsts = [], 0, [], [], []
-        for lo, hi, first in repeats(raw, sorted((s["at"], s["len"], s["first"]) for s in spans), least_words):
+        for lo, hi, first in repeats(sorted((s["at"], s["len"], s["first"]) for s in spans)):
             out.append(raw[end:lo])
             starts.append(len(raw[:lo].decode()))
             lengths.append(len(raw[lo:hi].decode()))
@@ -107,50 +134,35 @@ def _cutter(least_words: int, text_at: int):
     return run
 
 
-def repeats(raw: bytes, spans: list[tuple[int, int, int]], least_words: int) -> list[tuple[int, int, int]]:
-    """(start, end, document) of the runs of adjoining repeated chunks (start, length, first document) that hold ``least_words`` words or more.
+def repeats(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, document) of the unions of overlapping or adjoining repeated windows (start, length, first document), ascending.
 
-    A run's document is the one that holds the first occurrence of most of its bytes. Chunks at its ends that occurred
-    first elsewhere may adjoin it by chance; they are runs of their own.
+    A union's document is the one that holds the first occurrence of most of its bytes.
     """
-    joined: list[list[tuple[int, int, int]]] = []
-    for s in spans:
-        if joined and sum(joined[-1][-1][:2]) == s[0]:
-            joined[-1].append(s)
-        else:
-            joined.append([s])
-    out = []
-    while joined:
-        run = joined.pop()
-        start, end = run[0][0], run[-1][0] + run[-1][1]
-        if len(raw[start:end].split()) < least_words:
-            continue
-        share: dict[int, int] = {}
-        for _, n, first in run:
-            share[first] = share.get(first, 0) + n
-        main = min(share, key=lambda k: (-share[k], k))
-        mine = [i for i, s in enumerate(run) if s[2] == main]
-        lo, hi = mine[0], mine[-1] + 1
-        if lo or hi < len(run):
-            joined += [part for part in (run[:lo], run[hi:], run[lo:hi]) if part]
-        else:
-            out.append((start, end, main))
-    return sorted(out)
+    out: list[list] = []
+    for at, n, first in spans:
+        if not out or out[-1][1] < at:
+            out.append([at, at, {}])
+        _, end, share = out[-1]
+        share[first] = share.get(first, 0) + max(0, at + n - end)
+        out[-1][1] = max(end, at + n)
+    return [(lo, hi, min(share, key=lambda k: (-share[k], k))) for lo, hi, share in out]
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_words: int = 16, mean_words: int = 3, span: int = 8, forced: int = 256) -> DataFrame:
     """``docs`` with passages removed that repeat what an earlier place holds.
 
-    Texts are cut into content-defined chunks of about ``mean_words`` + 1 words; chunks are compared by a 64-bit digest of their bytes.
-    The first occurrence, by (id, place), of each chunk stays; later ones count as repeated, and runs of adjoining repeated
-    chunks of ``least_words`` words or more are cut out, within a text as well as across texts. Shorter repeats (a common
-    phrase or line) are left alone. A passage's ends, up to the nearest chunk bounds, remain.
+    Texts are cut into content-defined chunks of about ``mean_words`` + 1 words. From each chunk on, the shortest run of whole
+    chunks of ``least_words`` words or more (see ``windows``) is a window; windows are compared by a 64-bit digest. The first
+    occurrence, by (id, place), of each window stays; later ones are cut out, within a text as well as across texts. So each
+    window that is cut stands without a gap in one earlier place; chunks that occur here and there are left alone. A
+    passage's ends, up to the nearest chunk bounds and at its close less than a window, remain.
 
     Columns: those of ``docs``, with the text replaced where something was cut, and added: cut_starts, cut_lengths (code
     points of the given text), cut_firsts (the document that holds the first occurrence of most of a run).
 
-    One row for each chunk is shuffled to count digests with partial aggregation; only chunks that repeat come back, by a
-    join on the digest whose large partitions Spark may split. A document's repeated chunks are gathered by document, which
+    One row for each window is shuffled to count digests with partial aggregation; only windows that repeat come back, by a
+    join on the digest whose large partitions Spark may split. A document's repeated windows are gathered by document, which
     its own length bounds. Executors lost at any stage recompute it from the table.
 
     Null texts stay null, empty ones empty, with empty lists; rows with equal ids are told apart by nothing and so are
@@ -160,7 +172,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     added = ["cut_starts", "cut_lengths", "cut_firsts"]
     docs = docs.drop(*added)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    chunks = chunked(base.filter("id is not null and text is not null"), mean_words, span, forced)
+    chunks = chunked(base.filter("id is not null and text is not null"), mean_words, span, forced, least_words)
     # Longs alone, so that counts are kept in hash tables from the map side on; places within a text were ranked there.
     many = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1").drop("n")
     again = chunks.join(many, "digest").filter("again or id <> first").select("id", F.struct("at", "len", "first").alias("span"))
@@ -170,4 +182,4 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     joined = joined.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns], F.when(F.col(f"`{text_col}`").isNotNull(), F.col("__spans")).alias("__spans"))
     kinds = [f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(joined.schema.fields[:-1])]
     kinds += [f"c{len(columns) + k} array<long>" for k in range(3)]
-    return joined.mapInArrow(_cutter(least_words, columns.index(text_col)), ", ".join(kinds)).toDF(*columns, *added)
+    return joined.mapInArrow(_cutter(columns.index(text_col)), ", ".join(kinds)).toDF(*columns, *added)

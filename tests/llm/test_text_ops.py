@@ -112,6 +112,25 @@ def test_substring_dedup_cuts_repeats_and_nothing_else(spark, prose):
             assert r.text == t and r.cut_starts == []
 
 
+def test_substring_dedup_keeps_text_of_scattered_phrases(spark, prose):
+    # Each chunk of the last text stands in the first or second somewhere, but no 16 words of it stand together.
+    long = prose(11, 3000)
+    data = np.frombuffer(long.encode(), np.uint8)
+    ends = substring_dedup.boundaries(data, np.array([0, len(data)]), 3, 8, 256)
+    pieces = [long[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    mixed = "".join(pieces[i] for i in range(len(pieces) - 2, 0, -2))
+    df = spark.createDataFrame([(1, long), (2, mixed)], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in substring_dedup.dedup(df).collect()} == {1: long, 2: mixed}
+
+
+def test_substring_dedup_measures_text_without_white_space(spark):
+    r = np.random.default_rng(5)
+    passage = "".join(chr(0x4E00 + int(c)) for c in r.integers(0, 3000, 2000))
+    df = spark.createDataFrame([(1, passage), (2, "".join(chr(0x5C00 + int(c)) for c in r.integers(0, 3000, 900)) + passage)], "doc_id long, text string")
+    got = {r.doc_id: r for r in substring_dedup.dedup(df).collect()}
+    assert got[1].text == passage and sum(got[2].cut_lengths) > 1500
+
+
 def test_substring_dedup_within_a_text_and_odd_rows(spark, odd, prose):
     p = prose(51, 60)
     df = spark.createDataFrame([(1, p + " é☃ " + prose(52, 30) + " " + p)], "doc_id long, text string")
