@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 M64 = (1 << 64) - 1
 
@@ -20,12 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor and the driver reach: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that every executor and the driver reach: spark.checkpoint.dir, or, on a local master alone, a temporary one."""
     if (d := spark.conf.get("spark.checkpoint.dir", None)) is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = f"file://{tempfile.gettempdir()}/metaloom-shared"
     return d.rstrip("/")
 
 
+def fresh(columns, *names: str) -> list[str]:
+    """The given names, each lengthened until it clashes with none of ``columns``, upper or lower case."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def repeats(base: DataFrame, key: str = "id") -> bool:
+    """Whether a key stands in several rows."""
+    return not base.select(key).groupBy(key).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again: cuts lineage and outlives lost executors. It goes when the driver ends, or by ``discard``."""
     spark = df.sparkSession

@@ -21,7 +21,8 @@ class _Encoder(dict):
     """Little-endian 32-bit ids by chunk of text. A chunk starts at a space before a non-space, where the tokenizer always splits, so chunks encode alone as within their text.
 
     Vocabulary and merge order are those of the byte-level ``tokenizers`` file; the merges of chunks not yet seen are done
-    by tiktoken, several times as fast and with the same ids (tests compare them).
+    by tiktoken, several times as fast and with the same ids (tests compare them). Added tokens are looked for first, as the
+    tokenizer does, and the text between them is encoded part by part.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -31,7 +32,13 @@ class _Encoder(dict):
             spec = json.load(f)
         if spec["model"]["type"] != "BPE" or spec.get("normalizer") or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError(f"{path} is not a byte-level BPE file without normaliser and prefix space")
-        special = {t["content"] for t in spec.get("added_tokens", ())}
+        added = spec.get("added_tokens", ())
+        if any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path} has added tokens that take white space or want whole words")
+        special = {t["content"]: t["id"] for t in added}
+        self.added = {s: i.to_bytes(4, "little") for s, i in special.items()}
+        # Longer ones first: of added tokens that start at one place the longest is taken.
+        self.parts = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=lambda s: (-len(s), s))) + ")").split if special else None
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in special}
         core = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe
@@ -72,7 +79,10 @@ def _encoder(path: str) -> tuple[_Encoder, np.ndarray]:
 
 
 def token_bytes(enc: _Encoder, text: str | None, end_id: int) -> bytes:
-    return b"".join(map(enc.__getitem__, _chunks(text or ""))) + end_id.to_bytes(4, "little")
+    text, end = text or "", end_id.to_bytes(4, "little")
+    if not any(s in text for s in enc.added):
+        return b"".join(map(enc.__getitem__, _chunks(text))) + end
+    return b"".join(enc.added[s] if s in enc.added else b"".join(map(enc.__getitem__, _chunks(s))) for s in enc.parts(text) if s) + end
 
 
 def cut(ends: np.ndarray, cost: np.ndarray, window: int, final: bool) -> list[int]:

@@ -219,14 +219,20 @@ def patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("votes").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, rows: int = 4000, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[LabelModel, Scorer]:
-    """The label model, from the votes on all texts, and the scorer, from the ``rows`` texts of smallest id hash with their posteriors."""
+def train(docs: DataFrame, rows: int = 4000, chars: int = 32_768, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[LabelModel, Scorer]:
+    """The label model, from the votes on all texts, and the scorer, from the ``rows`` texts of smallest id hash with their posteriors.
+
+    Of a repeated id the smallest text is taken, and texts of over ``chars`` characters aren't, so no more than ``rows``
+    texts and ``rows * chars`` characters reach the driver. Null texts count as empty; rows with a null id vote but
+    don't train the scorer; other columns are not read; an empty table gives models that keep everything or nothing alike.
+    """
     found = patterns(docs, text_col).collect()
     v = np.array([np.frombuffer(r["votes"], np.int8) for r in found], np.int8).reshape(-1, len(STATS))
     order = np.lexsort(v.T) if len(v) else np.zeros(0, int)
     model = estimate(v[order], np.array([r["n"] for r in found], np.int64)[order])
     picked = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
-    data = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id").collect()
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter(F.length("text") <= chars)
+    data = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text")).collect()
     data.sort(key=lambda r: (str(r["id"]), r["text"] or ""))
     texts = [r["text"] for r in data]
     parts = [model.posterior(votes(values, words)) for _, _, values, words in _read(pa.array(texts, pa.large_string()))]

@@ -21,6 +21,8 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     if not weights or any(w < 0 or not math.isfinite(w) for w in weights) or not any(weights):
         raise ValueError("weights must be finite, not negative, and not all 0")
 
+    key = key.cast("string")  # so that a key has one hash, whatever its column's type
+
     def score(s: int, w: float) -> Column:
         # 52 bits of the hash and a half: never 0 or 1
         u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(s)), 12).cast("double") + 0.5) / F.lit(float(1 << 52))

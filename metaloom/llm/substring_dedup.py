@@ -10,11 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import _STEP, mix64, random_table, span_hashes, text_slices, thin
+from metaloom.llm.common import _STEP, fresh, mix64, random_table, span_hashes, stored, text_slices, thin
+from metaloom.llm.common import repeats as repeated
 
 _GEAR = (random_table(256, 31) & np.uint64(0xFFFF)).astype(np.uint16)
 WINDOW = 16  # bytes that the hash looks back on: each step shifts by one bit, so older bytes have left 16 bits
 BYTES_A_WORD = 8  # a chunk counts one word for each at least
+HEAVY = 2000  # occurrences of a digest that one task joins
+MOST_HEAVY = 16_384  # digests that are dealt over several tasks
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -80,12 +83,13 @@ def windows(data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndar
 
 
 def chunked(docs: DataFrame, mean_words: int, span: int, forced: int, least_words: int) -> DataFrame:
-    """(id, at, len, digest, again) for each window of chunks of each text, in bytes of UTF-8. ``again``: its digest came before in the text."""
+    """(keys of ``docs``, at, len, digest, again) for each window of chunks of each text, in bytes of UTF-8; ``docs`` has long keys, then the text. ``again``: its digest came before in the text."""
+    keys = docs.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in thin(batches):
-            ids = b.column(0).to_numpy()
-            for lo, hi, data, off in text_slices(b.column(1)):
+            ids = [c.to_numpy() for c in b.columns[:-1]]
+            for lo, hi, data, off in text_slices(b.column(len(ids))):
                 ends = boundaries(data, off, mean_words, span, forced)
                 ends = ends[ends > 0]
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
@@ -97,12 +101,11 @@ def chunked(docs: DataFrame, mean_words: int, span: int, forced: int, least_word
                 order = np.lexsort((starts, digest, text))
                 again = np.zeros(len(order), bool)
                 again[order[1:]] = (digest[order[1:]] == digest[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi][text]), pa.array((starts - off[text]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(again)],
-                    ["id", "at", "len", "digest", "again"],
-                )
+                own = [pa.array(k[lo:hi][text]) for k in ids]
+                own += [pa.array((starts - off[text]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(digest.view(np.int64)), pa.array(again)]
+                yield pa.RecordBatch.from_arrays(own, [*keys, "at", "len", "digest", "again"])
 
-    return docs.mapInArrow(run, "id long, at int, len int, digest long, again boolean")
+    return docs.mapInArrow(run, ", ".join(f"{k} long" for k in keys) + ", at int, len int, digest long, again boolean")
 
 
 def _cutter(text_at: int):
@@ -161,25 +164,59 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     Columns: those of ``docs``, with the text replaced where something was cut, and added: cut_starts, cut_lengths (code
     points of the given text), cut_firsts (the document that holds the first occurrence of most of a run).
 
-    One row for each window is shuffled to count digests with partial aggregation; only windows that repeat come back, by a
-    join on the digest whose large partitions Spark may split. A document's repeated windows are gathered by document, which
-    its own length bounds. Executors lost at any stage recompute it from the table.
+    One row for each window is shuffled to count digests with partial aggregation; the digests that repeat are stored, and
+    windows are joined to them. A digest of more than HEAVY occurrences (or, beyond MOST_HEAVY such digests, of so many
+    that no more than MOST_HEAVY are) is dealt over as many tasks by a salted key, so a passage that a third of the texts
+    hold is in no single task; only the list of those digests is broadcast. A document's repeated windows are gathered by
+    document, which its own length bounds. Executors lost at any stage recompute it from the table.
 
-    Null texts stay null, empty ones empty, with empty lists; rows with equal ids are told apart by nothing and so are
-    chunked as parts of one id: give rows ids of their own. Rows with a null id pass through. Columns of ``docs`` that are
-    named like the added ones are replaced. An empty table gives no rows.
+    Digests have 64 bits and are not compared byte by byte: of w different windows about w * w / 2 ** 65 pairs agree by chance.
+
+    Null texts stay null, empty ones empty, with empty lists. Rows with equal ids and different texts are documents of
+    their own, in the order of a hash of the text; rows alike in id and text are one document and are each cut as that is.
+    Rows with a null id pass through. Columns of ``docs`` that are named like the added ones are replaced; others keep
+    their names, whatever these are. An empty table gives no rows.
     """
     added = ["cut_starts", "cut_lengths", "cut_firsts"]
     docs = docs.drop(*added)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    chunks = chunked(base.filter("id is not null and text is not null"), mean_words, span, forced, least_words)
-    # Longs alone, so that counts are kept in hash tables from the map side on; places within a text were ranked there.
-    many = chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1").drop("n")
-    again = chunks.join(many, "digest").filter("again or id <> first").select("id", F.struct("at", "len", "first").alias("span"))
-    spans = again.groupBy(F.col("id").alias("__row")).agg(F.collect_list("span").alias("__spans"))
     columns = docs.columns
-    joined = docs.withColumn("__key", F.col(f"`{id_col}`").cast("long")).join(spans, F.col("__key") == F.col("__row"), "left")
-    joined = joined.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == text_col else F.col(f"`{c}`") for c in columns], F.when(F.col(f"`{text_col}`").isNotNull(), F.col("__spans")).alias("__spans"))
+    key, hashed, spans_at = fresh(columns, "__key", "__hash", "__spans")
+    text = F.col(f"`{text_col}`").cast("string")
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    base = base.filter("id is not null and text is not null")
+    # Where no id repeats, the id alone is a row's key, and no hash is carried along.
+    keys = ["id", "hash"] if repeated(base) else ["id"]
+    chunks = chunked(base.select(*keys, "text"), mean_words, span, forced, least_words)
+    # Longs alone, so that counts are kept in hash tables from the map side on; places within a text were ranked there.
+    many = stored(chunks.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1"), "digests")
+    bound = many.agg(F.sum("n")).first()[0] or 0
+    heavy = max(HEAVY, -(-bound // MOST_HEAVY))
+    dealt = F.when(F.col("n") > heavy, F.ceil(F.col("n") / F.lit(heavy))).otherwise(1).cast("int")
+    salts = many.filter(F.col("n") > heavy).select(F.col("digest").alias("d"), dealt.alias("salts"))
+    salted = lambda d, salt: F.when(salt == 0, d).otherwise(F.xxhash64(d, salt))
+    seen = many.withColumn("salt", F.explode(F.sequence(F.lit(0), dealt - 1))).select(salted(F.col("digest"), F.col("salt")).alias("k"), "first")
+    if salts.isEmpty():
+        found = chunks.withColumn("k", F.col("digest"))
+    else:
+        own_salt = F.coalesce(F.pmod(F.xxhash64("id", "at"), F.col("salts").cast("long")).cast("int"), F.lit(0))
+        found = chunks.join(F.broadcast(salts), F.col("digest") == F.col("d"), "left").withColumn("k", salted(F.col("digest"), own_salt))
+    wanted = [*keys, "at", "len", "again", "k", *(["digest"] if len(keys) > 1 else [])]
+    found = found.select(*wanted).join(seen, "k")
+    again = F.col("again") | (F.col("id") != F.col("first"))
+    if len(keys) > 1:
+        # Of several texts under the first id, that of the smallest hash holds the first occurrence.
+        lead = found.filter(F.col("id") == F.col("first")).groupBy("digest").agg(F.min("hash").alias("lead"))
+        found = found.join(lead, "digest")
+        again = again | (F.col("hash") != F.col("lead"))
+    cuts = found.filter(again).select(*keys, F.struct("at", "len", "first").alias("span"))
+    spans = cuts.groupBy(*[F.col(k).alias(f"__of_{k}") for k in keys]).agg(F.collect_list("span").alias("__found"))
+    own = {"id": (key, F.col(f"`{id_col}`").cast("long")), "hash": (hashed, F.xxhash64(text))}
+    joined = docs.withColumns({name: c for name, c in (own[k] for k in keys)})
+    on = [F.col(own[k][0]) == F.col(f"__of_{k}") for k in keys]
+    left, *_ = fresh(columns, "__d")
+    joined = joined.alias(left).join(spans.alias(f"{left}s"), on, "left")
+    given = lambda c: F.col(f"{left}.`{c}`")
+    joined = joined.select(*[given(c).cast("string").alias(c) if c == text_col else given(c) for c in columns], F.when(given(text_col).isNotNull(), F.col(f"{left}s.__found")).alias(spans_at))
     kinds = [f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(joined.schema.fields[:-1])]
     kinds += [f"c{len(columns) + k} array<long>" for k in range(3)]
     return joined.mapInArrow(_cutter(columns.index(text_col)), ", ".join(kinds)).toDF(*columns, *added)

@@ -304,18 +304,23 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, chars: int = 32_768) -> Model:
     """A model from labels outside the held-out part: at most ``rows`` labelled documents, a third of them toxic if there are so many.
 
-    The sample is the first by a hash of the id, so it is the same in each run. Its ids are found among the labels alone;
-    no more than ``rows`` texts reach the driver.
+    The sample is the first by a hash of the id, so it is the same in each run. Its ids are found among the labels alone.
+    Of a repeated id the smallest text is taken, and texts of over ``chars`` characters aren't, so no more than ``rows``
+    texts and ``rows * chars`` characters reach the driver. Scores are of whole texts, however long.
+
+    Null texts count as empty; labels other than 0 and 1, null ids and ids without a document are left out; a repeated
+    label is toxic if one of its rows is; without labels of both kinds the model rejects nothing; other columns are not read.
     """
     own = labels.filter("toxic in (0, 1) and doc_id is not null").filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     toxic = own.filter("toxic = 1").orderBy(*order).limit(rows // 3)
     clean = own.filter("toxic = 0").orderBy(*order).limit(rows - rows // 3)
     picked = F.broadcast(toxic.unionAll(clean))  # at most ``rows`` pairs of numbers
-    data = docs.select("doc_id", "text").join(picked, "doc_id").collect()
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.length("text") <= chars)
+    data = texts.join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     data.sort(key=lambda r: (hash_order(r["doc_id"]), r["text"] or ""))
     return fit([r["text"] for r in data], [r["toxic"] for r in data])
 

@@ -1,6 +1,8 @@
+import math
+import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,11 +53,77 @@ def test_mix(spark, odd, prose):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
-def test_prior_tilts_rates_to_the_same_total(spark, prose):
-    docs = spark.createDataFrame([(i, prose(i, 20), "s", float(i % 2)) for i in range(200)], "doc_id long, text string, source string, good double")
-    rows = mixing.mix(docs, share=0.9, prior=F.col("good") * 2).collect()
-    rates = {round(r.rate, 6) for r in rows}
-    assert len(rates) == 2 and abs(sum(r.taken for r in rows) - rows[0].target) <= 20
+def brute_dual(masses, targets, cap, ridge):
+    """Multipliers by source and the tilt by plain coordinate descent on the dual; masses: {source: [(mass, x)]}."""
+
+    def solve(f, lo, hi):
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
+        return (lo + hi) / 2
+
+    def rate(m, t, x):
+        return cap / (1 + math.exp(-max(-700, min(700, m + t * x))))
+
+    def at(t):
+        return {s: solve(lambda m: sum(w * rate(m, t, x) for w, x in c) - targets[s], -40, 40) for s, c in masses.items()}
+
+    def slope(t):
+        ms = at(t)
+        return sum(w * x * rate(ms[s], t, x) for s, c in masses.items() for w, x in c) + ridge * t
+
+    t = solve(slope, -20, 20)
+    return at(t), t
+
+
+def test_balance_equals_a_plain_solver(spark):
+    r = random.Random(5)
+    masses = {s: [(r.randrange(50, 900), r.gauss(s - 2, 1)) for _ in range(30)] for s in range(1, 5)}
+    shares = {1: 1.7, 2: 0.3, 3: 1.1, 4: 2.0}
+    targets = {s: shares[s] * sum(w for w, _ in c) for s, c in masses.items()}
+    classes = spark.createDataFrame([(s, float(w), x) for s, c in masses.items() for w, x in c], "sid long, mass double, x double")
+    sums = spark.createDataFrame([(s, float(sum(w for w, _ in c)), targets[s]) for s, c in masses.items()], "sid long, mass double, target double")
+    ridge = 0.25 * sum(w for c in masses.values() for w, _ in c)
+    m, tilt = mixing.balance(classes, sums, 2, ridge)
+    want, t = brute_dual(masses, targets, 2, ridge)
+    assert tilt == pytest.approx(t, abs=1e-4) and abs(tilt) > 0.05
+    got = {x.sid: x.m for x in m.collect()}
+    for s, c in masses.items():
+        assert sum(w * 2 / (1 + math.exp(-(got[s] + tilt * x))) for w, x in c) == pytest.approx(targets[s], rel=1e-4)
+        assert s == 4 or got[s] == pytest.approx(want[s], abs=1e-3)
+
+
+def test_rates_differ_within_a_source_and_keep_lengths(spark, prose):
+    rows = [(i, prose(i, 8 + i % 5 if i % 3 else 150 + i % 40), "abc"[i % 3]) for i in range(600)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r.source].add(round(r.rate, 6))
+    assert max(map(len, by.values())) > 3
+
+    def mean(of):
+        return sum(of(r) * math.log(r["size"]) for r in got) / sum(map(of, got))
+
+    def plain(r):
+        return r["size"] * r.target / r.source_size
+
+    assert abs(mean(lambda r: r["size"] * r.rate) - mean(lambda r: r["size"])) < abs(mean(plain) - mean(lambda r: r["size"]))
+
+
+def test_repeated_gives_rows_as_often_as_taken(spark, odd):
+    same = spark.createDataFrame([(None, "a b c d", "z", "q")] * 3 + [(7, f"w{i} x", "z", "q") for i in range(6)], "doc_id long, text string, source string, copies string")
+    n = Counter((r.doc_id, r["size"]) for r in mixing.mix(same).collect() for _ in range(r.copies))
+    out = mixing.repeated(same)
+    assert out.columns == same.columns and out.schema.simpleString() == same.schema.simpleString()
+    assert Counter((r.doc_id, len(r.text.split())) for r in out.collect()) == n
+    assert mixing.repeated(odd).columns == odd.columns and mixing.repeated(odd.limit(0)).collect() == []
+
+
+def test_one_long_text_among_short_ones(spark):
+    rows = [(0, "w " * 15_000, "s")] + [(i, "w " * (3 + i % 9), "s") for i in range(1, 4000)] + [(5000, "v " * 3000, "t")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    s = [r for r in got if r.source == "s"]
+    assert abs(sum(r.taken for r in s) - s[0].target) <= 3
 
 
 def test_shards(spark, odd):
