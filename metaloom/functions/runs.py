@@ -2,172 +2,63 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from metaloom.functions.text import is_nullish
-from metaloom.refdata import BODY_FLUIDS, TISSUE_CLASS
-
-#: What each field's names look like, in the order in which they are tried: canonical name, then patterns.
-#: A pattern stands between separators or digits; ``case`` ones are as written, ``free`` ones may stand anywhere.
-PATTERNS: dict[str, list[tuple[str, str, str]]] = {
-    "instrument": [
-        ("Orbitrap Exploris 480", "", r"(?:Orbitrap[\s_\-]?)?Exploris[\s_\-]?480"),
-        ("Orbitrap Exploris 240", "", r"(?:Orbitrap[\s_\-]?)?Exploris[\s_\-]?240"),
-        ("Orbitrap Exploris 120", "", r"(?:Orbitrap[\s_\-]?)?Exploris[\s_\-]?120"),
-        ("Orbitrap Exploris 480", "", r"(?:Orbitrap[\s_\-]?)?Exploris|EXPL\d*"),
-        ("Q Exactive HF-X", "", r"Q[\s_\-]?Exactive[\s_\-]?HF[\s_\-]?X|QEHFX\d*|HFX\d*"),
-        ("Q Exactive HF", "", r"qExHF\d*|Q[\s_\-]?Exactive[\s_\-]?HF|QEHF\d*"),
-        ("Q Exactive Plus", "", r"qExPlus\d*|Q[\s_\-]?Exactive[\s_\-]?Plus|QEplus\d*|QEp\d*"),
-        ("Q Exactive", "", r"qExac\d*|Q[\s_\-]?Exactive|QE\d+"),
-        ("Orbitrap Eclipse", "", r"(?:Orbitrap[\s_\-]?)?Eclipse"),
-        ("Orbitrap Fusion Lumos", "", r"(?:Orbitrap[\s_\-]?)?Fusion[\s_\-]?Lumos|LUMOS\d*"),
-        ("Orbitrap Fusion", "", r"(?:Orbitrap[\s_\-]?)?Fusion"),
-        ("Orbitrap Elite", "", r"(?:LTQ[\s_\-]?)?Orbitrap[\s_\-]?Elite"),
-        ("LTQ Orbitrap Velos", "", r"(?:LTQ[\s_\-]?)?Orbitrap[\s_\-]?Velos"),
-        ("LTQ Orbitrap XL", "", r"(?:LTQ[\s_\-]?)?Orbitrap[\s_\-]?XL"),
-        ("Orbitrap Astral", "", r"Orbitrap[\s_\-]?Astral"),
-        ("Orbitrap", "", r"Orbi\d+"),
-        ("LTQ Velos", "", r"LTQ[\s_\-]?Velos|Velos\d*"),
-        ("timsTOF Ultra", "", r"timsTOF[\s_\-]?Ultra"),
-        ("timsTOF SCP", "", r"timsTOF[\s_\-]?SCP"),
-        ("timsTOF HT", "", r"timsTOF[\s_\-]?HT"),
-        ("timsTOF Pro", "", r"timsTOF[\s_\-]?Pro|timsTOF"),
-        ("TripleTOF 6600", "", r"TripleTOF[\s_\-]?6600"),
-        ("TripleTOF 5600", "", r"TripleTOF[\s_\-]?5600"),
-        ("ZenoTOF 7600", "", r"ZenoTOF[\s_\-]?7600"),
-        ("maXis", "case", r"maXis"),
-        ("impact II", "", r"impact[\s_\-]?II"),
-        ("Synapt G2-Si", "", r"Synapt"),
-    ],
-    "acquisition": [("DDA", "free case", r"DDA(?=$|[^A-Z])"), ("DIA", "free case", r"DIA(?=$|[^A-Z])")],
-    "labeling": [("TMT", "free case", r"TMT"), ("iTRAQ", "", r"iTRAQ\d*(?:plex)?"), ("SILAC", "case", r"SILAC")],
-    "fragmentation": [("EThcD", "", r"EThcD"), ("ETD", "case", r"ETD"), ("HCD", "case", r"HCD"), ("CID", "case", r"CID"), ("UVPD", "case", r"UVPD")],
-    "organism": [
-        ("Homo sapiens", "free", r"Homo[\s_\-]?sapiens|human"),
-        ("Mus musculus", "camel", r"Mus[\s_\-]?musculus|mouse"),
-        ("Rattus norvegicus", "camel", r"Rattus[\s_\-]?norvegicus|rat"),
-        ("Danio rerio", "camel", r"Danio[\s_\-]?rerio|zebrafish"),
-        ("Drosophila melanogaster", "camel", r"Drosophila|fly"),
-        ("Caenorhabditis elegans", "camel", r"C[\.\s_]?elegans|worm"),
-        ("Saccharomyces cerevisiae", "camel", r"S[\.\s_]?cerevisiae|yeast"),
-        ("Escherichia coli", "camel", r"E[\.\s_]?coli"),
-        ("Arabidopsis thaliana", "camel", r"Arabidopsis"),
-    ],
-    "tissue": [
-        *[(t, "", t) for t in "brain heart liver lung kidney pancreas spleen stomach colon rectum esophagus duodenum".split()],
-        ("small intestine", "", r"small[\s_\-]?intestine"),
-        *[(t, "", t) for t in "cecum aorta prostate ovary".split()],
-        ("testis", "", r"testicul(?:ar)?|testis"),
-        *[(t, "", t) for t in "uterus cervix retina skin breast gut tonsil placenta".split()],
-        ("blood plasma", "", r"plasma"),
-        ("blood serum", "", r"serum|lowserum"),
-        *[(t, "", t) for t in "blood saliva urine ascites".split()],
-        ("tear fluid", "", r"tear"),
-        *[(t, "", t) for t in "milk sputum".split()],
-        ("feces", "", r"feces|stool"),
-        ("sweat", "", r"sweat"),
-        ("adipose tissue", "", r"adipose"),
-        ("bone marrow", "", r"bone[\s_\-]?marrow"),
-        ("lymph node", "", r"lymph[\s_\-]?node"),
-        ("spinal cord", "", r"spinal[\s_\-]?cord"),
-        ("frontal cortex", "", r"frontal[\s_\-]?cortex|cortex"),
-        ("platelets", "", r"platelet"),
-        ("monocytes", "", r"monocyte"),
-        ("macrophage", "", r"macrophage"),
-        ("fibroblast", "", r"fibroblast"),
-        ("epithelial cell", "", r"epithelial"),
-        *[(t, "", t) for t in "erythrocyte neutrophil oocyte sperm".split()],
-        ("liver", "", r"MouseLiver|livernuc"),
-        ("stem cells", "", r"iPSCs?|hiPSCs?|hESCs?"),
-        ("brain", "", r"MouseBrain|Dentate[\s_\-]?Gyrus|Pyramidal[\s_\-]?Layer|Stratum[\s_\-]?Moleculare|hippocampus|cerebellum|striatum|hypothalamus|amygdala|thalamus|midbrain"),
-        ("kidney", "", r"MouseKidney"),
-        ("heart", "", r"MouseHeart"),
-        ("lung", "", r"MouseLung"),
-        ("heart", "camel", r"cardiac"),
-        ("PBMCs", "free case", r"PBMCs?"),
-        ("blood serum", "camel", r"serum"),
-        ("skeletal muscle", "", r"myofib(?:re|er)"),
-        ("skeletal muscle", "free", r"muscle"),
-        ("sperm", "free", r"sperm"),
-        ("liver", "free", r"hepatocyte"),
-    ],
-    "cell_part": [
-        ("mitochondria", "", r"mitochondria(?:l)?|mito"),
-        ("nucleus", "", r"nucle(?:us|ar|i)"),
-        ("nucleus", "case", r"Nuc"),
-        ("cytoplasm", "", r"cytoplasm(?:ic)?"),
-        ("cytoplasm", "case", r"Cyt"),
-        ("membrane", "", r"membrane"),
-        ("membrane", "case", r"MEMB"),
-        ("ribosome", "", r"ribosom(?:e|al|es)"),
-        ("lysosome", "", r"lysosom(?:e|al|es)"),
-        ("peroxisome", "", r"peroxisom(?:e|al|es)"),
-    ],
-    "disease": [
-        ("healthy", "", r"healthy|non[\s_\-]?cancerous|benign"),
-        ("healthy", "case", r"WT"),
-        ("breast cancer", "case", r"BrCa"),
-        ("cancer", "free case", r"[Cc]ancer"),
-        ("cancer", "", r"tumou?r|carcinoma"),
-        *[(d, "", d) for d in "melanoma glioblastoma leukemia lymphoma influenza".split()],
-        ("COVID-19", "case", r"COVID|SARS"),
-    ],
-    "enrichment": [
-        ("phospho-enrichment", "free", r"phosph|phos(?=[\s_\-\.])"),
-        ("phospho-enrichment", "case", r"TiO\d"),
-        ("ubiquitin-enrichment", "", r"ubiquit(?:in|yl)"),
-        ("acetyl-enrichment", "", r"acetyl"),
-        ("glyco-enrichment", "", r"glyco(?:syl)?"),
-        ("SUMO-enrichment", "case", r"SUMO"),
-    ],
-    "fractionation": [("True", "free case", r"[Ff]racc?(?:tion(?:at(?:ed|ion))?)?|[Ff]r(?=[\dA-Z_])|[Ff]xn(?=\d)|(?<=[\s_\-\.])[fdFD]\d+(?=$|[\s_\.\-])")],
-}
-COLLECTED = ("fragmentation",)
-#: Fluids among the tissues above, which beat solid tissues.
-RUN_FLUIDS = ("blood plasma", "blood serum", "blood", "saliva", "urine", "ascites", "tear fluid", "milk", "sputum", "feces", "sweat", "cerebrospinal fluid", "seminal plasma")
-
-
-def _regex(kind: str, pattern: str, digits_before: bool = False) -> str:
-    fold = "" if "case" in kind else "(?i)"
-    if "free" in kind:
-        return f"{fold}(?:{pattern})"
-    # an upper-case letter may follow in camel case: that look-ahead isn't folded
-    after = r"(?=$|[\s_\-.\d]" + (r"|(?-i:[A-Z]))" if "camel" in kind else ")")
-    before = r"(?:^|(?<=[\s_\-.\d]))" if digits_before else r"(?:^|(?<=[\s_\-.]))"
-    return f"{fold}{before}(?:{pattern}){after}"
+from metaloom.refdata import BODY_FLUIDS, COLLECTED, RUN_FLUIDS, RUN_LINES, RUN_WORDS, TISSUE_CLASS
+
+# A run's name is read as words: runs of digits, of capitals, or of letters of which only the first may be one. Names of
+# the tables below are matched with up to GRAM words in a row, written together in lower case.
+WORD = r"\d+|\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|\p{L}+"
+GRAM = 5
+
+
+def _grams(name: Column) -> tuple[Column, Column]:
+    """All runs of up to GRAM words of a name, written together: as they are, and in lower case."""
+    words = F.regexp_extract_all(name, F.lit(f"({WORD})"), F.lit(1))
+    at = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
+    runs = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.array_join(F.slice(words, i, n), ""))))
+    return runs, F.transform(runs, lambda r: F.lower(r))
+
+
+def _first_of(table: list[tuple[str, str, str]], name: Column, every: bool = False) -> Column:
+    """The canonical names of a table that a run's name holds, in the table's order: the first, or all."""
+    written, folded = _grams(name)
+    whole = F.lower(name)
+
+    def holds(kind: str, alias: str) -> Column:
+        if kind == "anywhere":
+            return F.contains(whole, F.lit(alias))
+        return F.array_contains(written if kind == "as written" else folded, alias)
+
+    found = F.array(*[F.when(holds(kind, alias), canonical) for canonical, kind, alias in table])
+    found = F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+    return found if every else F.get(found, F.lit(0))
 
 
 def hits(name: Column, field: str) -> Column:
-    """All canonical names of a field that a run's name matches, distinct, in the order in which they are tried."""
-    found = F.array(*[F.when(name.rlike(_regex(kind, p)), canon) for canon, kind, p in PATTERNS[field]])
-    return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+    """All canonical names of a field that a run's name holds, distinct, in the order of the table."""
+    return _first_of(RUN_WORDS[field], name, every=True)
 
 
 def line_hits(name: Column, lines: list[str]) -> Column:
-    """Cell lines of a given vocabulary in a run's name; blanks and hyphens may be written in other ways, and a digit may stand before."""
-    flexible = [(t, re.sub(r"\\[ \-]", lambda _: r"[\s_\-]?", re.escape(t))) for t in lines] + [("HEK293", "HEK")]
-    found = [F.when(name.rlike(_regex("", p, True)), t) for t, p in flexible] + [F.when(name.rlike(_regex("case", "Jur", True)), "Jurkat")]
-    return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    """Cell lines of a given vocabulary that a run's name holds, however their blanks and hyphens are written."""
+    rows = [(t, "words", "".join(c for c in t.lower() if c.isalnum())) for t in lines]
+    return _first_of([*rows, *RUN_LINES], name, every=True)
 
 
 def run_fields(name: Column, lines: list[str] | None = None) -> dict[str, Column]:
-    """A column for each field: the first match, or all of them for COLLECTED fields.
+    """A column for each field: the first name found, or all of them for COLLECTED fields.
 
     A body fluid beats a solid tissue. A human cell line makes the species human, beside another that the name gives.
     """
-    out = {}
-    for f in PATTERNS:
-        h = hits(name, f)
-        out[f] = F.nullif(F.array_join(h, "; "), F.lit("")) if f in COLLECTED else F.get(h, F.lit(0))
-    t = hits(name, "tissue")
-    out["tissue"] = F.coalesce(F.get(F.filter(t, lambda x: x.isin(*RUN_FLUIDS)), F.lit(0)), F.get(t, F.lit(0)))
+    out = {f: F.nullif(F.array_join(hits(name, f), "; "), F.lit("")) if f in COLLECTED else F.get(hits(name, f), F.lit(0)) for f in RUN_WORDS}
+    tissues = hits(name, "tissue")
+    out["tissue"] = F.coalesce(F.get(F.filter(tissues, lambda x: x.isin(*RUN_FLUIDS)), F.lit(0)), out["tissue"])
     if lines:
         out["cell_line"] = F.get(line_hits(name, lines), F.lit(0))
-        human = F.lit("Homo sapiens")
-        org = out["organism"]
+        human, org = F.lit("Homo sapiens"), out["organism"]
         out["organism"] = F.when(out["cell_line"].isNull(), org).when(org.isNull() | (org == human), human).otherwise(F.concat_ws("; ", org, human))
     return out
 

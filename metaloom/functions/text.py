@@ -335,28 +335,29 @@ def repaired_pair(items: Column) -> Column:
     return F.when(F.size(items) >= 2, F.struct(items[0].alias("value"), items[1].alias("evidence"))).when(F.size(items) == 1, F.struct(items[0].alias("value"), F.lit("").alias("evidence"))).otherwise(F.struct(F.lit("unknown").alias("value"), F.lit("").alias("evidence")))
 
 
-def canonical_with_places(text: str) -> tuple[str, list[int]]:
-    """NFKC text with plain dashes, lower case and single blanks, and for each of its characters the place in ``text`` it came from."""
+#: Fixed value: the dashes that count as a hyphen.
+DASHES = str.maketrans(dict.fromkeys("‐‑‒–—−", "-"))
+
+
+def folded(text: str) -> str:
+    """NFKC text with plain hyphens, full case folding and single blanks, trimmed."""
     import unicodedata
 
-    out, places = [], []
-    for i, c in enumerate(text):
-        for d in unicodedata.normalize("NFKC", c):
-            d = "-" if d in "‐‑‒–—−" else " " if d.isspace() else d.lower()
-            if d == " " and (not out or out[-1] == " "):
-                continue
-            out.append(d)
-            places.append(i)
-    while out and out[-1] == " ":
-        out.pop()
-        places.pop()
-    return "".join(out), places
+    return " ".join(unicodedata.normalize("NFKC", text).translate(DASHES).casefold().split())
+
+
+def folded_words(text: str) -> list[tuple[str, int, int]]:
+    """(folded form, start, end) of the words of a text, places in code points. Joined by blanks the forms are the folded text."""
+    import re
+
+    # A word may fold to several (a no-break space within it, say); all have its place.
+    return [(w, m.start(), m.end()) for m in re.finditer(r"\S+", text) for w in folded(m.group()).split()]
 
 
 @F.pandas_udf(T.StringType())
 def canonical(s: pd.Series) -> pd.Series:
     """NFKC, dashes, case and white space unified; only for text beyond what ``key`` serves."""
-    return s.map(lambda t: None if t is None else canonical_with_places(t)[0])
+    return s.map(lambda t: None if t is None else folded(t))
 
 
 def similarity(a: str | None, b: str | None) -> float | None:
@@ -380,37 +381,67 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def _within(words: list[tuple[str, int, int]], needle: str, source: str) -> str | None:
+    """The source's own characters for a folded string, from its words; a needle may begin and end within a word."""
+    line = " ".join(w for w, _, _ in words)
+    at = line.find(needle)
+    if at < 0:
+        return None
+    end, place, first, last = at + len(needle), 0, None, None
+    for k, (w, _, _) in enumerate(words):
+        if first is None and place + len(w) > at:
+            first, into = k, at - place
+        if place < end:
+            last, left = k, place + len(w) - end
+        place += len(w) + 1
+    start, stop = words[first][1], words[last][2]
+    # Within a word that folds character by character the places carry over; else the whole word is taken.
+    if len(words[first][0]) == words[first][2] - start:
+        start += max(0, into)
+    if left > 0 and len(words[last][0]) == words[last][2] - words[last][1]:
+        stop -= left
+    return source[start:stop]
+
+
 def snapped(quote: str | None, source: str | None, least: float = 0.82, short: int = 30) -> tuple[str | None, str]:
     """The source's own words for a quote, and how they were found.
 
-    ``verbatim`` or ``normalized``: it is there as written, or but for case, dashes and blanks. ``sentence``: the nearest
-    sentence, if both have ``short`` characters and a ratio of ``least``. ``block``: the longest common block, of ``short``
-    characters and ``least`` of the quote. Else ``absent``.
+    An ``inferred:`` before the quote is no part of it. ``verbatim`` or ``normalized``: it is there as written, or but for
+    case, compatible forms, dashes and blanks. ``sentence``: the nearest sentence, if both have ``short`` characters and a
+    ratio of ``least``; of equal ones the first. ``block``: the longest common block, of ``short`` characters and ``least`` of
+    the quote. Else ``absent``. Null and blank quotes are absent.
     """
     from difflib import SequenceMatcher
     import re
 
+    quote = re.sub(r"(?i)^\s*inferred\s*:\s*", "", quote or "").strip()
     if not quote or not source:
         return None, "absent"
     if quote in source:
         return quote, "verbatim"
-    q, _ = canonical_with_places(quote)
-    s, places = canonical_with_places(source)
-    if q and (at := s.find(q)) >= 0:
-        return source[places[at] : places[at + len(q) - 1] + 1], "normalized"
-    words = set(q.split())
+    q, words = folded(quote), folded_words(source)
+    if (own := _within(words, q, source)) is not None:
+        return own, "normalized"
+    if len(q) < short:
+        return None, "absent"
+    match = SequenceMatcher(None, autojunk=False)
+    match.set_seq2(q)
     best, score = None, 0.0
-    for m in re.finditer(r"[^.!?\n]+[.!?]?", source):
-        t = m.group().strip()
-        if len(t) >= short and len(q) >= short and len(words & set(t.lower().split())) * 2 >= len(words):
-            r = SequenceMatcher(None, q, canonical_with_places(t)[0], autojunk=False).ratio()
-            if r > score:
-                best, score = t, r
+    for sentence in re.split(r"(?<=[.!?])\s+|\n+", source):
+        form = folded(sentence)
+        if len(form) < short:
+            continue
+        match.set_seq1(form)
+        # Cheap upper bounds first, so that most sentences need no alignment.
+        if match.real_quick_ratio() > max(score, least - 1e-9) and match.quick_ratio() > max(score, least - 1e-9) and (r := match.ratio()) > score:
+            best, score = sentence.strip(), r
     if score >= least:
         return best, "sentence"
-    m = SequenceMatcher(None, q, s, autojunk=False).find_longest_match() if len(q) >= short else None
-    if m and m.size >= short and m.size >= least * len(q):
-        return source[places[m.b] : places[m.b + m.size - 1] + 1], "block"
+    line = " ".join(w for w, _, _ in words)
+    block = SequenceMatcher(None, q, line, autojunk=False).find_longest_match()
+    piece = q[block.a : block.a + block.size].strip()
+    if block.size >= short and block.size >= least * len(q):
+        return _within(words, piece, source), "block"
     return None, "absent"
 
 

@@ -257,3 +257,246 @@ def frame(spark: SparkSession, table: dict, columns: str) -> DataFrame:
     """A table as rows (key, value), a row for each of several values."""
     rows = [(k, x) for k, v in table.items() for x in (v if isinstance(v, tuple) else (v,))]
     return spark.createDataFrame(rows, columns)
+
+#: Words of run names by field, in the order of precedence: canonical name, how it is matched, word.
+#: "words": words of the name written together in lower case; "as written": with their capitals; "anywhere": within a word too.
+RUN_WORDS = {
+    "instrument": [
+        ("Orbitrap Exploris 480", "words", "exploris480"),
+        ("Orbitrap Exploris 480", "words", "orbitrapexploris480"),
+        ("Orbitrap Exploris 240", "words", "exploris240"),
+        ("Orbitrap Exploris 240", "words", "orbitrapexploris240"),
+        ("Orbitrap Exploris 120", "words", "exploris120"),
+        ("Orbitrap Exploris 120", "words", "orbitrapexploris120"),
+        ("Orbitrap Exploris 480", "words", "exploris"),
+        ("Orbitrap Exploris 480", "words", "orbitrapexploris"),
+        ("Orbitrap Exploris 480", "words", "expl"),
+        ("Q Exactive HF-X", "words", "qexactivehfx"),
+        ("Q Exactive HF-X", "words", "qehfx"),
+        ("Q Exactive HF-X", "words", "hfx"),
+        ("Q Exactive HF", "words", "qexactivehf"),
+        ("Q Exactive HF", "words", "qexhf"),
+        ("Q Exactive HF", "words", "qehf"),
+        ("Q Exactive Plus", "words", "qexactiveplus"),
+        ("Q Exactive Plus", "words", "qexplus"),
+        ("Q Exactive Plus", "words", "qeplus"),
+        ("Q Exactive Plus", "words", "qep"),
+        ("Q Exactive", "words", "qexactive"),
+        ("Q Exactive", "words", "qexac"),
+        ("Q Exactive", "words", "qe"),
+        ("Orbitrap Eclipse", "words", "eclipse"),
+        ("Orbitrap Eclipse", "words", "orbitrapeclipse"),
+        ("Orbitrap Fusion Lumos", "words", "fusionlumos"),
+        ("Orbitrap Fusion Lumos", "words", "orbitrapfusionlumos"),
+        ("Orbitrap Fusion Lumos", "words", "lumos"),
+        ("Orbitrap Fusion", "words", "fusion"),
+        ("Orbitrap Fusion", "words", "orbitrapfusion"),
+        ("Orbitrap Elite", "words", "orbitrapelite"),
+        ("Orbitrap Elite", "words", "ltqorbitrapelite"),
+        ("LTQ Orbitrap Velos", "words", "orbitrapvelos"),
+        ("LTQ Orbitrap Velos", "words", "ltqorbitrapvelos"),
+        ("LTQ Orbitrap XL", "words", "orbitrapxl"),
+        ("LTQ Orbitrap XL", "words", "ltqorbitrapxl"),
+        ("Orbitrap Astral", "words", "orbitrapastral"),
+        ("Orbitrap", "words", "orbi"),
+        ("LTQ Velos", "words", "ltqvelos"),
+        ("LTQ Velos", "words", "velos"),
+        ("timsTOF Ultra", "words", "timstofultra"),
+        ("timsTOF SCP", "words", "timstofscp"),
+        ("timsTOF HT", "words", "timstofht"),
+        ("timsTOF Pro", "words", "timstofpro"),
+        ("timsTOF Pro", "words", "timstof"),
+        ("TripleTOF 6600", "words", "tripletof6600"),
+        ("TripleTOF 5600", "words", "tripletof5600"),
+        ("ZenoTOF 7600", "words", "zenotof7600"),
+        ("maXis", "as written", "maXis"),
+        ("impact II", "words", "impactii"),
+        ("Synapt G2-Si", "words", "synapt"),
+    ],
+    "acquisition": [
+        ("DDA", "as written", "DDA"),
+        ("DIA", "as written", "DIA"),
+    ],
+    "labeling": [
+        ("TMT", "as written", "TMT"),
+        ("iTRAQ", "words", "itraq"),
+        ("iTRAQ", "words", "itraqplex"),
+        ("SILAC", "as written", "SILAC"),
+    ],
+    "fragmentation": [
+        ("EThcD", "words", "ethcd"),
+        ("ETD", "as written", "ETD"),
+        ("HCD", "as written", "HCD"),
+        ("CID", "as written", "CID"),
+        ("UVPD", "as written", "UVPD"),
+    ],
+    "organism": [
+        ("Homo sapiens", "anywhere", "homosapiens"),
+        ("Homo sapiens", "anywhere", "homo_sapiens"),
+        ("Homo sapiens", "anywhere", "human"),
+        ("Mus musculus", "words", "musmusculus"),
+        ("Mus musculus", "words", "mouse"),
+        ("Rattus norvegicus", "words", "rattusnorvegicus"),
+        ("Rattus norvegicus", "words", "rat"),
+        ("Danio rerio", "words", "daniorerio"),
+        ("Danio rerio", "words", "zebrafish"),
+        ("Drosophila melanogaster", "words", "drosophila"),
+        ("Drosophila melanogaster", "words", "fly"),
+        ("Caenorhabditis elegans", "words", "celegans"),
+        ("Caenorhabditis elegans", "words", "worm"),
+        ("Saccharomyces cerevisiae", "words", "scerevisiae"),
+        ("Saccharomyces cerevisiae", "words", "yeast"),
+        ("Escherichia coli", "words", "ecoli"),
+        ("Arabidopsis thaliana", "words", "arabidopsis"),
+    ],
+    "tissue": [
+        ("brain", "words", "brain"),
+        ("heart", "words", "heart"),
+        ("liver", "words", "liver"),
+        ("lung", "words", "lung"),
+        ("kidney", "words", "kidney"),
+        ("pancreas", "words", "pancreas"),
+        ("spleen", "words", "spleen"),
+        ("stomach", "words", "stomach"),
+        ("colon", "words", "colon"),
+        ("rectum", "words", "rectum"),
+        ("esophagus", "words", "esophagus"),
+        ("duodenum", "words", "duodenum"),
+        ("small intestine", "words", "smallintestine"),
+        ("cecum", "words", "cecum"),
+        ("aorta", "words", "aorta"),
+        ("prostate", "words", "prostate"),
+        ("ovary", "words", "ovary"),
+        ("testis", "words", "testis"),
+        ("testis", "words", "testicul"),
+        ("testis", "words", "testicular"),
+        ("uterus", "words", "uterus"),
+        ("cervix", "words", "cervix"),
+        ("retina", "words", "retina"),
+        ("skin", "words", "skin"),
+        ("breast", "words", "breast"),
+        ("gut", "words", "gut"),
+        ("tonsil", "words", "tonsil"),
+        ("placenta", "words", "placenta"),
+        ("blood plasma", "words", "plasma"),
+        ("blood serum", "words", "serum"),
+        ("blood serum", "words", "lowserum"),
+        ("blood", "words", "blood"),
+        ("saliva", "words", "saliva"),
+        ("urine", "words", "urine"),
+        ("ascites", "words", "ascites"),
+        ("tear fluid", "words", "tear"),
+        ("milk", "words", "milk"),
+        ("sputum", "words", "sputum"),
+        ("feces", "words", "feces"),
+        ("feces", "words", "stool"),
+        ("sweat", "words", "sweat"),
+        ("adipose tissue", "words", "adipose"),
+        ("bone marrow", "words", "bonemarrow"),
+        ("lymph node", "words", "lymphnode"),
+        ("spinal cord", "words", "spinalcord"),
+        ("frontal cortex", "words", "frontalcortex"),
+        ("frontal cortex", "words", "cortex"),
+        ("platelets", "words", "platelet"),
+        ("monocytes", "words", "monocyte"),
+        ("macrophage", "words", "macrophage"),
+        ("fibroblast", "words", "fibroblast"),
+        ("epithelial cell", "words", "epithelial"),
+        ("erythrocyte", "words", "erythrocyte"),
+        ("neutrophil", "words", "neutrophil"),
+        ("oocyte", "words", "oocyte"),
+        ("sperm", "words", "sperm"),
+        ("liver", "words", "livernuc"),
+        ("stem cells", "words", "ipsc"),
+        ("stem cells", "words", "ipscs"),
+        ("stem cells", "words", "hipsc"),
+        ("stem cells", "words", "hipscs"),
+        ("stem cells", "words", "hesc"),
+        ("stem cells", "words", "hescs"),
+        ("brain", "words", "dentategyrus"),
+        ("brain", "words", "pyramidallayer"),
+        ("brain", "words", "stratummoleculare"),
+        ("brain", "words", "hippocampus"),
+        ("brain", "words", "cerebellum"),
+        ("brain", "words", "striatum"),
+        ("brain", "words", "hypothalamus"),
+        ("brain", "words", "amygdala"),
+        ("brain", "words", "thalamus"),
+        ("brain", "words", "midbrain"),
+        ("heart", "words", "cardiac"),
+        ("PBMCs", "anywhere", "pbmc"),
+        ("skeletal muscle", "words", "myofibre"),
+        ("skeletal muscle", "words", "myofiber"),
+        ("skeletal muscle", "anywhere", "muscle"),
+        ("sperm", "anywhere", "sperm"),
+        ("liver", "anywhere", "hepatocyte"),
+    ],
+    "cell_part": [
+        ("mitochondria", "words", "mitochondria"),
+        ("mitochondria", "words", "mitochondrial"),
+        ("mitochondria", "words", "mito"),
+        ("nucleus", "words", "nucleus"),
+        ("nucleus", "words", "nuclear"),
+        ("nucleus", "words", "nuclei"),
+        ("nucleus", "as written", "Nuc"),
+        ("cytoplasm", "words", "cytoplasm"),
+        ("cytoplasm", "words", "cytoplasmic"),
+        ("cytoplasm", "as written", "Cyt"),
+        ("membrane", "words", "membrane"),
+        ("membrane", "as written", "MEMB"),
+        ("ribosome", "words", "ribosome"),
+        ("ribosome", "words", "ribosomal"),
+        ("ribosome", "words", "ribosomes"),
+        ("lysosome", "words", "lysosome"),
+        ("lysosome", "words", "lysosomal"),
+        ("lysosome", "words", "lysosomes"),
+        ("peroxisome", "words", "peroxisome"),
+        ("peroxisome", "words", "peroxisomal"),
+        ("peroxisome", "words", "peroxisomes"),
+    ],
+    "disease": [
+        ("healthy", "words", "healthy"),
+        ("healthy", "words", "noncancerous"),
+        ("healthy", "words", "benign"),
+        ("healthy", "as written", "WT"),
+        ("breast cancer", "as written", "BrCa"),
+        ("cancer", "anywhere", "cancer"),
+        ("cancer", "words", "tumor"),
+        ("cancer", "words", "tumour"),
+        ("cancer", "words", "carcinoma"),
+        ("melanoma", "words", "melanoma"),
+        ("glioblastoma", "words", "glioblastoma"),
+        ("leukemia", "words", "leukemia"),
+        ("lymphoma", "words", "lymphoma"),
+        ("influenza", "words", "influenza"),
+        ("COVID-19", "as written", "COVID"),
+        ("COVID-19", "as written", "SARS"),
+    ],
+    "enrichment": [
+        ("phospho-enrichment", "anywhere", "phosph"),
+        ("phospho-enrichment", "words", "phos"),
+        ("phospho-enrichment", "as written", "TiO"),
+        ("ubiquitin-enrichment", "words", "ubiquitin"),
+        ("ubiquitin-enrichment", "words", "ubiquityl"),
+        ("acetyl-enrichment", "words", "acetyl"),
+        ("glyco-enrichment", "words", "glyco"),
+        ("glyco-enrichment", "words", "glycosyl"),
+        ("SUMO-enrichment", "as written", "SUMO"),
+    ],
+    "fractionation": [
+        ("True", "words", "frac"),
+        ("True", "words", "fracc"),
+        ("True", "words", "fraction"),
+        ("True", "words", "fractionated"),
+        ("True", "words", "fractionation"),
+        ("True", "words", "fr"),
+        ("True", "words", "fxn"),
+        ("True", "words", "f"),
+    ],
+}
+#: Fields of which all names are given, not the first alone.
+COLLECTED = ("fragmentation",)
+#: Fluids among the tissues above, which beat solid tissues.
+RUN_FLUIDS = ("blood plasma", "blood serum", "blood", "saliva", "urine", "ascites", "tear fluid", "milk", "sputum", "feces", "sweat", "cerebrospinal fluid", "seminal plasma")
+#: Short forms of cell lines in run names.
+RUN_LINES = [("HEK293", "words", "hek"), ("Jurkat", "as written", "Jur")]

@@ -95,3 +95,7 @@ def test_snapping():
     assert how == "sentence" and q.startswith("The samples were digested")
     assert X.snapped("nothing of this kind is anywhere in there at all", src) == (None, "absent")
     assert X.snapped(None, src) == (None, "absent")
+    assert X.snapped("STRASSE 12 in Berlin", "Die Straße 12 in Berlin ist lang") == ("Straße 12 in Berlin", "normalized")
+    assert X.snapped("inferred: mice were fed ad libitum", "All mice were fed ad libitum.") == ("mice were fed ad libitum", "verbatim")
+    assert X.snapped("ﬁbre–rich diet", "A Fibre-rich  Diet, they said") == ("Fibre-rich  Diet", "normalized")
+    assert X.snapped("ample was\nheated", "The sample  was heated.") == ("ample  was heated", "normalized")
