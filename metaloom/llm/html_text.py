@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|object|xmp|noembed|noframes"
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea iframe svg object xmp noembed noframes".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo mrow msub msup mtext nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {  # an opening tag ends the innermost open element of these kinds, up to the bound
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
     "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),
@@ -24,105 +26,175 @@ CLOSES = {  # an opening tag ends the innermost open element of these kinds, up
     "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
-NOT_TEXT = frozenset("head title nav footer aside form menu dialog button select option fieldset figcaption".split())
+NOT_TEXT = frozenset("head title nav footer aside form menu dialog button select option fieldset".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-NOT_TEXT_WORDS = frozenset(
-    "ad ads advert advertisement advertising adverts sponsor sponsored promo promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs "
-    "sidebar sidebars aside footer masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion cookie cookies consent gdpr notice notices "
-    "popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget pagination pager".split()
+# Names of side parts: the first kind marks what is hardly ever the article, the second what may be a part of it.
+SIDE_WORDS = frozenset(
+    "ad ads advert advertisement advertising adverts sponsor sponsored promo nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars footer masthead topbar toolbar "
+    "comment comments commentlist disqus respond cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login share sharing pagination pager".split()
 )
+WEAK_WORDS = frozenset("aside banner discussion header notice notices promotion recommended recommendations related replies reply social widget".split())
+# Elements that hold a line of the article rather than a part of the page: their names count for nothing.
+LINES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr blockquote pre figure figcaption caption summary".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、]")
 
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    rf"|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    rf"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
-    rf"|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    rf"|<(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>",
-    re.S | re.I,
-)
 _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[^a-z0-9]+")
+_TAG = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r">|=\s*([\"'])")
+_RAW_END = {t: re.compile(rf"</{t}(?![a-z0-9])[^>]*>?", re.I) for t in RAW}
 
 
 class _Element:
-    __slots__ = ("tag", "up", "path", "out", "main", "weight", "depth")
+    """``number``: in the order of opening; ``last``: the number of the last element within; ``path``: a number for each root-to-leaf tag path; ``top``: the outermost article or main element around, or None."""
+
+    __slots__ = ("tag", "up", "number", "last", "path", "out", "top", "head", "side", "holds")
 
-    def __init__(self, tag: str, up: _Element | None, out: bool, main: bool):
-        self.tag, self.up, self.out, self.main = tag, up, out, main
-        self.path = f"{up.path}/{tag}" if up else tag
-        self.depth = up.depth + 1 if up else 0
-        self.weight = 0.0
+    def __init__(self, tag: str, up: _Element | None, number: int, path: int):
+        self.tag, self.up, self.number, self.last, self.path = tag, up, number, number, path
+        self.out = self.holds = False
+        self.side, self.top = 0, up.top if up else None
+        self.head = tag == "h1" or (tag in INLINE and up is not None and up.head)
 
 
-def _drops(tag: str, attrs: str, up: _Element) -> bool:
-    """Whether an element holds something else than the article, by its kind, role or names."""
-    if tag in NOT_TEXT or (tag == "header" and not up.main):
-        return True
+def _kind(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether an element holds something else than the article by its kind or role, and how its names tell: 2 of a side part, 1 perhaps, 0 not."""
+    if tag in NOT_TEXT:
+        return True, 0
     if "=" not in attrs and "hidden" not in attrs:
-        return False
+        return False, 0
     if _HIDDEN.search(attrs):
-        return True
+        return True, 0
+    side = 0
     for name, *values in _NAMES.findall(attrs):
         value = "".join(values).lower()
         if name.lower() == "role":
             if value in NOT_TEXT_ROLES:
-                return True
-        elif tag not in ("html", "body", "article", "main") and not NOT_TEXT_WORDS.isdisjoint(_WORDS.split(value)):
-            return True
-    return False
+                return True, 0
+        elif tag not in ("html", "body", "article", "main") and tag not in LINES and tag not in INLINE:
+            found = set(_WORDS.split(value))
+            side = max(side, 2 if found & SIDE_WORDS else 1 if found & WEAK_WORDS else 0)
+    return False, side
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, text or tag, attributes) of a page in order: kinds 'text', 'open', 'end'. Each character is looked at a bounded number of times.
 
+    Comments, declarations and raw elements give nothing. A quote counts only after an equals sign; one that nothing
+    closes, and a tag without an end, are read as they stand.
+    """
+    at, n, last_gt = 0, len(page), page.rfind(">")
+    last = {q: page.rfind(q) for q in "\"'"}
+    start = 0  # of the text not yet given
+    while (lt := page.find("<", at)) >= 0:
+        end = None
+        if page.startswith("<!--", lt):
+            k = page.find("-->", lt + 4)
+            end, token = (n if k < 0 else k + 3), None
+        elif page.startswith("<![CDATA[", lt):
+            k = page.find("]]>", lt)
+            end, token = (n if k < 0 else k + 3), None
+        elif lt >= last_gt:
+            break
+        elif page[lt + 1 : lt + 2] in ("!", "?"):
+            end, token = page.find(">", lt) + 1, None
+        elif m := _TAG.match(page, lt + 1):
+            k = m.end()
+            while True:
+                stop = _STOP.search(page, k)
+                if stop is None:
+                    end = last_gt + 1
+                elif (q := stop[1]) is None:
+                    end = stop.end()
+                elif stop.end() <= last[q]:
+                    k = page.find(q, stop.end()) + 1
+                    continue
+                else:
+                    end = page.find(">", stop.end()) + 1 or last_gt + 1
+                break
+            end = max(end, m.end())
+            tag, attrs = m[1].lower(), page[m.end() : end - 1]
+            token = ("end" if page[lt + 1] == "/" else "open", tag, attrs)
+            if token[0] == "open" and tag in RAW and not attrs.endswith("/"):
+                close = _RAW_END[tag].search(page, end)
+                end, token = (close.end() if close else n), None
+        else:
+            at = lt + 1
+            continue
+        if lt > start:
+            yield "text", page[start:lt], ""
+        if token:
+            yield token
+        at = start = end
+    if start < n:
+        yield "text", page[start:], ""
 
-def nodes(page: str) -> list[tuple[int, str, _Element]]:
-    """(block number, text, element) of the texts of a page in order. Inline elements and comments don't end a block."""
-    root = _Element("", None, False, False)
-    stack, out, block, at = [root], [], 0, 0
 
-    def take(raw: str) -> None:
-        if raw:
-            out.append((block, html.unescape(raw), stack[-1]))
+def nodes(page: str) -> tuple[list[tuple[int, str, _Element]], list[_Element]]:
+    """(block number, text, element) of the texts of a page in order, and its elements. Inline elements and comments don't end a block."""
+    root = _Element("", None, 0, 0)
+    stack, elements, out, block = [root], [root], [], 0
+    paths: dict[tuple[int, str], int] = {}
+    open_tags: Counter[str] = Counter()
+    blocks, marked = [0], False  # places in the stack of elements that aren't inline; whether an article or main element came
 
     def close(to: int) -> None:
+        for e in stack[to:]:
+            e.last = elements[-1].number
+            open_tags[e.tag] -= 1
         del stack[to:]
+        while blocks[-1] >= to:
+            blocks.pop()
 
-    for m in _TOKEN.finditer(page):
-        take(page[at : m.start()])
-        at = m.end()
-        end, tag = m["end"], m["tag"] or m["tag2"]
-        if end:
-            end = end.lower()
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == end), 0)
-            if k:
-                close(k)
-            if end not in INLINE:
+    for kind, tag, attrs in _tokens(page):
+        if kind == "text":
+            out.append((block, html.unescape(tag), stack[-1]))
+        elif kind == "end":
+            if open_tags[tag] > 0:
+                close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+            if tag not in INLINE:
                 block += 1
-        elif tag:
-            tag, attrs = tag.lower(), m["attrs"] or m["attrs2"] or ""
+        else:
             if tag not in INLINE:
                 block += 1
-                if tag not in VOID:
-                    # A block ends an open paragraph, with whatever inline elements were left open in it.
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag == "p":
-                            close(k)
-                            break
-                        if stack[k].tag not in INLINE:
-                            break
+                # A block ends an open paragraph, with whatever inline elements were left open in it.
+                if tag not in VOID and stack[blocks[-1]].tag == "p":
+                    close(blocks[-1])
                 if tag in CLOSES:
                     kinds, bound = CLOSES[tag]
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag in kinds:
-                            close(k)
-                            break
-                        if stack[k].tag in bound:
-                            break
+                    if any(open_tags[x] > 0 for x in kinds):
+                        for k in range(len(stack) - 1, 0, -1):
+                            if stack[k].tag in kinds:
+                                close(k)
+                                break
+                            if stack[k].tag in bound:
+                                break
             if tag not in VOID and not attrs.endswith("/"):
                 up = stack[-1]
-                stack.append(_Element(tag, up, up.out or _drops(tag, attrs, up), up.main or tag in ("article", "main") or "role=\"main\"" in attrs))
-        # comments, declarations and raw elements end nothing
-    take(page[at:])
-    return out
+                e = _Element(tag, up, len(elements), paths.setdefault((up.path, tag), len(paths) + 1))
+                out_here, e.side = _kind(tag, attrs)
+                if e.top is None and (tag in ("article", "main") or 'role="main"' in attrs):
+                    e.top = e
+                e.out = up.out or out_here or (tag == "header" and up.top is None)
+                elements.append(e)
+                if tag == "h1" or (e.top is e and not marked):
+                    # What holds a headline, or the first article or main element, is no side part, whatever its names.
+                    marked = marked or e.top is e
+                    while up is not None and not up.holds:
+                        up.holds = True
+                        up = up.up
+                stack.append(e)
+                open_tags[tag] += 1
+                if tag not in INLINE:
+                    blocks.append(len(stack) - 1)
+    close(1)
+    root.last = elements[-1].number
+    # Names weigh on an element and all within; a side part that holds the headline or the article is none.
+    for e in elements:
+        own = 0 if e.holds else e.side
+        e.side = max(own, e.up.side) if e.up is not None and not e.up.holds else own
+    return out, elements
 
 
 def _smooth(values: list[float], sigma: float = 1.0) -> list[float]:
@@ -137,18 +209,24 @@ def _smooth(values: list[float], sigma: float = 1.0) -> list[float]:
     return out
 
 
-def main_text(page: str | None, spread: float = 0.5) -> str:
+def main_text(page: str | None, spread: float = 0.5, named: float = 0.1) -> str:
     """The article's blocks, one a line.
 
     Per root-to-leaf tag path, the text length and the punctuation of its nodes are summed and divided by their number;
-    both ratios are smoothed along the page and fused as their product; nodes above ``spread`` standard deviations are
-    content. The content's element is the deepest one that holds nine tenths of the selected text, widened to the article
-    or main element around it; all its texts are given, but for parts that are menus, notices and the like.
+    both ratios are smoothed along the page and fused as their product. Nodes in an element named like a side part keep
+    ``named`` of it. Nodes above ``spread`` standard deviations, before smoothing and after, are content, and so is a headline
+    (h1); short texts among them are not, but come with the element around.
+
+    Where half of the content or more stands in article or main elements, the article is that with most of it (and others with
+    half as much); else it is the smallest element that holds all content nodes. All its texts are given, in page order, but for those of other kinds (menus, forms,
+    footers and the like), of parts with a name of SIDE_WORDS, of parts with a name of WEAK_WORDS that hold no content node by
+    their tag paths, and, where no article or main element was marked up, of the element's own parts without a content node.
     """
-    found = [(b, t, e) for b, t, e in nodes(page or "") if not e.out and not t.isspace()]
+    texts, elements = nodes(page or "")
+    found = [(b, t, e) for b, t, e in texts if not e.out and not t.isspace()]
     if not found:
         return ""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for _, t, e in found:
         s = sums.setdefault(e.path, [0.0, 0.0, 0.0])
         s[0] += len(t)
@@ -156,37 +234,42 @@ def main_text(page: str | None, spread: float = 0.5) -> str:
         s[2] += 1
     lengths = _smooth([sums[e.path][0] / sums[e.path][2] for _, _, e in found])
     marks = _smooth([sums[e.path][1] / sums[e.path][2] for _, _, e in found])
-    fused = [a * (1 + b) for a, b in zip(lengths, marks, strict=True)]
+    fused = [a * (1 + b) * (named if e.side == 2 else 1) for a, b, (_, _, e) in zip(lengths, marks, found, strict=True)]
     mean = sum(fused) / len(fused)
     bound = spread * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    picked = [len(t) if f >= bound else 0 for f, (_, t, _) in zip(fused, found, strict=True)]
-    total = 0.0
-    held: dict[int, _Element] = {}
-    for n, (_, _, e) in zip(picked, found, strict=True):
-        total += n
-        while n and e is not None:
-            e.weight += n
-            held[id(e)] = e
-            e = e.up
-    best = max((e for e in held.values() if e.weight >= 0.9 * total), key=lambda e: e.depth)
-    while best.tag in INLINE and best.up is not None:
-        best = best.up
-    around = best
-    while around is not None and not around.main:
-        around = around.up
-    if around is not None:
-        while around.up is not None and around.up.main:
-            around = around.up
-        best = around
-    elif best.tag not in ("", "html", "body") and best.up is not None:
-        best = best.up if best.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre") else best
-    blocks: dict[int, list[str]] = {}
+    own = [(sums[e.path][0] / sums[e.path][2]) * (1 + sums[e.path][1] / sums[e.path][2]) for _, _, e in found]
+    content = [(len(t), e) for x, y, (_, t, e) in zip(fused, own, found, strict=True) if min(x, y) >= bound and e.side < 2]
+    content = content or [(len(t), e) for _, t, e in found if e.side < 2] or [(len(t), e) for _, t, e in found]
+    weight: Counter[int] = Counter()
+    for n, e in content:
+        if e.top is not None:
+            weight[e.top.number] += n
+    chosen = {e.number for _, e in content} | {e.number for _, _, e in found if e.head and e.side < 2}
+    marked = 2 * sum(weight.values()) >= sum(n for n, _ in content)
+    if marked:
+        regions = [elements[k] for k in sorted(weight) if 2 * weight[k] >= max(weight.values())]
+    else:
+        region = elements[min(chosen)]
+        while region.up is not None and (region.last < max(chosen) or region.tag in INLINE or region.tag in LINES):
+            region = region.up
+        regions = [region]
+    # The part of the page that each element of a region is in: of those named like a side part the outermost, else the region's child.
+    part: dict[int, _Element] = {}
+    for region in regions:
+        for e in elements[region.number + 1 : region.last + 1]:
+            over = part.get(e.up.number)
+            part[e.number] = e if over is None or (e.side == 1 and e.up.side == 0) else over
+    order, blocks = sorted(chosen), {}
     for b, t, e in found:
-        up = e
-        while up is not None and up is not best:
-            up = up.up
-        if up is best:
-            blocks.setdefault(b, []).append(t)
+        region = next((r for r in regions if r.number <= e.number <= r.last), None)
+        if region is None or (e.side == 2 and region.side < 2):
+            continue
+        over = part.get(e.number)
+        if over is not None and (e.side == 1 or not marked) and over.tag not in LINES and over.tag not in INLINE:
+            k = bisect.bisect_left(order, over.number)
+            if k == len(order) or order[k] > over.last:
+                continue
+        blocks.setdefault(b, []).append(t)
     lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n".join(x for x in lines if x)
 

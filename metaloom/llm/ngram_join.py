@@ -9,21 +9,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import lower, mix64, random_table, shingles, stored, text_slices, thin, word_hashes
+from metaloom.llm.common import discard, fresh, lower, mix64, random_table, repeats, shingles, stored, text_slices, thin, word_hashes
 from metaloom.llm.graph import components
 
-CHUNK = 4096  # members of a bucket that one task compares
+CHUNK = 4096  # members of a subtree that one task compares
 BLOCK = 768  # members of a group that are held as one side of a comparison
 
 
-def forest_depth(trees: int, threshold: float, recall: float, longest: int) -> int:
-    """The longest prefix, at most ``longest``, at which a pair of likeness ``threshold`` meets in one of ``trees`` tries with probability ``recall`` at least.
+def planted_prefixes(samples: list[np.ndarray], trees: int, longest: int, threshold: float, variants: int = 4, seed: int = 17) -> np.ndarray:
+    """(pairs, trees): the length of the prefix that pairs of sets of likeness ``threshold`` have in common in each tree.
 
-    A pair of likeness s agrees on a prefix of k values with probability s ** k. Matching starts at the full label and is
-    shortened value by value until the recall is reached.
+    The pairs are the sampled sets and ``variants`` copies of each, in which as many values are replaced as bring the
+    likeness to the threshold, or just above: the hardest pairs that a join has to find.
+    """
+    rng, sets = np.random.default_rng(seed), []
+    for h in samples:
+        n = len(h)
+        out = int(n * (1 - threshold) / (1 + threshold))
+        if not out:
+            continue
+        for _ in range(variants):
+            new = mix64(rng.integers(1, 1 << 63, out).astype(np.uint64))
+            sets += [h, np.concatenate([rng.permutation(h)[out:], new])]
+    if not sets:
+        return np.zeros((0, trees), np.int64)
+    first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    sig = signatures(np.concatenate(sets), first, trees * longest).reshape(-1, 2, longest, trees)
+    same = np.logical_and.accumulate(sig[:, 0] == sig[:, 1], axis=1)
+    return same.sum(axis=1)
+
+
+def forest_depth(prefixes: np.ndarray, trees: int, threshold: float, recall: float, longest: int) -> int:
+    """The longest prefix, at most ``longest``, at which the planted pairs meet in one of ``trees`` tries with probability ``recall`` at least.
+
+    Matching starts at full labels and is shortened value by value. A pair meets in a tree at length k if it has k values
+    in common there; with p the share of pairs and trees in which it does, it meets in one tree at least with probability 1 -
+    (1 - p) ** trees. Without planted pairs p is threshold ** k, what minima give in the mean.
     """
     for k in range(longest, 0, -1):
-        if 1 - (1 - threshold**k) ** trees >= recall:
+        p = float((prefixes >= k).mean()) if prefixes.size else threshold**k
+        if 1 - (1 - p) ** trees >= recall:
             return k
     raise ValueError("not reached even with prefixes of one value; take more trees")
 
@@ -71,8 +96,27 @@ def _long_list(values: np.ndarray, first: np.ndarray, kind=pa.int64()) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.view(np.int64) if kind == pa.int64() else values))
 
 
-def signed(docs: DataFrame, width: int, trees: int, depth: int) -> DataFrame:
-    """(id, set_a, set_b, n, tries, minima): a 128-bit digest of each text's shingle set, its size, its ``trees`` prefixes of ``depth`` minima as one long each, and the minima's low bytes."""
+def _sample(base: DataFrame, width: int, rows: int, most: int) -> list[np.ndarray]:
+    """The ``most`` smallest shingle hashes of each of at most ``rows`` texts, those of the smallest id hashes."""
+    picked = base.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, h, first in _sets(b.column(1), width):
+                own = [h[first[i] : first[i + 1]][:most].tobytes() for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(own, pa.binary())], ["id", "hashes"])
+
+    found = base.join(F.broadcast(picked), "id").mapInArrow(run, "id long, hashes binary").groupBy("id").agg(F.min("hashes").alias("h"))
+    return [np.frombuffer(r["h"], np.uint64) for r in sorted(found.collect(), key=lambda r: r["id"])]
+
+
+def signed(docs: DataFrame, width: int, trees: int, depth: int, longest: int, kept: int = 240) -> DataFrame:
+    """(id, set_a, set_b, n, tries, rests, minima): a 128-bit digest of each text's shingle set, its size, and its labels.
+
+    A tree's label is ``longest`` minima: ``tries`` holds the hash of the first ``depth`` of them, under which a subtree of the
+    trie is known, and ``rests`` the next two as one long, by which labels are sorted in it. ``minima``: the low
+    bytes of the first ``kept`` minima, to estimate likeness from.
+    """
     salt = random_table(trees, 7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,24 +128,29 @@ def signed(docs: DataFrame, width: int, trees: int, depth: int) -> DataFrame:
                 if len(has):
                     for k in (0, 1):
                         digest[k, has] = np.add.reduceat(mix64(h + np.uint64(k + 1)), first[:-1][has])
-                sig = signatures(h, first, trees * depth)
+                sig = signatures(h, first, trees * longest)
                 key = np.zeros((hi - lo, trees), np.uint64)
                 for k in range(depth):
-                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, k::depth][:, :trees].astype(np.uint64))
+                    key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, k * trees : (k + 1) * trees].astype(np.uint64))
                 key = mix64(key + salt)
+                rest = np.zeros((hi - lo, trees), np.uint64)
+                for k in range(depth, min(longest, depth + 2)):
+                    rest = rest << np.uint64(32) | sig[:, k * trees : (k + 1) * trees].astype(np.uint64)
+                at = np.arange(hi - lo + 1) * trees
                 yield pa.RecordBatch.from_arrays(
                     [
                         b.column(0).slice(lo, hi - lo),
                         pa.array(digest[0].view(np.int64)),
                         pa.array(digest[1].view(np.int64)),
                         pa.array(n.astype(np.int32)),
-                        _long_list(key.ravel(), np.arange(hi - lo + 1) * trees),
-                        pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary()),
+                        _long_list(key.ravel(), at),
+                        _long_list(rest.ravel(), at),
+                        pa.array([r.tobytes() for r in sig[:, :kept].astype(np.uint8)], pa.binary()),
                     ],
-                    ["id", "set_a", "set_b", "n", "tries", "minima"],
+                    ["id", "set_a", "set_b", "n", "tries", "rests", "minima"],
                 )
 
-    return docs.mapInArrow(run, "id long, set_a long, set_b long, n int, tries array<long>, minima binary")
+    return docs.mapInArrow(run, "id long, set_a long, set_b long, n int, tries array<long>, rests array<long>, minima binary")
 
 
 class Forest:
@@ -124,62 +173,122 @@ class Forest:
         return True
 
 
-def _bucket_links(same: float, near: float):
-    """For the members of one bucket (or a part of a large one): links that join whatever may be alike, and the leaders left.
+def _subtree_links(same: float, near: float):
+    """For the members of a subtree (or a part of a large one): links that join whatever may be alike, and the leaders left.
 
-    Leaders are taken one by one; a member estimated at ``same`` or more with a leader is linked to it and done. Members
-    below that but at ``near`` or more are linked and stay, so two members that are alike are joined even if their
-    leaders differ: 1 - Jaccard is a distance, so leaders of alike members are not further apart than the sum of the three.
+    The members are sorted by label, so that those with a longer prefix in common stand together. Runs of the full label
+    are compared first; the prefix is then shortened value by value, down to the subtree's own, and at each length only the
+    leaders of the longer runs meet. Leaders are taken one by one: a member estimated at ``same`` or more with one is linked
+    to it and done; members at ``near`` or more are linked and stay.
     """
 
     def run(t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
+        ids, rest = t.column("id").to_numpy(), t.column("rest").to_numpy().view(np.uint64)
+        order = np.lexsort((ids, rest))
+        ids, rest = ids[order], rest[order]
         sig = np.frombuffer(b"".join(t.column("minima").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-        left, links, leads, forest = np.arange(len(ids)), [], [], Forest(len(ids))
-        while len(left):
-            lead, rest = left[0], left[1:]
-            leads.append(lead)
-            like = (sig[rest] == sig[lead]).mean(axis=1) if len(rest) else np.zeros(0)
-            links += [(ids[x], ids[lead]) for x in rest[like >= near].tolist() if forest.link(x, lead)]
-            left = rest[like < same]
-        a = [x for x, _ in links] + ids[leads].tolist()
-        b = [y for _, y in links] + [-1] * len(leads)
-        lead = np.r_[np.zeros(len(links), bool), np.ones(len(leads), bool)]
+        links, forest = [], Forest(len(ids))
+
+        def leaders(left: np.ndarray) -> list[int]:
+            leads = []
+            while len(left):
+                lead, others = left[0], left[1:]
+                leads.append(int(lead))
+                like = (sig[others] == sig[lead]).mean(axis=1) if len(others) else np.zeros(0)
+                links.extend((ids[x], ids[lead]) for x in others[like >= near].tolist() if forest.link(x, lead))
+                left = others[like < same]
+            return leads
+
+        now = np.arange(len(ids))
+        for bits in (0, 32, 64):
+            label = rest[now] >> np.uint64(bits) if bits < 64 else np.zeros(len(now), np.uint64)
+            runs = np.split(now, np.flatnonzero(np.diff(label.view(np.int64))) + 1)
+            now = np.array(sorted(x for r in runs for x in (leaders(r) if len(r) > 1 else r.tolist())), np.int64)
+        a = [x for x, _ in links] + ids[now].tolist()
+        b = [y for _, y in links] + [-1] * len(now)
+        lead = np.r_[np.zeros(len(links), bool), np.ones(len(now), bool)]
         keys = pa.array(np.full(len(a), t.column("bucket")[0].as_py(), np.int64))
         return pa.table({"bucket": keys, "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "lead": pa.array(lead)})
 
     return run
 
 
-def bucket_links(members: DataFrame, sizes: DataFrame, same: float, near: float) -> DataFrame:
-    """Links (a, b) between members (bucket, id, minima) of the same bucket.
+def _block_links(near: float):
+    """Links that span what is alike between two blocks of leaders, sides 0 and 1, or within one block, where there is no side 1."""
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
+        sig = np.frombuffer(b"".join(t.column("minima").to_pylist()), np.uint8).reshape(len(ids), -1)
+        rows, cols = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        links, forest = [], Forest(len(ids))
+        for i, r in enumerate(rows.tolist()):
+            others = cols if len(cols) else rows[i + 1 :]
+            like = (sig[others] == sig[r]).mean(axis=1) if len(others) else np.zeros(0)
+            links += [(ids[x], ids[r]) for x in others[like >= near].tolist() if forest.link(x, r)]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return run
 
-    Buckets are compared in parts of about CHUNK members, so none is gathered whole; the leaders of the parts of a bucket
-    then meet in a further round, until a bucket is one part.
+
+def subtree_links(members: DataFrame, sizes: DataFrame, same: float, near: float) -> DataFrame:
+    """Links (a, b) between members (bucket, id, rest, minima) of the same subtree; sizes: (bucket, size).
+
+    A subtree of up to CHUNK members is one task's. Larger ones are compared in parts of about CHUNK; the leaders that
+    the parts leave then meet block against block, all of them, in one further round that drops none. So two members that
+    are alike are linked through their leaders, of which there is one on each side at most: 1 - Jaccard is a distance, and
+    the leaders are no further apart than 2 * (1 - same) plus the pair. Nothing depends on leaders getting fewer: L of them
+    make (L / CHUNK) ** 2 / 2 tasks of bounded size, and each leader is sent to L / CHUNK of those.
     """
-    found = []
     part = members.join(sizes.select("bucket", F.ceil(F.col("size") / CHUNK).alias("parts")), "bucket")
-    while True:
-        dealt = part.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-        out = stored(dealt.groupBy("bucket", "part").applyInArrow(_bucket_links(same, near), "bucket long, a long, b long, lead boolean"), "links")
-        found.append(out.filter("not lead").select("a", "b"))
-        split = part.filter("parts > 1").select("bucket").distinct()
-        lead = out.filter("lead").select("bucket", F.col("a").alias("id")).join(split, "bucket", "left_semi")
-        n = lead.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-        before = part.filter("parts > 1").agg(F.count(F.lit(1))).first()[0]
-        if not before:
-            break
-        now = lead.count()
-        # Where leaders hardly get fewer, larger parts compare them all.
-        grow = 1 if now * 2 < before else 4
-        parts = F.ceil(F.col("size") / F.lit(CHUNK * grow))
-        part = stored(lead.join(members.select("id", "minima").dropDuplicates(["id"]), "id").join(n.select("bucket", parts.alias("parts")), "bucket"), "leaders")
-    links = found[0]
-    for more in found[1:]:
-        links = links.unionAll(more)
-    return links
+    dealt = part.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    out = stored(dealt.groupBy("bucket", "part").applyInArrow(_subtree_links(same, near), "bucket long, a long, b long, lead boolean"), "links")
+    links = out.filter("not lead").select("a", "b")
+    large = sizes.filter(F.col("size") > CHUNK).select("bucket")
+    if large.isEmpty():
+        return links
+    lead = stored(out.filter("lead").select("bucket", F.col("a").alias("id")).join(large, "bucket", "left_semi"), "leads")
+    blocks = lead.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("blocks"))
+    placed = lead.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks").cast("long")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    met = met.select("bucket", "id", low.alias("low"), high.alias("high"), F.when((low != high) & (F.col("block") == high), 1).otherwise(0).alias("side"))
+    # In one subtree a member stands once, so (bucket, id) finds its minima.
+    met = met.join(members.select("bucket", "id", "minima").dropDuplicates(["bucket", "id"]), ["bucket", "id"])
+    more = stored(met.groupBy("bucket", "low", "high").applyInArrow(_block_links(near), "a long, b long"), "links")
+    return links.unionAll(more)
+
+
+def blocks_met(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, component, low, high, side): the members of components of more than BLOCK, once for each pair of blocks of their component that met in a trie.
+
+    Members are put in order by component, the subtree of their first tree, and id, and cut into blocks of BLOCK; so those
+    alike in that tree stand together. Two blocks meet if a subtree of any tree holds members of both; each block
+    meets itself.
+    """
+    ordered = groups.repartitionByRange("component", "key", "id").sortWithinPartitions("component", "key", "id")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, last, n, block = TaskContext.get().partitionId(), None, 0, -1
+        for b in batches:
+            out = []
+            for c in b.column(1).to_pylist():
+                if c != last or n == BLOCK:
+                    last, n, block = c, 0, block + 1
+                n += 1
+                out.append((task << 32) + block)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], ["id", "component", "block"])
+
+    # Stored, as ranges are cut from a sample that a second run need not draw alike.
+    placed = stored(ordered.select("id", "component").mapInArrow(number, "id long, component long, block long"), "blocks")
+    held = members.select("bucket", "id").join(placed, "id").select("bucket", "component", "block").distinct()
+    sets = held.groupBy("bucket", "component").agg(F.array_sort(F.collect_set("block")).alias("bs")).filter(F.size("bs") > 1)
+    pairs = sets.select("bs", F.explode("bs").alias("low")).select("low", F.explode(F.filter("bs", lambda x: x > F.col("low"))).alias("high")).distinct()
+    pairs = stored(pairs.unionAll(placed.select(F.col("block").alias("low"), F.col("block").alias("high")).distinct()), "met")
+    first = placed.join(pairs, F.col("block") == F.col("low")).select("id", "component", "low", "high", F.lit(0).alias("side"))
+    second = placed.join(pairs.filter("low <> high"), F.col("block") == F.col("high")).select("id", "component", "low", "high", F.lit(1).alias("side"))
+    return first.unionAll(second)
 
 
 def _pairs_within(ids, weight, n, values, first, rows, cols, threshold, forest, count, copies):
@@ -263,7 +372,9 @@ def _verify(threshold: float, width: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, trees: int = 40, longest: int = 8, recall: float = 0.99999) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, trees: int = 40, longest: int = 8, recall: float = 0.99995, sample_rows: int = 256
+) -> DataFrame:
     """Each document's group of near-duplicates and its number of links.
 
     Two texts are linked if the Jaccard likeness of their sets of ``width``-word shingles (lower case; words are runs of
@@ -271,52 +382,54 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     smallest id in the connected component of links), copy_id (the smallest id with the same shingle set), n_links (other
     documents linked, copies counted), n_text_links (linked classes of other shingle sets).
 
-    Texts with the same set are one class from the start, so copies are never paired. Per class: MinHash labels in
-    ``trees`` tries, matched on the longest prefix that still reaches ``recall`` for a pair at the threshold. Classes that
-    share a prefix are linked when their minima don't speak clearly against it; the components of those links are the
-    candidate groups, and all pairs of a group are then compared exactly, block by block, whatever tries they met in. A
-    group of G classes is read G / BLOCK times, only counts and a spanning tree leave a task, and no pair becomes a row.
+    Texts with the same set are one class from the start, so copies are never paired. A class has a MinHash label of
+    ``longest`` values in each of ``trees`` tries. Prefixes are shortened until pairs planted at the threshold into
+    ``sample_rows`` texts meet with probability ``recall`` (``forest_depth``). Within each subtree of that depth, sorted by
+    label, longer prefixes are matched first (``subtree_links``); members are linked unless their minima speak clearly
+    against it, and the components of those links are the candidate groups. Pairs of a group are then compared
+    exactly: all of a group of up to BLOCK classes, and of larger ones all pairs of blocks that met in a trie. No pair becomes
+    a row: only counts and a spanning tree leave a task.
 
     Texts without words, null ones among them, have no likeness: they are linked to none and alone in their class. Rows
     with a null id are left out; repeated ids count as one document each and share the results of their id; other columns
     are dropped, whatever their names; an empty table gives no rows.
     """
-    depth = forest_depth(trees, threshold, recall, longest)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter("id is not null")
-    sig = stored(signed(base, width, trees, depth), "signed")
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).filter("id is not null")
+    depth = forest_depth(planted_prefixes(_sample(base, width, sample_rows, 256), trees, longest, threshold), trees, threshold, recall, longest)
+    sig = stored(signed(base, width, trees, depth, longest), "signed")
     sets = sig.filter("n > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     sets = stored(sets, "sets")
-    # Minima and prefixes of the class's first document; a repeated id has one row here.
+    # Minima and labels of the class's first document; a repeated id has one row here.
     reps = sig.filter("n > 0").join(sets.select(F.col("rep")), F.col("id") == F.col("rep"), "left_semi")
-    repeats = _repeats(base)
-    reps = stored((reps.dropDuplicates(["id"]) if repeats else reps).select("id", "tries", "minima"), "reps")
-    tries = reps.select("id", F.explode("tries").alias("bucket"))
+    repeated = repeats(base)
+    reps = stored((reps.dropDuplicates(["id"]) if repeated else reps).select("id", "tries", "rests", "minima"), "reps")
+    tries = reps.select("id", F.explode(F.arrays_zip("tries", "rests")).alias("t")).select("id", F.col("t.tries").alias("bucket"), F.col("t.rests").alias("rest"))
     sizes = tries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = tries.join(sizes, "bucket").select("bucket", "id").join(reps.select("id", "minima"), "id")
+    members = tries.join(sizes, "bucket").select("bucket", "id", "rest").join(reps.select("id", "minima"), "id")
     members, sizes = stored(members, "members"), stored(sizes, "sizes")
-    links = bucket_links(members, sizes, same=0.75, near=0.2)
-    groups = stored(components(links).withColumnRenamed("node", "id"), "groups")
-    size = groups.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    weights = sets.select(F.col("rep").alias("id"), F.col("copies").alias("weight")).groupBy("id").agg(F.max("weight").alias("weight"))
-    placed = groups.join(size, "component").join(weights, "id").select("id", "component", "weight", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int").alias("block"))
-    # One row for each block that a member meets; small groups share tasks.
-    x = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    # At most 0.08 to a leader on either side and 0.2 between: leaders are alike by 0.64 or more, and near leaves room for the estimates' errors.
+    links = subtree_links(members, sizes, same=0.92, near=0.45)
+    found = stored(components(links), "groups")
+    size = found.groupBy(F.col("component").alias("__c")).agg(F.count(F.lit(1)).alias("size"))
+    keyed = reps.select("id", F.element_at("tries", 1).alias("key"))
+    groups = found.join(size, F.col("component") == F.col("__c")).join(keyed, F.col("node") == F.col("id")).select("id", "component", "size", "key")
+    groups = stored(groups, "groups")
+    weights = sets.select(F.col("rep").alias("__w"), F.col("copies").alias("weight")).groupBy("__w").agg(F.max("weight").alias("weight"))
+    # Small groups share tasks; a large one has a task for each pair of its blocks that met.
     batch = max(1, groups.count() // (2 * BLOCK))
-    met = placed.select("id", "component", "weight", "blocks", "block", x)
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    met = met.select(
-        "id",
-        "weight",
-        F.col("component").alias("grp"),
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(batch))).otherwise(F.xxhash64("component", low, high)).alias("task"),
-        F.when((F.col("blocks") > 1) & (low != high) & (F.col("block") == high), 1).otherwise(0).alias("side"),
-        (F.col("blocks") > 1).alias("large"),
-    )
-    texts = base.dropDuplicates(["id"]) if repeats else base
+    small = groups.filter(F.col("size") <= BLOCK)
+    met = small.select("id", F.col("component").alias("grp"), F.pmod(F.xxhash64("component"), F.lit(batch)).alias("task"), F.lit(0).alias("side"), F.lit(False).alias("large"))
+    large = groups.filter(F.col("size") > BLOCK)
+    if not large.isEmpty():
+        pairs = blocks_met(large, members)
+        met = met.unionAll(pairs.select("id", F.col("component").alias("grp"), F.xxhash64("component", "low", "high").alias("task"), "side", F.lit(True).alias("large")))
+    met = met.join(weights, F.col("id") == F.col("__w")).drop("__w")
+    texts = base.groupBy("id").agg(F.min("text").alias("text")) if repeated else base
     held = stored(texts.join(groups.select("id"), "id", "left_semi"), "texts")
     done = met.join(held, "id").groupBy("large", "task").applyInArrow(_verify(threshold, width), "id long, to long, texts long, docs long")
     done = stored(done, "verified")
+    for t in (members, held, reps):
+        discard(docs.sparkSession, t)
     links = components(done.filter("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "__n")
     counts = done.groupBy(F.col("id").alias("__c")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     own = sets.join(links, F.col("rep") == F.col("__n"), "left").join(counts, F.col("rep") == F.col("__c"), "left")
@@ -333,12 +446,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their group of near-duplicates; of a repeated id one row, and all rows with a null id."""
-    first = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter(F.col(id_col) == F.col("class_id")).select(F.col("class_id").alias("__first"))
-    kept = docs.join(first, F.col(f"`{id_col}`").cast("long") == F.col("__first"), "left_semi")
-    if _repeats(docs.select(F.col(id_col).alias("id")).filter("id is not null")):
+    key, *_ = fresh(docs.columns, "__first")
+    first = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter(F.col(id_col) == F.col("class_id")).select(F.col("class_id").alias(key))
+    kept = docs.join(first, F.col(f"`{id_col}`").cast("long") == F.col(key), "left_semi")
+    if repeats(docs.select(F.col(f"`{id_col}`").alias("id")).filter("id is not null")):
         kept = kept.dropDuplicates([id_col])
     return kept.unionAll(docs.filter(F.col(f"`{id_col}`").isNull()))
-
-
-def _repeats(base: DataFrame) -> bool:
-    return base.select("id").groupBy("id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count() > 0

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from metaloom.llm.common import stored
+
 #: Fixed value: common words of English, German, French and Spanish.
 COMMON = (
     "a an and are as at be by for from has have he in is it not of on or that the this to was were which will with "
@@ -59,21 +62,40 @@ def fingerprint(sigs: Column) -> Column:
     return F.concat_ws("", F.transform(sigs, lambda s: F.lpad(F.hex(s.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")))
 
 
-def jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
-    """Jaccard likeness of two sets of signatures. Where the sizes alone keep it below ``least``, 0 without a look at them. Two empty sets are alike."""
+def band(n: Column, least: float) -> Column:
+    """The partition of a set of ``n`` signatures: sets whose likeness is ``least`` or more are in one band or in neighbours. Empty sets are in -1."""
+    return F.when(n > 0, F.floor(F.ln(n.cast("double")) / F.lit(-math.log(least)))).otherwise(-1)
+
+
+def jaccard(a: Column, b: Column, least: float) -> Column:
+    """Jaccard likeness of two sets of signatures, 0 where it is below ``least``; two empty sets are alike.
+
+    Sets in partitions that don't touch, and those whose lengths alone keep the likeness below ``least``, are not looked at.
+    """
     n, m = F.size(a), F.size(b)
+    apart = (F.abs(band(n, least) - band(m, least)) > 1) | (F.least(n, m) < F.lit(float(least)) * F.greatest(n, m))
     common = F.size(F.array_intersect(a, b))
     exact = common / (n + m - common)
-    return F.when((n == 0) & (m == 0), 1.0).when(F.least(n, m) < F.lit(float(least)) * F.greatest(n, m), 0.0).otherwise(exact)
+    return F.when((n == 0) & (m == 0), 1.0).when(apart, 0.0).otherwise(F.when(exact >= F.lit(float(least)), exact).otherwise(0.0))
 
 
 def buckets_of(docs: DataFrame, key: str, rows_a_bucket: int = 2000, most: int = 1024) -> Column:
-    """The range of ``key`` that a row is in, numbered upwards, between at most ``most`` quantiles; -1 for null."""
-    n = max(1, min(most, docs.count() // rows_a_bucket))
+    """The range of the numeric ``key`` that a row is in, numbered upwards; -1 for null.
+
+    At most ``most`` quantiles cut the keys; each of those ranges is cut evenly into as many as bring about
+    ``rows_a_bucket`` rows into one, so ranges grow in number with the table, not in size.
+    """
+    v = docs.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    parts = max(1, v["n"] // rows_a_bucket)
+    n = min(most, parts)
     cuts = docs.select(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
     cuts = sorted(set(cuts or []))
     bucket = F.size(F.filter(F.lit(cuts), lambda b: b < F.col(key))) if cuts else F.lit(0)
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(bucket)
+    if (fine := -(-parts // n)) > 1 and v["lo"] is not None:
+        lo, hi = (F.element_at(F.lit([float(x) for x in xs]), bucket + 1) for xs in ([v["lo"], *cuts], [*cuts, v["hi"]]))
+        part = F.floor((F.col(key).cast("double") - lo) / F.greatest(hi - lo, F.lit(1.0)) * F.lit(fine))
+        bucket = bucket.cast("long") * fine + F.greatest(F.lit(0), F.least(F.lit(fine - 1), part))
+    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(bucket).cast("long")
 
 
 def near_pairs(docs: DataFrame, least: float = 0.8, *, id_col: str = "doc_id", text_col: str = "text", chain: int = 2) -> DataFrame:
@@ -84,13 +106,12 @@ def near_pairs(docs: DataFrame, least: float = 0.8, *, id_col: str = "doc_id", t
     one of (prefix filter), and pairs are then compared with the length bound first. A signature kept by many sets makes
     many candidates; it comes last in the order, so few sets index it.
     """
-    base = with_signatures(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "sigs", chain=chain).filter(F.size("sigs") > 0)
+    base = with_signatures(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "sigs", chain=chain).filter("id is not null").filter(F.size("sigs") > 0)
     sets = base.groupBy("sigs").agg(F.min("id").alias("id")).withColumn("n", F.size("sigs"))
     freq = sets.select(F.explode("sigs").alias("sig")).groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
     ranked = sets.select("id", "n", F.explode("sigs").alias("sig")).join(freq, "sig").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sig"))).alias("o"))
     prefix = (F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1).cast("int")
-    band = F.floor(F.ln(F.col("n")) / F.lit(-__import__("math").log(least)))
-    index = ranked.select("id", "n", band.alias("band"), F.explode(F.slice(F.transform("o", lambda x: x["sig"]), 1, prefix)).alias("sig"))
+    index = ranked.select("id", "n", band(F.col("n"), least).alias("band"), F.explode(F.slice(F.transform("o", lambda x: x["sig"]), 1, prefix)).alias("sig"))
     left = index.select(F.col("id").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     right = index.select(F.col("id").alias("b"), F.col("n").alias("nb"), "sig", "band")
     met = left.join(right, ["sig", "band"]).filter((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))).filter(F.col("na") >= F.col("nb") * F.lit(least)).select("a", "b").distinct()
@@ -100,12 +121,13 @@ def near_pairs(docs: DataFrame, least: float = 0.8, *, id_col: str = "doc_id", t
     return scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", common: Sequence[str] = COMMON, chain: int = 2) -> DataFrame:
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", common: Sequence[str] = COMMON, chain: int = 2, least: float = 0.05) -> DataFrame:
     """Each whole text's fingerprint beside that of its edited text and its likeness to that and to the next document.
 
     The next document is the one with the next smaller id, after the last the first (a sole document is its own next). The
     edited text has the last floor(n_chars / 3) code points replaced by the first as many (or all) of the next text.
-    Columns: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    Columns: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, band, edited_band: the
+    partitions by length of the two sets. Likeness below ``least`` is 0: sets are compared only within partitions that touch.
 
     Null texts are empty; an empty text has no signatures, an empty fingerprint, and likeness 1 to another such and 0 to
     any other; repeated ids follow one another in the order of a hash; null ids come last; other columns are dropped,
@@ -118,10 +140,11 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # aggregate of a row for each range, so no task orders the whole table.
     order = F.struct("id", F.xxhash64("text"))
     firsts = base.groupBy(F.col("bucket").alias("b")).agg(F.max_by("text", order).alias("text"))
-    firsts = with_signatures(firsts, "text", "sigs", common, chain).withColumn("row", F.struct("text", "sigs"))
+    firsts = stored(with_signatures(firsts, "text", "sigs", common, chain).select("b", F.struct("text", "sigs").alias("row")), "firsts")
+    # The ring of ranges is made of their numbers alone.
     ring = W.orderBy(F.col("b").desc())
-    below = F.coalesce(F.lead("row").over(ring), F.first("row").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    heads = firsts.select("b", below.alias("below"))
+    below = F.coalesce(F.lead("b").over(ring), F.first("b").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    heads = firsts.select("b", below.alias("__below")).join(firsts.select(F.col("b").alias("__b"), F.col("row").alias("below")), F.col("__below") == F.col("__b")).select("b", "below")
     # Signatures go along with the texts in the one shuffle, so they are made once for each document.
     own = with_signatures(base, "text", "sigs", common, chain)
     w = W.partitionBy("bucket").orderBy(F.col("id").desc(), F.xxhash64("text").desc())
@@ -138,6 +161,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("sigs")).alias("fingerprint"),
         fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
-        jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
-        jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+        jaccard(F.col("sigs"), F.col("edited_sigs"), least).alias("near_edited"),
+        jaccard(F.col("sigs"), F.col("next_sigs"), least).alias("near_next"),
+        band(F.size("sigs"), least).cast("int").alias("band"),
+        band(F.size("edited_sigs"), least).cast("int").alias("edited_band"),
     )

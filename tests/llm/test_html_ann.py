@@ -25,6 +25,35 @@ def test_article_alone(body):
     assert html_text.main_text(page(body.format(p=P))) == "\n".join(["Head", P.strip(), P.strip()])
 
 
+@pytest.mark.parametrize(
+    "body",
+    [
+        "<div class='page with-sidebar'><nav>Menu</nav><article class='article-body comments-open'><h1>Head</h1><p>{p}</p><p class='related-work'>{p}</p></article></div>",
+        "<div class=no-sidebar><div class=top><a>Log in</a></div><h1>Head</h1><div class=text><p>{p}</p><p>{p}</p></div><div class=bottom>Imprint</div></div>",
+        "<div id=page><div class=menu><a>A</a><a>B</a></div><div class=title><h1>Head</h1></div><div class=body><p>{p}</p></div><div><p>{p}</p></div></div><div id=legal>Terms</div>",
+        "<article><h1>Head</h1><section id=discussion><p>{p}</p></section><div class=related><a>x</a> <a>y</a></div><p>{p}</p></article>",
+        "<main><h1>Head</h1><p>{p}</p><p>{p}</p><section class=comments><article><h4>me</h4><p>{p}</p></article><article><p>{p}{p}</p></article></section></main>",
+    ],
+)
+def test_names_are_a_weight_and_ratios_choose(body):
+    assert html_text.main_text(page(body.format(p=P))) == "\n".join(["Head", P.strip(), P.strip()])
+
+
+def test_captions_and_formulas_stay():
+    got = html_text.main_text(page(f"<article><h1 id='related-work'>Head</h1><p>{P}<math><mi>x</mi><mo>+</mo><mn>1</mn></math></p><figure><img src=a><figcaption>A figure.</figcaption></figure><p>short</p></article>"))
+    assert got == f"Head\n{P}x+1\nA figure.\nshort"
+
+
+def test_long_and_deep_pages_take_linear_time():
+    import time
+
+    texts = ["<a " * 350_000, "<a " * 350_000 + ">", '<a "' * 250_000, "<a x='" * 150_000, "<div>" * 100_000, "<div>x" * 100_000 + "</span>" * 100_000, "<b>x" * 100_000 + "<div></div>" * 50_000, "<p><b>" * 50_000, "<!--" * 100_000, "<script>" * 100_000, "<li><div>" * 50_000]
+    for t in texts:
+        start = time.process_time()
+        assert isinstance(html_text.main_text(t), str)
+        assert time.process_time() - start < 3, t[:20]
+
+
 def test_references_and_white_space():
     got = html_text.main_text(page("<article><p>a&amp;b &lt;x&gt;\n\n  caf&eacute; &#9731; <em>in</em>line</p><p>  </p><ul><li>one<li>two</ul></article>"))
     assert got == "a&b <x> café ☃ inline\none\ntwo"

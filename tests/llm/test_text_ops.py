@@ -79,9 +79,48 @@ def test_components(spark, small):
     assert components(df.limit(0), small=small).collect() == []
 
 
-def test_forest_depth_reaches_recall():
-    k = ngram_join.forest_depth(40, 0.8, 0.99999, 8)
-    assert 1 - (1 - 0.8**k) ** 40 >= 0.99999 > 1 - (1 - 0.8 ** (k + 1)) ** 40
+def test_prefixes_are_shortened_until_planted_pairs_meet():
+    r = np.random.default_rng(3)
+    sets = [np.sort(r.integers(1, 1 << 63, 200).astype(np.uint64)) for _ in range(60)]
+    prefixes = ngram_join.planted_prefixes(sets, 40, 8, 0.8)
+    assert prefixes.shape == (240, 40)
+    for k in (1, 3, 6):
+        assert abs((prefixes >= k).mean() - 0.8**k) < 0.03
+    k = ngram_join.forest_depth(prefixes, 40, 0.8, 0.99995, 8)
+    assert ((prefixes >= k).any(axis=1)).mean() >= 0.95 and k >= 5
+    assert ngram_join.forest_depth(prefixes[:0], 40, 0.8, 0.99999, 8) == 6
+    with pytest.raises(ValueError):
+        ngram_join.forest_depth(prefixes, 1, 0.8, 0.99995, 8)
+
+
+def test_large_subtrees_of_unlike_texts_end_and_lose_no_link(spark, prose, monkeypatch):
+    """Subtrees of far more than CHUNK members, half alike, with pairs at the threshold among them; blocks smaller than the groups."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 6)
+    monkeypatch.setattr(ngram_join, "BLOCK", 9)
+    r = random.Random(8)
+    base, rows = prose(1, 200).split(), []
+    for k in range(90):
+        w = list(base)
+        for i in r.sample(range(200), 1 + k % 5):
+            w[i] = f"u{k}x{i}"
+        rows.append((k, " ".join(w)))
+    for k in range(30):
+        w = prose(500 + k // 3, 90).split()
+        for i in r.sample(range(90), k % 3):
+            w[i] = f"v{k}"
+        rows.append((100 + k, " ".join(w)))
+    got = {x.doc_id: x for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    group, n = brute_links(rows)
+    assert max(n.values()) > 20 and 0 < sum(v == 0 for v in n.values())
+    assert {i: x.n_links for i, x in got.items()} == n and {i: x.class_id for i, x in got.items()} == group
+
+
+def test_ngram_join_of_repeated_ids(spark, prose):
+    rows = [(1, prose(1, 50)), (1, prose(2, 50)), (2, prose(3, 50)), (2, prose(3, 50)), (3, prose(3, 50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__first", F.lit(1))
+    got = ngram_join.near_duplicates(df).collect()
+    assert len(got) == 5 and {r.class_id for r in got if r.doc_id in (2, 3)} == {2}
+    assert sorted(r.doc_id for r in ngram_join.one_of_each(df).collect()) == [1, 2]
 
 
 def test_chunks_resist_insertions(prose):
@@ -131,6 +170,74 @@ def test_substring_dedup_measures_text_without_white_space(spark):
     assert got[1].text == passage and sum(got[2].cut_lengths) > 1500
 
 
+def test_substring_dedup_of_repeated_ids_cuts_each_row_at_its_own_places(spark, prose):
+    p, q = prose(71, 60), prose(72, 60)
+    rows = [(1, p + " " + prose(73, 30)), (2, prose(74, 40) + " é☃ " + p), (2, prose(75, 300)), (3, q), (3, "ñ " + prose(76, 20) + " " + q), (4, "☃ " + q), (4, "☃ " + q), (None, p)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("__key", "__spans", "__row", "__hash", "first", "k")})
+    got = substring_dedup.dedup(df).collect()
+    assert len(got) == len(rows) and {"__key", "__spans"} <= set(got[0].asDict())
+    left = {(r.doc_id, r.text) for r in got}
+    assert (1, rows[0][1]) in left and (2, rows[2][1]) in left and (None, p) in left
+    (two,) = [r.text for r in got if r.doc_id == 2 and "☃" in r.text]
+    assert two.startswith(prose(74, 40) + " é☃ ") and len(two) < len(rows[1][1]) - 0.6 * len(p)
+    three = [r for r in got if r.doc_id == 3]
+    assert sum(len(r.cut_starts) for r in three) == 1 and all(len(r.cut_starts) == 1 and r.cut_firsts == [3] for r in got if r.doc_id == 4)
+
+
+def test_substring_dedup_with_heavy_digests(spark, prose, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HEAVY", 5)
+    p = prose(81, 60)
+    rows = [(i, prose(400 + i, 40) + " " + p + " " + prose(500 + i, 40)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    heavy = {r.doc_id: (r.text, r.cut_starts) for r in substring_dedup.dedup(df).collect()}
+    monkeypatch.setattr(substring_dedup, "HEAVY", 10**9)
+    assert heavy == {r.doc_id: (r.text, r.cut_starts) for r in substring_dedup.dedup(df).collect()}
+    assert heavy[0][1] == [] and all(len(heavy[i][1]) == 1 for i in range(1, 30))
+
+
+def brute_cuts(rows, least_words=16):
+    """Spans to cut by comparing the windows' own bytes, by the boundaries alone: no hashing, no tables."""
+    seen, out = {}, {}
+    for i, t in sorted(rows):
+        data = np.frombuffer(t.encode(), np.uint8)
+        ends = [int(e) for e in substring_dedup.boundaries(data, np.array([0, len(data)]), 3, 8, 256) if e > 0]
+        starts, spans = [0, *ends[:-1]], []
+        chunks = [t.encode()[a:b] for a, b in zip(starts, ends, strict=True)]
+        raw = t.encode()
+        begins = [k for k in range(len(raw)) if not raw[k : k + 1].isspace() and (k == 0 or raw[k - 1 : k].isspace())]
+        sizes = [max(sum(a <= k < b for k in begins), (b - a) // 8) for a, b in zip(starts, ends, strict=True)]
+        for k in range(len(chunks)):
+            total, j = 0, k
+            while j < len(chunks) and total < least_words:
+                total += sizes[j]
+                j += 1
+            if total >= least_words:
+                w = tuple(chunks[k:j])
+                if w in seen:
+                    spans.append((starts[k], ends[j - 1]))
+                else:
+                    seen[w] = i
+        merged = []
+        for a, b in sorted(spans):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        raw, at, left = t.encode(), 0, b""
+        for a, b in merged:
+            left, at = left + raw[at:a], b
+        out[i] = (left + raw[at:]).decode()
+    return out
+
+
+def test_substring_dedup_equals_brute_force(spark, prose):
+    r = random.Random(12)
+    pool = [prose(600 + k, 30 + 5 * k) for k in range(6)]
+    rows = [(i, " ".join(x for k in range(3) for x in (prose(700 + 9 * i + k, r.randrange(5, 40)), r.choice(pool)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.text for x in substring_dedup.dedup(df).collect()} == brute_cuts(rows)
+
+
 def test_substring_dedup_within_a_text_and_odd_rows(spark, odd, prose):
     p = prose(51, 60)
     df = spark.createDataFrame([(1, p + " é☃ " + prose(52, 30) + " " + p)], "doc_id long, text string")
@@ -175,11 +282,29 @@ def test_spotsigs_counts_and_likeness(spark):
         a, b = brute_sigs(t), brute_sigs(nxt)
         if a and b:
             assert got[d].near_next == pytest.approx(len(a & b) / len(a | b))
+        a, b = brute_sigs(t), brute_sigs(edited)
+        if a and b:
+            assert len(got[d].edited_fingerprint) == 8 * len(b) and got[d].near_edited == pytest.approx(len(a & b) / len(a | b))
+
+
+def test_spotsigs_bands_hold_what_is_alike(spark):
+    for least in (0.05, 0.8):
+        n = spark.range(1, 400).select(F.col("id").alias("n"), spotsigs.band(F.col("id"), least).alias("b"))
+        m = n.select(F.col("n").alias("m"), F.col("b").alias("c"))
+        assert n.join(m, F.col("m") >= F.col("n") * F.lit(least)).filter("m <= n and abs(b - c) > 1").isEmpty()
+
+
+def test_spotsigs_odd_pairs(spark, odd):
+    text = "the harbor is on the river and the town of the north was in the valley"
+    rows = [(1, text), (1, text), (2, text + " too"), (None, text), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("sigs", F.lit(0))
+    assert {(r.a, r.b) for r in spotsigs.near_pairs(df, 0.5).collect()} == {(1, 2)}
+    assert spotsigs.near_pairs(odd.limit(0)).collect() == [] and len(spotsigs.near_pairs(odd).collect()) >= 0
 
 
 def test_spotsigs_many_buckets_and_odd_rows(spark, odd, prose, monkeypatch):
     real = spotsigs.buckets_of
-    monkeypatch.setattr(spotsigs, "buckets_of", lambda d, k: real(d, k, rows_a_bucket=3))
+    monkeypatch.setattr(spotsigs, "buckets_of", lambda d, k: real(d, k, rows_a_bucket=1, most=3))
     ids = [3, 9, 10, 11, 50, 51, 52, 90, 91, 1000, 1001, 5000]
     rows = {i: prose(i, 30) for i in ids}
     got = {r.doc_id: r for r in spotsigs.fingerprints(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
