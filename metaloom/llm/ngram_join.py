@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from metaloom.llm.common import discard, fresh, lower, mix64, random_table, repeats, shingles, stored, text_slices, thin, word_hashes
@@ -270,25 +271,28 @@ def blocks_met(groups: DataFrame, members: DataFrame) -> DataFrame:
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, last, n, block = TaskContext.get().partitionId(), None, 0, -1
+        task, last, n = TaskContext.get().partitionId(), None, 0
         for b in batches:
-            out = []
+            at = []
             for c in b.column(1).to_pylist():
-                if c != last or n == BLOCK:
-                    last, n, block = c, 0, block + 1
-                n += 1
-                out.append((task << 32) + block)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], ["id", "component", "block"])
+                last, n = c, (n + 1 if c == last else 0)
+                at.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([task] * len(at), pa.int32()), pa.array(at, pa.int64())], ["id", "component", "task", "at"])
 
     # Stored, as ranges are cut from a sample that a second run need not draw alike.
-    placed = stored(ordered.select("id", "component").mapInArrow(number, "id long, component long, block long"), "blocks")
+    spread = stored(ordered.select("id", "component").mapInArrow(number, "id long, component long, task int, at long"), "places")
+    # How many of a component stand in the tasks before: a row for each task that holds some of it.
+    n = spread.groupBy("component", "task").agg(F.count(F.lit(1)).alias("n"))
+    before = n.select(F.col("component").alias("__c"), F.col("task").alias("__t"), (F.sum("n").over(W.partitionBy("component").orderBy("task")) - F.col("n")).alias("before"))
+    place = spread.join(before, (F.col("component") == F.col("__c")) & (F.col("task") == F.col("__t")))
+    placed = stored(place.select("id", "component", F.floor((F.col("before") + F.col("at")) / BLOCK).cast("int").alias("block")), "blocks")
     held = members.select("bucket", "id").join(placed, "id").select("bucket", "component", "block").distinct()
     sets = held.groupBy("bucket", "component").agg(F.array_sort(F.collect_set("block")).alias("bs")).filter(F.size("bs") > 1)
-    pairs = sets.select("bs", F.explode("bs").alias("low")).select("low", F.explode(F.filter("bs", lambda x: x > F.col("low"))).alias("high")).distinct()
-    pairs = stored(pairs.unionAll(placed.select(F.col("block").alias("low"), F.col("block").alias("high")).distinct()), "met")
-    first = placed.join(pairs, F.col("block") == F.col("low")).select("id", "component", "low", "high", F.lit(0).alias("side"))
-    second = placed.join(pairs.filter("low <> high"), F.col("block") == F.col("high")).select("id", "component", "low", "high", F.lit(1).alias("side"))
-    return first.unionAll(second)
+    pairs = sets.select("component", "bs", F.explode("bs").alias("low")).select("component", "low", F.explode(F.filter("bs", lambda x: x > F.col("low"))).alias("high")).distinct()
+    pairs = stored(pairs.unionAll(placed.select("component", F.col("block").alias("low"), F.col("block").alias("high")).distinct()), "met")
+    pairs = pairs.withColumnRenamed("component", "__c")
+    end = lambda c, side: placed.join(pairs.filter("low <> high") if side else pairs, (F.col("component") == F.col("__c")) & (F.col("block") == F.col(c))).select("id", "component", "low", "high", F.lit(side).alias("side"))
+    return end("low", 0).unionAll(end("high", 1))
 
 
 def _pairs_within(ids, weight, n, values, first, rows, cols, threshold, forest, count, copies):
