@@ -175,7 +175,7 @@ class Forest:
 
 
 def _subtree_links(same: float, near: float):
-    """For the members of a subtree (or a part of a large one): links that join whatever may be alike, and the leaders left.
+    """For the members of many small subtrees, or of a part of a large one: links that join whatever may be alike, and of large ones the leaders left.
 
     The members are sorted by label, so that those with a longer prefix in common stand together. Runs of the full label
     are compared first; the prefix is then shortened value by value, down to the subtree's own, and at each length only the
@@ -184,32 +184,43 @@ def _subtree_links(same: float, near: float):
     """
 
     def run(t: pa.Table) -> pa.Table:
-        ids, rest = t.column("id").to_numpy(), t.column("rest").to_numpy().view(np.uint64)
-        order = np.lexsort((ids, rest))
-        ids, rest = ids[order], rest[order]
+        ids, bucket, parts = (t.column(c).to_numpy() for c in ("id", "bucket", "parts"))
+        rest = t.column("rest").to_numpy().view(np.uint64)
+        order = np.lexsort((ids, rest, bucket))
+        ids, bucket, parts, rest = ids[order], bucket[order], parts[order], rest[order]
         sig = np.frombuffer(b"".join(t.column("minima").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
-        links, forest = [], Forest(len(ids))
-
-        def leaders(left: np.ndarray) -> list[int]:
-            leads = []
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        size = np.diff(np.append(first, len(ids)))
+        # Most subtrees hold two members: those are compared all at once.
+        two = first[(size == 2) & (parts[first] == 1)]
+        like = np.concatenate([(sig[two[k : k + 8192]] == sig[two[k : k + 8192] + 1]).mean(axis=1) for k in range(0, len(two), 8192)]) if len(two) else np.zeros(0)
+        x, y = (two + 1)[like >= near], two[like >= near]
+        a, b, leads = [ids[x]], [ids[y]], []
+
+        def leaders(left: np.ndarray, forest: Forest, start: int) -> list[int]:
+            out = []
             while len(left):
                 lead, others = left[0], left[1:]
-                leads.append(int(lead))
+                out.append(int(lead))
                 like = (sig[others] == sig[lead]).mean(axis=1) if len(others) else np.zeros(0)
-                links.extend((ids[x], ids[lead]) for x in others[like >= near].tolist() if forest.link(x, lead))
+                new = [x for x in others[like >= near].tolist() if forest.link(x - start, int(lead) - start)]
+                a.append(ids[new])
+                b.append(np.full(len(new), ids[lead]))
                 left = others[like < same]
-            return leads
-
-        now = np.arange(len(ids))
-        for bits in (0, 32, 64):
-            label = rest[now] >> np.uint64(bits) if bits < 64 else np.zeros(len(now), np.uint64)
-            runs = np.split(now, np.flatnonzero(np.diff(label.view(np.int64))) + 1)
-            now = np.array(sorted(x for r in runs for x in (leaders(r) if len(r) > 1 else r.tolist())), np.int64)
-        a = [x for x, _ in links] + ids[now].tolist()
-        b = [y for _, y in links] + [-1] * len(now)
-        lead = np.r_[np.zeros(len(links), bool), np.ones(len(now), bool)]
-        keys = pa.array(np.full(len(a), t.column("bucket")[0].as_py(), np.int64))
-        return pa.table({"bucket": keys, "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "lead": pa.array(lead)})
+            return out
+
+        for start, n in zip(first[(size > 2) | (parts[first] > 1)].tolist(), size[(size > 2) | (parts[first] > 1)].tolist(), strict=True):
+            forest, now = Forest(n), np.arange(start, start + n)
+            for bits in (0, 32, 64):
+                label = rest[now] >> np.uint64(bits) if bits < 64 else np.zeros(len(now), np.uint64)
+                runs = np.split(now, np.flatnonzero(np.diff(label.view(np.int64))) + 1)
+                now = np.array(sorted(x for r in runs for x in (leaders(r, forest, start) if len(r) > 1 else r.tolist())), np.int64)
+            if parts[start] > 1:
+                leads.append(now)
+        lead = np.concatenate(leads) if leads else np.zeros(0, np.int64)
+        a, b = np.concatenate(a), np.concatenate(b)
+        columns = [np.concatenate([np.zeros(len(a), np.int64), bucket[lead]]), np.concatenate([a, ids[lead]]), np.concatenate([b, np.full(len(lead), -1)]), np.concatenate([np.zeros(len(a), bool), np.ones(len(lead), bool)])]
+        return pa.table([pa.array(c) for c in columns], ["bucket", "a", "b", "lead"])
 
     return run
 
@@ -234,15 +245,18 @@ def _block_links(near: float):
 def subtree_links(members: DataFrame, sizes: DataFrame, same: float, near: float) -> DataFrame:
     """Links (a, b) between members (bucket, id, rest, minima) of the same subtree; sizes: (bucket, size).
 
-    A subtree of up to CHUNK members is one task's. Larger ones are compared in parts of about CHUNK; the leaders that
+    A subtree of up to CHUNK members is one task's, with others. Larger ones are compared in parts of about CHUNK; the leaders that
     the parts leave then meet block against block, all of them, in one further round that drops none. So two members that
     are alike are linked through their leaders, of which there is one on each side at most: 1 - Jaccard is a distance, and
     the leaders are no further apart than 2 * (1 - same) plus the pair. Nothing depends on leaders getting fewer: L of them
     make (L / CHUNK) ** 2 / 2 tasks of bounded size, and each leader is sent to L / CHUNK of those.
     """
     part = members.join(sizes.select("bucket", F.ceil(F.col("size") / CHUNK).alias("parts")), "bucket")
-    dealt = part.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    out = stored(dealt.groupBy("bucket", "part").applyInArrow(_subtree_links(same, near), "bucket long, a long, b long, lead boolean"), "links")
+    # Small subtrees share tasks of about CHUNK members.
+    batches = max(1, sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] // CHUNK)
+    task = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("bucket"), F.lit(batches))).otherwise(F.xxhash64("bucket", F.pmod(F.xxhash64("id"), F.col("parts"))))
+    dealt = part.select("bucket", "id", "rest", "minima", "parts", task.alias("task"), (F.col("parts") > 1).alias("large"))
+    out = stored(dealt.groupBy("large", "task").applyInArrow(_subtree_links(same, near), "bucket long, a long, b long, lead boolean"), "links")
     links = out.filter("not lead").select("a", "b")
     large = sizes.filter(F.col("size") > CHUNK).select("bucket")
     if large.isEmpty():
