@@ -74,10 +74,20 @@ def next_temperature(t: Column) -> Column:
     return F.least(t + 0.1, F.lit(0.5))
 
 
-def degenerate(answer: Column) -> Column:
-    """Whether an answer is empty, one character, or repeats a piece four times on end."""
-    a = F.trim(answer)
-    return answer.isNull() | (F.length(a) < 2) | a.rlike(r"(?s)(.{2,40}?)\1{3,}$")
+def degenerate(answer: Column, expect_verdict: bool = True) -> Column:
+    """Whether a model's answer has run wild: a dash and letter on and on, mixed scripts with hardly any variety, or a long answer without its verdict. Answers of under 100 characters never have."""
+    a = F.coalesce(answer, F.lit(""))
+    n = F.length(a)
+    variety = lambda x: F.size(F.array_distinct(F.split(x, "")))
+    script = r"[\u00c0-\u024f\u0370-\u03ff\u0400-\u04ff\u1100-\u11ff\u3000-\u9fff\uac00-\ud7af\uf900-\ufaff]{3,}"
+    tail = F.substr(a, F.floor(n / 2).cast("int") + 1)
+    return (n >= 100) & (
+        a.rlike(r"(?:- a[- ]){10,}")
+        | (F.size(F.regexp_extract_all(a, F.lit(r"((?:- a){5,})"), F.lit(1))) >= 3)
+        | (a.rlike(script + "[- a-z0-9]{0,5}" + script) & (variety(tail) < 30) & (F.length(tail) > 200))
+        | ((n > 500) & (variety(F.right(a, F.lit(500))) < 25))
+        | (F.lit(expect_verdict) & (n > 4000) & ~F.lower(a).contains("verdict"))
+    )
 
 
 def audit(normalised: DataFrame) -> DataFrame:

@@ -500,3 +500,16 @@ COLLECTED = ("fragmentation",)
 RUN_FLUIDS = ("blood plasma", "blood serum", "blood", "saliva", "urine", "ascites", "tear fluid", "milk", "sputum", "feces", "sweat", "cerebrospinal fluid", "seminal plasma")
 #: Short forms of cell lines in run names.
 RUN_LINES = [("HEK293", "words", "hek"), ("Jurkat", "as written", "Jur")]
+
+#: Fields of sample tables, by what the judging rules say of them.
+TOLERANCE_FIELDS = ("precursor_mass_tolerance", "fragment_mass_tolerance")
+ONE_VALUE_FIELDS = ("fragmentation_method", "cleavage_agent", "mass_analyzer", "ionization_type", "enrichment_method", "fractionation_method")
+REGROUP_FIELDS = ("factor_value", "individual")
+REPLICATE_FIELDS = ("biological_replicate", "technical_replicate", "fraction_identifier")
+SAMPLE_FIELDS = ("age", "sex", "ethnicity", "individual", "cell_line", "tissue", "disease_state", "cell_type", "developmental_stage", "strain", "material_type")
+DONOR_FIELDS = ("sex", "ethnicity", "age", "developmental_stage")
+#: Pairs of fields that one fact may fill.
+OVERLAP_PAIRS = (("enrichment_method", "modification"), ("age", "developmental_stage"), ("individual", "factor_value"))
+#: Fields that claim comparisons, and words for the other side of one.
+COMPARISON_FIELDS = ("experimental_design", "factor_value")
+CONTROL_WORDS = ("control", "untreated", "no treatment", "vehicle", "dmso")
