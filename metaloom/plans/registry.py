@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from metaloom.plans import evaluation, judging, merging, normalising, ontology, reports, texts, vectors
+from metaloom.plans import evaluation, judging, merging, normalising, ontology, reports, scalars, texts, vectors
 
-MODULES = (evaluation, ontology, merging, vectors, texts, reports, judging, normalising)
+MODULES = (evaluation, ontology, merging, vectors, texts, reports, judging, normalising, scalars)
 FLAGSHIP = "prf_micro"
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
