@@ -5,10 +5,12 @@ from __future__ import annotations
 import itertools
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from metaloom.functions import measures as M
 
@@ -52,43 +54,49 @@ def greedy_pairs(pairs: list[tuple[float, int, int]]) -> list[tuple[int, int, fl
     return out
 
 
-def assignment(weights: list[list[float]]) -> list[tuple[int, int]]:
-    """One-to-one pairs of the greatest total weight, by shortest augmenting paths; pairs of weight 0 are left out."""
-    n, m = len(weights), len(weights[0]) if weights else 0
-    size = max(n, m)
-    cost = [[-(weights[i][j] if i < n and j < m else 0.0) for j in range(size)] for i in range(size)]
-    u, v, match, way = [0.0] * (size + 1), [0.0] * (size + 1), [0] * (size + 1), [0] * (size + 1)
-    for i in range(1, size + 1):
-        match[0], j0 = i, 0
-        low, used = [math.inf] * (size + 1), [False] * (size + 1)
+def assignment(weights) -> list[tuple[int, int]]:
+    """One-to-one pairs of the greatest total weight, by shortest augmenting paths over whole rows at a time; pairs of weight 0 are left out."""
+    w = np.asarray(weights, float)
+    if not w.size:
+        return []
+    size = max(w.shape)
+    cost = np.zeros((size, size))
+    cost[: w.shape[0], : w.shape[1]] = -w
+    u, v = np.zeros(size), np.zeros(size)
+    row_of = np.full(size, -1)
+    for start in range(size):
+        low, back, done = np.full(size, np.inf), np.full(size, -1), np.zeros(size, bool)
+        i, column, seen = start, -1, [start]
         while True:
-            used[j0] = True
-            i0, delta, j1 = match[j0], math.inf, 0
-            for j in range(1, size + 1):
-                if not used[j]:
-                    c = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if c < low[j]:
-                        low[j], way[j] = c, j0
-                    if low[j] < delta:
-                        delta, j1 = low[j], j
-            for j in range(size + 1):
-                if used[j]:
-                    u[match[j]] += delta
-                    v[j] -= delta
-                else:
-                    low[j] -= delta
-            j0 = j1
-            if not match[j0]:
+            reach = cost[i] - u[i] - v
+            better = ~done & (reach < low - 1e-12)
+            low[better], back[better] = reach[better], column
+            column = int(np.argmin(np.where(done, np.inf, low)))
+            step = low[column]
+            # Prices move so that the tree's edges stay tight.
+            u[seen] += step
+            v[done] -= step
+            low[~done] -= step
+            done[column] = True
+            if row_of[column] < 0:
                 break
-        while j0:
-            j1 = way[j0]
-            match[j0], j0 = match[j1], j1
-    return sorted((match[j] - 1, j - 1) for j in range(1, size + 1) if match[j] <= n and j <= m and weights[match[j] - 1][j - 1] > 0)
+            i = int(row_of[column])
+            seen.append(i)
+        while column >= 0:
+            before = int(back[column])
+            row_of[column] = start if before < 0 else row_of[before]
+            column = before
+    return sorted((int(row_of[j]), j) for j in range(w.shape[1]) if row_of[j] < w.shape[0] and w[row_of[j], j] > 0)
 
 
 def one_to_one(scored: DataFrame, by: list[str], method: str = "greedy") -> DataFrame:
-    """One-to-one pairs within each group of candidate pairs (*by, i, j, s): ``greedy`` by score, or ``optimal``: the most pairs first, then the most score. Groups are the values of one field of one record, and so small."""
+    """One-to-one pairs within each group of candidate pairs (*by, i, j, s): ``greedy`` by score, or ``optimal``: the most pairs first, then the strongest tiers (column ``rank``, 1 where there is none), then the most score.
+
+    A pair weighs 10 * (fewer of both sides + 1) + rank + s / 10; pairs without a score are none. Groups are the values of
+    one field of one record, and so small.
+    """
     schema = scored.select(*by, "i", "j", "s").schema
+    scored = scored if "rank" in scored.columns else scored.withColumn("rank", F.lit(1))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["i", "j"])
@@ -96,18 +104,20 @@ def one_to_one(scored: DataFrame, by: list[str], method: str = "greedy") -> Data
             rows = greedy_pairs(list(zip(pdf["s"], pdf["i"], pdf["j"], strict=True)))
         else:
             I, J = sorted(set(pdf["i"])), sorted(set(pdf["j"]))
+            at_i, at_j = ({v: k for k, v in enumerate(side)} for side in (I, J))
             bonus = 10 * (min(len(I), len(J)) + 1)
-            w = [[0.0] * len(J) for _ in I]
-            for s, i, j in zip(pdf["s"], pdf["i"], pdf["j"], strict=True):
+            w, score = np.zeros((len(I), len(J))), {}
+            for s, i, j, rank in zip(pdf["s"], pdf["i"], pdf["j"], pdf["rank"], strict=True):
                 if s > 0:
-                    w[I.index(i)][J.index(j)] = bonus + s
-            rows = [(I[a], J[b], w[a][b] - bonus) for a, b in assignment(w)]
+                    a, b = at_i[i], at_j[j]
+                    w[a, b], score[a, b] = bonus + rank + s / 10, s
+            rows = [(I[a], J[b], score[a, b]) for a, b in assignment(w)]
         out = pd.DataFrame(rows, columns=["i", "j", "s"])
         for k, c in enumerate(by):
             out.insert(k, c, pdf[c].iloc[0])
         return out
 
-    return scored.select(*by, "i", "j", "s").groupBy(*by).applyInPandas(run, schema)
+    return scored.select(*by, "i", "j", "s", "rank").groupBy(*by).applyInPandas(run, schema)
 
 
 def multi_kappa(ratings: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
@@ -130,6 +140,9 @@ def rater_pairs(ratings: DataFrame, item: str, rater: str, value: str) -> DataFr
     return x.join(y, item).filter("r1 < r2")
 
 
+MOST_RATERS = 20  # C(20, 10) choices are 184,756 rows
+
+
 def permutation_test(pairs: DataFrame, special: list[str]) -> DataFrame:
     """Exact test of whether pairs with a special rater differ in mean value from the other pairs.
 
@@ -137,6 +150,8 @@ def permutation_test(pairs: DataFrame, special: list[str]) -> DataFrame:
     is an assignment; p is the share of assignments whose difference is as large in size as the observed one.
     """
     spark = pairs.sparkSession
+    if pairs.select("r1").unionAll(pairs.select("r2")).distinct().limit(MOST_RATERS + 1).count() > MOST_RATERS:
+        raise ValueError(f"an exact test enumerates choices of at most {MOST_RATERS} raters")
     raters = sorted({r for x in pairs.select("r1", "r2").distinct().collect() for r in x})
     rows = [(k, list(c)) for k, c in enumerate(itertools.combinations(raters, len(special)))]
     combos = F.broadcast(spark.createDataFrame(rows, "k int, chosen array<string>"))
@@ -155,13 +170,65 @@ def average_ranks(df: DataFrame, value: str, by: list[str], out: str = "rank") -
     return df.join(r, on).drop("__v", *[f"__{c}" for c in by])
 
 
-def auc(df: DataFrame, value: str, positive: Column, by: list[str]) -> DataFrame:
-    """(by..., n_pos, n_neg, auc, z): the Mann-Whitney share of positive over negative values, ties half, and its normal deviate without tie correction; null where a side is empty."""
+def tie_sum(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by..., ties): the sum of t ** 3 - t over groups of t equal values."""
+    n = F.col("__n").cast("double")
+    return df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")).groupBy(*by).agg(F.sum(n**3 - n).alias("ties"))
+
+
+@F.pandas_udf(T.DoubleType())
+def two_sided(z: pd.Series) -> pd.Series:
+    """The normal probability of a deviate as large in size. For rows of results, which are few."""
+    return z.map(lambda x: None if x is None or x != x else math.erfc(abs(x) / math.sqrt(2)))
+
+
+@F.pandas_udf(T.DoubleType())
+def chi_square_tail(x: pd.Series, df: pd.Series) -> pd.Series:
+    """The probability that chi-square with ``df`` degrees of freedom exceeds x, by the series and the continued fraction of the incomplete gamma function."""
+
+    def tail(x: float, k: float) -> float | None:
+        if x is None or k is None or x != x or k != k or k <= 0:
+            return None
+        a, h = k / 2, x / 2
+        if h <= 0:
+            return 1.0
+        scale = math.exp(-h + a * math.log(h) - math.lgamma(a))
+        if h < a + 1:
+            term = total = 1 / a
+            n = a
+            while abs(term) > abs(total) * 1e-15:
+                n += 1
+                term *= h / n
+                total += term
+            return max(0.0, 1 - total * scale)
+        b = h + 1 - a
+        c, d = 1e300, 1 / b
+        f = d
+        for i in range(1, 500):
+            an = -i * (i - a)
+            b += 2
+            d = 1 / (an * d + b or 1e-300)
+            c = b + an / c or 1e-300
+            f *= d * c
+            if abs(d * c - 1) < 1e-15:
+                break
+        return f * scale
+
+    return pd.Series([tail(p, q) for p, q in zip(x, df, strict=True)], dtype="float64")
+
+
+def auc(df: DataFrame, value: str, positive: Column, by: list[str], ties: bool = False) -> DataFrame:
+    """(by..., n_pos, n_neg, auc, z): the Mann-Whitney share of positive over negative values, ties half, and its normal deviate; null where a side is empty. ``ties``: the variance is corrected for equal values."""
     r = average_ranks(df.withColumn("__pos", positive), value, by)
     g = r.groupBy(*by).agg(F.count_if("__pos").alias("n_pos"), F.count_if(~F.col("__pos")).alias("n_neg"), F.sum(F.when(F.col("__pos"), F.col("rank"))).alias("s"))
     u = F.col("s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2
-    nn = F.col("n_pos") * F.col("n_neg")
-    return g.select(*by, "n_pos", "n_neg", F.try_divide(u, nn.cast("double")).alias("auc"), F.try_divide(u - nn / 2, F.sqrt(nn * (F.col("n_pos") + F.col("n_neg") + 1) / 12)).alias("z"))
+    nn, n = F.col("n_pos") * F.col("n_neg"), F.col("n_pos") + F.col("n_neg")
+    variance = nn * (n + 1) / 12
+    if ties:
+        t = tie_sum(df, value, by)
+        g = g.join(t, by) if by else g.crossJoin(t)  # one row
+        variance = variance - F.try_divide(nn * F.col("ties"), (12 * n * (n - 1)).cast("double"))
+    return g.select(*by, "n_pos", "n_neg", F.try_divide(u, nn.cast("double")).alias("auc"), F.try_divide(u - nn / 2, F.sqrt(variance)).alias("z"))
 
 
 def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
@@ -170,20 +237,27 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
-    """(groups, n, h): Kruskal and Wallis's H over all groups, without tie correction."""
-    r = average_ranks(df.withColumn("__all", F.lit(1)), value, ["__all"])
+    """(groups, n, h, p): Kruskal and Wallis's H over all groups, corrected for ties, and its probability by chi-square."""
+    all_ = df.withColumn("__all", F.lit(1))
+    r = average_ranks(all_, value, ["__all"])
     g = r.groupBy(group).agg(F.count(F.lit(1)).alias("k"), F.sum("rank").alias("s"))
-    out = g.agg(F.count(F.lit(1)).alias("groups"), F.sum("k").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("k")).alias("q"))
-    return out.select("groups", "n", (12 * F.col("q") / (F.col("n") * (F.col("n") + 1)) - 3 * (F.col("n") + 1)).alias("h"))
+    out = g.agg(F.count(F.lit(1)).alias("groups"), F.sum("k").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("k")).alias("q")).crossJoin(F.broadcast(tie_sum(all_, value, ["__all"]).select("ties")))  # one row each
+    n = F.col("n").cast("double")
+    plain = 12 * F.col("q") / (n * (n + 1)) - 3 * (n + 1)
+    h = F.try_divide(plain, 1 - F.col("ties") / (n**3 - n))
+    return out.select("groups", "n", h.alias("h")).withColumn("p", chi_square_tail("h", (F.col("groups") - 1).cast("double")))
 
 
 def wilcoxon(df: DataFrame, difference: str, by: list[str]) -> DataFrame:
-    """(by..., n, w_plus, w_minus, z): the signed-rank sums of differences that aren't 0, and the normal deviate of w_plus."""
+    """(by..., n, w_plus, w_minus, z, p): the signed-rank sums of differences that aren't 0, the normal deviate of w_plus, corrected for ties, and its two-sided probability."""
     d = df.filter(F.col(difference) != 0).withColumn("__abs", F.abs(difference))
     r = average_ranks(d, "__abs", by)
     g = r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(difference) > 0, F.col("rank")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(difference) < 0, F.col("rank")).otherwise(0.0)).alias("w_minus"))
-    n = F.col("n")
-    return g.select(*by, "n", "w_plus", "w_minus", F.try_divide(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24)).alias("z"))
+    t = tie_sum(d, "__abs", by)
+    g = g.join(t, by) if by else g.crossJoin(t)
+    n = F.col("n").cast("double")
+    z = F.try_divide(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48))
+    return g.select(*by, "n", "w_plus", "w_minus", z.alias("z")).withColumn("p", two_sided("z"))
 
 
 def calibration(df: DataFrame, confidence: str, right: Column, edges: list[float], keep_empty: bool = False) -> DataFrame:

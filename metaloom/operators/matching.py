@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -195,32 +196,51 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["a", "b"])
 
 
-def clusters(nodes: DataFrame, links: DataFrame, most: int = 32, small: int = SMALL) -> DataFrame:
+def clusters(nodes: DataFrame, links: DataFrame, most: int = 60, small: int = SMALL) -> DataFrame:
     """(id, cluster): connected components of links (a, b), named by their smallest id; nodes without links are their own.
 
-    Partitions first turn their links into stars. Where at most ``small`` are left, one task joins them; else labels pass
-    along links and to the label's own label until nothing changes, or ``most`` rounds are over.
+    Partitions first turn their links into stars. Where at most ``small`` are left, one task joins them. Else rounds of large
+    star and small star follow: a node's larger neighbours, then its smaller ones, go to the smallest near it, until
+    nothing changes; their number grows with the logarithm of the longest chain, and ``most`` rounds without an end raise
+    an error. Rounds are checkpointed, in the folder set on the context or, on a local master alone, in a temporary one.
     """
     shape = "a long, b long"
-    e = links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_stars, shape).persist()
+    e = _kept(links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_stars, shape))
     if e.count() <= small:
         found = e.coalesce(1).mapInArrow(_stars, shape).toDF("__n", "cluster")
     else:
-        both = e.unionAll(e.select("b", "a")).toDF("x", "y")
-        label = e.select(F.col("a").alias("id")).distinct().withColumn("cluster", F.col("id"))
+        every = e.select(F.col("a").alias("__n")).distinct()
+        e = _kept(e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        state = None
         for _ in range(most):
-            near = both.join(label, F.col("y") == F.col("id")).groupBy("x").agg(F.min("cluster").alias("m"))
-            new = label.join(near, F.col("id") == F.col("x"), "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"))
-            jump = new.select(F.col("id").alias("cluster"), F.col("cluster").alias("up"))
-            new = new.join(jump, "cluster", "left").select("id", F.least("cluster", F.coalesce("up", "cluster")).alias("cluster")).checkpoint()
-            same = new.join(label.withColumnRenamed("cluster", "old"), "id").filter("cluster <> old").isEmpty()
-            label = new
-            if same:
+            both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+            large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            low = large.groupBy("a").agg(F.min("b").alias("m"))
+            star = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
+            e = _kept(star.filter("a <> b").distinct())
+            now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+            if now == state:
                 break
-        found = label.toDF("__n", "cluster")
+            state = now
+        else:
+            raise RuntimeError(f"no fixed point in {most} rounds")
+        up = e.select(F.col("a").alias("__a"), F.col("b").alias("cluster"))
+        found = every.join(up, F.col("__n") == F.col("__a"), "left").select("__n", F.coalesce("cluster", "__n").alias("cluster"))
     return nodes.join(found, F.col("id") == F.col("__n"), "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, so that its lineage ends and it outlives lost executors."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="metaloom-"))
+    return df.checkpoint()
+
+
 def max_similarity(pairs: DataFrame) -> DataFrame:
     """(id, best): the greatest cosine between two value sets, of pairs (id, cosine)."""
     return pairs.groupBy("id").agg(F.max("cosine").alias("best"))
@@ -324,10 +344,22 @@ def _found_by_runs(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     for n in sorted({max(0, x - 2) for x in lengths}):
         qs = q.filter(F.col("m") == n)
         if n == 0:
-            part = qs.join(t, F.contains("tk", F.col("k")))
+            # Quotes of one or two words begin and end within words of the text at most: they meet on each word's every
+            # ending, of which a word has as many as letters, so no quote meets a text that lacks its first word.
+            head = F.substring_index("k", " ", 1)
+            ends = F.array_distinct(F.flatten(F.transform("tw", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.substr(w, i)))))
+            alone = qs.filter(~F.contains("k", F.lit(" ")))
+            keyed = t.select("doc_id", F.explode(ends).alias("h")).join(qs.filter(F.contains("k", F.lit(" "))).select(head.alias("h"), "item_id"), "h").select("doc_id", "item_id").distinct()
+            # A single word may stand within one: it meets on every piece of its own length.
+            sizes = [r[0] for r in alone.select(F.length("k")).distinct().collect()]
+            for size in sizes:
+                pieces = F.array_distinct(F.flatten(F.transform("tw", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - size + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(size))))))  # noqa: B023
+                own = alone.filter(F.length("k") == size).select(F.col("k").alias("h"), "item_id")
+                keyed = keyed.unionAll(t.select("doc_id", F.explode(pieces).alias("h")).join(own, "h").select("doc_id", "item_id").distinct())
+            part = keyed.join(qs, "item_id").join(t, "doc_id").filter(F.contains("tk", F.col("k")))
         else:
             runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("tw") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("tw", i, n), " "))))
-            keyed = t.select("doc_id", F.explode(runs).alias("h")).join(F.broadcast(qs.select(F.xxhash64("inner").alias("h"), "item_id")), "h").select("doc_id", "item_id").distinct()
+            keyed = t.select("doc_id", F.explode(runs).alias("h")).join(qs.select(F.xxhash64("inner").alias("h"), "item_id"), "h").select("doc_id", "item_id").distinct()
             part = keyed.join(qs, "item_id").join(t, "doc_id").filter(F.contains("tk", F.col("k")))
         part = part.select("item_id", "doc_id", F.when(F.contains("text", F.col("quote")), "verbatim").otherwise("normalized").alias("status"))
         met = part if met is None else met.unionAll(part)

@@ -44,9 +44,12 @@ def fill(target: DataFrame, source: DataFrame, key: list[str], columns: list[str
     return j.withColumns(out).drop(*[f"__{c}" for c in columns])
 
 
-def labelled(df: DataFrame, columns: list[tuple[str, str]], out: str) -> DataFrame:
-    """``out``: the first non-null of (column, source) in their order, and ``<out>_source`` where it came from."""
+def labelled(df: DataFrame, columns: list[tuple[str, str]], out: str, ambiguous: str | None = None) -> DataFrame:
+    """``out``: the first non-null of (column, source) in their order, and ``<out>_source`` where it came from. With ``ambiguous``, a value that holds several parts by ';' is labelled that, and its source stays."""
     value = F.coalesce(*[F.col(c) for c, _ in columns])
+    if ambiguous is not None:
+        several = F.size(F.array_distinct(F.filter(F.transform(F.split(F.lower(value), ";"), lambda x: F.trim(x)), lambda x: x != ""))) > 1
+        value = F.when(several, ambiguous).otherwise(value)
     source = F.lit(None).cast("string")
     for c, s in reversed(columns):
         source = F.when(F.col(c).isNotNull(), s).otherwise(source)
@@ -54,13 +57,22 @@ def labelled(df: DataFrame, columns: list[tuple[str, str]], out: str) -> DataFra
 
 
 def best_setups(targets: DataFrame, setups: DataFrame, project: str, target: str, fields: list[str], value: str) -> DataFrame:
-    """(project, target, score, setups, value): of a project's setups the one that shares most fields with the target; of several best ones, or where none shares any, all distinct values joined, sorted."""
-    score = sum((F.coalesce((F.lower(F.col(f"t.{f}")) == F.lower(F.col(f"s.{f}"))).cast("int"), F.lit(0)) for f in fields), F.lit(0))
-    j = targets.alias("t").join(setups.alias("s"), F.col(f"t.{project}") == F.col(f"s.{project}"))
-    j = j.select(F.col(f"t.{project}").alias(project), F.col(f"t.{target}").alias(target), score.alias("score"), F.col(f"s.{value}").alias("v"))
-    top = j.groupBy(project, target).agg(F.max("score").alias("score"))
-    best = j.join(top, [project, target, "score"])
-    return best.groupBy(project, target, "score").agg(F.count(F.lit(1)).alias("setups"), F.array_join(F.array_sort(F.collect_set("v")), "; ").alias("value"))
+    """(project, target, score, setups, value): of a project's setups the one that shares most fields with the target; of several best ones, or where none shares any, all distinct values joined, sorted.
+
+    Setups alike in their fields are one with a count, as are targets, so the join grows with a project's different
+    setups and targets, not with its rows.
+    """
+    low = lambda c: F.lower(F.col(c).cast("string"))
+    t = targets.select(F.col(project).alias("p"), F.col(target).alias("target"), *[low(f).alias(f"t{k}") for k, f in enumerate(fields)])
+    s = setups.groupBy(F.col(project).alias("p"), *[low(f).alias(f"s{k}") for k, f in enumerate(fields)]).agg(F.count(F.lit(1)).alias("c"), F.collect_set(value).alias("vs"))
+    kinds = t.select("p", *[f"t{k}" for k in range(len(fields))]).distinct()
+    score = sum((F.coalesce((F.col(f"t{k}") == F.col(f"s{k}")).cast("int"), F.lit(0)) for k in range(len(fields))), F.lit(0))
+    key = [f"t{k}" for k in range(len(fields))]
+    best = kinds.join(s, "p").groupBy("p", *key, score.alias("score")).agg(F.sum("c").alias("setups"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("vs")))), "; ").alias("value"))
+    best = best.groupBy("p", *key).agg(F.max_by(F.struct("score", "setups", "value"), "score").alias("b"))
+    b = best.select(F.col("p").alias("__p"), *[F.col(c).alias(f"__{c}") for c in key], "b")
+    on = [F.col("p") == F.col("__p")] + [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in key]
+    return t.join(b, on).select(F.col("p").alias(project), F.col("target").alias(target), "b.score", "b.setups", "b.value")
 
 
 def fraction_groups(runs: DataFrame, project: str, run: str, least: int = 2) -> DataFrame:
@@ -100,6 +112,14 @@ def accession_drift(cells: DataFrame, group: list[str], accession: str, least: i
     return g.filter((F.col("p") == 1) & (F.col("n") >= least) & (F.col("high") - F.col("low") + 1 == F.col("n"))).drop("p")
 
 
+def without_drift(cells: DataFrame, group: list[str], accession: str) -> DataFrame:
+    """``cells`` with accessions that ran on by ones set back to the least of their group."""
+    drift = accession_drift(cells, group, accession).select(*[F.col(g).alias(f"__{g}") for g in group], "low")
+    j = cells.join(drift, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group], "left").drop(*[f"__{g}" for g in group])
+    back = F.concat(F.regexp_extract(accession, r"^(.*?)(\d+)$", 1), F.col("low").cast("string"))
+    return j.withColumn(accession, F.when(F.col("low").isNotNull(), back).otherwise(F.col(accession))).drop("low")
+
+
 def first_agent(values: DataFrame, key: list[str], agents: list[str]) -> DataFrame:
     """One value of each key, that of the earliest agent in ``agents``, with all that gave one in ``given_by``."""
     rank = F.array_position(F.array(*[F.lit(a) for a in agents]), F.col("agent"))
@@ -131,7 +151,8 @@ def align_columns(cells: DataFrame, file: str, row: str, column: str, header: st
 
 def split_groups(df: DataFrame, group: str, shares: dict[str, float], seed: str = "1") -> DataFrame:
     """``df`` with ``split``: whole groups dealt by a hash, in about the given shares; the same in each run. A null group is one group."""
-    u = F.pmod(F.xxhash64(F.coalesce(F.col(group).cast("string"), F.lit("")), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    digest = F.md5(F.concat(F.coalesce(F.col(group).cast("string"), F.lit("")), F.lit(f"|{seed}")))
+    u = F.conv(F.left(digest, F.lit(8)), 16, 10).cast("long") / float(1 << 32)
     out, at = F.lit(list(shares)[-1]), 1.0
     for name, share in reversed(list(shares.items())):
         out = F.when(u < at, name).otherwise(out)
@@ -139,17 +160,19 @@ def split_groups(df: DataFrame, group: str, shares: dict[str, float], seed: str
     return df.withColumn("split", out)
 
 
-def shards(files: DataFrame, order: str, n: int, rows_a_part: int = 100_000) -> DataFrame:
-    """``files`` with ``shard``: dealt round robin in sorted order. The place in the order is a rank within value ranges plus the ranges before, so no task sorts all files."""
-    cuts = files.select(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    parts = max(1, cuts[2] // rows_a_part)
-    bounds = sorted(set(files.select(order).distinct().orderBy(F.xxhash64(order)).limit(20 * parts).toPandas()[order].sort_values().iloc[19::20])) if parts > 1 else []
-    bucket = F.size(F.filter(F.lit(bounds), lambda b: b < F.col(order))) if bounds else F.lit(0)
-    b = files.withColumn("__b", bucket)
-    counts = b.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select(F.col("__b").alias("__k"), (F.sum("__n").over(W.orderBy("__b")) - F.col("__n")).alias("__before"))
-    place = F.col("__before") + F.row_number().over(W.partitionBy("__b").orderBy(order)) - 1
-    return b.join(F.broadcast(before), F.col("__b") == F.col("__k")).withColumn("shard", F.pmod(place, F.lit(n)).cast("int")).drop("__b", "__k", "__before")
+def shards(files: DataFrame, order: str, n: int) -> DataFrame:
+    """``files`` with ``shard``: dealt round robin in sorted order.
+
+    Spark sorts by ranges; a row's place is its place in its range and the sizes of the ranges before, which are a row for
+    each task. The ranges are checkpointed once, so that both are of the same cut. No task sorts all files.
+    """
+    from metaloom.operators.matching import _kept
+
+    sorted_ = _kept(files.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()))
+    counts = sorted_.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select(F.col("__part").alias("__k"), (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    place = F.col("__before") + F.row_number().over(W.partitionBy("__part").orderBy(order)) - 1
+    return sorted_.join(before, F.col("__part") == F.col("__k")).withColumn("shard", F.pmod(place, F.lit(n)).cast("int")).drop("__part", "__k", "__before")
 
 
 def repair_manifest(expected: DataFrame, raw: DataFrame, normalised: DataFrame, key: list[str]) -> DataFrame:

@@ -18,6 +18,7 @@ def closure(edges: DataFrame, levels: int | None = None, most: int = 64) -> Data
 
     With ``levels``, ancestors within so many hops, as one lazy plan. Without, levels are added until there are no new
     pairs; each new level is kept, as is what was found, so nothing is walked twice. Diamonds give one row, and cycles end.
+    A graph of more than ``most`` levels raises an error: no closure is given in part.
     """
     e = edges.select(F.col("child"), F.col("parent")).filter("child is not null and parent is not null and child <> parent").distinct()
     level = e.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("hops"))
@@ -30,6 +31,9 @@ def closure(edges: DataFrame, levels: int | None = None, most: int = 64) -> Data
             if step.isEmpty():
                 break
         found, level = found.unionAll(step), step
+    else:
+        if levels is None:
+            raise RuntimeError(f"more than {most} levels")
     return found
 
 

@@ -96,7 +96,9 @@ def replicate_spread(spark, sf_dir):
 
 
 def rank_auc(spark, sf_dir):
-    out = E.auc(rated(spark, sf_dir), "n_chars", F.col("quality") == 1, ["lang"])
+    """Length against quality, in hundreds of characters, with variances corrected for ties."""
+    r = rated(spark, sf_dir).withColumn("hundreds", F.floor(F.col("n_chars") / 100))
+    out = E.auc(r, "hundreds", F.col("quality") == 1, ["lang"], ties=True)
     return out.withColumns({c: F.round(c, 6) for c in ("auc", "z")})
 
 
@@ -106,12 +108,14 @@ def rank_spearman(spark, sf_dir):
 
 
 def rank_kruskal(spark, sf_dir):
-    return E.kruskal(table(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment").withColumn("h", F.round("h", 4))
+    """H corrected for ties, over balances in thousands; with p, which SQL lacks, in four places."""
+    c = table(spark, sf_dir, "customer").select("c_mktsegment", F.floor(F.col("c_acctbal") / 1000).alias("b"))
+    return E.kruskal(c, "b", "c_mktsegment").withColumn("h", F.round("h", 4)).drop("p")
 
 
 def rank_wilcoxon(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy("user_id").agg((F.sum(F.when(F.col("event_id") % 2 == 0, F.floor("value")).otherwise(0)) - F.sum(F.when(F.col("event_id") % 2 == 1, F.floor("value")).otherwise(0))).alias("d"), F.min("event_type").alias("kind"))
-    return E.wilcoxon(e, "d", ["kind"]).withColumn("z", F.round("z", 6))
+    return E.wilcoxon(e, "d", ["kind"]).withColumn("z", F.round("z", 6)).drop("p")
 
 
 def calibration_bins(spark, sf_dir):
@@ -193,18 +197,20 @@ ORACLES = {
     "rater_permutation": f"""WITH {RATED}, {SAME}, k AS (SELECT unnest(['gold', 'long', 'plain', 'prose']) c),
       d AS (SELECT c, avg(same) FILTER ((r1 = c) <> (r2 = c)) - avg(same) FILTER ((r1 = c) = (r2 = c)) d FROM k, same GROUP BY c)
       SELECT (SELECT d FROM d WHERE c = 'gold') observed, count(*) assignments, avg((abs(d) >= abs((SELECT d FROM d WHERE c = 'gold')) - 1e-12)::INT::DOUBLE) p FROM d""",
-    "unanimity": """WITH e AS (SELECT user_id, ts::DATE AS day, min(event_type) f FROM events WHERE ts < '2024-01-04' GROUP BY 1, 2), g AS (SELECT user_id, count(DISTINCT f) d, count(*) n FROM e GROUP BY user_id)
+    "unanimity": """WITH e AS (SELECT user_id, CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END b, min(event_type) f FROM events GROUP BY 1, 2), g AS (SELECT user_id, count(DISTINCT f) d, count(*) n FROM e GROUP BY user_id)
       SELECT count(*) slots, count(*) FILTER (d = 1 AND n = 3) AS unanimous, count(*) informative, count(*) FILTER (d = 1 AND n = 3) informative_unanimous FROM g""",
     "replicate_spread": "SELECT event_type, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) sd, count(*) n FROM (SELECT event_type, event_id % 3 r, avg(value) m FROM events GROUP BY 1, 2) t GROUP BY 1",
-    "rank_auc": f"""WITH {RATED}, r AS (SELECT lang, quality, {RANK.format(by='lang', v='n_chars')} rk FROM rated), g AS (SELECT lang, count(*) FILTER (quality = 1) n_pos, count(*) FILTER (quality <> 1) n_neg, sum(rk) FILTER (quality = 1) s FROM r GROUP BY lang)
-      SELECT lang, n_pos, n_neg, round((s - n_pos * (n_pos + 1) / 2.0) / nullif(n_pos * n_neg, 0)::DOUBLE, 6) auc, round((s - n_pos * (n_pos + 1) / 2.0 - n_pos * n_neg / 2.0) / nullif(sqrt(n_pos * n_neg * (n_pos + n_neg + 1) / 12.0), 0), 6) z FROM g""",
-    "rank_spearman": f"SELECT l_returnflag, round(corr(a, b), 6) rho FROM (SELECT l_returnflag, {RANK.format(by='l_returnflag', v='l_quantity')} a, {RANK.format(by='l_returnflag', v='l_extendedprice')} b FROM lineitem WHERE l_linenumber <= 2) t GROUP BY 1",
-    "rank_kruskal": """WITH r AS (SELECT c_mktsegment, rank() OVER (ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_acctbal) - 1) / 2.0 rk FROM customer), g AS (SELECT c_mktsegment, count(*) k, sum(rk) s FROM r GROUP BY 1)
-      SELECT count(*) AS groups, sum(k)::BIGINT n, round(12 * sum(s * s / k) / (sum(k) * (sum(k) + 1)) - 3 * (sum(k) + 1), 4)::DOUBLE h FROM g""",
+    "rank_auc": f"""WITH {RATED}, v AS (SELECT lang, quality, n_chars // 100 h FROM rated), r AS (SELECT lang, quality, {RANK.format(by='lang', v='h')} rk FROM v), t AS (SELECT lang, sum(c * c * c - c) ties FROM (SELECT lang, h, count(*)::DOUBLE c FROM v GROUP BY 1, 2) GROUP BY 1),
+      g AS (SELECT r.lang, ties, count(*) FILTER (quality = 1) n_pos, count(*) FILTER (quality <> 1) n_neg, sum(rk) FILTER (quality = 1) s FROM r JOIN t ON t.lang = r.lang GROUP BY 1, 2)
+      SELECT lang, n_pos, n_neg, round((s - n_pos * (n_pos + 1) / 2.0) / nullif(n_pos * n_neg, 0)::DOUBLE, 6) auc, round((s - n_pos * (n_pos + 1) / 2.0 - n_pos * n_neg / 2.0) / nullif(sqrt(n_pos * n_neg * (n_pos + n_neg + 1) / 12.0 - n_pos * n_neg * ties / (12.0 * (n_pos + n_neg) * (n_pos + n_neg - 1))), 0), 6) z FROM g""",
+    "rank_spearman": f"SELECT l_returnflag, round(corr(a, b), 6) rho FROM (SELECT l_returnflag, {RANK.format(by='l_returnflag', v='l_quantity')} a, {RANK.format(by='l_returnflag', v='l_extendedprice')} b FROM lineitem) t GROUP BY 1",
+    "rank_kruskal": """WITH c AS (SELECT c_mktsegment, floor(c_acctbal / 1000) b FROM customer), r AS (SELECT c_mktsegment, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 rk FROM c), g AS (SELECT c_mktsegment, count(*)::DOUBLE k, sum(rk)::DOUBLE s FROM r GROUP BY 1),
+      t AS (SELECT sum(c * c * c - c) ties FROM (SELECT count(*)::DOUBLE c FROM c GROUP BY b))
+      SELECT count(*) AS groups, sum(k)::BIGINT n, round((12 * sum(s * s / k) / (sum(k) * (sum(k) + 1)) - 3 * (sum(k) + 1)) / (1 - (SELECT ties FROM t) / (sum(k) ** 3 - sum(k))), 4)::DOUBLE h FROM g""",
     "rank_wilcoxon": """WITH e AS (SELECT user_id, sum(CASE WHEN event_id % 2 = 0 THEN floor(value) ELSE 0 END) - sum(CASE WHEN event_id % 2 = 1 THEN floor(value) ELSE 0 END) d, min(event_type) kind FROM events GROUP BY user_id),
-      r AS (SELECT kind, d, rank() OVER (PARTITION BY kind ORDER BY abs(d)) + (count(*) OVER (PARTITION BY kind, abs(d)) - 1) / 2.0 rk FROM e WHERE d <> 0)
-      SELECT kind, count(*) n, coalesce(sum(rk) FILTER (d > 0), 0.0)::DOUBLE w_plus, coalesce(sum(rk) FILTER (d < 0), 0.0)::DOUBLE w_minus,
-        round((coalesce(sum(rk) FILTER (d > 0), 0.0) - count(*) * (count(*) + 1) / 4.0) / sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0), 6)::DOUBLE z FROM r GROUP BY kind""",
+      r AS (SELECT kind, d, rank() OVER (PARTITION BY kind ORDER BY abs(d)) + (count(*) OVER (PARTITION BY kind, abs(d)) - 1) / 2.0 rk FROM e WHERE d <> 0), t AS (SELECT kind, sum(c * c * c - c) ties FROM (SELECT kind, abs(d), count(*)::DOUBLE c FROM r GROUP BY 1, 2) GROUP BY 1)
+      SELECT r.kind, count(*) n, coalesce(sum(rk) FILTER (d > 0), 0.0)::DOUBLE w_plus, coalesce(sum(rk) FILTER (d < 0), 0.0)::DOUBLE w_minus,
+        round((coalesce(sum(rk) FILTER (d > 0), 0.0) - count(*) * (count(*) + 1) / 4.0) / sqrt(count(*) * (count(*) + 1) * (2 * count(*) + 1) / 24.0 - any_value(ties) / 48), 6)::DOUBLE z FROM r JOIN t ON t.kind = r.kind GROUP BY r.kind""",
     "calibration_bins": f"""WITH {RATED}, b AS (SELECT * FROM (VALUES (0, 0.0, 0.05), (1, 0.05, 0.1), (2, 0.1, 0.2), (3, 0.2, 0.4), (4, 0.4, 0.8), (5, 0.8, 0.9999), (6, 0.9999, 1.0)) t(bin, lo, hi)),
       r AS (SELECT least(1.0, n_chars / 5000.0)::DOUBLE c, quality FROM rated)
       SELECT bin, lo::DOUBLE lo, hi::DOUBLE hi, count(c) n, round(avg(c), 6) mean_confidence, round(avg(CASE WHEN c IS NOT NULL THEN quality::DOUBLE END), 6) accuracy FROM b LEFT JOIN r ON c > lo::DOUBLE AND c <= hi::DOUBLE GROUP BY 1, 2, 3""",

@@ -125,10 +125,31 @@ def run_keys(spark, sf_dir):
     return out.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("run_key").alias("keys"))
 
 
-QUERIES = {f.__name__: f for f in (priority_fill_evidence, label_provenance, setup_best_match, fraction_groups, sample_counts, accession_drift, agree_disagree_status, provenance_first_wins, set_change_status, pair_value_overlap, key_normalised_exact_dups, union_keep_first, group_split, round_robin_shards, repair_manifest, uncached_requests, run_keys)}
+def drift_reset(spark, sf_dir):
+    """The same accessions as in accession_drift, those that run on set back to the least."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4000).alias("grp"), F.concat(F.lit("MOD:"), (F.floor(F.col("o_orderkey") / 4000) + F.when(F.col("o_orderkey") % 4000 % 3 == 0, F.col("o_orderkey") % 2).otherwise(0)).cast("string")).alias("acc"))
+    return G.without_drift(o, ["grp"], "acc").select("o_orderkey", "acc")
+
+
+def label_ambiguous(spark, sf_dir):
+    """Labels of several parts are ambiguous, unless the parts differ in case alone."""
+    p = table(spark, sf_dir, "part")
+    a = F.when(F.col("p_size") % 4 == 0, F.concat_ws("; ", "p_brand", "p_type")).when(F.col("p_size") % 4 == 1, F.concat_ws("; ", "p_brand", F.lower("p_brand"))).otherwise(F.col("p_brand"))
+    d = p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, a).alias("a"), F.col("p_type").alias("b"))
+    return G.labelled(d, [("a", "sdrf"), ("b", "name")], "label", "AMBIGUOUS").select("p_partkey", "label", "label_source")
+
+
+def mapped_runs(spark, sf_dir):
+    """Runs of seven projects: three have a mapping of half their runs, the others none."""
+    p = table(spark, sf_dir, "part").select((F.col("p_partkey") % 7).alias("project"), F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("run"), "p_partkey")
+    mapping = p.filter("project < 3 and p_partkey % 2 = 0").groupBy("project", (F.col("p_partkey") % 11).alias("k")).agg(F.array_join(F.array_sort(F.collect_list("run")), " ; ").alias("raw_files"))
+    return G.mapped_runs(p, mapping, p.filter("p_partkey % 3 = 0"), "project")
+
+
+QUERIES = {f.__name__: f for f in (drift_reset, label_ambiguous, mapped_runs, priority_fill_evidence, label_provenance, setup_best_match, fraction_groups, sample_counts, accession_drift, agree_disagree_status, provenance_first_wins, set_change_status, pair_value_overlap, key_normalised_exact_dups, union_keep_first, group_split, round_robin_shards, repair_manifest, uncached_requests, run_keys)}
 
 LISTS = "list_filter(list_transform(string_split(lower({}), ';'), lambda x: trim(x)), lambda x: x <> '')"
-RUNS = """runs AS (SELECT DISTINCT 'P' || (user_id % 10) project, 'user' || user_id || CASE event_id % 3 WHEN 0 THEN '_F' || (event_id % 17) WHEN 1 THEN '_fraction_' || (event_id % 17) ELSE '_x' END run FROM events WHERE event_id < 4000),
+RUNS = """runs AS (SELECT DISTINCT 'P' || (user_id % 10) project, 'user' || user_id || CASE event_id % 3 WHEN 0 THEN '_F' || (event_id % 17) WHEN 1 THEN '_fraction_' || (event_id % 17) ELSE '_x' END run FROM events),
   fr AS (SELECT project, run, regexp_extract(run, '(?i)^(.*?)_(F|fraction)_?(\\d{1,3})$', 1) sample_base, regexp_extract(run, '(?i)^(.*?)_(F|fraction)_?(\\d{1,3})$', 3) f FROM runs),
   grp AS (SELECT project, run, sample_base, f::INT fraction_id, count(*) OVER (PARTITION BY project, sample_base) group_size FROM fr WHERE sample_base <> '')"""
 ORACLES = {
@@ -149,7 +170,7 @@ ORACLES = {
     "agree_disagree_status": """WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment END a, CASE WHEN c_custkey % 5 <> 0 THEN CASE WHEN c_custkey % 3 = 0 THEN left(lower(c_mktsegment), 4) ELSE 'HOUSEHOLD' END END b, round(c_acctbal / 10000, 2) + 0.0 s FROM customer)
       SELECT c_custkey, coalesce(a, b) resolved, CASE WHEN a IS NULL AND b IS NULL THEN 'UNKNOWN' WHEN a IS NULL THEN 'LLM_ONLY' WHEN b IS NULL THEN 'RUNASSESSOR_ONLY' WHEN contains(lower(a), lower(b)) OR contains(lower(b), lower(a)) THEN 'AGREE' ELSE 'DISAGREE' END status,
         CASE WHEN a IS NOT NULL THEN coalesce(s, 0.5) WHEN b IS NOT NULL THEN 0.5 ELSE 0.0 END::DOUBLE confidence FROM c""",
-    "provenance_first_wins": """WITH c AS (SELECT conv_id, turn % 2 field, role, left(text, 20) v, CASE role WHEN 'system' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END r FROM conversations)
+    "provenance_first_wins": """WITH c AS (SELECT conv_id, turn % 2 field, role, text v, CASE role WHEN 'system' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END r FROM conversations)
       SELECT conv_id, field, first(v ORDER BY r, v) AS value, first(role ORDER BY r) agent, (SELECT string_agg(x.role, '; ' ORDER BY x.r) FROM (SELECT DISTINCT d.role, d.r FROM c d WHERE d.conv_id = c.conv_id AND d.field = c.field) x) given_by FROM c GROUP BY conv_id, field""",
     "set_change_status": """WITH g AS (SELECT user_id, coalesce(list(DISTINCT event_type) FILTER (ts < '2024-01-16'), []) a, coalesce(list(DISTINCT event_type) FILTER (ts >= '2024-01-16'), []) b FROM events GROUP BY user_id),
       k AS (SELECT *, len(list_intersect(a, b)) i, len(a) na, len(b) nb FROM g)
@@ -160,8 +181,14 @@ ORACLES = {
     "key_normalised_exact_dups": "SELECT min(doc_id) doc_id, count(*) n FROM documents GROUP BY trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) HAVING count(*) > 1",
     "union_keep_first": """WITH u AS (SELECT c_nationkey nation, c_custkey AS key, 'customer' kind, 0 s FROM customer WHERE c_nationkey % 2 = 0 UNION ALL SELECT s_nationkey, s_suppkey, 'supplier', 1 FROM supplier)
       SELECT nation, first(key ORDER BY s, key) AS key, first(kind ORDER BY s, key) kind FROM u GROUP BY nation""",
+    "group_split": """SELECT doc_id, source, CASE WHEN u < 0.9 THEN 'train' WHEN u < 0.95 THEN 'val' ELSE 'test' END split FROM (SELECT doc_id, source, ('0x' || left(md5(coalesce(source, '') || '|1'), 8))::BIGINT / 4294967296.0::DOUBLE u FROM documents) t""",
+    "drift_reset": """WITH o AS (SELECT o_orderkey, o_orderkey % 4000 grp, o_orderkey // 4000 + CASE WHEN o_orderkey % 4000 % 3 = 0 THEN o_orderkey % 2 ELSE 0 END num FROM orders), g AS (SELECT grp, min(num) low FROM o GROUP BY grp HAVING count(DISTINCT num) >= 3 AND max(num) - min(num) + 1 = count(DISTINCT num))
+      SELECT o_orderkey, 'MOD:' || coalesce(low, num) acc FROM o LEFT JOIN g ON g.grp = o.grp""",
+    "label_ambiguous": """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_size % 4 = 0 THEN 'AMBIGUOUS' WHEN p_partkey % 2 = 0 THEN CASE WHEN p_size % 4 = 1 THEN p_brand || '; ' || lower(p_brand) ELSE p_brand END ELSE p_type END AS label, CASE WHEN p_partkey % 2 = 0 THEN 'sdrf' ELSE 'name' END label_source FROM part""",
+    "mapped_runs": """WITH d AS (SELECT p_partkey % 7 project, 'r' || p_partkey run, p_partkey FROM part), f AS (SELECT DISTINCT project, run FROM d WHERE project < 3 AND p_partkey % 2 = 0)
+      SELECT d.project, d.run, 'mapping' via FROM d JOIN f ON f.project = d.project AND f.run = d.run UNION ALL SELECT project, run, 'direct' FROM d WHERE p_partkey % 3 = 0 AND project NOT IN (SELECT project FROM f)""",
     "round_robin_shards": "SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) % 7)::INT shard FROM documents",
     "repair_manifest": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 2 = 0)",
     "uncached_requests": "SELECT conv_id, turn, sha256(text) AS key FROM conversations WHERE role = 'user' AND text NOT IN (SELECT text FROM conversations WHERE role = 'user' AND conv_id % 2 = 0)",
-    "run_keys": "SELECT l_orderkey, count(*) n, count(*) AS keys FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1",
+    "run_keys": "SELECT l_orderkey, count(*) n, count(*) AS keys FROM lineitem GROUP BY 1",
 }

@@ -181,7 +181,7 @@ def species_similarity(spark, sf_dir):
     m = F.col("n_nationkey") % 3
     w = F.initcap(F.lower(F.substring_index("n_name", " ", 1)))
     a = F.concat(w, L(" sapiens"))
-    b = F.when(m == 0, F.upper(a)).when(m == 1, F.concat(F.left(w, L(1)), L(". sapiens"))).otherwise(L("____"))
+    b = F.when(m == 0, F.upper(a)).when(m == 1, F.concat(F.left(w, L(1)), L(". sapiens"))).otherwise(L("####"))
     return n.select("n_nationkey", F.round(X.ratio(a, b), 6).alias("ratio"))
 
 

@@ -106,7 +106,7 @@ ORACLES = {
     "cosine_threshold_pairs": f"WITH {PAIRS} SELECT label, a, b, round(c, 6) cosine FROM p WHERE c >= 0.35",
     "value_clusters": f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM p WHERE c >= 0.3 UNION SELECT b, a FROM p WHERE c >= 0.3),
       r AS (SELECT vec_id id, vec_id c FROM embeddings UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id) SELECT id, min(c) AS cluster FROM r GROUP BY id""",
-    "max_sim_sets": f"WITH {PAIRS} SELECT label, round(max(c), 6) best FROM p WHERE a < 200 AND b < 200 AND a % 2 <> b % 2 GROUP BY label",
+    "max_sim_sets": f"WITH {PAIRS} SELECT label, round(max(c), 6) best FROM p WHERE a % 2 <> b % 2 GROUP BY label",
     "coverage_vector": "SELECT label, round(avg(len(list_filter(embedding, lambda x: x > 0)) / len(embedding)::DOUBLE), 6) coverage, " + ", ".join(f"round(sum(embedding[{k + 1}]::DOUBLE), 5) s{k}" for k in range(4)) + " FROM embeddings GROUP BY label",
     "topk_restricted_choice": """WITH x AS (SELECT vec_id id, unnest(embedding) v, unnest(range(64)) i FROM embeddings), r AS (SELECT id, i, row_number() OVER (PARTITION BY id ORDER BY v DESC, i) k FROM x)
       SELECT id, first(CASE WHEN i % 2 = 0 AND k <= 5 THEN i END ORDER BY CASE WHEN i % 2 = 0 AND k <= 5 THEN k ELSE 99 END)::INT choice FROM r GROUP BY id""",

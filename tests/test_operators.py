@@ -156,7 +156,7 @@ def test_split_and_shards(spark):
     s = G.split_groups(d, "g", {"a": 0.8, "b": 0.2})
     assert s.groupBy("g").agg(F.countDistinct("split").alias("n")).filter("n > 1").count() == 0
     assert 0.7 < s.filter("split = 'a'").count() / 3000 < 0.9
-    n = G.shards(spark.range(0, 2000, 2), "id", 3, rows_a_part=100)
+    n = G.shards(spark.range(0, 2000, 2).repartition(5), "id", 3)
     assert [r.shard for r in n.orderBy("id").collect()] == [i % 3 for i in range(1000)]
 
 
@@ -173,7 +173,8 @@ def test_guards(spark):
     assert one(Q.evidence_score(L("unknown"), L(""), L("x"))) == 1.0 and one(Q.evidence_score(L("a"), L("zz"), L("x"))) == 0.2
     assert one(Q.numeric_mismatch(L("10 mg"), L("we used 10.0 mg"))) is False and one(Q.numeric_mismatch(L("11"), L("10"))) is True
     assert one(Q.negated(L("trypsin"), L("Digested without any added trypsin."))) is True and one(Q.negated(L("trypsin"), L("Digested with trypsin, not LysC"))) is False
-    assert one(Q.degenerate(L("ab " * 20))) is True and one(Q.degenerate(L("A fair answer."))) is False
+    assert one(Q.degenerate(L("ab " * 20))) is False and one(Q.degenerate(L("ab " * 200))) is True and one(Q.degenerate(L("A fair answer."))) is False
+    assert one(Q.degenerate(F.lit(None).cast("string"))) is False
     assert one(Q.next_temperature(L(0.45))) == 0.5
     d = spark.createDataFrame([(1, "x" * 30 + "\nshort\n" + "X" * 30 + "\nshort"), (2, None)], "id int, t string")
     got = {r.id: (r.text, r.dropped) for r in Q.without_repeated_lines(d, "id", "t", 20).collect()}
@@ -184,3 +185,54 @@ def test_verdicts_keep_accessions(spark):
     cells = spark.createDataFrame([("P", "f", 0, 0, "NT=Ox;AC=A:1"), ("P", "f", 1, 0, "bad"), ("P", "f", 2, 0, "ok")], "pxd string, field string, row_idx int, col_idx int, cell string")
     v = spark.createDataFrame([("P", "f", "nt=ox", "replace", "ox"), ("P", "f", "bad", "remove", None)], "pxd string, field string, unit string, verdict string, corrected string")
     assert {r.row_idx: r.fixed for r in Q.apply_verdicts(cells, v).collect()} == {0: "NT=ox;AC=A:1", 1: "not available", 2: "ok"}
+
+
+def test_assignment_equals_brute_force():
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n, m in ((1, 1), (3, 5), (5, 3), (5, 5), (4, 1)):
+        for _ in range(8):
+            w = np.where(r.random((n, m)) < 0.3, 0, r.integers(1, 60, (n, m))).astype(float)
+            got = E.assignment(w.tolist())
+            assert len({i for i, _ in got}) == len({j for _, j in got}) == len(got) and all(w[i, j] > 0 for i, j in got)
+            k = min(n, m)
+            best = max(sum(w[i, j] for i, j in zip(a, b, strict=True)) for a in itertools.combinations(range(n), k) for b in itertools.permutations(range(m), k))
+            assert sum(w[i, j] for i, j in got) == pytest.approx(best)
+
+
+def test_tiers_come_before_scores(spark):
+    rows = [("k", 0, 0, 0.9, 1), ("k", 0, 1, 0.1, 3), ("k", 1, 0, 0.1, 3), ("k", 1, 1, 0.9, 1)]
+    df = spark.createDataFrame(rows, "k string, i int, j int, s double, rank int")
+    assert {(r.i, r.j) for r in E.one_to_one(df, ["k"], "optimal").collect()} == {(0, 1), (1, 0)}
+
+
+def test_tails(spark):
+    d = spark.createDataFrame([(3.841459, 1.0, 1.959964), (5.991465, 2.0, 0.0), (0.5, 4.0, -2.575829), (30.0, 10.0, None)], "x double, k double, z double")
+    got = d.select(E.chi_square_tail("x", "k").alias("p"), E.two_sided("z").alias("q")).collect()
+    assert [r.p for r in got] == pytest.approx([0.05, 0.05, 0.973501, 0.000857], abs=1e-5)
+    assert [r.q for r in got[:3]] == pytest.approx([0.05, 1.0, 0.01], abs=1e-6) and got[3].q is None
+
+
+def test_closure_raises_beyond_its_levels(spark):
+    from metaloom.operators import ontology as O
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "child long, parent long")
+    assert O.closure(chain, most=8).count() == 21
+    with pytest.raises(RuntimeError):
+        O.closure(chain, most=3)
+
+
+def test_clusters_of_a_long_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(120)], "a long, b long").repartition(16)
+    got = {r.id: r.cluster for r in V.clusters(spark.range(122), links, small=0).collect()}
+    assert all(got[i] == 0 for i in range(121)) and got[121] == 121
+
+
+def test_short_quotes_without_an_automaton(spark):
+    q = spark.createDataFrame([(1, "cat"), (2, "og bar"), (3, "zebra"), (4, "red car"), (5, "x")], "item_id long, quote string")
+    d = spark.createDataFrame([(1, "A concatenated dog barks"), (2, "The red  CAR"), (3, "")], "doc_id long, text string")
+    want = {tuple(r) for r in V.evidence_status(q, d).collect()}
+    assert {tuple(r) for r in V.evidence_status(q, d, small=0).collect()} == want and (1, 1, "verbatim") in want and (4, 2, "normalized") in want
