@@ -313,3 +313,65 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     """(path, bytes, small) of files; ontologies of under 10 KB are failed downloads."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"))
     return f.withColumn("small", F.col("bytes") < 10_000)
+
+
+# ---- finding and choosing files -------------------------------------------------------------------------------------
+
+
+def ontology_terms(found: DataFrame) -> DataFrame:
+    """(path, id, name, parents) of ontology files by their ending: .obo, or .owl and .xml; others raise an error when they are read."""
+    path = F.lower("path")
+    known = path.endswith(".obo") | path.endswith(".owl") | path.endswith(".xml")
+    checked = found.withColumn("text", F.when(known, F.col("text")).otherwise(F.raise_error(F.concat(F.lit("no ontology reader for "), "path"))))
+    t = obo_terms(checked.filter(path.endswith(".obo") | ~known))
+    line = lambda tag: F.transform(F.filter("lines", lambda x: x.startswith(f"{tag}: ")), lambda x: F.substr(x, F.lit(len(tag) + 3)))
+    parents = F.transform(line("is_a"), lambda x: F.substring_index(F.trim(x), " ", 1))
+    obo = t.filter(~F.exists("lines", lambda x: x == "is_obsolete: true")).select("path", "id", F.trim(F.get(line("name"), F.lit(0))).alias("name"), parents.alias("parents"))
+    owl = owl_classes(checked.filter(path.endswith(".owl") | path.endswith(".xml"))).filter("not deprecated").select("path", "id", "name", "parents")
+    return obo.unionAll(owl)
+
+
+def resolved_paths(wanted: DataFrame, paths: DataFrame) -> DataFrame:
+    """(pxd, path): a project's table among files: <pxd>.sdrf.tsv itself, else one in a folder of that name, else the only file whose name starts with it. Nothing where several do."""
+    name = F.substring_index("path", "/", -1)
+    p = paths.select("path", name.alias("name"), F.element_at(F.concat(F.array(F.lit(""), F.lit("")), F.split("path", "/")), -2).alias("folder"), F.regexp_extract(name, r"^([A-Za-z]+\d+)", 1).alias("lead"))
+    w = wanted.select("pxd").distinct()
+    exact = w.join(p, F.col("name") == F.concat("pxd", F.lit(".sdrf.tsv"))).select("pxd", F.lit(1).alias("rank"), "path")
+    nested = w.join(p.filter(F.col("name").endswith(".sdrf.tsv")), F.col("folder") == F.col("pxd")).select("pxd", F.lit(2).alias("rank"), "path")
+    lead = w.join(p, F.col("lead") == F.col("pxd")).groupBy("pxd").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).filter("n = 1").select("pxd", F.lit(3).alias("rank"), "path")
+    best = exact.unionAll(nested).unionAll(lead).groupBy("pxd").agg(F.min(F.struct("rank", "path")).alias("b"))
+    return w.join(best, "pxd", "left").select("pxd", F.col("b.path").alias("path"))
+
+
+def first_place_largest(sources: list[DataFrame], key: str) -> DataFrame:
+    """Of files (key, path, bytes) found in several places, those of the first place that has the key, and of these the largest, of equal ones the first by path."""
+    out = None
+    for i, s in enumerate(sources):
+        s = s.select(key, "path", "bytes", F.lit(i).alias("place"))
+        out = s if out is None else out.unionAll(s)
+    return out.groupBy(key).agg(F.min(F.struct("place", (-F.col("bytes")).alias("m"), "path")).alias("b")).select(key, F.col("b.place").alias("place"), F.col("b.path").alias("path"), (-F.col("b.m")).alias("bytes"))
+
+
+def discovered(paths: DataFrame, pattern: str, allowed: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """(dataset): the names of folders, by a pattern, that hold files, in order; of an allow-list if one is given, the first ``limit`` if asked for."""
+    d = paths.select(F.explode(F.filter(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), lambda x: x.rlike(pattern))).alias("dataset")).distinct()
+    d = d.filter(F.col("dataset").isin(*allowed)) if allowed is not None else d
+    return d.orderBy("dataset").limit(limit) if limit is not None else d
+
+
+def property_lines(repos: DataFrame) -> DataFrame:
+    """(pxd_id, line): labelled lines 'name: a; b' of a project's filled properties, in order of name."""
+    flat = flat_project(repos)
+    names = [c for c in flat.columns if c != "pxd_id"]
+    each = F.array(*[F.when(F.col(c) != "", F.concat(F.lit(f"{c}: "), F.col(c))) for c in sorted(names)])
+    return flat.select("pxd_id", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("line"))
+
+
+def settings(given: dict, file: dict, defaults: dict) -> dict:
+    """Settings by precedence: those given, then the file's, then the defaults; nested ones are merged, None counts as not given."""
+    out = {}
+    for k in {**defaults, **file, **given}:
+        values = [d[k] for d in (given, file, defaults) if d.get(k) is not None]
+        nested = [v for v in values if isinstance(v, dict)]
+        out[k] = settings(*([*nested, {}, {}, {}][:3])) if values and isinstance(values[0], dict) else values[0] if values else None
+    return out

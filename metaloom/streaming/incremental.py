@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,3 +48,24 @@ def append_unseen(stream: DataFrame, target: str, key: list[str], checkpoint: st
         work(new).write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drained(result: DataFrame, mode: str = "complete") -> DataFrame:
+    """What a stream gives for all that is there now: ``complete`` results are the last batch's, ``append`` ones those of all batches.
+
+    Results and the stream's state go to the folder that driver and executors share (spark.checkpoint.dir, or a temporary
+    one on a local master), so a run that is lost resumes from its checkpoint.
+    """
+    spark = result.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='metaloom-stream-')}"
+    path = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+    def batch(df: DataFrame, _: int) -> None:
+        df.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
+
+    result.writeStream.outputMode(mode).foreachBatch(batch).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{path}/out")
