@@ -174,11 +174,8 @@ def _mixed(rows: DataFrame, slim: DataFrame, weights: Sequence[float], share: fl
     steps = c.filter("size > 0").select("sid", (F.col("n") * F.col("size")).cast("double").alias("mass"), "x")
     m, tilt = balance(steps, t.select("sid", F.col("source_size").cast("double").alias("mass"), "target"), cap, ridge * max(words_, 1.0))
     rated = c.join(m, "sid").withColumn("rate", rate_of(F.col("m"), F.lit(tilt), F.col("x"), cap))
-    d = stored(dealt(rated.select("sid", "source", "size", "n", "rate", "source_size", "target"), cap).drop("sid"), "dealt")
-    placed = ranked(rows, ["source", "size"], ["id", "tie"], "__r", 256)
-    d = d.withColumnRenamed("source", "__s").withColumnRenamed("size", "__z")
-    # One row for each source and size; the rows side is already dealt finer than by that key.
-    out = placed.join(d, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z"))).drop("__s", "__z")
+    d = stored(dealt(rated.select("sid", "source", "size", "n", "rate", "source_size", "target"), cap).select("source", "size", "n", "take", "rate", "source_size", "target"), "dealt")
+    out = ranked(rows, ["source", "size"], ["id", "tie"], "__r", 256, d)
     copies = (F.expr("take div n") + (F.col("__r") < F.expr("take % n")).cast("long")).cast("int")
     return out.withColumn("copies", copies)
 

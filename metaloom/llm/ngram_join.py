@@ -14,6 +14,8 @@ from metaloom.llm.common import discard, fresh, lower, mix64, random_table, repe
 from metaloom.llm.graph import components
 
 CHUNK = 4096  # members of a subtree that one task compares
+HEAVY = 2000  # copies of a class that one task joins
+MOST_HEAVY = 16_384  # classes of more copies than that
 BLOCK = 768  # members of a group that are held as one side of a comparison
 
 
@@ -452,7 +454,15 @@ def near_duplicates(
     counts = done.groupBy(F.col("id").alias("__c")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     own = sets.join(links, F.col("rep") == F.col("__n"), "left").join(counts, F.col("rep") == F.col("__c"), "left")
     own = own.select(F.col("set_a").alias("__a"), F.col("set_b").alias("__b"), "rep", "copies", F.coalesce("component", "rep").alias("class"), F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("docs", F.lit(0)).alias("docs"))
-    out = sig.select("id", "set_a", "set_b", "n").join(own, (F.col("n") > 0) & (F.col("set_a") == F.col("__a")) & (F.col("set_b") == F.col("__b")), "left")
+    # Classes of very many copies, of which there are MOST_HEAVY at most, meet their documents by broadcast; the others by the set.
+    rows, same = sig.select("id", "set_a", "set_b", "n"), (F.col("n") > 0) & (F.col("set_a") == F.col("__a")) & (F.col("set_b") == F.col("__b"))
+    heavy = max(HEAVY, -(-(sets.agg(F.sum("copies")).first()[0] or 0) // MOST_HEAVY))
+    own = stored(own, "classes")
+    hot = own.filter(F.col("copies") > heavy)
+    out = rows.join(own, same, "left")
+    if not hot.isEmpty():
+        keys = F.broadcast(hot.select("__a", "__b"))
+        out = rows.join(F.broadcast(hot), same).unionByName(rows.join(keys, same, "left_anti").join(own.filter(F.col("copies") <= heavy), same, "left"))
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("class", "id").alias("class_id"),

@@ -32,11 +32,12 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (own[0] if len(own) == 1 else F.greatest(*own))["shard"]
 
 
-def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, buckets: int = BUCKETS) -> DataFrame:
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, buckets: int = BUCKETS, facts: DataFrame | None = None) -> DataFrame:
     """Adds ``name``: 0, 1, 2 ... over the rows of each group, in an order fixed by a hash of ``order`` and then ``order``.
 
     Each group is dealt into ``buckets`` by that hash; rows are ranked within buckets, and the counts of the buckets before
     are added, so no task has to hold or sort a whole group. Rows alike in ``order`` share a bucket and get ranks of their own.
+    ``facts``: a row for each group, with its columns; they come along with the buckets' counts, so that no group is joined whole.
     """
     b, before = "__bucket", "__before"
     dealt = df.withColumn(b, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in order]), F.lit(buckets)).cast("int"))
@@ -45,6 +46,9 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str,
     alias = [f"__key{i}" for i in range(len(group))]
     upto = (F.sum("__n").over(W.partitionBy(*keys).orderBy(b)) - F.col("__n")).alias(before)
     counts = counts.select(*[k.alias(a) for k, a in zip(keys, alias, strict=True)], F.col(b).alias("__key"), upto)
+    if facts is not None:
+        own = facts.select(*[F.col(f"`{c}`").alias(f"__of{i}") for i, c in enumerate(group)], *[F.col(f"`{c}`") for c in facts.columns if c not in group])
+        counts = counts.join(own, [F.col(a).eqNullSafe(F.col(f"__of{i}")) for i, a in enumerate(alias)]).drop(*[f"__of{i}" for i in range(len(group))])
     on = [k.eqNullSafe(F.col(a)) for k, a in zip(keys, alias, strict=True)] + [F.col(b) == F.col("__key")]
     joined = dealt.join(counts, on).drop(*alias, "__key")
     w = W.partitionBy(*keys, F.col(b)).orderBy(*[F.col(f"`{c}`") for c in order])

@@ -107,3 +107,11 @@ def test_odd_vectors_and_many_copies(spark):
     few = df.filter("vec_id in (0, 7)")
     assert [(g.query_id, g.vec_id) for g in ann.nearest(few, few.filter("vec_id = 0")).collect()] == [(0, 7)]
     assert ann.nearest(df.limit(0), df).collect() == []
+
+
+def test_vectors_of_another_length_dont_drop_the_others(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=8).tolist()) for i in range(300)] + [(i, [1.0, 2.0]) for i in range(300, 330)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.filter("vec_id % 100 = 0")).collect()
+    assert {g.query_id for g in got} == {0, 100, 200} and len(got) == 30 and max(g.vec_id for g in got) < 300

@@ -1,10 +1,12 @@
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from metaloom.llm import mixing, sharding
@@ -147,6 +149,28 @@ def test_weights_share_and_growth_moves_little(spark):
     assert abs(moved - 0.1) < 0.02
 
 
+def brute_shard(key, weights):
+    """By the law alone: the greatest -weight / ln(u), u from the hash of the key's text and the shard."""
+    if key is None:
+        first = 42
+    else:
+        first = xxhash.xxh64(str(key).encode(), seed=42).intdigest()
+    best = []
+    for s, w in enumerate(weights):
+        h = xxhash.xxh64(struct.pack("<i", s), seed=first).intdigest()
+        best.append((-w / math.log(((h >> 12) + 0.5) / 2**52), s))
+    return max(best)[1]
+
+
+def test_shards_equal_brute_force_for_any_type_of_key(spark):
+    weights = [1.0, 2.5, 0.5, 1.0]
+    keys = [*range(-5, 200), None]
+    for kind in ("int", "long", "string"):
+        df = spark.createDataFrame([(None if k is None else str(k) if kind == "string" else k, "t") for k in keys], f"doc_id {kind}, text string")
+        got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.shard(df, weights).collect()}
+        assert {None if k is None else int(k): v for k, v in got.items()} == {k: (brute_shard(k, weights), brute_shard(k, [*weights, 1.25])) for k in keys}
+
+
 def test_bad_weights():
     with pytest.raises(ValueError):
         sharding.rendezvous(None, [])

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -38,6 +39,21 @@ def test_stages_keep_columns_and_take_effect(spark, prose, tmp_path):
     n = mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0]
     assert mixed.columns == docs.columns and n == 2
     assert len(corpus_pipeline.STAGES) == 5
-    assert corpus_pipeline.run(spark, d).count() > 0
+    # The whole run packs what the stages leave one after another: as many copies of each text, each token once.
+    want = Counter(x.doc_id for x in mixed.collect())
+    pieces = corpus_pipeline.run(spark, d).collect()
+    tokens, sizes = Counter(), {}
+    for x in pieces:
+        tokens[x.doc_id] += x.length
+        assert sizes.setdefault(x.doc_id, x.doc_tokens) == x.doc_tokens
+    assert {i: n / sizes[i] for i, n in tokens.items()} == dict(want)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), d).collect() == []
+
+
+def test_rows_without_an_id_are_mixed_as_often_as_they_are_taken(spark, tmp_path):
+    rows = [(None, f"a b c {i}", "en", "s", 7) for i in range(3)] + [(5, "x y", "en", "s", 3)] * 2 + [(6, None, None, None, None), (7, "", "fr", "t", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("copies", F.lit("clash"))
+    out = corpus_pipeline.mix(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and out.count() <= 2 * len(rows)
+    assert max(Counter(r.text for r in out.filter("doc_id is null").collect()).values()) <= 2

@@ -115,6 +115,13 @@ def test_large_subtrees_of_unlike_texts_end_and_lose_no_link(spark, prose, monke
     assert {i: x.n_links for i, x in got.items()} == n and {i: x.class_id for i, x in got.items()} == group
 
 
+def test_classes_of_many_copies(spark, prose, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HEAVY", 3)
+    rows = [(i, prose(1, 60)) for i in range(12)] + [(i, prose(i, 60)) for i in range(20, 26)] + [(30, prose(20, 60)), (31, None)]
+    got = {r.doc_id: (r.class_id, r.copy_id, r.n_links) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and all(got[i] == (0, 0, 11) for i in range(12)) and got[30] == (20, 20, 1) and got[25] == (25, 25, 0) and got[31] == (31, 31, 0)
+
+
 def test_ngram_join_of_repeated_ids(spark, prose):
     rows = [(1, prose(1, 50)), (1, prose(2, 50)), (2, prose(3, 50)), (2, prose(3, 50)), (3, prose(3, 50))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__first", F.lit(1))
@@ -354,6 +361,21 @@ def test_toxicity_held_out(spark, prose, odd):
     assert toxicity.drop_toxic(odd, model).columns == odd.columns and toxicity.drop_toxic(odd.limit(0), model).collect() == []
 
 
+def test_fit_samples_are_bounded_by_rows_and_characters(spark, prose, monkeypatch):
+    """A repeated id brings one text, and long texts stay out of the sample, though they are scored."""
+    rows = [(0, prose(i, 20)) for i in range(50)] + [(i, prose(i, 20)) for i in range(1, 12)] + [(20, prose(20, 4000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(21)], "doc_id long, toxic int")
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, **o: seen.setdefault("toxicity", texts))
+    toxicity.train(docs, labels, chars=5000)
+    real = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda texts, p: (seen.setdefault("quality", texts), real(texts, p))[1])
+    models = quality.train(docs, chars=5000)
+    assert len(seen["quality"]) == 12 and len(seen["toxicity"]) <= 12 and max(map(len, seen["quality"])) <= 5000
+    assert len(quality.score(docs, *models).collect()) == len(rows)
+
+
 def test_toxicity_without_labels(spark, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(odd.select("doc_id", "text"), none)
