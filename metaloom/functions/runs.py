@@ -25,15 +25,16 @@ def _grams(name: Column) -> tuple[Column, Column]:
 def _first_of(table: list[tuple[str, str, str]], name: Column, every: bool = False) -> Column:
     """The canonical names of a table that a run's name holds, in the table's order: the first, or all."""
     written, folded = _grams(name)
-    whole = F.lower(name)
+    rows = F.array(*[F.struct(F.lit(canonical).alias("canonical"), F.lit(kind).alias("kind"), F.lit(alias).alias("alias")) for canonical, kind, alias in table])
+    # The words are a variable of the outer step, so they are read once for all rows of the table.
+    read = F.array(F.struct(written.alias("written"), folded.alias("folded"), F.lower(name).alias("whole")))
 
-    def holds(kind: str, alias: str) -> Column:
-        if kind == "anywhere":
-            return F.contains(whole, F.lit(alias))
-        return F.array_contains(written if kind == "as written" else folded, alias)
+    def holds(g: Column, r: Column) -> Column:
+        words = F.when(r["kind"] == "as written", F.array_contains(g["written"], r["alias"])).otherwise(F.array_contains(g["folded"], r["alias"]))
+        return F.when(r["kind"] == "anywhere", F.contains(g["whole"], r["alias"])).otherwise(words)
 
-    found = F.array(*[F.when(holds(kind, alias), canonical) for canonical, kind, alias in table])
-    found = F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+    found = F.flatten(F.transform(read, lambda g: F.transform(F.filter(rows, lambda r: holds(g, r)), lambda r: r["canonical"])))
+    found = F.array_distinct(found)
     return found if every else F.get(found, F.lit(0))
 
 

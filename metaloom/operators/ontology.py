@@ -98,36 +98,52 @@ def lowest_common(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     return common_ancestors(pairs, whole).groupBy("a", "b").agg(best).select("a", "b", F.col("m.ancestor").alias("lca"), F.col("m.hops_a").alias("hops_a"), F.col("m.hops_b").alias("hops_b"))
 
 
-def pair_metrics(pairs: DataFrame, whole: DataFrame, ic: DataFrame, depth: DataFrame) -> DataFrame:
+METRICS = ("mica", "lin", "resnik", "jc", "wu_palmer", "jaccard", "hops")
+
+
+def pair_metrics(pairs: DataFrame, whole: DataFrame, ic: DataFrame, depth: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Similarities of each pair from one join of the closure with itself.
 
-    Columns: a, b, mica (the common ancestor of most information, ties by name), lin, resnik (of the greatest IC), jc
-    (Jiang-Conrath distance), wu_palmer, jaccard (of the ancestor sets), hops (the shortest way over a common ancestor).
-    Pairs without a common ancestor have lin, resnik, wu_palmer and jaccard 0, and null mica, jc and hops.
+    Columns: a, b and the ``metrics`` asked for: mica (the common ancestor of most information, ties by name), lin, resnik
+    (of the greatest IC), jc (Jiang-Conrath distance), wu_palmer, jaccard (of the ancestor sets), hops (the shortest way
+    over a common ancestor). Only the tables that those need are joined. Pairs without a common ancestor have lin, resnik,
+    wu_palmer and jaccard 0, and null mica, jc and hops.
     """
-    info = common_ancestors(pairs, whole).join(ic.select(F.col("node").alias("ancestor"), F.col("ic").alias("ic_c")), "ancestor").join(depth.select(F.col("node").alias("ancestor"), F.col("depth").alias("depth_c")), "ancestor")
-    best = info.groupBy("a", "b").agg(
-        F.min(F.struct((-F.col("ic_c")).alias("minus"), F.col("ancestor"))).alias("m"),
-        F.max("ic_c").alias("ic_c"),
-        F.max("depth_c").alias("depth_c"),
-        F.min(F.col("hops_a") + F.col("hops_b")).alias("hops"),
-        F.count(F.lit(1)).alias("shared"),
-    )
-    size = whole.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    facts = ic.join(depth, "node").join(size, "node").select("node", "ic", "depth", "n")
-    side = lambda p: facts.select(F.col("node").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in ("ic", "depth", "n")])
-    top = ic.agg(F.max("ic").alias("ic_top"))
-    j = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").join(best, ["a", "b"], "left").crossJoin(F.broadcast(top))
+    wanted = set(metrics)
+    by_ic, by_depth, by_size = bool(wanted & {"mica", "lin", "resnik", "jc"}), "wu_palmer" in wanted, "jaccard" in wanted
+    info, best = common_ancestors(pairs, whole), [F.min(F.col("hops_a") + F.col("hops_b")).alias("hops"), F.count(F.lit(1)).alias("shared")]
+    facts = []
+    if by_ic:
+        info = info.join(ic.select(F.col("node").alias("ancestor"), F.col("ic").alias("ic_c")), "ancestor")
+        best += [F.min(F.struct((-F.col("ic_c")).alias("minus"), F.col("ancestor"))).alias("m"), F.max("ic_c").alias("ic_c")]
+        facts.append(ic.select("node", "ic"))
+    if by_depth:
+        info = info.join(depth.select(F.col("node").alias("ancestor"), F.col("depth").alias("depth_c")), "ancestor")
+        best.append(F.max("depth_c").alias("depth_c"))
+        facts.append(depth.select("node", "depth"))
+    if by_size:
+        facts.append(whole.groupBy("node").agg(F.count(F.lit(1)).alias("n")))
+    j = pairs.select("a", "b").distinct().join(info.groupBy("a", "b").agg(*best), ["a", "b"], "left")
+    if facts:
+        known = facts[0]
+        for f in facts[1:]:
+            known = known.join(f, "node")
+        for p in "ab":
+            j = j.join(known.select(F.col("node").alias(p), *[F.col(c).alias(f"{c}_{p}") for c in known.columns if c != "node"]), p)
+    if wanted & {"resnik", "jc"}:
+        j = j.crossJoin(F.broadcast(ic.agg(F.max("ic").alias("ic_top"))))  # one row
     zero = F.lit(0.0)
-    return j.select(
-        "a", "b", F.col("m.ancestor").alias("mica"),
-        F.when(F.col("a") == F.col("b"), 1.0).otherwise(F.coalesce(M.lin(F.col("ic_a"), F.col("ic_b"), F.col("ic_c")), zero)).alias("lin"),
-        F.coalesce(M.ratio_or(F.col("ic_c"), F.col("ic_top")), zero).alias("resnik"),
-        M.jiang_conrath(F.col("ic_a") / F.col("ic_top"), F.col("ic_b") / F.col("ic_top"), F.col("ic_c") / F.col("ic_top")).alias("jc"),
-        F.coalesce(M.ratio_or(2 * F.col("depth_c"), F.col("depth_a") + F.col("depth_b"), None), F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0)).alias("wu_palmer"),
-        F.coalesce(F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")), zero).alias("jaccard"),
-        "hops",
-    )
+    c = F.col
+    forms = {
+        "mica": lambda: c("m.ancestor"),
+        "lin": lambda: F.when(c("a") == c("b"), 1.0).otherwise(F.coalesce(M.lin(c("ic_a"), c("ic_b"), c("ic_c")), zero)),
+        "resnik": lambda: F.coalesce(M.ratio_or(c("ic_c"), c("ic_top")), zero),
+        "jc": lambda: M.jiang_conrath(c("ic_a") / c("ic_top"), c("ic_b") / c("ic_top"), c("ic_c") / c("ic_top")),
+        "wu_palmer": lambda: F.coalesce(M.ratio_or(2 * c("depth_c"), c("depth_a") + c("depth_b"), None), F.when(c("a") == c("b"), 1.0).otherwise(0.0)),
+        "jaccard": lambda: F.coalesce(c("shared") / (c("n_a") + c("n_b") - c("shared")), zero),
+        "hops": lambda: c("hops"),
+    }
+    return j.select("a", "b", *[forms[m]().alias(m) for m in METRICS if m in wanted])
 
 
 def topological_information(edges: DataFrame, levels: int) -> DataFrame:

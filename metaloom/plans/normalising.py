@@ -73,7 +73,7 @@ def run_concordance(spark, sf_dir):
     runs = s.select(F.col("s_suppkey").alias("id"), F.concat_ws("; ", F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("N:"), F.col("s_nationkey").cast("string"))), F.when(F.col("s_suppkey") % 3 == 0, F.lit("zzz"))).alias("given"), F.concat(F.lit("N:"), (F.col("s_suppkey") % 25).cast("string")).alias("predicted"))
     name = F.concat(F.lit("N:"), F.col("n_nationkey").cast("string"))
     pairs = n.select(name.alias("a"), F.col("n_regionkey").alias("r")).join(n.select(name.alias("b"), F.col("n_regionkey").alias("r")), "r").select("a", "b")
-    m = O.pair_metrics(pairs, whole, O.information_content(nodes, closed), O.depths(nodes, e, closed))
+    m = O.pair_metrics(pairs, whole, O.information_content(nodes, closed), O.depths(nodes, e, closed), ("lin", "hops"))
     scores = m.select(F.lower("a").alias("given"), F.lower("b").alias("predicted"), "lin", "hops")
     c = N.concordance(runs, scores, n.filter("n_nationkey < 10").select(name.alias("name")))
     return c.withColumn("lin", F.round("lin", 6))
@@ -87,7 +87,7 @@ def graded_agreement(spark, sf_dir):
     golden = n.select(F.col("n_regionkey").alias("id"), name(F.col("n_nationkey")).alias("value"))
     predicted = n.filter("n_nationkey % 3 <> 0").select(F.col("n_regionkey").alias("id"), name((F.col("n_nationkey") + 1) % 25).alias("value"))
     pairs = golden.select("id", F.col("value").alias("a")).join(predicted.select("id", F.col("value").alias("b")), "id").select("a", "b").distinct()
-    lin = O.pair_metrics(pairs, whole, O.information_content(nodes, closed), O.depths(nodes, e, closed)).select("a", "b", F.col("lin").alias("score"))
+    lin = O.pair_metrics(pairs, whole, O.information_content(nodes, closed), O.depths(nodes, e, closed), ("lin",)).select("a", "b", F.col("lin").alias("score"))
     g = N.graded(golden, predicted, lin, golden.filter("value <> 'N:3'").select("value"))
     both = golden.select("id", F.lit("a").alias("side"), F.col("value").alias("node")).unionAll(predicted.select("id", F.lit("b"), "value"))
     sets = O.best_over_sets(both, lin).withColumnRenamed("score", "over_sets")

@@ -76,13 +76,13 @@ def onto_depths(spark, sf_dir):
     return O.depths(n, e, c)
 
 
-def _metrics(spark, sf_dir):
+def _metrics(spark, sf_dir, *names):
     e, c, n, w = parts(spark, sf_dir)
-    return O.pair_metrics(pairs(spark, sf_dir), w, O.information_content(n, c), O.depths(n, e, c))
+    return O.pair_metrics(pairs(spark, sf_dir), w, O.information_content(n, c), O.depths(n, e, c), names or O.METRICS)
 
 
 def onto_metric(spark, sf_dir, name):
-    m = _metrics(spark, sf_dir).select("a", "b", name)
+    m = _metrics(spark, sf_dir, name)
     return m if name in ("hops", "mica") else r6(m, name)
 
 

@@ -139,7 +139,7 @@ def set_coverage(spark, sf_dir):
 def metric_differences(spark, sf_dir):
     """Where Lin, Wu and Palmer's and Jaccard's measures of supplier pairs differ most."""
     e, closed, nodes, whole = G.parts(spark, sf_dir)
-    m = O.pair_metrics(G.pairs(spark, sf_dir), whole, O.information_content(nodes, closed), O.depths(nodes, e, closed))
+    m = O.pair_metrics(G.pairs(spark, sf_dir), whole, O.information_content(nodes, closed), O.depths(nodes, e, closed), ("lin", "wu_palmer", "jaccard"))
     m = m.select("a", "b", *[F.round(c, 6).alias(c) for c in ("lin", "wu_palmer", "jaccard")])
     # in millionths, so that ties are ties
     m = m.withColumns({c: F.round(F.col(c) * 1e6).cast("long") for c in ("lin", "wu_palmer", "jaccard")})
@@ -150,7 +150,7 @@ def metric_differences(spark, sf_dir):
 def separability(spark, sf_dir):
     """How measures set suppliers of one region apart from others."""
     e, closed, nodes, whole = G.parts(spark, sf_dir)
-    m = O.pair_metrics(G.pairs(spark, sf_dir), whole, O.information_content(nodes, closed), O.depths(nodes, e, closed))
+    m = O.pair_metrics(G.pairs(spark, sf_dir), whole, O.information_content(nodes, closed), O.depths(nodes, e, closed), ("lin", "wu_palmer", "jaccard"))
     m = m.withColumns({c: F.round(c, 6) for c in ("lin", "wu_palmer", "jaccard")})
     s = R.separability(m.withColumn("kind", F.when(F.col("b").startswith("N:"), "near").when(F.col("b").startswith("R:"), "conflict").otherwise("other")), "kind", "near", "conflict", ["lin", "wu_palmer", "jaccard"])
     return s.withColumns({c: F.round(c, 6) for c in ("near_mean", "conflict_mean", "gap", "ratio")}).withColumn("rank", F.col("rank").cast("long"))
