@@ -72,9 +72,13 @@ _chunks = re.compile(r"(?= \S)").split
 def _encoder(path: str) -> tuple[_Encoder, np.ndarray]:
     """The encoder and, by id, whether a sentence or line ends with that token."""
     enc = _Encoder(path)
-    ends = np.zeros(max(enc.words) + 1, bool)
+    added = {int.from_bytes(i, "little"): s for s, i in enc.added.items()}
+    ends = np.zeros(max([*enc.words, *added]) + 1, bool)
     for i, w in enc.words.items():
         ends[i] = w.rstrip(b"\"')")[-1:] in {b".", b"!", b"?", b"\n"} and w != b""
+    # An added token named like an end of text ends what stands before it.
+    for i, s in added.items():
+        ends[i] = "endoftext" in s or s in ("</s>", "<eos>")
     return enc, ends
 
 

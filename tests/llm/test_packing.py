@@ -69,3 +69,17 @@ def test_pieces_tile_documents_and_sequences(spark, odd):
 
 def test_empty(spark, odd):
     assert packing.pack(odd.limit(0), PATH).collect() == []
+
+
+def test_added_tokens_are_packed_wherever_they_stand(spark, prose):
+    end = "<|endoftext|>"
+    texts = [end, f"{end} {prose(1, 30)}", f"{prose(2, 30)}{end}", f"{prose(3, 20)} {end} {prose(4, 20)}", end * 5, f"{prose(5, 700)}{end}" * 4, prose(6, 10), end * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    t = Tokenizer.from_file(PATH)
+    rows = packing.pack(docs, PATH, segment=1500).collect()
+    for doc, text in enumerate(texts):
+        ids = np.array(t.encode(text, add_special_tokens=False).ids + [0], "<u4")
+        assert 50256 in ids or end not in text
+        pieces = sorted((r for r in rows if r.doc_id == doc), key=lambda r: r.start)
+        assert [p.start for p in pieces] == np.cumsum([0, *[p.length for p in pieces[:-1]]]).tolist() and sum(p.length for p in pieces) == len(ids)
+        assert all(p.ids_crc32 == zlib.crc32(ids[p.start : p.start + p.length].tobytes()) and p.doc_tokens == len(ids) for p in pieces)
