@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from metaloom.llm import ann, html_text, mixing, ngram_join, packing, quality, sharding, spotsigs, substring_dedup, toxicity
+from metaloom.llm import ann, html_text, lexical, mixing, ngram_join, packing, quality, sharding, spotsigs, substring_dedup, toxicity, whitening
 from metaloom.llm.common import table
 
 
@@ -55,7 +55,23 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_ngram_join, op3_packing, op4_toxicity, op5_quality, op6_html_text, op7_nearest, op8_mixing, op9_sharding, op10_spotsigs)}
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+    return found.selectExpr("item AS item_id", "rank", "doc AS doc_id", "score")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(vectors, whitening.fit(vectors))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_ngram_join, op3_packing, op4_toxicity, op5_quality, op6_html_text, op7_nearest, op8_mixing, op9_sharding, op10_spotsigs,
+        op11_lexical, op12_whitening,
+    )
+}
 # Hashes, token ids, trained models and packings have no SQL; tests/llm compares those queries with brute force.
 ORACLES: dict[str, str] = {
     "op2_ngram_join": r"""
@@ -76,4 +92,14 @@ WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, '')
 b AS (SELECT page_id, url, list_transform(string_split_regex(x, '</?(?:p|h1)>|<br>'), lambda t: trim(regexp_replace(
   replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) ls FROM a)
 SELECT page_id, url, array_to_string(list_filter(ls, lambda t: t <> ''), chr(10)) AS text, length(array_to_string(list_filter(ls, lambda t: t <> ''), chr(10))) n_chars FROM b""",
+    "op11_lexical": r"""
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') x FROM documents),
+t AS (SELECT row_number() OVER () k, doc_id, regexp_extract_all(x, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') ts FROM d),
+g AS (SELECT count(*) n_docs, sum(len(ts))::BIGINT total FROM t WHERE len(ts) > 0),
+p AS (SELECT k, doc_id, len(ts)::BIGINT n, unnest(ts) term FROM t),
+f AS (SELECT k, doc_id, n, term, count(*)::BIGINT tf FROM p GROUP BY 1, 2, 3, 4),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT w FROM f, g GROUP BY term, n_docs),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term FROM benchmark),
+s AS (SELECT item_id, k, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total))))::BIGINT score FROM q JOIN w USING (term) JOIN f USING (term), g GROUP BY 1, 2, 3)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) rank FROM s WHERE score > 0) WHERE rank <= 10""",
 }
