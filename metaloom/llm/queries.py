@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from metaloom.llm import ann, html_text, lexical, mixing, ngram_join, packing, quality, sharding, spotsigs, substring_dedup, toxicity, whitening
+from metaloom.llm import ann, html_text, lexical, mixing, ngram_join, packing, quality, sharding, spotsigs, substring_dedup, suffix_dedup, toxicity, whitening
 from metaloom.llm.common import table
 
 
@@ -65,11 +66,17 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(vectors, whitening.fit(vectors))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("cut_lengths", F.lit(0).cast("long"), lambda a, b: a + b)
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("cut_starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_ngram_join, op3_packing, op4_toxicity, op5_quality, op6_html_text, op7_nearest, op8_mixing, op9_sharding, op10_spotsigs,
-        op11_lexical, op12_whitening,
+        op11_lexical, op12_whitening, op13_suffix_dedup,
     )
 }
 # Hashes, token ids, trained models and packings have no SQL; tests/llm compares those queries with brute force.
