@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg object xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo mrow msub msup mtext nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo mprescripts mrow mspace msub msup mtext nobr q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr".split())
+FOREIGN = frozenset("svg math mi mn mo mrow mspace msub msup mtext mprescripts".split())  # a slash before the end of their tag closes them
+BREAKS = frozenset({"br", "hr"})  # void elements that end a line
 CLOSES = {  # an opening tag ends the innermost open element of these kinds, up to the bound
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
     "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),
@@ -74,7 +76,8 @@ def _kind(tag: str, attrs: str) -> tuple[bool, int]:
                 return True, 0
         elif tag not in ("html", "body", "article", "main") and tag not in LINES and tag not in INLINE:
             found = set(_WORDS.split(value))
-            side = max(side, 2 if found & SIDE_WORDS else 1 if found & WEAK_WORDS else 0)
+            weak = found & WEAK_WORDS if tag != "section" else found & WEAK_WORDS - {"discussion"}  # a paper's section of that name
+            side = max(side, 2 if found & SIDE_WORDS else 1 if weak else 0)
     return False, side
 
 
@@ -116,7 +119,7 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
             end = max(end, m.end())
             tag, attrs = m[1].lower(), page[m.end() : end - 1]
             token = ("end" if page[lt + 1] == "/" else "open", tag, attrs)
-            if token[0] == "open" and tag in RAW and not attrs.endswith("/"):
+            if token[0] == "open" and tag in RAW and not (tag in FOREIGN and attrs.endswith("/")):
                 close = _RAW_END[tag].search(page, end)
                 end, token = (close.end() if close else n), None
         else:
@@ -132,7 +135,7 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def nodes(page: str) -> tuple[list[tuple[int, str, _Element]], list[_Element]]:
-    """(block number, text, element) of the texts of a page in order, and its elements. Inline elements and comments don't end a block."""
+    """(block number, text, element) of the texts of a page in order, and its elements. Inline elements, images and the like, comments and end tags of nothing don't end a block."""
     root = _Element("", None, 0, 0)
     stack, elements, out, block = [root], [root], [], 0
     paths: dict[tuple[int, str], int] = {}
@@ -151,15 +154,15 @@ def nodes(page: str) -> tuple[list[tuple[int, str, _Element]], list[_Element]]:
         if kind == "text":
             out.append((block, html.unescape(tag), stack[-1]))
         elif kind == "end":
+            if tag not in INLINE and (open_tags[tag] > 0 or tag in ("p", "br")):
+                block += 1
             if open_tags[tag] > 0:
                 close(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
-            if tag not in INLINE:
-                block += 1
         else:
-            if tag not in INLINE:
+            if tag in BREAKS or (tag not in INLINE and tag not in VOID):
                 block += 1
                 # A block ends an open paragraph, with whatever inline elements were left open in it.
-                if tag not in VOID and stack[blocks[-1]].tag == "p":
+                if tag != "br" and stack[blocks[-1]].tag == "p":
                     close(blocks[-1])
                 if tag in CLOSES:
                     kinds, bound = CLOSES[tag]
@@ -170,7 +173,7 @@ def nodes(page: str) -> tuple[list[tuple[int, str, _Element]], list[_Element]]:
                                 break
                             if stack[k].tag in bound:
                                 break
-            if tag not in VOID and not attrs.endswith("/"):
+            if tag not in VOID and not (tag in FOREIGN and attrs.endswith("/")):
                 up = stack[-1]
                 e = _Element(tag, up, len(elements), paths.setdefault((up.path, tag), len(paths) + 1))
                 out_here, e.side = _kind(tag, attrs)
@@ -220,10 +223,11 @@ def main_text(page: str | None, spread: float = 0.5, named: float = 0.1) -> str:
     Where half of the content or more stands in article or main elements, the article is that with most of it (and others with
     half as much); else it is the smallest element that holds all content nodes. All its texts are given, in page order, but for those of other kinds (menus, forms,
     footers and the like), of parts with a name of SIDE_WORDS, of parts with a name of WEAK_WORDS that hold no content node by
-    their tag paths, and, where no article or main element was marked up, of the element's own parts without a content node.
+    their tag paths (in a page without such markup, of all of these unless most content stands in them), and, where no article or main element was marked up, of the element's own parts without a content node.
     """
     texts, elements = nodes(page or "")
-    found = [(b, t, e) for b, t, e in texts if not e.out and not t.isspace()]
+    given = [(b, t, e) for b, t, e in texts if not e.out]  # white space alone has no part in the ratios, but parts words
+    found = [(b, t, e) for b, t, e in given if not t.isspace()]
     if not found:
         return ""
     sums: dict[int, list[float]] = {}
@@ -244,10 +248,12 @@ def main_text(page: str | None, spread: float = 0.5, named: float = 0.1) -> str:
     for n, e in content:
         if e.top is not None:
             weight[e.top.number] += n
+    total = sum(n for n, _ in content)
     chosen = {e.number for _, e in content} | {e.number for _, _, e in found if e.head and e.side < 2}
-    marked = 2 * sum(weight.values()) >= sum(n for n, _ in content)
+    marked = 2 * sum(weight.values()) >= total
     if marked:
-        regions = [elements[k] for k in sorted(weight) if 2 * weight[k] >= max(weight.values())]
+        most = max(weight.values())
+        regions = [elements[k] for k in sorted(weight) if 2 * weight[k] >= most]
     else:
         region = elements[min(chosen)]
         while region.up is not None and (region.last < max(chosen) or region.tag in INLINE or region.tag in LINES):
@@ -260,10 +266,16 @@ def main_text(page: str | None, spread: float = 0.5, named: float = 0.1) -> str:
             over = part.get(e.up.number)
             part[e.number] = e if over is None or (e.side == 1 and e.up.side == 0) else over
     order, blocks = sorted(chosen), {}
-    for b, t, e in found:
-        region = next((r for r in regions if r.number <= e.number <= r.last), None)
+    heads = [r.number for r in regions]
+    outside = sum(n for n, e in content if not e.side)
+    for b, t, e in given:
+        k = bisect.bisect_right(heads, e.number) - 1
+        region = regions[k] if k >= 0 and e.number <= regions[k].last else None
         if region is None or (e.side == 2 and region.side < 2):
             continue
+        # Without markup of the article, a part with a weak name is one only if most content stands in such parts.
+        if not marked and e.side == 1 and region.side == 0 and 2 * outside >= total:
+            continue
         over = part.get(e.number)
         if over is not None and (e.side == 1 or not marked) and over.tag not in LINES and over.tag not in INLINE:
             k = bisect.bisect_left(order, over.number)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ MOST_HEAVY = 16_384  # keys that are dealt over several tasks
 _PLACE = np.uint64((1 << 28) - 1)
 
 
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
     one = np.ones(1, np.uint64)
@@ -39,7 +41,7 @@ def anchored(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray
     n, width = len(data), length - GRAM + 1
     if n < length:
         return none, none, none, np.zeros(0, np.uint64)
-    power, back = _powers(n)
+    power, back = (p[: n + 1] for p in _powers(max(CHUNK + length, n)))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[:-1], dtype=np.uint64)])
     h = mix64((sums[GRAM:] - sums[:-GRAM]) * back[: n - GRAM + 1])
     m = len(h)
