@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
@@ -348,8 +350,6 @@ def folded(text: str) -> str:
 
 def folded_words(text: str) -> list[tuple[str, int, int]]:
     """(folded form, start, end) of the words of a text, places in code points. Joined by blanks the forms are the folded text."""
-    import re
-
     # A word may fold to several (a no-break space within it, say); all have its place.
     return [(w, m.start(), m.end()) for m in re.finditer(r"\S+", text) for w in folded(m.group()).split()]
 
@@ -403,16 +403,19 @@ def _within(words: list[tuple[str, int, int]], needle: str, source: str) -> str
     return source[start:stop]
 
 
+#: Fixed value: a candidate sentence runs to the next stop, or to the end of the text.
+SENTENCE = re.compile(r"[^.!?\n]+(?:[.!?]+|$)")
+
+
 def snapped(quote: str | None, source: str | None, least: float = 0.82, short: int = 30) -> tuple[str | None, str]:
     """The source's own words for a quote, and how they were found.
 
     An ``inferred:`` before the quote is no part of it. ``verbatim`` or ``normalized``: it is there as written, or but for
     case, compatible forms, dashes and blanks. ``sentence``: the nearest sentence, if both have ``short`` characters and a
-    ratio of ``least``; of equal ones the first. ``block``: the longest common block, of ``short`` characters and ``least`` of
+    ratio of ``least``, the quote's side first; of equal ones the first. ``block``: the longest common block, of ``short`` characters and ``least`` of
     the quote. Else ``absent``. Null and blank quotes are absent.
     """
     from difflib import SequenceMatcher
-    import re
 
     quote = re.sub(r"(?i)^\s*inferred\s*:\s*", "", quote or "").strip()
     if not quote or not source:
@@ -424,17 +427,16 @@ def snapped(quote: str | None, source: str | None, least: float = 0.82, short: i
         return own, "normalized"
     if len(q) < short:
         return None, "absent"
-    match = SequenceMatcher(None, autojunk=False)
-    match.set_seq2(q)
     best, score = None, 0.0
-    for sentence in re.split(r"(?<=[.!?])\s+|\n+", source):
-        form = folded(sentence)
+    for m in SENTENCE.finditer(source):
+        form = folded(m.group())
         if len(form) < short:
             continue
-        match.set_seq1(form)
+        match = SequenceMatcher(None, q, form)
         # Cheap upper bounds first, so that most sentences need no alignment.
-        if match.real_quick_ratio() > max(score, least - 1e-9) and match.quick_ratio() > max(score, least - 1e-9) and (r := match.ratio()) > score:
-            best, score = sentence.strip(), r
+        floor = max(score, least - 1e-9)
+        if match.real_quick_ratio() > floor and match.quick_ratio() > floor and (r := match.ratio()) > score:
+            best, score = m.group().strip(), r
     if score >= least:
         return best, "sentence"
     line = " ".join(w for w, _, _ in words)

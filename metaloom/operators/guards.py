@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from metaloom.functions import text as X
+from metaloom.operators.negation import negated  # noqa: F401: by scope
 
 
 def present(conditions: list[tuple[Column, str]]) -> Column:
@@ -57,13 +58,6 @@ def numeric_mismatch(value: Column, evidence: Column) -> Column:
     return F.size(F.array_except(F.transform(n, lambda x: x.cast("double")), F.transform(e, lambda x: x.cast("double")))) > 0
 
 
-def negated(value: Column, evidence: Column) -> Column:
-    """Whether a negation stands within five words before the value in its evidence."""
-    before = F.regexp_extract(X.key(evidence), r"^(.*?)$", 1)
-    head = F.when(F.contains(before, X.key(value)), F.substring_index(before, X.key(value), 1)) if isinstance(value, str) else F.when(F.instr(before, X.key(value)) > 0, F.left(before, F.instr(before, X.key(value)) - 1))
-    return F.coalesce(head.rlike(r"\b(?:no|not|without|never|neither|nor|absence of|lack of|excluding|except)\b(?:\W+\w+){0,5}\W*$"), F.lit(False))
-
-
 def retry_winner(attempts: DataFrame, by: list[str]) -> DataFrame:
     """Each record's attempt of highest confidence; of equal ones the first."""
     best = F.max_by(F.struct("attempt", "temperature", "value", "confidence"), F.struct("confidence", (-F.col("attempt")).alias("a"))).alias("b")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from metaloom.functions import measures as M
 from metaloom.functions import text as X
+from metaloom.session import kept
 
 
 def compare(golden: Column, predicted: Column, golden_id: Column, predicted_id: Column, hops: Column, cosine: Column, threshold: float = 0.75) -> tuple[Column, Column]:
@@ -205,12 +205,12 @@ def clusters(nodes: DataFrame, links: DataFrame, most: int = 60, small: int = SM
     an error. Rounds are checkpointed, in the folder set on the context or, on a local master alone, in a temporary one.
     """
     shape = "a long, b long"
-    e = _kept(links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_stars, shape))
+    e = kept(links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_stars, shape))
     if e.count() <= small:
         found = e.coalesce(1).mapInArrow(_stars, shape).toDF("__n", "cluster")
     else:
         every = e.select(F.col("a").alias("__n")).distinct()
-        e = _kept(e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        e = kept(e.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
         state = None
         for _ in range(most):
             both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -218,7 +218,7 @@ def clusters(nodes: DataFrame, links: DataFrame, most: int = 60, small: int = SM
             large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
             low = large.groupBy("a").agg(F.min("b").alias("m"))
             star = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(low.select("a", F.col("m").alias("b")))
-            e = _kept(star.filter("a <> b").distinct())
+            e = kept(star.filter("a <> b").distinct())
             now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
             if now == state:
                 break
@@ -230,17 +230,6 @@ def clusters(nodes: DataFrame, links: DataFrame, most: int = 60, small: int = SM
     return nodes.join(found, F.col("id") == F.col("__n"), "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed, so that its lineage ends and it outlives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="metaloom-"))
-    return df.checkpoint()
-
-
 def max_similarity(pairs: DataFrame) -> DataFrame:
     """(id, best): the greatest cosine between two value sets, of pairs (id, cosine)."""
     return pairs.groupBy("id").agg(F.max("cosine").alias("best"))

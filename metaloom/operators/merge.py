@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from metaloom.functions import measures as M
 from metaloom.functions.text import fraction_of
+from metaloom.session import kept
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -166,9 +167,7 @@ def shards(files: DataFrame, order: str, n: int) -> DataFrame:
     Spark sorts by ranges; a row's place is its place in its range and the sizes of the ranges before, which are a row for
     each task. The ranges are checkpointed once, so that both are of the same cut. No task sorts all files.
     """
-    from metaloom.operators.matching import _kept
-
-    sorted_ = _kept(files.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()))
+    sorted_ = kept(files.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()))
     counts = sorted_.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.select(F.col("__part").alias("__k"), (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
     place = F.col("__before") + F.row_number().over(W.partitionBy("__part").orderBy(order)) - 1

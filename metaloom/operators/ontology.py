@@ -11,23 +11,26 @@ from pyspark.sql import functions as F
 
 from metaloom.functions import measures as M
 from metaloom.functions.text import key
+from metaloom.session import kept
 
 
 def closure(edges: DataFrame, levels: int | None = None, most: int = 64) -> DataFrame:
     """All ancestors of each node with the fewest hops to them.
 
     With ``levels``, ancestors within so many hops, as one lazy plan. Without, levels are added until there are no new
-    pairs; each new level is kept, as is what was found, so nothing is walked twice. Diamonds give one row, and cycles end.
+    pairs; each new level is checkpointed, so nothing is walked twice. Diamonds give one row, and cycles end.
     A graph of more than ``most`` levels raises an error: no closure is given in part.
     """
     e = edges.select(F.col("child"), F.col("parent")).filter("child is not null and parent is not null and child <> parent").distinct()
     level = e.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("hops"))
+    if levels is None:
+        e, level = kept(e), kept(level)
     found = level
     for h in range(2, (levels or most) + 1):
         step = level.join(e, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor"), F.lit(h).alias("hops")).filter("node <> ancestor").distinct()
         step = step.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
         if levels is None:
-            step = step.persist()
+            step = kept(step)
             if step.isEmpty():
                 break
         found, level = found.unionAll(step), step
@@ -146,23 +149,6 @@ def pair_metrics(pairs: DataFrame, whole: DataFrame, ic: DataFrame, depth: DataF
     return j.select("a", "b", *[forms[m]().alias(m) for m in METRICS if m in wanted])
 
 
-def topological_information(edges: DataFrame, levels: int) -> DataFrame:
-    """(node, ti): 0 for roots; for others the sum over parents of the parent's ti + ln(its number of children).
-
-    A node's value needs all its parents', so the sum is taken over all upward paths: ti = sum over edges on them. Edges
-    are walked level by level with the number of paths that reach each ancestor; no more than ``levels`` levels.
-    """
-    e = edges.select("child", "parent").distinct()
-    weight = e.groupBy("parent").agg(F.ln(F.count(F.lit(1)).cast("double")).alias("w"))
-    e = e.join(weight, "parent").select("child", "parent", "w")
-    level = e.select(F.col("child").alias("node"), F.col("parent").alias("at"), F.lit(1).cast("long").alias("paths"), "w").withColumn("part", F.col("paths") * F.col("w"))
-    parts = level.select("node", "part")
-    for _ in range(1, levels):
-        level = level.select("node", "at", "paths").join(e, F.col("at") == F.col("child")).groupBy("node", F.col("parent").alias("at")).agg(F.sum("paths").alias("paths"), F.sum(F.col("paths") * F.col("w")).alias("part"))
-        parts = parts.unionAll(level.select("node", "part"))
-    return nodes_of(edges).join(parts.groupBy("node").agg(F.sum("part").alias("ti")), "node", "left").select("node", F.coalesce("ti", F.lit(0.0)).alias("ti"))
-
-
 def go_universal(pairs: DataFrame, whole: DataFrame, ti: DataFrame) -> DataFrame:
     """(a, b, similarity): the topological information of the common ancestors over that of all."""
     weight = ti.withColumnRenamed("node", "ancestor")
@@ -173,39 +159,6 @@ def go_universal(pairs: DataFrame, whole: DataFrame, ti: DataFrame) -> DataFrame
     return j.select("a", "b", M.ratio_or(s, F.col("ta") + F.col("tb") - s).alias("similarity"))
 
 
-def undirected_distance(pairs: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """(a, b, hops, distance): the shortest way over edges in either direction, to ``most`` hops, and hops / (1 + hops). Searches start at the pairs' first nodes alone."""
-    e = edges.select(F.col("child").alias("x"), F.col("parent").alias("y")).unionAll(edges.select(F.col("parent"), F.col("child"))).distinct()
-    reached = pairs.select("a", F.col("a").alias("at")).distinct().withColumn("hops", F.lit(0))
-    level = reached
-    for h in range(1, most + 1):
-        step = level.join(e, F.col("at") == F.col("x")).select("a", F.col("y").alias("at")).distinct()
-        step = step.join(reached.select("a", "at"), ["a", "at"], "left_anti").withColumn("hops", F.lit(h))
-        reached, level = reached.unionAll(step), step
-    d = reached.withColumnRenamed("at", "b")
-    return pairs.select("a", "b").distinct().join(d, ["a", "b"], "left").select("a", "b", "hops", (F.col("hops") / (1 + F.col("hops"))).alias("distance"))
-
-
-def weighted_distance(pairs: DataFrame, edges: DataFrame, rounds: int) -> DataFrame:
-    """(a, b, cost): the cheapest way over edges (child, parent, weight) in either direction, of ``rounds`` edges at most, by relaxing level by level."""
-    e = edges.select(F.col("child").alias("x"), F.col("parent").alias("y"), "weight").unionAll(edges.select("parent", "child", "weight"))
-    e = e.groupBy("x", "y").agg(F.min("weight").alias("weight"))
-    best = pairs.select("a", F.col("a").alias("at")).distinct().withColumn("cost", F.lit(0.0))
-    for _ in range(rounds):
-        step = best.join(e, F.col("at") == F.col("x")).select("a", F.col("y").alias("at"), (F.col("cost") + F.col("weight")).alias("cost"))
-        best = best.unionAll(step).groupBy("a", "at").agg(F.min("cost").alias("cost"))
-    return pairs.select("a", "b").distinct().join(best.withColumnRenamed("at", "b"), ["a", "b"], "left").select("a", "b", "cost")
-
-
-def path_to_root(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """(node, path): the chain of first parents (smallest name) as 'node>parent>...', of ``most`` steps at most, so cycles end."""
-    first = edges.groupBy("child").agg(F.min("parent").alias("parent"))
-    out = nodes.select("node", F.col("node").alias("at"), F.col("node").alias("path"))
-    for _ in range(most):
-        out = out.join(first, F.col("at") == F.col("child"), "left").select("node", F.coalesce("parent", "at").alias("at"), F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat_ws(">", "path", "parent")).alias("path"))
-    return out.select("node", "path")
-
-
 def resolve(terms: DataFrame, names: DataFrame, synonyms: DataFrame, prefix: str | None = None) -> DataFrame:
     """(term, node, status, candidates) by exact lookup of keys.
 

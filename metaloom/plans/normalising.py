@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from metaloom.operators import grounding as D
 from metaloom.operators import normalisation as N
 from metaloom.operators import ontology as O
+from metaloom.operators import paths as P
 from metaloom.plans import ontology as G
 from metaloom.session import table
 
@@ -98,7 +99,7 @@ def graph_information(spark, sf_dir):
     """Two further measures of supplier pairs: by topological information, and by the information of shared ancestors."""
     e, closed, nodes, whole = G.parts(spark, sf_dir)
     pairs = G.pairs(spark, sf_dir)
-    g = N.graph_ic(pairs, whole, O.topological_information(e, G.LEVELS)).select("a", "b", F.round("graph_ic", 6).alias("graph_ic"))
+    g = N.graph_ic(pairs, whole, P.topological_information(e)).select("a", "b", F.round("graph_ic", 6).alias("graph_ic"))
     i = N.information_jaccard(pairs, whole, O.information_content(nodes, closed)).select("a", "b", F.round("jaccard_ic", 6).alias("jaccard_ic"))
     return g.join(i, ["a", "b"])
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metaloom.operators import ontology as O
+from metaloom.operators import paths as P
 from metaloom.session import table
 
 LEVELS = 2  # supplier or customer, nation, region
@@ -31,6 +32,30 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionAll(s.select(name("S:", "s_suppkey"), F.concat(F.lit("R:"), (F.col("s_suppkey") % 5).cast("string")))).distinct()
 
 
+def deep_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph as deep as parts have binary digits: each part under those of half and of a third of its key."""
+    k = F.col("p_partkey")
+    up = F.explode(F.array(F.floor(k / 2), F.floor(k / 3))).alias("parent")
+    return table(spark, sf_dir, "part").filter(k > 0).select(k.alias("child"), up).distinct()
+
+
+def deep_closure(spark, sf_dir):
+    """All ancestors of parts in the deep graph, with the fewest steps."""
+    return O.closure(deep_edges(spark, sf_dir))
+
+
+def deep_levels(spark, sf_dir):
+    """Parts of the deep graph in topological order."""
+    return P.topological_order(deep_edges(spark, sf_dir))
+
+
+def deep_costs(spark, sf_dir):
+    """The cheapest ways from part 0 to all parts over the deep graph, steps weighed by the size of the part below."""
+    size = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("child"), F.col("p_size").alias("weight"))
+    e = deep_edges(spark, sf_dir).join(size, "child")
+    return P.cheapest(table(spark, sf_dir, "part").select(F.lit(0).cast("long").alias("a"), F.col("p_partkey").alias("b")), e)
+
+
 EDGES = """
 e AS (SELECT 'N:' || n_nationkey child, 'R:' || n_regionkey parent FROM nation UNION ALL SELECT 'S:' || s_suppkey, 'N:' || s_nationkey FROM supplier)"""
 ALL_EDGES = EDGES[:-1] + " UNION ALL SELECT 'C:' || c_custkey, 'N:' || c_nationkey FROM customer)"
@@ -92,12 +117,12 @@ def onto_lca(spark, sf_dir):
 
 
 def onto_ti(spark, sf_dir):
-    return r6(O.topological_information(edges(spark, sf_dir), LEVELS), "ti")
+    return r6(P.topological_information(edges(spark, sf_dir)), "ti")
 
 
 def onto_go_universal(spark, sf_dir):
     e, _, _, w = parts(spark, sf_dir)
-    return r6(O.go_universal(pairs(spark, sf_dir), w, O.topological_information(e, LEVELS)), "similarity")
+    return r6(O.go_universal(pairs(spark, sf_dir), w, P.topological_information(e)), "similarity")
 
 
 def _orders_by_customer(spark, sf_dir):
@@ -112,17 +137,17 @@ def corpus_ic(spark, sf_dir):
 
 
 def hop_distance(spark, sf_dir):
-    return r6(O.undirected_distance(pairs(spark, sf_dir), edges(spark, sf_dir), 4), "distance")
+    return r6(P.fewest(pairs(spark, sf_dir), edges(spark, sf_dir)), "distance")
 
 
 def weighted_distance(spark, sf_dir):
     e = edges(spark, sf_dir).withColumn("weight", F.when(F.col("child").startswith("S:"), 1.0).otherwise(2.5))
-    return O.weighted_distance(pairs(spark, sf_dir), e, 4)
+    return P.cheapest(pairs(spark, sf_dir), e)
 
 
 def root_paths(spark, sf_dir):
     e = edges(spark, sf_dir)
-    return O.path_to_root(O.nodes_of(e), e, LEVELS)
+    return P.path_to_root(O.nodes_of(e), e)
 
 
 def _names(spark, sf_dir):
@@ -189,11 +214,24 @@ terms AS (SELECT DISTINCT term FROM (SELECT ' ' || upper(p_name) term FROM part
 KEY = "trim(regexp_replace(lower({}), '\\s+', ' ', 'g'))"
 
 QUERIES = {
-    **{f.__name__: f for f in (onto_closure, onto_ic, onto_depths, onto_lca, onto_ti, onto_go_universal, corpus_ic, hop_distance, weighted_distance, root_paths, lexical_resolution, contained_names, taxon_compat_flags)},
+    **{f.__name__: f for f in (onto_closure, onto_ic, onto_depths, onto_lca, onto_ti, onto_go_universal, corpus_ic, hop_distance, weighted_distance, root_paths, deep_closure, deep_levels, deep_costs, lexical_resolution, contained_names, taxon_compat_flags)},
     **{f"onto_{m}": partial(onto_metric, name=m) for m in METRICS},
 }
 TI = ", ti AS (SELECT n.node, coalesce(sum(w.w * p.paths), 0.0) ti FROM nodes n LEFT JOIN (SELECT c.node, c.ancestor, count(*) paths FROM closed c GROUP BY 1, 2) p USING (node) LEFT JOIN (SELECT parent, ln(count(*)) w FROM e GROUP BY parent) w ON w.parent = p.ancestor GROUP BY n.node)"
+# The recursion keeps the least cost of each node and goes on from those that fell.
+DEEP = "e AS (SELECT DISTINCT p_partkey child, unnest([p_partkey // 2, p_partkey // 3]) parent, p_size weight FROM part WHERE p_partkey > 0)"
 ORACLES = {
+    "deep_closure": f"""
+WITH RECURSIVE {DEEP}, r AS (SELECT child AS node, parent AS ancestor, 1 AS hops FROM e UNION SELECT r.node, e.parent, r.hops + 1 FROM r JOIN e ON e.child = r.ancestor)
+SELECT node, ancestor, min(hops)::INT hops FROM r GROUP BY 1, 2""",
+    "deep_levels": f"""
+WITH RECURSIVE {DEEP}, r AS (SELECT 0::BIGINT AS node, 0 AS level UNION SELECT e.child, r.level + 1 FROM r JOIN e ON e.parent = r.node)
+SELECT node, max(level)::INT AS level FROM r GROUP BY 1""",
+    "deep_costs": f"""
+WITH RECURSIVE {DEEP}, ways AS (SELECT child x, parent y, weight FROM e UNION ALL SELECT parent, child, weight FROM e),
+r(a, b, cost) USING KEY (b) AS (SELECT 0::BIGINT, 0::BIGINT, 0.0::DOUBLE UNION
+  SELECT 0::BIGINT, y, min(r.cost + weight)::DOUBLE FROM r JOIN ways ON x = r.b LEFT JOIN recurring.r AS k ON k.b = y GROUP BY y, k.cost HAVING k.cost IS NULL OR min(r.cost + weight) < k.cost)
+SELECT a, b, cost FROM r""",
     "onto_closure": f"WITH RECURSIVE {ALL_EDGES}, r AS (SELECT child AS node, parent AS ancestor, 1 AS hops FROM e UNION SELECT r.node, e.parent, r.hops + 1 FROM r JOIN e ON e.child = r.ancestor) SELECT node, ancestor, min(hops)::INT hops FROM r GROUP BY node, ancestor",
     "onto_ic": HEAD + "SELECT node, n_desc, round(ic, 6) ic FROM ic",
     "onto_depths": HEAD + "SELECT node, depth, max_depth FROM depth",

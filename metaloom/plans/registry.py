@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from metaloom.plans import evaluation, judging, merging, normalising, ontology, records, reports, scalars, sources, texts, vectors
+from metaloom.plans import evaluation, judging, lookup, merging, normalising, ontology, records, reports, scalars, sources, texts, vectors
 
-MODULES = (evaluation, ontology, merging, vectors, texts, reports, judging, normalising, scalars, sources, records)
+MODULES = (evaluation, ontology, merging, vectors, texts, reports, judging, normalising, scalars, sources, records, lookup)
 FLAGSHIP = "prf_micro"
 
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}

@@ -9,6 +9,7 @@ from metaloom.operators import guards as Q
 from metaloom.operators import matching as V
 from metaloom.operators import merge as G
 from metaloom.operators import ontology as O
+from metaloom.operators import paths as P
 
 
 @pytest.fixture(scope="module")
@@ -43,11 +44,11 @@ def test_similarities(spark, graph):
     assert m[("c", "d")].jaccard == pytest.approx(2 / 5)
     lca = {(r.a, r.b): r.lca for r in O.lowest_common(pairs, w).collect()}
     assert lca[("c", "d")] == "b" and lca[("c", "b")] == "b" and ("c", "x") not in lca
-    ti = {r.node: r.ti for r in O.topological_information(graph, 5).collect()}
+    ti = {r.node: r.ti for r in P.topological_information(graph).collect()}
     import math
 
     assert ti["r"] == 0 and ti["a"] == pytest.approx(math.log(2)) and ti["c"] == pytest.approx(math.log(2) * 2 + math.log(2) + math.log(1))
-    d = {(r.a, r.b): r.hops for r in O.undirected_distance(pairs, graph, 4).collect()}
+    d = {(r.a, r.b): r.hops for r in P.fewest(pairs, graph).collect()}
     assert d[("c", "d")] == 2 and d[("c", "x")] is None and d[("a", "a")] == 0
 
 
