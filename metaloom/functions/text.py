@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-
 from collections.abc import Iterable, Sequence
 
 import pandas as pd
@@ -360,20 +359,32 @@ def canonical(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else folded(t))
 
 
+_INITIAL = re.compile(r"([a-z])\. (.+)", re.S)
+
+
+def abbreviated(short: str, long: str, least: float = 0.9) -> bool:
+    """Whether ``short`` is a letter, a stop and what follows the first word of ``long``, which begins with that letter; both lower case. What follows may differ a little: by a ratio above ``least``."""
+    from difflib import SequenceMatcher
+
+    m, words = _INITIAL.fullmatch(short), long.split()
+    if m is None or not words or words[0][0] != m[1]:
+        return False
+    rest = " ".join(words[1:])
+    return m[2] == rest or SequenceMatcher(None, m[2], rest).ratio() > least
+
+
 def similarity(a: str | None, b: str | None) -> float | None:
-    """Twice the matched characters over all, by longest matching blocks; .95 for an abbreviated genus ('H. sapiens')."""
+    """Twice the matched characters over all, by longest matching blocks; .95 for an abbreviated genus ('H. sapiens'); 0 for a blank."""
     from difflib import SequenceMatcher
 
     if a is None or b is None:
         return None
     a, b = a.strip().lower(), b.strip().lower()
+    if not a or not b:
+        return 0.0
     if a == b:
         return 1.0
-    for x, y in ((a, b), (b, a)):
-        p, q = x.split(), y.split()
-        if len(p) == len(q) == 2 and len(p[0]) == 2 and p[0][1] == "." and q[0].startswith(p[0][0]) and p[1] == q[1]:
-            return 0.95
-    return SequenceMatcher(None, a, b).ratio()
+    return 0.95 if abbreviated(a, b) or abbreviated(b, a) else SequenceMatcher(None, a, b).ratio()
 
 
 @F.pandas_udf(T.DoubleType())

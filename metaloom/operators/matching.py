@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from metaloom.functions import measures as M
 from metaloom.functions import text as X
+from metaloom.operators import phrases
 from metaloom.session import kept
 
 
@@ -275,81 +276,15 @@ def normalise(terms: DataFrame, lexical: DataFrame, neighbours: DataFrame, unimo
     return j.select("term", F.coalesce("u", "l", semantic).alias("node"), method.alias("method"), F.when(F.coalesce("u", "l").isNotNull(), 1.0).otherwise(F.when(semantic.isNotNull(), F.col("s.similarity"))).alias("similarity"))
 
 
-def _found_by_automaton(quotes: list[tuple], shape: str, sources: DataFrame) -> DataFrame:
-    """Quotes (item_id, quote, key) in texts, all searched for at once in one pass over each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        by_key: dict[str, list[int]] = {}
-        for i, (_, _, k) in enumerate(quotes):
-            by_key.setdefault(k, []).append(i)
-        search = ahocorasick.Automaton()
-        for k, v in by_key.items():
-            search.add_word(k, v)
-        search.make_automaton()
-        for b in batches:
-            docs, items, how = [], [], []
-            for doc, text, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for i in sorted({i for _, v in search.iter(key) for i in v}) if key else ():
-                    docs.append(doc)
-                    items.append(quotes[i][0])
-                    how.append("verbatim" if quotes[i][1] in text else "normalized")
-            yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(docs, b.schema.field(0).type), pa.array(how, pa.string())], ["item_id", "doc_id", "status"])
-
-    return sources.select("doc_id", "text", X.key("text").alias("key")).filter("text is not null").mapInArrow(run, shape)
-
-
-def evidence_status(quotes: DataFrame, sources: DataFrame, small: int = 16 << 20) -> DataFrame:
+def evidence_status(quotes: DataFrame, sources: DataFrame, **sizes: int) -> DataFrame:
     """(item_id, doc_id, status): where each quote stands, ``verbatim`` or ``normalized`` (but for case and white space).
 
-    Quotes of at most ``small`` characters in all are searched for at once, by an automaton that each task builds. More of
-    them meet texts on runs of eight key words taken from the quote's start, so that only texts that hold the run are
-    searched; a quote of fewer words meets on all of them. Quotes found nowhere have a row with null doc_id, ``absent``;
-    empty quotes are nowhere.
+    Quotes found nowhere have a row with null doc_id, ``absent``; empty quotes are nowhere. See phrases.found, which
+    ``sizes`` are for.
     """
-    q = quotes.select(F.col("item_id").cast("long").alias("item_id"), "quote", X.key("quote").alias("k")).filter("k <> ''")
-    total = q.agg(F.coalesce(F.sum(F.length("quote")), F.lit(0))).first()[0]
-    if total <= small:
-        shape = f"item_id long, doc_id {sources.schema['doc_id'].dataType.simpleString()}, status string"
-        met = _found_by_automaton([tuple(r) for r in q.collect()], shape, sources) if total else sources.sparkSession.createDataFrame([], shape)
-    else:
-        met = _found_by_runs(q.select("item_id", "quote"), sources)
-    none = quotes.select(F.col("item_id").cast("long").alias("item_id")).join(met.select("item_id").distinct(), "item_id", "left_anti")
+    q = quotes.select(F.col("item_id").cast("long").alias("item_id"), "quote")
+    texts = sources.select(F.col("doc_id").alias("doc"), X.key("text").alias("key"), "text")
+    met = phrases.found(q.select(F.col("item_id").alias("id"), X.key("quote").alias("key"), F.col("quote").alias("written")), texts, **sizes)
+    met = kept(met.select(F.col("id").alias("item_id"), F.col("doc").alias("doc_id"), F.when(F.col("verbatim"), "verbatim").otherwise("normalized").alias("status")))
+    none = q.select("item_id").join(met.select("item_id").distinct(), "item_id", "left_anti")
     return met.unionAll(none.select("item_id", F.lit(None).cast(sources.schema["doc_id"].dataType).alias("doc_id"), F.lit("absent").alias("status")))
-
-
-def _found_by_runs(quotes: DataFrame, sources: DataFrame) -> DataFrame:
-    """As evidence_status, for quotes of any number: a join on runs of words."""
-    width = 8
-    q = quotes.select("item_id", "quote").withColumn("k", X.key("quote")).withColumn("w", F.split("k", " "))
-    q = q.withColumn("n", F.least(F.size("w"), F.lit(width))).withColumn("probe", F.array_join(F.slice("w", 1, F.col("n")), " "))
-    lengths = [r[0] for r in q.select("n").distinct().collect()]  # at most ``width`` numbers
-    # The run may begin within a word of the text (punctuation, brackets), so only its inner words must match whole.
-    inner = F.array_join(F.slice("w", 2, F.greatest(F.col("n") - 2, F.lit(0))), " ")
-    q = q.withColumn("inner", inner).withColumn("m", F.greatest(F.col("n") - 2, F.lit(0)))
-    t = sources.select("doc_id", "text").withColumn("tk", X.key("text")).withColumn("tw", F.split("tk", " "))
-    met = None
-    for n in sorted({max(0, x - 2) for x in lengths}):
-        qs = q.filter(F.col("m") == n)
-        if n == 0:
-            # Quotes of one or two words begin and end within words of the text at most: they meet on each word's every
-            # ending, of which a word has as many as letters, so no quote meets a text that lacks its first word.
-            head = F.substring_index("k", " ", 1)
-            ends = F.array_distinct(F.flatten(F.transform("tw", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.substr(w, i)))))
-            alone = qs.filter(~F.contains("k", F.lit(" ")))
-            keyed = t.select("doc_id", F.explode(ends).alias("h")).join(qs.filter(F.contains("k", F.lit(" "))).select(head.alias("h"), "item_id"), "h").select("doc_id", "item_id").distinct()
-            # A single word may stand within one: it meets on every piece of its own length.
-            sizes = [r[0] for r in alone.select(F.length("k")).distinct().collect()]
-            for size in sizes:
-                pieces = F.array_distinct(F.flatten(F.transform("tw", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - size + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(size))))))  # noqa: B023
-                own = alone.filter(F.length("k") == size).select(F.col("k").alias("h"), "item_id")
-                keyed = keyed.unionAll(t.select("doc_id", F.explode(pieces).alias("h")).join(own, "h").select("doc_id", "item_id").distinct())
-            part = keyed.join(qs, "item_id").join(t, "doc_id").filter(F.contains("tk", F.col("k")))
-        else:
-            runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("tw") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("tw", i, n), " "))))
-            keyed = t.select("doc_id", F.explode(runs).alias("h")).join(qs.select(F.xxhash64("inner").alias("h"), "item_id"), "h").select("doc_id", "item_id").distinct()
-            part = keyed.join(qs, "item_id").join(t, "doc_id").filter(F.contains("tk", F.col("k")))
-        part = part.select("item_id", "doc_id", F.when(F.contains("text", F.col("quote")), "verbatim").otherwise("normalized").alias("status"))
-        met = part if met is None else met.unionAll(part)
-    return met

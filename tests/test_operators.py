@@ -113,8 +113,8 @@ def test_evidence_both_ways(spark):
     q = spark.createDataFrame([(1, " ".join(words[3:15])), (2, "W3  w4 W5 w6 w7 w8 w9 w10 w11"), (3, "w1 w2"), (4, "never there at all in any of these texts"), (5, "")], "item_id long, quote string")
     d = spark.createDataFrame([(10, " ".join(words)), (11, "w1 w2x"), (12, None), (13, "")], "doc_id long, text string")
     want = {(1, 10, "verbatim"), (2, 10, "normalized"), (3, 10, "verbatim"), (3, 11, "verbatim"), (4, None, "absent"), (5, None, "absent")}
-    for small in (1 << 20, 0):
-        assert {tuple(r) for r in V.evidence_status(q, d, small=small).collect()} == want
+    for sizes in ({}, {"shard": 10, "block": 40}):
+        assert {tuple(r) for r in V.evidence_status(q, d, **sizes).collect()} == want
 
 
 def test_threshold_pairs_in_blocks(spark):
@@ -236,4 +236,4 @@ def test_short_quotes_without_an_automaton(spark):
     q = spark.createDataFrame([(1, "cat"), (2, "og bar"), (3, "zebra"), (4, "red car"), (5, "x")], "item_id long, quote string")
     d = spark.createDataFrame([(1, "A concatenated dog barks"), (2, "The red  CAR"), (3, "")], "doc_id long, text string")
     want = {tuple(r) for r in V.evidence_status(q, d).collect()}
-    assert {tuple(r) for r in V.evidence_status(q, d, small=0).collect()} == want and (1, 1, "verbatim") in want and (4, 2, "normalized") in want
+    assert {tuple(r) for r in V.evidence_status(q, d, shard=8, block=16).collect()} == want and (1, 1, "verbatim") in want and (4, 2, "normalized") in want
