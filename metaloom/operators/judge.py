@@ -241,11 +241,19 @@ REJECTIONS = ("unknown_field", "not_open", "several", "empty", "rejected", "pres
 
 
 def recovered(candidates: DataFrame, accepted: DataFrame, rejected: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """``candidates`` (pxd, seq, field, value, evidence, paper) with ``reason``: the first of REJECTIONS that holds; null for values to verify.
+    """``candidates`` (pxd, seq, field, value, evidence, paper) with ``reason``: the first of REJECTIONS that holds; null for values to verify. ``evidence_check`` tells how a quote that was looked for stands in the paper: verbatim, normalized or absent.
 
-    accepted and rejected: (pxd, field, value) so far. A field with an accepted value isn't open, but for modifications,
-    which may have several; of several candidates for another field none is taken; of candidates alike the first by seq is.
+    accepted and rejected: (pxd, field, value) so far. First a candidate's field gets its canonical name of ``fields``, case and
+    blanks aside, and the value of a modification is written as a cell, so that it compares with those there. A field
+    with an accepted value isn't open, but for modifications, which may have several; of several candidates for
+    another field none is taken; of candidates alike the first by seq is. Quotation marks around the evidence are no part of it.
     """
+    names = F.create_map(*[F.lit(x) for f in fields for x in (f.lower(), f)])
+    candidates = candidates.withColumn("field", F.coalesce(F.try_element_at(names, F.lower(F.trim("field"))), F.trim("field")))
+    value, cells = F.trim("value"), modifications(F.trim("value"))
+    cell = F.when((F.col("field") == "modification") & ~X.is_nullish("value") & (F.size(cells) == 1), cells[0]).otherwise(value)
+    candidates = candidates.withColumn("value", cell).withColumn("evidence", F.trim("evidence"))
+    quote = F.trim(F.regexp_replace("evidence", '^"+|"+$', ""))
     norm = X.key(readable(F.col("value")))
     mod = F.col("field") == "modification"
     known = lambda d, name: d.select(F.col("pxd").alias("__p"), F.col("field").alias("__f"), X.key(readable(F.col("value"))).alias("__v")).distinct().withColumn(name, F.lit(True))
@@ -255,7 +263,8 @@ def recovered(candidates: DataFrame, accepted: DataFrame, rejected: DataFrame, f
         d = d.join(known(table, name), (F.col("pxd") == F.col("__p")) & (F.col("field") == F.col("__f")) & (norm == F.col("__v")), "left").drop("__p", "__f", "__v")
     words = F.size(F.split(F.trim("evidence"), r"\s+"))
     per = F.count(F.lit(1)).over(W.partitionBy("pxd", "field"))
-    found = F.contains(X.key("paper"), X.key("evidence"))
+    said = F.coalesce(F.contains("paper", quote) & (quote != ""), F.lit(False))
+    found = said | F.coalesce(F.contains(X.key("paper"), X.key(quote)) & (quote != ""), F.lit(False))
     sound = (F.length("evidence") >= 8) & (words <= 60) & F.coalesce(found, F.lit(False)) & ~X.is_nullish("value") & F.col("__rejected").isNull()
     # Only candidates that would be taken count as the first of those alike.
     d = d.withColumn("__norm", X.key("value")).withColumn("__sound", F.coalesce(sound, F.lit(False)))
@@ -267,7 +276,9 @@ def recovered(candidates: DataFrame, accepted: DataFrame, rejected: DataFrame, f
     reason = F.lit(None).cast("string")
     for c, name in reversed(list(zip(conditions, REJECTIONS, strict=True))):
         reason = F.when(c, name).otherwise(reason)
-    return d.withColumn("reason", reason).drop("__open", "__rejected", "__present", "__norm", "__sound")
+    looked = reason.isNull() | (reason == "evidence_absent")
+    check = F.when(looked, F.when(said, "verbatim").when(found, "normalized").otherwise("absent"))
+    return d.withColumn("reason", reason).withColumn("evidence_check", check).drop("__open", "__rejected", "__present", "__norm", "__sound")
 
 
 def named_checks(text: Column, names: Sequence[str] = ("HALLUCINATED", "TYPE_CORRECT", "VALUE_CORRECT", "VALUE_COMPLETE")) -> Column:

@@ -91,35 +91,6 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, query
     return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", "rank", "id", "cosine")
 
 
-def knn_by_centroids(queries: DataFrame, vectors: DataFrame, k: int, cells: int, probe: int, sample: int = 20_000) -> DataFrame:
-    """(q, rank, id, cosine) from the ``probe`` cells nearest to a query among ``cells`` k-means cells of a sample, vectors held as 8-bit codes of their components. Approximate, and never the default."""
-    rows = [r["vec"] for r in vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").collect()]
-    x = np.array(rows, np.float64)
-    x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
-    c = x[np.random.default_rng(0).permutation(len(x))[:cells]]
-    for _ in range(8):
-        near = (x @ c.T).argmax(axis=1)
-        c = np.stack([x[near == i].mean(axis=0) if (near == i).any() else c[i] for i in range(len(c))])
-
-    def assign(n: int):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                m = np.array(b["vec"].tolist(), np.float64)
-                m /= np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
-                best = np.argsort(-(m @ c.T), axis=1, kind="stable")[:, :n]
-                code = np.round(m * 127) / 127
-                yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), best.shape[1]), "cell": best.ravel(), "vec": [v for v in code for _ in range(best.shape[1])]})
-
-        return run
-
-    shape = "id long, cell long, vec array<double>"
-    q = queries.select("id", "vec").mapInPandas(assign(probe), shape).withColumnRenamed("id", "q").withColumnRenamed("vec", "qv")
-    v = vectors.select("id", "vec").mapInPandas(assign(1), shape)
-    s = q.join(v, "cell").filter("q <> id").select("q", "id", M.cosine(F.col("qv"), F.col("vec")).alias("cosine"))
-    w = W.partitionBy("q").orderBy(F.col("cosine").desc(), "id")
-    return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("q", "rank", "id", "cosine")
-
-
 def _meetings(vectors: DataFrame, by: list[str], block: int) -> DataFrame:
     """``vectors`` dealt within groups into blocks __b of about ``block``, a row for each meeting (__x, __y) of two blocks."""
     size = vectors.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("__n"))

@@ -48,22 +48,46 @@ def backfilled(enriched: DataFrame, *others: DataFrame, key: Sequence[str] = ("i
     return out
 
 
-#: What instruments of one kind analyse masses with.
-ANALYSERS = (("orbitrap", "orbitrap"), ("exactive", "orbitrap"), ("exploris", "orbitrap"), ("astral", "asymmetric track lossless time-of-flight analyzer"), ("tof", "time-of-flight"), ("ion trap", "ion trap"))
-
-
-def technical_record(properties: DataFrame) -> DataFrame:
-    """(id, instrument, analyzer, acquisition, labelling) told by a project's properties (id, property, values): the analyser follows from the instrument's name, label-free from a quantification that says so, the acquisition from experiment types."""
-    p = properties.groupBy("id").agg(*[F.max(F.when(F.col("property") == n, F.col("values"))).alias(n) for n in ("instruments", "experimentTypes", "quantificationMethods")])
-    name = F.lower(F.coalesce("instruments", F.lit("")))
-    analyser = F.lit(None).cast("string")
-    for word, kind in reversed(ANALYSERS):
-        analyser = F.when(name.contains(word), kind).otherwise(analyser)
-    kinds = F.lower(F.coalesce("experimentTypes", F.lit("")))
-    acquisition = F.when(kinds.rlike(r"data-independent|swath|\bdia\b"), "DIA").when(kinds.rlike(r"shotgun|data-dependent|bottom-up|\bdda\b"), "DDA")
-    labels = F.lower(F.coalesce("quantificationMethods", F.lit("")))
-    labelling = F.when(labels.contains("tmt"), "TMT").when(labels.contains("itraq"), "iTRAQ").when(labels.contains("silac"), "SILAC").when(labels.rlike("label[- ]free|spectral count"), "label free")
-    return p.select("id", X.known("instruments").alias("instrument"), analyser.alias("analyzer"), acquisition.alias("acquisition"), labelling.alias("labelling"))
+#: The fields of a technical record, and those that a project's properties tell.
+TECHNICAL = (
+    "acquisition_method", "alkylation_concentration", "alkylation_reagent", "cleavage_agent", "collision_energy", "enrichment_method", "fractionation_method", "fragmentation_method",
+    "instrument", "ionization_type", "labeling", "mass_analyzer", "ptm", "reduction_concentration", "reduction_reagent",
+)
+TOLD = {"acquisition_method": "experiment types", "instrument": "instruments", "labeling": "quantification", "ptm": "modifications"}
+
+
+def technical_record(texts: DataFrame) -> DataFrame:
+    """(id, field, seq, value, evidence) of texts (id, text) by the properties that they print.
+
+    The properties are the lines 'key: value; value' between '=== PRIDE PROJECT PROPERTIES ===' and the next line that
+    begins with '=== '; case in keys aside, of a repeated key the last line counts. Experiment types, instruments,
+    modifications and quantification give the values of TOLD, each with the printed line as evidence. An instrument
+    whose name holds "orbitrap" gives the analyser Orbitrap, with the line as inferred evidence. All other fields of TECHNICAL,
+    and such without values, are unknown, without evidence.
+    """
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n")
+    after = F.regexp_extract(text, r"(?s)(?:^|\n)[^\S\n]*=== PRIDE PROJECT PROPERTIES ===[^\S\n]*\n(.*)", 1)
+    block = F.regexp_replace(F.concat(F.lit("\n"), after), r"(?s)\n=== .*", "")
+    lines = F.filter(F.split(block, "\n"), lambda x: F.contains(x, F.lit(":")))
+    t = texts.select("id", lines.alias("lines"))
+    named = lambda key: F.try_element_at(F.filter("lines", lambda x: F.lower(F.trim(F.substring_index(x, ":", 1))) == key), F.lit(-1))
+    values = lambda line: F.filter(F.transform(F.split(F.regexp_replace(line, "^[^:]*:", ""), ";"), lambda v: F.trim(v)), lambda v: v != "")
+    entry = lambda v, e: F.struct(v.alias("value"), e.alias("evidence"))
+    told = lambda line: F.transform(values(line), lambda v: entry(v, line))
+    unknown = F.array(entry(F.lit("unknown"), F.lit("")))
+    records = []
+    for field in TECHNICAL:
+        found = F.lit(None)
+        if field in TOLD:
+            line = named(TOLD[field])
+            found = told(line)
+        elif field == "mass_analyzer":
+            line = named(TOLD["instrument"])
+            found = F.when(F.exists(values(line), lambda v: F.lower(v).contains("orbitrap")), F.array(entry(F.lit("Orbitrap"), F.concat(F.lit("inferred: "), line))))
+        found = unknown if field not in TOLD and field != "mass_analyzer" else F.when(F.size(F.coalesce(found, F.array().cast("array<struct<value:string,evidence:string>>"))) > 0, found).otherwise(unknown)
+        records.append(F.struct(F.lit(field).alias("field"), found.alias("entries")))
+    r = t.select("id", F.explode(F.array(*records)).alias("r"))
+    return r.select("id", F.col("r.field").alias("field"), F.posexplode("r.entries").alias("seq", "x")).select("id", "field", "seq", "x.value", "x.evidence")
 
 
 def distinct_raters(annotations: DataFrame) -> DataFrame:

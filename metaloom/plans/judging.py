@@ -72,14 +72,14 @@ def recovered_values(spark, sf_dir):
     """Parts as candidates for fields of their brand, with reasons for those that aren't taken."""
     p = table(spark, sf_dir, "part")
     k = F.floor(F.col("p_partkey") / 3)
-    field = _case(F.col("p_partkey") % 7, F.lit("modification"), F.lit("modification"), F.lit("tissue"), F.lit("age"), F.lit("modification"), F.lit("nonsense"), F.lit("sex"))
+    field = _case(F.col("p_partkey") % 7, F.lit("Modification"), F.lit(" modification"), F.lit("TISSUE"), F.lit("Age "), F.lit("MODIFICATION"), F.lit("nonsense"), F.lit("sex"))
     value = F.when(F.col("p_size") % 11 == 0, "n/a").when(F.col("p_size") % 5 == 0, "fixed").otherwise(F.substring_index("p_name", " ", 1))
-    evidence = F.when(F.col("p_partkey") % 13 == 0, "short").when(F.col("p_partkey") % 17 == 0, "made up evidence").otherwise(F.concat(F.lit("printed: "), F.col("p_name")))
+    evidence = F.when(F.col("p_partkey") % 13 == 0, "short").when(F.col("p_partkey") % 17 == 0, "made up evidence").otherwise(F.concat(F.lit('"printed: '), F.col("p_name"), F.lit('"')))
     c = p.select(k.alias("pxd"), F.col("p_partkey").alias("seq"), field.alias("field"), value.alias("value"), evidence.alias("evidence"), F.concat(F.lit("The text. PRINTED:  "), F.col("p_name"), F.lit(".")).alias("paper"))
-    accepted = p.filter("p_partkey % 4 = 0").select(k.alias("pxd"), F.lit("tissue").alias("field"), F.lit("x").alias("value")).unionAll(p.filter("p_partkey % 6 = 0").select(k, F.lit("modification"), F.lit("fixed")))
+    accepted = p.filter("p_partkey % 4 = 0").select(k.alias("pxd"), F.lit("tissue").alias("field"), F.lit("x").alias("value")).unionAll(p.filter("p_partkey % 6 = 0").select(k, F.lit("modification"), F.lit("NT=Fixed")))
     rejected = p.filter("p_partkey % 5 = 0").select(k.alias("pxd"), F.lit("age").alias("field"), F.upper(F.substring_index("p_name", " ", 1)).alias("value"))
     r = J.recovered(c, accepted, rejected, ["tissue", "age", "sex", "modification"])
-    return r.select("pxd", "seq", "reason")
+    return r.select("pxd", "seq", "field", "reason", "evidence_check")
 
 
 def modification_cells(spark, sf_dir):
@@ -144,9 +144,9 @@ ORACLES = {
       acc AS (SELECT DISTINCT p_partkey // 3 pxd FROM part WHERE p_partkey % 4 = 0), mods AS (SELECT DISTINCT p_partkey // 3 pxd FROM part WHERE p_partkey % 6 = 0),
       rej AS (SELECT DISTINCT p_partkey // 3 pxd, lower(string_split(p_name, ' ')[1]) v FROM part WHERE p_partkey % 5 = 0),
       d AS (SELECT *, count(*) OVER (PARTITION BY pxd, field) per, field = 'age' AND (pxd, lower(v)) IN (SELECT pxd, v FROM rej) rejected, e = 'x' AND v <> 'n/a' AND NOT (field = 'age' AND (pxd, lower(v)) IN (SELECT pxd, v FROM rej)) sound FROM c)
-      SELECT pxd, seq, CASE WHEN field = 'nonsense' THEN 'unknown_field' WHEN field = 'tissue' AND pxd IN (SELECT pxd FROM acc) THEN 'not_open' WHEN field <> 'modification' AND per > 1 THEN 'several' WHEN v = 'n/a' THEN 'empty' WHEN rejected THEN 'rejected'
+      SELECT *, CASE WHEN reason IS NULL THEN 'normalized' WHEN reason = 'evidence_absent' THEN 'absent' END evidence_check FROM (SELECT pxd, seq, field, CASE WHEN field = 'nonsense' THEN 'unknown_field' WHEN field = 'tissue' AND pxd IN (SELECT pxd FROM acc) THEN 'not_open' WHEN field <> 'modification' AND per > 1 THEN 'several' WHEN v = 'n/a' THEN 'empty' WHEN rejected THEN 'rejected'
         WHEN field = 'modification' AND v = 'fixed' AND pxd IN (SELECT pxd FROM mods) THEN 'present' WHEN coalesce(sum(sound::INT) OVER (PARTITION BY pxd, field, lower(v) ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 THEN 'duplicate'
-        WHEN e = 'short' THEN 'evidence_length' WHEN e <> 'x' THEN 'evidence_absent' END reason FROM d""",
+        WHEN e = 'short' THEN 'evidence_length' WHEN e <> 'x' THEN 'evidence_absent' END reason FROM d)""",
     "modification_cells": """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'NT=Oxidation;TA=M;MT=Variable + NT=Carbamidomethyl;TA=C;MT=Fixed' WHEN 1 THEN 'NT=Phospho;TA=S,T;MT=Variable + NT=M' || p_size || ';PP=Protein N-term;MT=Variable' WHEN 2 THEN 'NT=X' || p_size || ';TA=K' ELSE 'NT=Label ' || p_size END cells,
       CASE p_partkey % 4 WHEN 0 THEN 'Oxidation (M, Variable) + Carbamidomethyl (C, Fixed)' WHEN 1 THEN 'Phospho (S,T, Variable) + M' || p_size || ' (Protein N-term, Variable)' WHEN 2 THEN 'X' || p_size || ' (K)' ELSE 'Label ' || p_size END readable,
       'a|s,t||fixed' meaning, 'NT=M' || p_size || ';AC=A:1;TA=S,T;PP=Protein N-term;MT=Fixed' site FROM part""",

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from metaloom.operators import fuzzy as Z
 from metaloom.operators import negation as N
-from metaloom.session import table
+from metaloom.operators import vector_index as X
+from metaloom.session import shared_folder, table
 
 #: Sentences in which {v} is a value, the trigger that negates it or none.
 SENTENCES = (
@@ -39,12 +41,41 @@ def negation_flags(spark, sf_dir):
     return N.flags(fields).select("p_partkey", "value", "trigger", "type")
 
 
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def index_exact(spark, sf_dir):
+    """The five nearest of every twentieth vector by the stored index, all cells probed: 8-bit codes, then exact cosines."""
+    v = _vectors(spark, sf_dir)
+    index = X.opened(v, shared_folder(spark) + "/vector-index", "embeddings")
+    found = X.search(index, v.filter("id % 20 = 0"), 5, probes=len(index.centroids))
+    return found.select("q", "rank", "id", F.round("cosine", 6).alias("cosine"))
+
+
+def index_search(spark, sf_dir):
+    """As index_exact, but in as many cells as the index measured to hold nearly all."""
+    v = _vectors(spark, sf_dir)
+    index = X.opened(v, shared_folder(spark) + "/vector-index", "embeddings")
+    return X.search(index, v.filter("id % 20 = 0"), 5).select("q", "rank", "id", F.round("cosine", 6).alias("cosine"))
+
+
+def fuzzy_vocabulary(spark, sf_dir):
+    """Words of benchmark passages and their likenesses among the words of conversations."""
+    words = lambda name: table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("word"))
+    return Z.matches(words("benchmark"), words("conversations"), "word", 0.9).select("a", "b", F.round("ratio", 6).alias("ratio"))
+
+
 def _quoted(s):
     return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
 
 
-QUERIES = {"negation_flags": negation_flags}
+QUERIES = {f.__name__: f for f in (negation_flags, index_exact, index_search, fuzzy_vocabulary)}
 ORACLES = {
+    "index_exact": """
+WITH v AS (SELECT vec_id id, embedding::DOUBLE[] x FROM embeddings), n AS (SELECT id, x, sqrt(list_inner_product(x, x)) l FROM v WHERE list_inner_product(x, x) > 0),
+p AS (SELECT a.id q, b.id, list_inner_product(a.x, b.x) / (a.l * b.l) c FROM n a JOIN n b ON a.id % 20 = 0 AND a.id <> b.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, id) rank FROM p) SELECT q, rank::INT AS rank, id, round(c, 6) AS cosine FROM r WHERE rank <= 5""",
     "negation_flags": f"""
 WITH t AS (SELECT p_partkey, lower(p_type) AS value, [{", ".join(_quoted(t) for _, t in SENTENCES)}][p_partkey % {len(SENTENCES)} + 1] AS trigger FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 5 <> 0)
 SELECT p_partkey, value, trigger, 'negated_evidence' AS type FROM t WHERE trigger IS NOT NULL""",

@@ -43,12 +43,20 @@ def backfilled(spark, sf_dir):
     return P.backfilled(t(2, F.when(F.col("p_size") % 5 == 0, "n/a").otherwise(F.col("p_name"))), t(3, F.col("p_brand")), t(1, F.col("p_type")))
 
 
+PRINTED = {  # lines of properties by the customer's key
+    "kinds": ("Experiment types: Shotgun proteomics; SWATH MS", "EXPERIMENT TYPES : ;", "experiment types:Top-down"),
+    "tools": ("Instruments: LTQ Orbitrap; Q Exactive ;", "Instruments: timsTOF Pro", "Instruments: Q Exactive", "No line of it"),
+    "labels": ("Quantification: TMT", "Quantification: first\nquantification: Label free; second"),
+}
+
+
 def technical_records(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
+    """Technical records of customers by property lines printed for them."""
     k = F.col("c_custkey")
-    pick = lambda n, *xs: F.element_at(F.array(*[L(x) for x in xs]), (k % n + 1).cast("int"))
-    rows = F.array(F.struct(L("instruments").alias("property"), pick(4, "Q Exactive HF", "timsTOF Pro", "LTQ Orbitrap", "n/a").alias("values")), F.struct(L("experimentTypes").alias("property"), pick(3, "Shotgun proteomics", "SWATH MS", "x").alias("values")), F.struct(L("quantificationMethods").alias("property"), pick(5, "TMT", "iTRAQ", "SILAC", "Label free", "").alias("values")))
-    return P.technical_record(c.select(k.alias("id"), F.explode(rows).alias("x")).select("id", "x.*"))
+    pick = lambda name: F.element_at(F.array(*[L(x) for x in PRINTED[name]]), (k % len(PRINTED[name]) + 1).cast("int"))
+    name = F.concat(L("Modifications: "), F.col("c_mktsegment"), L("; Oxidation"))
+    text = F.concat_ws("\n", L("Instruments: Astral"), L(" === PRIDE PROJECT PROPERTIES === "), pick("kinds"), pick("tools"), name, pick("labels"), L("=== METHODS ==="), L("Instruments: Orbitrap Astral"))
+    return P.technical_record(table(spark, sf_dir, "customer").select(k.alias("id"), text.alias("text")))
 
 
 def distinct_raters(spark, sf_dir):
@@ -103,8 +111,20 @@ ORACLES = {
     "mixed_terms": "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_brand || '|' || p_name ELSE p_name || '|' || p_brand END terms FROM part",
     "value_pairs": "SELECT p_partkey, p_name raw, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE p_name END norm FROM part",
     "backfilled": "SELECT p_partkey id, 'f' field, CASE WHEN p_partkey % 2 = 0 AND p_size % 5 <> 0 THEN p_name WHEN p_partkey % 3 = 0 THEN p_brand ELSE p_type END AS value, CASE WHEN p_partkey % 2 = 0 AND p_size % 5 <> 0 THEN 0 WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END place FROM part",
-    "technical_records": """SELECT c_custkey id, CASE c_custkey % 4 WHEN 0 THEN 'Q Exactive HF' WHEN 1 THEN 'timsTOF Pro' WHEN 2 THEN 'LTQ Orbitrap' END instrument, CASE c_custkey % 4 WHEN 1 THEN 'time-of-flight' WHEN 3 THEN NULL ELSE 'orbitrap' END analyzer, CASE c_custkey % 3 WHEN 0 THEN 'DDA' WHEN 1 THEN 'DIA' END acquisition,
-      CASE c_custkey % 5 WHEN 0 THEN 'TMT' WHEN 1 THEN 'iTRAQ' WHEN 2 THEN 'SILAC' WHEN 3 THEN 'label free' END labelling FROM customer""",
+    "technical_records": """
+WITH c AS (SELECT c_custkey id, c_custkey % 3 k, c_custkey % 4 t, c_custkey % 2 q, 'Modifications: ' || c_mktsegment || '; Oxidation' m, c_mktsegment s FROM customer),
+told AS (
+  SELECT id, 'acquisition_method' field, 0 seq, CASE k WHEN 0 THEN 'Shotgun proteomics' ELSE 'Top-down' END AS value, CASE k WHEN 0 THEN 'Experiment types: Shotgun proteomics; SWATH MS' ELSE 'experiment types:Top-down' END evidence FROM c WHERE k <> 1
+  UNION ALL SELECT id, 'acquisition_method', 1, 'SWATH MS', 'Experiment types: Shotgun proteomics; SWATH MS' FROM c WHERE k = 0
+  UNION ALL SELECT id, 'instrument', 0, CASE t WHEN 0 THEN 'LTQ Orbitrap' WHEN 1 THEN 'timsTOF Pro' ELSE 'Q Exactive' END, 'Instruments: ' || CASE t WHEN 0 THEN 'LTQ Orbitrap; Q Exactive ;' WHEN 1 THEN 'timsTOF Pro' ELSE 'Q Exactive' END FROM c WHERE t <> 3
+  UNION ALL SELECT id, 'instrument', 1, 'Q Exactive', 'Instruments: LTQ Orbitrap; Q Exactive ;' FROM c WHERE t = 0
+  UNION ALL SELECT id, 'mass_analyzer', 0, 'Orbitrap', 'inferred: Instruments: LTQ Orbitrap; Q Exactive ;' FROM c WHERE t = 0
+  UNION ALL SELECT id, 'ptm', 0, s, m FROM c UNION ALL SELECT id, 'ptm', 1, 'Oxidation', m FROM c
+  UNION ALL SELECT id, 'labeling', 0, CASE q WHEN 0 THEN 'TMT' ELSE 'Label free' END, CASE q WHEN 0 THEN 'Quantification: TMT' ELSE 'quantification: Label free; second' END FROM c
+  UNION ALL SELECT id, 'labeling', 1, 'second', 'quantification: Label free; second' FROM c WHERE q = 1),
+f AS (SELECT unnest(['acquisition_method', 'alkylation_concentration', 'alkylation_reagent', 'cleavage_agent', 'collision_energy', 'enrichment_method', 'fractionation_method', 'fragmentation_method',
+  'instrument', 'ionization_type', 'labeling', 'mass_analyzer', 'ptm', 'reduction_concentration', 'reduction_reagent']) field)
+SELECT * FROM told UNION ALL SELECT id, field, 0, 'unknown', '' FROM c, f WHERE NOT EXISTS (SELECT 1 FROM told t WHERE t.id = c.id AND t.field = f.field)""",
     "distinct_raters": "SELECT r rater, count(*) n FROM customer, (VALUES ('a'), ('b')) t(r) GROUP BY 1",
     "species_stanzas": "WITH n AS (SELECT n_nationkey k, lower(n_name) c, translate(lower(n_name), '0123456789_ ', 'abcdefghijkl') s FROM nation) SELECT 'NCBI:' || k id, concat_ws(chr(10), '[Term]', 'id: NCBI:' || k, 'name: Genus ' || s, 'synonym: \"' || c || '\" EXACT []', 'synonym: \"g.' || s || '\" RELATED []', 'synonym: \"g. ' || s || '\" RELATED []', 'synonym: \"genus.' || s || '\" RELATED []') stanza FROM n",
     "rescored_pairs": """WITH p AS (SELECT x.vec_id a, x.vec_id + 1 b, greatest(0.0, least(1.0, coalesce(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 0.0))) c FROM embeddings x LEFT JOIN embeddings y ON y.vec_id = x.vec_id + 1)

@@ -30,6 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors reach: spark.checkpoint.dir, or, on a local master alone, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.gettempdir()}/metaloom-index"
+    return folder.rstrip("/")
+
+
 def kept(df: DataFrame) -> DataFrame:
     """``df`` checkpointed, so that its lineage ends and it outlives lost executors.
 
