@@ -51,7 +51,7 @@ def rate_of(multiplier: Column, tilt: Column, x: Column, cap: float) -> Column:
     return F.lit(float(cap)) / (1 + F.exp(-(multiplier + tilt * x)))
 
 
-def balance(classes: DataFrame, sums: DataFrame, cap: float, ridge: float, tolerance: float = 1e-7, most_steps: int = 30) -> tuple[DataFrame, float]:
+def balance(classes: DataFrame, sums: DataFrame, cap: float, ridge: float, tolerance: float = 1e-7, most_steps: int = 120) -> tuple[DataFrame, float]:
     """The multipliers of the dual, (sid, m) by source, and the common tilt.
 
     ``classes``: (sid, mass, x), the words of the documents of a source that are alike in the covariate x; ``sums``: (sid,
@@ -60,14 +60,14 @@ def balance(classes: DataFrame, sums: DataFrame, cap: float, ridge: float, toler
     exists. The dual is the sum of cap * mass * softplus(m + tilt * x) - m * target, which is convex. A Newton step
     aggregates its gradient and its Hessian over the classes: by source a gradient, a curvature and a cross term with the
     tilt, which a Schur complement of one number joins. Steps move the tilt by 1 at
-    most and are halved until the dual falls. Should ``most_steps`` not do, the rates without a tilt are given, which meet the
-    sources' targets in closed form. Multipliers are a table, a
+    most and are halved until the dual falls. Should ``most_steps`` not do, an error is raised: other rates would not be
+    balanced. Multipliers are a table, a
     row per source; only the sums over sources and the tilt are numbers on the driver.
     """
     share = F.least(F.greatest(F.col("target") / (F.col("mass") * F.lit(float(cap))), F.lit(1e-16)), F.lit(1 - 1e-16))
     start = F.when(F.col("mass") > 0, F.ln(share / (1 - share))).otherwise(0.0)
     now = sums.select("sid", "target", F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), start)).alias("m"), F.lit(0.0).alias("dm"))
-    start, now = now.select("sid", "m"), stored(now, "multipliers")
+    now = stored(now, "multipliers")
     tilt, step_tilt, length, before = 0.0, 0.0, 1.0, None
     for _ in range(most_steps):
         # The dual, its gradient and Hessian at the multipliers moved by ``length`` times the last step.
@@ -88,7 +88,7 @@ def balance(classes: DataFrame, sums: DataFrame, cap: float, ridge: float, toler
             F.sum(F.col("dual") - F.col("m") * F.col("target")).alias("dual"), F.sum(F.abs(g)).alias("miss"), F.sum("target").alias("target"),
         ).first()
         dual = (total["dual"] or 0.0) + ridge * at * at / 2
-        if before is not None and dual > before + 1e-9 * abs(before) and length > 1e-3:
+        if before is not None and dual > before + 1e-9 * abs(before) and length > 1e-6:
             discard(by.sparkSession, by)
             length /= 2
             continue
@@ -103,7 +103,7 @@ def balance(classes: DataFrame, sums: DataFrame, cap: float, ridge: float, toler
         goal = tolerance * max(total["target"] or 0.0, 1.0)
         if (total["miss"] or 0.0) <= goal and abs(slope) <= goal:
             return now.select("sid", "m"), tilt
-    return start, 0.0
+    raise RuntimeError(f"the balance was not met in {most_steps} steps: a miss of {total['miss']:g} of {total['target']:g} words, a slope of {slope:g}")
 
 
 def _spread(c: DataFrame, cap: int) -> DataFrame:
@@ -183,8 +183,8 @@ def _mixed(rows: DataFrame, slim: DataFrame, weights: Sequence[float], share: fl
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ridge: float = 0.25) -> DataFrame:
     """How often the mix takes each document.
 
-    Columns: id_col, source_col, size (words), source_size, target (of its source), rate (the balanced rate), copies
-    (0 to ``cap``), taken (copies * size).
+    Columns: id_col, size (words), source_size, target (of its source), taken (copies * size), source_col, rate (the
+    balanced rate), copies (0 to ``cap``).
 
     Rates are balanced by entropy (``balance``): each source's words come to its target, and the log of the texts' size
     keeps, over the words of the mix, the mean that it has over those of the corpus, as far as ``ridge`` (times all words)
@@ -202,7 +202,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     text = F.col(f"`{text_col}`").cast("string")
     rows = stored(docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("tie"), F.col(f"`{source_col}`").cast("string").alias("source"), words(text).alias("size")), "sizes")
     out = _mixed(rows, rows, weights, share, cap, ridge)
-    return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("source").alias(source_col), "rate", "copies")
 
 
 def repeated(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: int = 2, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ridge: float = 0.25) -> DataFrame:

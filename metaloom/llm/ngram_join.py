@@ -17,6 +17,7 @@ CHUNK = 4096  # members of a subtree that one task compares
 HEAVY = 2000  # copies of a class that one task joins
 MOST_HEAVY = 16_384  # classes of more copies than that
 BLOCK = 768  # members of a group that are held as one side of a comparison
+BLOCK_HASHES = 1 << 19  # and their shingles, but for the last member's
 
 
 def planted_prefixes(samples: list[np.ndarray], trees: int, longest: int, threshold: float, variants: int = 4, seed: int = 17) -> np.ndarray:
@@ -276,10 +277,10 @@ def subtree_links(members: DataFrame, sizes: DataFrame, same: float, near: float
 
 
 def blocks_met(groups: DataFrame, members: DataFrame) -> DataFrame:
-    """(id, component, low, high, side): the members of components of more than BLOCK, once for each pair of blocks of their component that met in a trie.
+    """(id, component, low, high, side): the members of large components, once for each pair of blocks of their component that met in a trie.
 
-    Members are put in order by component, the subtree of their first tree, and id, and cut into blocks of BLOCK; so those
-    alike in that tree stand together. Two blocks meet if a subtree of any tree holds members of both; each block
+    Members are put in order by component, the subtree of their first tree, and id, and cut into blocks of BLOCK members, or
+    of BLOCK_HASHES shingles (``cost`` is a member's part of a block, times BLOCK); so those alike in that tree stand together. Two blocks meet if a subtree of any tree holds members of both; each block
     meets itself.
     """
     ordered = groups.repartitionByRange("component", "key", "id").sortWithinPartitions("component", "key", "id")
@@ -290,15 +291,16 @@ def blocks_met(groups: DataFrame, members: DataFrame) -> DataFrame:
         task, last, n = TaskContext.get().partitionId(), None, 0
         for b in batches:
             at = []
-            for c in b.column(1).to_pylist():
-                last, n = c, (n + 1 if c == last else 0)
+            for c, cost in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                last, n = c, (n if c == last else 0)
                 at.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([task] * len(at), pa.int32()), pa.array(at, pa.int64())], ["id", "component", "task", "at"])
+                n += cost
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([task] * len(at), pa.int32()), pa.array(at, pa.int64())], ["id", "component", "cost", "task", "at"])
 
     # Stored, as ranges are cut from a sample that a second run need not draw alike.
-    spread = stored(ordered.select("id", "component").mapInArrow(number, "id long, component long, task int, at long"), "places")
-    # How many of a component stand in the tasks before: a row for each task that holds some of it.
-    n = spread.groupBy("component", "task").agg(F.count(F.lit(1)).alias("n"))
+    spread = stored(ordered.select("id", "component", "cost").mapInArrow(number, "id long, component long, cost long, task int, at long"), "places")
+    # What of a component stands in the tasks before: a row for each task that holds some of it.
+    n = spread.groupBy("component", "task").agg(F.sum("cost").alias("n"))
     before = n.select(F.col("component").alias("__c"), F.col("task").alias("__t"), (F.sum("n").over(W.partitionBy("component").orderBy("task")) - F.col("n")).alias("before"))
     place = spread.join(before, (F.col("component") == F.col("__c")) & (F.col("task") == F.col("__t")))
     placed = stored(place.select("id", "component", F.floor((F.col("before") + F.col("at")) / BLOCK).cast("int").alias("block")), "blocks")
@@ -369,18 +371,27 @@ def _pairs_within(ids, weight, n, values, first, rows, cols, threshold, forest,
             forest.link(i, j)
 
 
-def _verify(threshold: float, width: int):
-    """Exact links in one task's groups: rows (grp, side, id, weight, text); side 0 meets itself, or side 1 if there is one."""
+def shingled(texts: DataFrame, width: int) -> DataFrame:
+    """(id, hashes): the sorted distinct shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in thin(batches):
+            for lo, hi, h, first in _sets(b.column(1), width):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), _long_list(h, first)], ["id", "hashes"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, hashes array<long>")
+
+
+def _verify(threshold: float):
+    """Exact links in one task's groups: rows (grp, side, id, weight, hashes); side 0 meets itself, or side 1 if there is one."""
 
     def run(t: pa.Table) -> pa.Table:
         ids, grp, side = (t.column(c).to_numpy() for c in ("id", "grp", "side"))
         weight = t.column("weight").to_numpy().astype(np.float64)
-        parts, counts = [], []
-        for _, _, h, first in _sets(t.column("text").combine_chunks() if t.column("text").num_chunks != 1 else t.column("text").chunk(0), width):
-            parts.append(h)
-            counts.append(np.diff(first))
-        n = np.concatenate(counts).astype(np.int64)
-        values, first = np.concatenate(parts), np.cumsum(n) - n
+        column = t.column("hashes").combine_chunks()
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        at = column.offsets.to_numpy().astype(np.int64)
+        n, first, values = np.diff(at), at[:-1], column.values.to_numpy().view(np.uint64)
         forest, count, copies = Forest(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.float64)
         order = np.argsort(grp, kind="stable")
         for members in np.split(order, np.flatnonzero(np.diff(grp[order])) + 1):
@@ -407,8 +418,9 @@ def near_duplicates(
     ``sample_rows`` texts meet with probability ``recall`` (``forest_depth``). Within each subtree of that depth, sorted by
     label, longer prefixes are matched first (``subtree_links``); members are linked unless their minima speak clearly
     against it, and the components of those links are the candidate groups. Pairs of a group are then compared
-    exactly: all of a group of up to BLOCK classes, and of larger ones all pairs of blocks that met in a trie. No pair becomes
-    a row: only counts and a spanning tree leave a task.
+    exactly: all of a group of up to BLOCK classes and BLOCK_HASHES shingles, and of larger ones all pairs of blocks that met in
+    a trie. Each class's shingles are hashed once, and their hashes alone go to the tasks, so a task's memory is bounded by those of
+    two blocks and of its longest text. No pair becomes a row: only counts and a spanning tree leave a task.
 
     Texts without words, null ones among them, have no likeness: they are linked to none and alone in their class. Rows
     with a null id are left out; repeated ids count as one document each and share the results of their id; other columns
@@ -422,7 +434,7 @@ def near_duplicates(
     # Minima and labels of the class's first document; a repeated id has one row here.
     reps = sig.filter("n > 0").join(sets.select(F.col("rep")), F.col("id") == F.col("rep"), "left_semi")
     repeated = repeats(base)
-    reps = stored((reps.dropDuplicates(["id"]) if repeated else reps).select("id", "tries", "rests", "minima"), "reps")
+    reps = stored((reps.dropDuplicates(["id"]) if repeated else reps).select("id", "n", "tries", "rests", "minima"), "reps")
     tries = reps.select("id", F.explode(F.arrays_zip("tries", "rests")).alias("t")).select("id", F.col("t.tries").alias("bucket"), F.col("t.rests").alias("rest"))
     sizes = tries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = tries.join(sizes, "bucket").select("bucket", "id", "rest").join(reps.select("id", "minima"), "id")
@@ -430,13 +442,15 @@ def near_duplicates(
     # At most 0.08 to a leader on either side and 0.2 between: leaders are alike by 0.64 or more, and near leaves room for the estimates' errors.
     links = subtree_links(members, sizes, same=0.92, near=0.45)
     found = stored(components(links), "groups")
-    size = found.groupBy(F.col("component").alias("__c")).agg(F.count(F.lit(1)).alias("size"))
-    keyed = reps.select("id", F.element_at("tries", 1).alias("key"))
-    groups = found.join(size, F.col("component") == F.col("__c")).join(keyed, F.col("node") == F.col("id")).select("id", "component", "size", "key")
-    groups = stored(groups, "groups")
+    # A member costs as much of a block as the larger of its shares in the members and in the shingles.
+    cost = F.greatest(F.lit(1), F.ceil(F.col("n") * BLOCK / F.lit(BLOCK_HASHES))).cast("long")
+    keyed = reps.select("id", F.element_at("tries", 1).alias("key"), cost.alias("cost"))
+    groups = stored(found.join(keyed, F.col("node") == F.col("id")).select("id", "component", "key", "cost"), "costs")
+    size = groups.groupBy(F.col("component").alias("__c")).agg(F.sum("cost").alias("size"))
+    groups = stored(groups.join(size, F.col("component") == F.col("__c")).drop("__c"), "groups")
     weights = sets.select(F.col("rep").alias("__w"), F.col("copies").alias("weight")).groupBy("__w").agg(F.max("weight").alias("weight"))
     # Small groups share tasks; a large one has a task for each pair of its blocks that met.
-    batch = max(1, groups.count() // (2 * BLOCK))
+    batch = max(1, (groups.agg(F.sum("cost")).first()[0] or 0) // (2 * BLOCK))
     small = groups.filter(F.col("size") <= BLOCK)
     met = small.select("id", F.col("component").alias("grp"), F.pmod(F.xxhash64("component"), F.lit(batch)).alias("task"), F.lit(0).alias("side"), F.lit(False).alias("large"))
     large = groups.filter(F.col("size") > BLOCK)
@@ -445,8 +459,8 @@ def near_duplicates(
         met = met.unionAll(pairs.select("id", F.col("component").alias("grp"), F.xxhash64("component", "low", "high").alias("task"), "side", F.lit(True).alias("large")))
     met = met.join(weights, F.col("id") == F.col("__w")).drop("__w")
     texts = base.groupBy("id").agg(F.min("text").alias("text")) if repeated else base
-    held = stored(texts.join(groups.select("id"), "id", "left_semi"), "texts")
-    done = met.join(held, "id").groupBy("large", "task").applyInArrow(_verify(threshold, width), "id long, to long, texts long, docs long")
+    held = stored(shingled(texts.join(groups.select("id"), "id", "left_semi"), width), "shingles")
+    done = met.join(held, "id").groupBy("large", "task").applyInArrow(_verify(threshold), "id long, to long, texts long, docs long")
     done = stored(done, "verified")
     for t in (members, held, reps):
         discard(docs.sparkSession, t)

@@ -67,14 +67,17 @@ def band(n: Column, least: float) -> Column:
     return F.when(n > 0, F.floor(F.ln(n.cast("double")) / F.lit(-math.log(least)))).otherwise(-1)
 
 
-def jaccard(a: Column, b: Column, least: float) -> Column:
-    """Jaccard likeness of two sets of signatures, 0 where it is below ``least``; two empty sets are alike.
+def jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Jaccard likeness of two sets of signatures; two empty sets are alike.
 
-    Sets in partitions that don't touch, and those whose lengths alone keep the likeness below ``least``, are not looked at.
+    With ``least``, that of pairs below it is 0: sets in partitions that don't touch, and those whose lengths alone keep the
+    likeness below ``least``, are not looked at. Without, it is exact.
     """
     n, m = F.size(a), F.size(b)
-    apart = (F.abs(band(n, least) - band(m, least)) > 1) | (F.least(n, m) < F.lit(float(least)) * F.greatest(n, m))
     common = F.size(F.array_intersect(a, b))
+    if not least:
+        return F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(common / (n + m - common))
+    apart = (F.abs(band(n, least) - band(m, least)) > 1) | (F.least(n, m) < F.lit(float(least)) * F.greatest(n, m))
     exact = common / (n + m - common)
     return F.when((n == 0) & (m == 0), 1.0).when(apart, 0.0).otherwise(F.when(exact >= F.lit(float(least)), exact).otherwise(0.0))
 
@@ -121,13 +124,13 @@ def near_pairs(docs: DataFrame, least: float = 0.8, *, id_col: str = "doc_id", t
     return scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", common: Sequence[str] = COMMON, chain: int = 2, least: float = 0.05) -> DataFrame:
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", common: Sequence[str] = COMMON, chain: int = 2, least: float = 0.8) -> DataFrame:
     """Each whole text's fingerprint beside that of its edited text and its likeness to that and to the next document.
 
     The next document is the one with the next smaller id, after the last the first (a sole document is its own next). The
     edited text has the last floor(n_chars / 3) code points replaced by the first as many (or all) of the next text.
     Columns: id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, band, edited_band: the
-    partitions by length of the two sets. Likeness below ``least`` is 0: sets are compared only within partitions that touch.
+    partitions by length of the two sets, for pairs of likeness ``least``. Likeness is exact, however small.
 
     Null texts are empty; an empty text has no signatures, an empty fingerprint, and likeness 1 to another such and 0 to
     any other; repeated ids follow one another in the order of a hash; null ids come last; other columns are dropped,
@@ -161,8 +164,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("sigs")).alias("fingerprint"),
         fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),
-        jaccard(F.col("sigs"), F.col("edited_sigs"), least).alias("near_edited"),
-        jaccard(F.col("sigs"), F.col("next_sigs"), least).alias("near_next"),
+        jaccard(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        jaccard(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
         band(F.size("sigs"), least).cast("int").alias("band"),
         band(F.size("edited_sigs"), least).cast("int").alias("edited_band"),
     )

@@ -95,6 +95,26 @@ def test_balance_equals_a_plain_solver(spark):
         assert s == 4 or got[s] == pytest.approx(want[s], abs=1e-3)
 
 
+def test_a_balance_that_is_not_met_raises(spark):
+    classes = spark.createDataFrame([(1, 10.0, 1.0), (1, 20.0, -1.0)], "sid long, mass double, x double")
+    sums = spark.createDataFrame([(1, 30.0, 21.0)], "sid long, mass double, target double")
+    with pytest.raises(RuntimeError, match="balance"):
+        mixing.balance(classes, sums, 2, 5.0, most_steps=1)
+    mixing.balance(classes, sums, 2, 5.0)
+
+
+def test_steep_balances_are_met(spark):
+    """Sources nearly full or nearly empty, and sizes far apart."""
+    c = [(s, float(10.0 ** (k % 7)), (k - 10) / 2) for s in range(1, 7) for k in range(20)]
+    share = {1: 1.9999999, 2: 1e-6, 3: 2.0, 4: 1.0, 5: 0.001, 6: 1.5}
+    mass = {s: sum(w for t, w, _ in c if t == s) for s in share}
+    sums = spark.createDataFrame([(s, mass[s], share[s] * mass[s]) for s in share], "sid long, mass double, target double")
+    m, tilt = mixing.balance(spark.createDataFrame(c, "sid long, mass double, x double"), sums, 2, 0.25 * sum(mass.values()))
+    got = {x.sid: x.m for x in m.collect()}
+    for s in share:
+        assert sum(w * 2 / (1 + math.exp(-max(-700, min(700, got[s] + tilt * x)))) for t, w, x in c if t == s) == pytest.approx(share[s] * mass[s], abs=1e-4 * sum(mass.values()))
+
+
 def test_rates_differ_within_a_source_and_keep_lengths(spark, prose):
     rows = [(i, prose(i, 8 + i % 5 if i % 3 else 150 + i % 40), "abc"[i % 3]) for i in range(600)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()

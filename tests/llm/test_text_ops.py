@@ -39,6 +39,7 @@ def brute_links(rows, threshold=0.8):
 @pytest.mark.parametrize("block", [768, 7])
 def test_ngram_join_equals_brute_force(spark, prose, block, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_HASHES", 1 << 19 if block > 7 else 300)
     r = random.Random(4)
     rows = []
     for g in range(12):
@@ -294,6 +295,36 @@ def test_spotsigs_counts_and_likeness(spark):
             assert len(got[d].edited_fingerprint) == 8 * len(b) and got[d].near_edited == pytest.approx(len(a & b) / len(a | b))
 
 
+def test_ngram_join_bounds_tasks_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_HASHES", 20_000)
+    seen = spark.sparkContext.accumulator(0)
+    real, r = ngram_join._verify, random.Random(3)
+
+    def watched(threshold):
+        own = real(threshold)
+
+        def run(t):
+            seen.add(int(len(t.column("hashes").combine_chunks().values) > 2 * (20_000 + 6000)))
+            return own(t)
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_verify", watched)
+    base = [f"w{r.randrange(10**6)}" for _ in range(5000)]
+    rows = [(i, " ".join(base[: 5000 - i])) for i in range(60)]
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.class_id, x.n_links) for x in got} == {(0, 59)} and seen.value == 0
+
+
+def test_spotsigs_likeness_is_exact_however_small(spark, prose):
+    common = " ".join(f"the word{i} other{i}" for i in range(3))
+    texts = {1: common + " " + " ".join(f"the a{i} b{i}" for i in range(200)), 2: common + " " + " ".join(f"the c{i} d{i}" for i in range(900))}
+    rows = spotsigs.fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    a, b = (brute_sigs(t) for t in texts.values())
+    assert 0 < len(a & b) / len(a | b) < 0.01
+    assert [r.near_next for r in rows] == [pytest.approx(len(a & b) / len(a | b))] * 2
+
+
 def test_spotsigs_bands_hold_what_is_alike(spark):
     for least in (0.05, 0.8):
         n = spark.range(1, 400).select(F.col("id").alias("n"), spotsigs.band(F.col("id"), least).alias("b"))
