@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from metaloom.sources import pieces as P
 from metaloom.sources import readers as S
 from metaloom.sources import writers as Wr
-from metaloom.session import table
+from metaloom.session import shared_folder, table
 from metaloom.streaming import incremental as I
 
 L = F.lit
@@ -54,6 +57,20 @@ def ontology_by_ending(spark, sf_dir):
     return t.select("path", "id", "name", F.array_join("parents", ";").alias("parents"))
 
 
+def owl_in_pieces(spark, sf_dir):
+    """Customers as the classes of one OWL file, written by Spark and read in pieces; those of one segment have a class within, one in fifty is broken."""
+    c = table(spark, sf_dir, "customer")
+    key = _s("c_custkey")
+    inner = F.when(F.col("c_mktsegment") == "MACHINERY", F.lit('<owl:equivalentClass><owl:Class><owl:unionOf rdf:parseType="Collection"><owl:Class rdf:about="http://x/C_0"/></owl:unionOf></owl:Class></owl:equivalentClass>')).otherwise(F.lit(""))
+    label = F.when(F.col("c_custkey") % 50 == 7, F.lit("<rdfs:label>")).otherwise(_cat("<rdfs:label>", F.col("c_name"), "</rdfs:label>"))
+    text = _cat('<owl:Class rdf:about="http://x/C_', key, '">', inner, label, '<rdfs:subClassOf rdf:resource="http://x/N_', _s("c_nationkey"), '"/></owl:Class>')
+    folder = f"{shared_folder(spark)}/owl-{uuid.uuid4().hex}"
+    rows = c.select(F.col("c_custkey").alias("k"), text.alias("value")).unionAll(spark.createDataFrame([(-1, "<rdf:RDF>"), (1 << 60, "</rdf:RDF>")], "k long, value string"))
+    rows.coalesce(1).sortWithinPartitions("k").select("value").write.text(folder)
+    found = P.owl_classes(spark, folder)
+    return found.select("id", "name", F.array_join("parents", ";").alias("parents"), F.substring_index("status", ":", 1).alias("status"))
+
+
 def sample_table_cells(spark, sf_dir):
     """Parts of a brand as a sample table with a repeated header, short and blank lines."""
     p = table(spark, sf_dir, "part")
@@ -205,7 +222,7 @@ def stream_once(spark, sf_dir):
     return I.drained(once, "append")
 
 
-QUERIES = {f.__name__: f for f in (obo_edges, obo_names, ontology_by_ending, sample_table_cells, annotated_values, vocabulary_terms, json_documents, article_sections, section_passages, project_lines, project_index, first_file_fact, listed_accessions, model_responses, resolved_paths, chosen_files, discovered_sets, merged_records, sample_lines, clipped_cells, manifest, stream_windows, stream_once)}
+QUERIES = {f.__name__: f for f in (obo_edges, obo_names, ontology_by_ending, owl_in_pieces, sample_table_cells, annotated_values, vocabulary_terms, json_documents, article_sections, section_passages, project_lines, project_index, first_file_fact, listed_accessions, model_responses, resolved_paths, chosen_files, discovered_sets, merged_records, sample_lines, clipped_cells, manifest, stream_windows, stream_once)}
 
 PXD = "'PXD' || lpad(c_custkey::VARCHAR, 6, '0')"
 ORACLES = {
@@ -213,6 +230,8 @@ ORACLES = {
     "obo_names": "SELECT 'N:' || n_nationkey id, n_name AS name, lower(n_name) synonym, 'EXACT' scope, 'R:' || n_regionkey xrefs FROM nation UNION ALL SELECT 'S:' || s_suppkey, 'Supplier ' || s_suppkey, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 7 <> 0",
     "ontology_by_ending": """SELECT 'x/r' || n_regionkey || '.obo' AS path, 'N:' || n_nationkey id, n_name AS name, '' parents FROM nation UNION ALL SELECT 'x/r' || n_regionkey || '.obo', 'S:' || s_suppkey, 'Supplier ' || s_suppkey, 'N:' || s_nationkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 7 <> 0
       UNION ALL SELECT 'y/n' || s_nationkey || '.owl', 'P:' || s_suppkey, s_suppkey::VARCHAR, 'N:' || s_nationkey FROM supplier WHERE s_suppkey % 5 <> 0""",
+    "owl_in_pieces": """
+SELECT 'C:' || c_custkey id, CASE WHEN c_custkey % 50 <> 7 THEN c_name END AS name, CASE WHEN c_custkey % 50 <> 7 THEN 'N:' || c_nationkey ELSE '' END parents, CASE WHEN c_custkey % 50 = 7 THEN 'not parsed' END status FROM customer""",
     "sample_table_cells": "SELECT replace(p_brand, '#', '') pxd, 'name' header, 0 occ, p_partkey::VARCHAR cell FROM part UNION ALL SELECT replace(p_brand, '#', ''), 'type', 1, CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR ELSE '' END FROM part",
     "annotated_values": "SELECT replace(p_brand, '#', '') doc, 'tissue' AS label, p_type AS value, d dialect FROM part, (VALUES ('tab'), ('pipe'), ('flat')) t(d)",
     "vocabulary_terms": "SELECT printf('nation:%04d', row_number() OVER (ORDER BY n_nationkey)) id, n_name AS name FROM nation WHERE n_nationkey % 4 <> 0",

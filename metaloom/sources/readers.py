@@ -53,7 +53,7 @@ def obo_terms(found: DataFrame) -> DataFrame:
     """(path, id, lines) of the [Term] stanzas of OBO files."""
     stanza = F.explode(F.regexp_extract_all("text", F.lit(r"(?s)(\[Term\].*?)(?=\n\[[A-Z]|\z)"), F.lit(1))).alias("stanza")
     s = found.select("path", stanza)
-    lines = F.transform(F.split("stanza", "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(F.replace("stanza", F.lit("\r"), F.lit("")), "\n"), lambda x: F.trim(x))
     s = s.select("path", lines.alias("lines"))
     return s.select("path", F.regexp_extract(F.get(F.filter("lines", lambda x: x.startswith("id: ")), F.lit(0)), r"^id: (\S+)", 1).alias("id"), "lines").filter("id <> ''")
 
