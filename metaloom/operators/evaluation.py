@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metaloom.functions import measures as M
+from metaloom.operators.matching import clusters
+from metaloom.session import kept
 
 
 def prf(scored: DataFrame, by: list[str], score: Column, predicted: Column, golden: Column) -> DataFrame:
@@ -89,14 +91,12 @@ def assignment(weights) -> list[tuple[int, int]]:
     return sorted((int(row_of[j]), j) for j in range(w.shape[1]) if row_of[j] < w.shape[0] and w[row_of[j], j] > 0)
 
 
-def one_to_one(scored: DataFrame, by: list[str], method: str = "greedy") -> DataFrame:
-    """One-to-one pairs within each group of candidate pairs (*by, i, j, s): ``greedy`` by score, or ``optimal``: the most pairs first, then the strongest tiers (column ``rank``, 1 where there is none), then the most score.
+LARGE = 1 << 16  # candidate pairs of a group that one task matches
 
-    A pair weighs 10 * (fewer of both sides + 1) + rank + s / 10; pairs without a score are none. Groups are the values of
-    one field of one record, and so small.
-    """
+
+def _by_task(scored: DataFrame, by: list[str], method: str) -> DataFrame:
+    """One-to-one pairs of groups that a task holds each."""
     schema = scored.select(*by, "i", "j", "s").schema
-    scored = scored if "rank" in scored.columns else scored.withColumn("rank", F.lit(1))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop_duplicates(["i", "j"])
@@ -120,6 +120,69 @@ def one_to_one(scored: DataFrame, by: list[str], method: str = "greedy") -> Data
     return scored.select(*by, "i", "j", "s", "rank").groupBy(*by).applyInPandas(run, schema)
 
 
+def _dominant(scored: DataFrame, by: list[str], most: int = 10_000) -> DataFrame:
+    """The greedy pairs of groups of any size: in each round those that are the best both of their i and of their j, which greedy choice would take before all others of the two; then the next, without these i and j."""
+    left, out = kept(scored.groupBy(*by, "i", "j").agg(F.max("s").alias("s"))), None
+    order = F.struct("s", "i", "j")
+    for _ in range(most):
+        top_i = left.groupBy(*by, "i").agg(F.max(order).alias("x")).select(*by, "x.s", "x.i", "x.j")
+        top_j = left.groupBy(*by, "j").agg(F.max(order).alias("x")).select(*by, "x.s", "x.i", "x.j")
+        best = kept(top_i.join(top_j, [*by, "s", "i", "j"]).select(*by, "i", "j", "s"))
+        if best.isEmpty():
+            return out if out is not None else best
+        out = best if out is None else out.unionAll(best)
+        left = kept(left.join(best.select(*by, "i"), [*by, "i"], "left_anti").join(best.select(*by, "j"), [*by, "j"], "left_anti"))
+    raise RuntimeError(f"no end in {most} rounds")
+
+
+def one_to_one(scored: DataFrame, by: list[str], method: str = "greedy", large: int = LARGE) -> DataFrame:
+    """One-to-one pairs within each group of candidate pairs (*by, i, j, s): ``greedy`` by score, or ``optimal``: the most pairs first, then the strongest tiers (column ``rank``, 1 where there is none), then the most score.
+
+    A pair weighs 10 * (fewer of both sides + 1) + rank + s / 10; pairs without a score are none. Groups of up to ``large``
+    pairs are matched in one task each. A larger one is matched greedily in rounds of joins, with the same result; for the
+    optimal pairs it is taken apart into its connected parts, which can be matched alone, and a part that is still larger
+    raises.
+    """
+    scored = scored if "rank" in scored.columns else scored.withColumn("rank", F.lit(1))
+    scored = scored.select(*by, "i", "j", "s", "rank")
+    big = kept(scored.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > large).select(*by))
+    if big.isEmpty():
+        return _by_task(scored, by, method)
+    small, rest = scored.join(big, by, "left_anti"), scored.join(big, by, "left_semi")
+    if method == "greedy":
+        return _by_task(small, by, method).unionByName(_dominant(rest, by))
+    ends = kept(rest.filter("s > 0").select("*", F.xxhash64(F.lit("i"), *by, "i").alias("__i"), F.xxhash64(F.lit("j"), *by, "j").alias("__j")))
+    parts = clusters(ends.select(F.col("__i").alias("id")).distinct(), ends.select(F.col("__i").alias("a"), F.col("__j").alias("b")))
+    rest = kept(ends.join(parts.select(F.col("id").alias("__i"), F.col("cluster").alias("__part")), "__i").select(*by, "__part", "i", "j", "s", "rank"))
+    worst = rest.groupBy(*by, "__part").count().agg(F.max("count")).first()[0] or 0
+    if worst > large:
+        raise ValueError(f"{worst} connected candidate pairs; optimal matching takes {large} at most: raise the least score, or match greedily")
+    return _by_task(small, by, method).unionByName(_by_task(rest, [*by, "__part"], method).drop("__part"))
+
+
+def field_scores(predicted: DataFrame, golden: DataFrame, vectors: DataFrame, by: list[str], least: float = 0.75, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
+    """Scores of fields with several values: (by..., n_predicted, n_golden, tp, p, r, f1), and the matched pairs (by..., predicted, golden, score, method).
+
+    predicted, golden: (by..., seq, value); vectors: (term, vec). Two values score 1 if they are equal, case and blanks around aside
+    (``exact``), else the cosine of their vectors if that is ``least`` or more (``semantic``), else 0. Pairs are taken greedily,
+    one to one, of equal scores those of larger seq first. A field that only one side has scores 0; null values are none.
+    """
+    p = predicted.filter("value is not null").select(*by, F.col("seq").alias("i"), F.col("value").alias("predicted"))
+    g = golden.filter("value is not null").select(*by, F.col("seq").alias("j"), F.col("value").alias("golden"))
+    met = p.join(g, by)
+    same = F.lower(F.trim("predicted")) == F.lower(F.trim("golden"))
+    pairs = met.filter(~same).select("predicted", "golden").distinct()
+    pairs = pairs.join(vectors.select(F.col("term").alias("predicted"), F.col("vec").alias("__x")), "predicted").join(vectors.select(F.col("term").alias("golden"), F.col("vec").alias("__y")), "golden")
+    near = pairs.select("predicted", "golden", M.cosine(F.col("__x"), F.col("__y")).alias("cosine")).filter(F.col("cosine") >= least)
+    scored = met.join(near, ["predicted", "golden"], "left").withColumn("s", F.when(same, 1.0).otherwise(F.coalesce("cosine", F.lit(0.0)))).filter("s > 0")
+    scored = kept(scored)
+    chosen = one_to_one(scored.select(*by, "i", "j", "s"), by, large=large).select(*by, "i", "j")
+    matched = kept(scored.join(chosen, [*by, "i", "j"]).select(*by, "predicted", "golden", F.col("s").alias("score"), F.when(same, "exact").otherwise("semantic").alias("method")))
+    counts = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n_predicted")).join(g.groupBy(*by).agg(F.count(F.lit(1)).alias("n_golden")), by, "full").join(matched.groupBy(*by).agg(F.count(F.lit(1)).alias("tp")), by, "left").na.fill(0, ["n_predicted", "n_golden", "tp"])
+    r = counts.withColumn("p", M.ratio_or(F.col("tp"), F.col("n_predicted"))).withColumn("r", M.ratio_or(F.col("tp"), F.col("n_golden")))
+    return r.withColumn("f1", M.ratio_or(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r"))), matched
+
+
 def multi_kappa(ratings: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """(by..., n, po, pe, kappa) of two categorical ratings; rows where either is null are left out, and kappa is null where chance agreement is complete."""
     by = by or []

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metaloom.functions import text as S
+from metaloom.operators import evaluation as E
 from metaloom.operators import fuzzy as Z
+from metaloom.operators import matching as V
 from metaloom.operators import negation as N
 from metaloom.operators import terms as T
 from metaloom.operators import vector_index as X
@@ -85,6 +87,15 @@ def embedded_terms(spark, sf_dir):
     return T.normalised(items, names, synonyms, expansions).select("p_partkey", "node", "method")
 
 
+def field_scoring(spark, sf_dir):
+    """Names of parts as values predicted for sizes and brands against those of the next size, by equal names or near n-grams."""
+    p = table(spark, sf_dir, "part").select("p_brand", "p_size", F.col("p_partkey").alias("seq"), F.col("p_name").alias("value"))
+    golden = p.withColumn("p_size", F.col("p_size") - 1).withColumn("value", F.when(F.col("seq") % 3 == 0, F.concat("value", F.lit("s"))).otherwise(F.upper("value")))
+    vectors = V.hashed_ngrams(p.select(F.col("value").alias("term")).unionAll(golden.select("value")))
+    scores, _ = E.field_scores(p, golden, vectors, ["p_brand", "p_size"])
+    return scores.withColumns({c: F.round(c, 6) for c in ("p", "r", "f1")})
+
+
 ANSWERS = (  # a model's answers about {t}: the value that their JSON has, and what is saved of a broken one
     ('First {"type": "x"}. FINAL JSON: ```json\n{"type": "{t}", "n": {"a": "}"}}\n``` Done.', True, True),
     ('```json\n{"type": "{t}"}\n```', True, True),
@@ -119,7 +130,7 @@ def _quoted(s):
     return "NULL" if s is None else "'" + s.replace("'", "''") + "'"
 
 
-QUERIES = {f.__name__: f for f in (negation_flags, index_exact, index_search, fuzzy_vocabulary, embedded_terms, parsed_answers, retried_answers)}
+QUERIES = {f.__name__: f for f in (negation_flags, index_exact, index_search, fuzzy_vocabulary, embedded_terms, field_scoring, parsed_answers, retried_answers)}
 ORACLES = {
     "embedded_terms": """
 WITH n AS (SELECT p_name, 'P:' || min(p_partkey) node FROM part GROUP BY 1)
