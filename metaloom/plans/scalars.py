@@ -130,7 +130,7 @@ def evidence_scores(spark, sf_dir):
 
 def best_of_lists(spark, sf_dir):
     """Best matches between the parts of a brand and sizes, by level and score."""
-    p = table(spark, sf_dir, "part").filter("p_size <= 12")
+    p = table(spark, sf_dir, "part")
     kind = F.when(F.col("p_partkey") % 4 == 0, "EXACT").when(F.col("p_partkey") % 4 == 1, "SEMANTIC").otherwise("NO_MATCH")
     pairs = p.select("p_brand", (F.col("p_size") % 3).alias("g"), F.col("p_partkey").alias("v"), kind.alias("kind"), (F.col("p_partkey") % 50 / 50.0).alias("score"))
     return V.score_lists(pairs, ["p_brand"]).withColumn("recall", F.round("recall", 6))
@@ -204,7 +204,7 @@ ORACLES = {
     "record_confidence": """WITH g AS (SELECT p_brand, avg((p_size > 10)::INT) s, avg(p_size % 5 / 4.0::DOUBLE) e, count(*) FILTER (p_size % 3 <> 0) / 100.0::DOUBLE c FROM part GROUP BY 1), o AS (SELECT *, 0.3 * s + 0.5 * e + 0.2 * least(c, 1.0) x FROM g)
       SELECT p_brand, round(s, 6) AS schema, round(e, 6) evidence, round(c, 6) completeness, round_even(x, 3) overall, round_even(x, 3) >= 0.7 gate FROM o""",
     "evidence_scores": """WITH p AS (SELECT p_partkey, p_partkey % 6 m, p_partkey % 4 k FROM part) SELECT p_partkey, CASE m WHEN 0 THEN 1.0 WHEN 1 THEN 0.9 WHEN 2 THEN 0.6 WHEN 3 THEN 0.2 WHEN 4 THEN 0.0 ELSE 1.0 END::DOUBLE score, CASE WHEN m = 5 THEN 'missing' WHEN k = 0 THEN 'empty' WHEN k = 1 THEN 'no_evidence' WHEN k = 3 THEN 'too_long' END error, m = 0 negated FROM p""",
-    "best_of_lists": """WITH q AS (SELECT p_brand, p_size % 3 g, CASE p_partkey % 4 WHEN 0 THEN 6 WHEN 1 THEN 2 ELSE 1 END r, p_partkey % 50 / 50.0::DOUBLE s FROM part WHERE p_size <= 12), b AS (SELECT p_brand, g, max(r) r, arg_max(s, r * 1000 + s) s FROM q GROUP BY 1, 2),
+    "best_of_lists": """WITH q AS (SELECT p_brand, p_size % 3 g, CASE p_partkey % 4 WHEN 0 THEN 6 WHEN 1 THEN 2 ELSE 1 END r, p_partkey % 50 / 50.0::DOUBLE s FROM part), b AS (SELECT p_brand, g, max(r) r, arg_max(s, r * 1000 + s) s FROM q GROUP BY 1, 2),
       o AS (SELECT p_brand, round_even(avg(s), 4) mean_score, avg((r >= 3)::INT) recall, min(r) low FROM b GROUP BY 1) SELECT p_brand, mean_score, round(recall, 6) recall, CASE WHEN recall = 1 THEN CASE low WHEN 6 THEN 'EXACT' WHEN 2 THEN 'SEMANTIC' ELSE 'NO_MATCH' END WHEN recall > 0 THEN 'SEMANTIC' ELSE 'NO_MATCH' END kind FROM o""",
     "best_matches": """WITH g AS (SELECT p_brand, p_partkey g FROM part WHERE p_size = 1), v AS (SELECT p_brand, p_partkey v FROM part WHERE p_size = 2), r AS (SELECT g.p_brand, g, v, (g * 7 + v * 13) % 101 / 100.0::DOUBLE s FROM g LEFT JOIN v ON v.p_brand = g.p_brand)
       SELECT p_brand, g, first(v ORDER BY s DESC, v) v, coalesce(max(s), 0.0) score FROM r GROUP BY 1, 2""",

@@ -146,7 +146,7 @@ def first_file_fact(spark, sf_dir):
 
 def listed_accessions(spark, sf_dir):
     """Accessions in texts that name each twice."""
-    c = table(spark, sf_dir, "customer").filter("c_nationkey < 20")
+    c = table(spark, sf_dir, "customer")
     a = F.concat(L("PXD"), F.lpad(_s("c_custkey"), 6, "0"))
     return S.accessions(_lines(c, _cat("l/", _s("c_nationkey")), F.col("c_custkey"), _cat("see ", a, ", ", a, ".")))
 
@@ -241,7 +241,7 @@ SELECT 'C:' || c_custkey id, CASE WHEN c_custkey % 50 <> 7 THEN c_name END AS na
     "project_lines": f"SELECT {PXD} pxd_id, unnest(['instruments: ' || c_mktsegment, 'keywords: b; a', 'organisms: org' || (c_custkey % 4) || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE '; Mus' END]) line FROM customer",
     "project_index": f"SELECT {PXD} AS key, 'r/' || lpad(c_custkey::VARCHAR, 6, '0') || '.json' AS path FROM customer UNION ALL SELECT (c_custkey % 50)::VARCHAR, 'r/' || lpad(max(c_custkey)::VARCHAR, 6, '0') || '.json' FROM customer GROUP BY 1",
     "first_file_fact": f"SELECT {PXD} pxd_id, CASE WHEN c_custkey % 2 = 0 THEN 'ETD' WHEN c_custkey % 3 = 0 THEN 'HCD' ELSE 'CID' END AS value FROM customer",
-    "listed_accessions": f"SELECT 'l/' || c_nationkey AS path, {PXD} pxd, (2 * (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1))::INT pos FROM customer WHERE c_nationkey < 20",
+    "listed_accessions": f"SELECT 'l/' || c_nationkey AS path, {PXD} pxd, (2 * (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1))::INT pos FROM customer",
     "model_responses": "SELECT event_id::VARCHAR doc_id, event_type response, event_id tokens, CASE WHEN event_id % 3 <> 0 THEN 2.0 ELSE 0.0 END::DOUBLE AS seconds, CASE WHEN event_id % 3 <> 0 THEN round(event_id / 2.0, 6) END::DOUBLE tokens_per_second FROM events",
     "resolved_paths": "SELECT 'PXD' || c_custkey pxd, CASE c_custkey % 5 WHEN 0 THEN 'a/PXD' || c_custkey || '.sdrf.tsv' WHEN 1 THEN 'a/PXD' || c_custkey || '/x.sdrf.tsv' WHEN 2 THEN 'a/PXD' || c_custkey || '_run.tsv' END AS path FROM customer",
     "chosen_files": """WITH p AS (SELECT p_partkey % 300 AS key, p_partkey k, p_size::BIGINT b FROM part), f AS (SELECT *, 0 place FROM p WHERE k % 301 < 40 UNION ALL SELECT *, 1 FROM p WHERE k % 299 < 100 UNION ALL SELECT *, 2 FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY place, b DESC, 'f' || k) i FROM f)
