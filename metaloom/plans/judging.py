@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from metaloom.operators import judge as J
+from metaloom.operators import judge_run as J2
 from metaloom.session import table
 
 
@@ -110,7 +111,42 @@ def degenerate_answers(spark, sf_dir):
     return d.select("doc_id", Q.degenerate(F.when(m == 0, F.left("text", F.lit(99))).otherwise(a)).alias("degenerate"))
 
 
-QUERIES = {f.__name__: f for f in (judge_hints, judge_guards, sample_sheet_guard, recovered_values, modification_cells, unit_context, degenerate_answers)}
+def _run(spark, sf_dir):
+    """A run over parts as samples of their brands: a type for each, of which some are judged made up, misplaced, wrong, or in part, and a size, not judged where it is large."""
+    p = table(spark, sf_dir, "part")
+    brand, k = F.col("p_brand").alias("pxd"), F.col("p_partkey")
+    cells = p.select(brand, F.lit("type").alias("field"), k.alias("row_idx"), F.lit(0).alias("col_idx"), F.when(k % 7 == 0, "not available").otherwise(F.col("p_type")).alias("cell"))
+    cells = cells.unionAll(p.select(brand, F.lit("size"), k, F.lit(1), F.col("p_size").cast("string")))
+    papers = p.groupBy(brand).agg(F.when(F.col("pxd").endswith("7"), "").otherwise("The text.").alias("text"))
+    t = p.filter(k % 7 != 0).select("p_brand", F.lower("p_type").alias("unit")).distinct()
+    m = F.length("unit") % 5
+    answers = t.select(F.col("p_brand").alias("pxd"), F.lit("type").alias("field"), "unit", F.when(m < 2, "high").when(m == 2, "medium").otherwise("low").alias("verdict"), (m == 3).alias("hallucinated"), (m == 4).alias("mismatch"), (m < 2).alias("value_correct"), F.lit(True).alias("value_complete"), F.when(m == 2, F.lit("Fixed")).alias("corrected"))
+    s = p.filter("p_size <= 25").select("p_brand", F.col("p_size").cast("string").alias("unit")).distinct()
+    no = F.lit(False)
+    answers = answers.unionAll(s.select("p_brand", F.lit("size"), "unit", F.lit("medium"), no, no, F.lit(True), no, F.lit(None).cast("string")))
+    return J2.run(cells, papers, answers, ["type", "size", "age"])
+
+
+def judge_run_papers(spark, sf_dir):
+    """Of each paper of the run its counts."""
+    return _run(spark, sf_dir)[0]["per_paper"].withColumn("accuracy", F.round("accuracy", 6))
+
+
+def judge_run_fields(spark, sf_dir):
+    """Of each field of the run its counts, in the order of fields, and whether all of them add up to the observed counters."""
+    tables, counters = _run(spark, sf_dir)
+    f = tables["per_field"].withColumn("accuracy", F.round("accuracy", 6))
+    totals = f.agg(*[(F.sum(c) == counters[c]).alias(c) for c in J2.COUNTS])
+    agree = totals.select(F.forall(F.array(*J2.COUNTS), lambda x: x).alias("agree"))
+    return f.crossJoin(F.broadcast(agree))  # one row
+
+
+def judge_run_cells(spark, sf_dir):
+    """The run's cells as its verdicts leave them."""
+    return _run(spark, sf_dir)[0]["filtered"].select("pxd", "field", "row_idx", "fixed")
+
+
+QUERIES = {f.__name__: f for f in (judge_run_papers, judge_run_fields, judge_run_cells, judge_hints, judge_guards, sample_sheet_guard, recovered_values, modification_cells, unit_context, degenerate_answers)}
 GUARDS = (
     # verdict, match type, mismatch, hallucinated, value correct, value complete, corrected, guards
     "'high', 'CORRECT', false, false, true, true, NULL, ''",
@@ -131,7 +167,19 @@ GUARDS = (
     "'low', 'NO_MATCH', false, false, true, false, NULL, 'number'",
 )
 HINTS = ("in_text", "not_verbatim", "in_text", "not_verbatim;tolerance_without_unit", "not_verbatim;tolerance_not_printed", "in_text;write_normal", "in_text;no_kind", "not_a_number")
+RUN = """
+WITH good AS (SELECT * FROM part WHERE p_brand NOT LIKE '%7'),
+u AS (SELECT DISTINCT p_brand pxd, 'type' field, lower(p_type) unit, length(p_type) % 5 m FROM good WHERE p_partkey % 7 <> 0
+  UNION ALL SELECT DISTINCT p_brand, 'size', p_size::VARCHAR, CASE WHEN p_size <= 25 THEN 5 ELSE 6 END FROM good)"""
+COUNTED = """count(*) total, count(*) FILTER (m < 2) correct, count(*) FILTER (m = 3) hallucinated, count(*) FILTER (m = 4) mismatch, count(*) FILTER (m = 2) wrong,
+  count(*) FILTER (m = 5) incomplete, count(*) FILTER (m = 2) corrected, count(*) FILTER (m = 6) error, round(count(*) FILTER (m < 2) / nullif(count(*) FILTER (m <> 6), 0)::DOUBLE, 6) accuracy"""
 ORACLES = {
+    "judge_run_papers": f"{RUN}, c AS (SELECT pxd, {COUNTED} FROM u GROUP BY 1) SELECT c.*, r.runs, 2 AS columns FROM c JOIN (SELECT p_brand pxd, count(DISTINCT p_partkey) runs FROM good GROUP BY 1) r USING (pxd)",
+    "judge_run_fields": f"""{RUN}, f(place, field) AS (VALUES (0, 'type'), (1, 'size'), (2, 'age')), c AS (SELECT field, {COUNTED} FROM u GROUP BY 1)
+SELECT place, f.field, coalesce(total, 0) total, coalesce(correct, 0) correct, coalesce(hallucinated, 0) hallucinated, coalesce(mismatch, 0) mismatch, coalesce(wrong, 0) wrong,
+  coalesce(incomplete, 0) incomplete, coalesce(corrected, 0) corrected, coalesce(error, 0) error, accuracy, true AS agree FROM f LEFT JOIN c USING (field)""",
+    "judge_run_cells": f"""{RUN} SELECT p_brand pxd, 'type' field, p_partkey row_idx, CASE WHEN p_partkey % 7 = 0 THEN 'not available' WHEN length(p_type) % 5 = 2 THEN 'Fixed' WHEN length(p_type) % 5 > 2 THEN 'not available' ELSE p_type END fixed FROM good
+UNION ALL SELECT p_brand, 'size', p_partkey, p_size::VARCHAR FROM good""",
     "judge_hints": "SELECT p_partkey, CASE p_partkey % 8 " + " ".join(f"WHEN {k} THEN '{h}'" for k, h in enumerate(HINTS)) + " END hints FROM part",
     "judge_guards": "WITH g(m, verdict, match_type, mismatch, hallucinated, value_correct, value_complete, corrected, guards) AS (VALUES " + ", ".join(f"({k}, {g})" for k, g in enumerate(GUARDS)) + ") SELECT p_partkey, g.* EXCLUDE m FROM part JOIN g ON m = p_partkey % 16",
     "sample_sheet_guard": """WITH c AS (SELECT c_nationkey pxd, c_custkey AS row, c_custkey % 90 age, CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END sex, c_custkey % 4 = 1 AND c_nationkey % 3 = 0 line FROM customer),
