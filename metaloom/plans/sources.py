@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from metaloom.operators import derived as D
 from metaloom.sources import pieces as P
 from metaloom.sources import readers as S
 from metaloom.sources import writers as Wr
@@ -71,6 +72,39 @@ def owl_in_pieces(spark, sf_dir):
     return found.select("id", "name", F.array_join("parents", ";").alias("parents"), F.substring_index("status", ":", 1).alias("status"))
 
 
+def cell_line_origins(spark, sf_dir):
+    """Customers as cell lines of one OWL file that derive from a taxon, a tissue, another tissue, or say nothing of it."""
+    c, key = table(spark, sf_dir, "customer"), _s("c_custkey")
+    some = lambda prop, target: _cat(f'<owl:Restriction><owl:onProperty rdf:resource="http://x/{prop}"/><owl:someValuesFrom rdf:resource="http://x/', target, '"/></owl:Restriction>')
+    up = lambda x: _cat("<rdfs:subClassOf>", x, "</rdfs:subClassOf>")
+    m, nothing = F.col("c_custkey") % 5, L("")
+    taxon = F.when(m < 3, up(some("RO_0001000", _cat("NCBITaxon_", _s("c_nationkey"))))).otherwise(nothing)
+    tissue = F.when(m == 1, _cat(up(some("RO_0001000", "BTO_1")), up(some("RO_0001000", _cat("BTO_", key))))).otherwise(nothing)
+    within = F.when(m == 2, _cat("<owl:equivalentClass><owl:Class><owl:intersectionOf>", some("RO_0001000", "UBERON_7"), "</owl:intersectionOf></owl:Class></owl:equivalentClass>")).otherwise(nothing)
+    other = up(some("RO_0002", "BTO_9"))
+    label = F.when(m == 4, nothing).otherwise(_cat("<rdfs:label> ", F.col("c_name"), " </rdfs:label>"))
+    text = _cat('<owl:Class rdf:about="http://x/CLO_', key, '">', label, taxon, tissue, within, other, "</owl:Class>")
+    folder = f"{shared_folder(spark)}/clo-{uuid.uuid4().hex}"
+    c.select(text.alias("value")).write.text(folder)
+    return D.cell_line_origins(P.owl_classes(spark, folder))
+
+
+def derived_tissues(spark, sf_dir):
+    """Tissues of suppliers as diseases, cell types, and terms that refer to others."""
+    s = table(spark, sf_dir, "supplier")
+    key, m = _s("s_suppkey"), F.col("s_suppkey") % 4
+    located = F.when(m < 2, _cat("\nrelationship: located_in UBERON:", _s("s_nationkey"), " ! x\nrelationship: located_in X:1")).otherwise(L(""))
+    refers = F.when(m != 3, L("\nxref: UBERON:5\nxref: UBERON:3\nxref: Y:1")).otherwise(L(""))
+    text = _cat("[Term]\nid: DOID:", key, "\nname: x", located, refers, "\nrelationship: part_of UBERON:8")
+    t = S.obo_tables(S.obo_terms(s.select(_cat("o/", key).alias("path"), text.alias("text"))), ("part_of", "located_in"))
+    parts = (("disease", D.disease_tissues(t)), ("cell_type", D.cell_type_tissues(t)), ("reference", D.cross_references(t)))
+    out = None
+    for kind, d in parts:
+        d = d.select(L(kind).alias("kind"), "id", F.array_join("tissues", ";").alias("tissues"))
+        out = d if out is None else out.unionAll(d)
+    return out
+
+
 def sample_table_cells(spark, sf_dir):
     """Parts of a brand as a sample table with a repeated header, short and blank lines."""
     p = table(spark, sf_dir, "part")
@@ -222,7 +256,7 @@ def stream_once(spark, sf_dir):
     return I.drained(once, "append")
 
 
-QUERIES = {f.__name__: f for f in (obo_edges, obo_names, ontology_by_ending, owl_in_pieces, sample_table_cells, annotated_values, vocabulary_terms, json_documents, article_sections, section_passages, project_lines, project_index, first_file_fact, listed_accessions, model_responses, resolved_paths, chosen_files, discovered_sets, merged_records, sample_lines, clipped_cells, manifest, stream_windows, stream_once)}
+QUERIES = {f.__name__: f for f in (obo_edges, obo_names, ontology_by_ending, owl_in_pieces, cell_line_origins, derived_tissues, sample_table_cells, annotated_values, vocabulary_terms, json_documents, article_sections, section_passages, project_lines, project_index, first_file_fact, listed_accessions, model_responses, resolved_paths, chosen_files, discovered_sets, merged_records, sample_lines, clipped_cells, manifest, stream_windows, stream_once)}
 
 PXD = "'PXD' || lpad(c_custkey::VARCHAR, 6, '0')"
 ORACLES = {
@@ -230,6 +264,12 @@ ORACLES = {
     "obo_names": "SELECT 'N:' || n_nationkey id, n_name AS name, lower(n_name) synonym, 'EXACT' scope, 'R:' || n_regionkey xrefs FROM nation UNION ALL SELECT 'S:' || s_suppkey, 'Supplier ' || s_suppkey, NULL, NULL, NULL FROM supplier WHERE s_suppkey % 7 <> 0",
     "ontology_by_ending": """SELECT 'x/r' || n_regionkey || '.obo' AS path, 'N:' || n_nationkey id, n_name AS name, '' parents FROM nation UNION ALL SELECT 'x/r' || n_regionkey || '.obo', 'S:' || s_suppkey, 'Supplier ' || s_suppkey, 'N:' || s_nationkey FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 7 <> 0
       UNION ALL SELECT 'y/n' || s_nationkey || '.owl', 'P:' || s_suppkey, s_suppkey::VARCHAR, 'N:' || s_nationkey FROM supplier WHERE s_suppkey % 5 <> 0""",
+    "cell_line_origins": """
+SELECT 'CLO:' || c_custkey id, CASE WHEN c_custkey % 5 = 4 THEN '' ELSE c_name END AS label, CASE WHEN c_custkey % 5 < 3 THEN 'NCBITaxon_' || c_nationkey END species_ncbi,
+  CASE WHEN c_custkey % 5 = 1 THEN 'BTO:' || c_custkey END tissue_bto, CASE WHEN c_custkey % 5 = 2 THEN 'UBERON:7' END tissue_uberon FROM customer WHERE c_custkey % 5 <> 4""",
+    "derived_tissues": """
+SELECT 'disease' kind, 'DOID:' || s_suppkey id, CASE WHEN s_suppkey % 4 < 2 THEN 'UBERON:' || s_nationkey ELSE 'UBERON:3;UBERON:5' END tissues FROM supplier WHERE s_suppkey % 4 <> 3
+UNION ALL SELECT 'cell_type', 'DOID:' || s_suppkey, 'UBERON:8' FROM supplier UNION ALL SELECT 'reference', 'DOID:' || s_suppkey, 'UBERON:3;UBERON:5' FROM supplier WHERE s_suppkey % 4 <> 3""",
     "owl_in_pieces": """
 SELECT 'C:' || c_custkey id, CASE WHEN c_custkey % 50 <> 7 THEN c_name END AS name, CASE WHEN c_custkey % 50 <> 7 THEN 'N:' || c_nationkey ELSE '' END parents, CASE WHEN c_custkey % 50 = 7 THEN 'not parsed' END status FROM customer""",
     "sample_table_cells": "SELECT replace(p_brand, '#', '') pxd, 'name' header, 0 occ, p_partkey::VARCHAR cell FROM part UNION ALL SELECT replace(p_brand, '#', ''), 'type', 1, CASE WHEN p_size % 2 = 0 THEN p_size::VARCHAR ELSE '' END FROM part",

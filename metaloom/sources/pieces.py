@@ -69,10 +69,10 @@ def _classes(text: str) -> Iterator[tuple]:
         for s in c.findall(f"{at['rdfs']}subClassOf"):
             if r := s.get(f"{at['rdf']}resource"):
                 parents.append(curie_of(r))
-            for q in s.iter(f"{at['owl']}Restriction"):
-                p, v = q.find(f"{at['owl']}onProperty"), q.find(f"{at['owl']}someValuesFrom")
-                if p is not None and v is not None and v.get(f"{at['rdf']}resource"):
-                    links.append({"relation": curie_of(p.get(f"{at['rdf']}resource") or ""), "target": curie_of(v.get(f"{at['rdf']}resource"))})
+        for q in c.iter(f"{at['owl']}Restriction"):
+            p, v = q.find(f"{at['owl']}onProperty"), q.find(f"{at['owl']}someValuesFrom")
+            if p is not None and v is not None and v.get(f"{at['rdf']}resource"):
+                links.append({"relation": curie_of(p.get(f"{at['rdf']}resource") or ""), "target": curie_of(v.get(f"{at['rdf']}resource"))})
         dead = c.findtext(f"{at['owl']}deprecated")
         yield curie_of(about), c.findtext(f"{at['rdfs']}label"), [x.text for x in c.findall(f"{at['oboInOwl']}hasExactSynonym") if x.text], parents, links, (dead or "").strip().lower() == "true", None
 
@@ -128,7 +128,7 @@ def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
 
 
 def owl_classes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, id, name, synonyms, parents, links, deprecated, status) of the named classes of OWL files in RDF/XML, of any size.
+    """(path, id, name, synonyms, parents, links, deprecated, status) of the named classes of OWL files in RDF/XML, of any size; links are all their restrictions to some values of a class.
 
     Spark's text reader cuts a file at the ends of its class elements, by byte range, from any store; each task follows
     the open elements of its range. A class with others inside is put together again; the few that two ranges share are joined by
