@@ -284,3 +284,42 @@ def recovered(candidates: DataFrame, accepted: DataFrame, rejected: DataFrame, f
 def named_checks(text: Column, names: Sequence[str] = ("HALLUCINATED", "TYPE_CORRECT", "VALUE_CORRECT", "VALUE_COMPLETE")) -> Column:
     """A map of the named checks of an answer and what is said of each; of a repeated one the last."""
     return F.create_map(*[c for n in names for c in (F.lit(n), X.last_answer(text, n))])
+
+
+#: Answers that name no field.
+NO_FIELD = ("NONE", "N/A", "NULL", "SAME", "YES", "NO")
+
+
+def plain_answer(reason: Column) -> Column:
+    """An answer without its markdown: bold and code marks, bullets, headings and quotes."""
+    text = F.replace(F.coalesce(reason, F.lit("")), F.lit("\r"), F.lit("\n"))
+    for mark in ("**", "__", "`"):
+        text = F.replace(text, F.lit(mark), F.lit(""))
+    return F.regexp_replace(text, r"(?m)^[ \t]*(?:[-*+]|#+|>)[ \t]+", "")
+
+
+def corrected_field(reason: Column, own: Column, fields: Sequence[str]) -> Column:
+    """The field of ``fields`` that an answer says a value belongs to, other than its own; null if none.
+
+    The last CORRECT_TYPE_NAME at the beginning of a line counts, else the last anywhere; where that names no other field, the first
+    of "correct field is ...", then of "belongs in ...", that does, there only as a field is written: with an underscore or a capital.
+    """
+    text = plain_answer(reason)
+    names = F.create_map(*[F.lit(x) for f in fields for x in (f.lower(), f)])
+    edge = r"['\"`,.()\[\]:]+"
+
+    def accepted(name: Column, strict: bool = False) -> Column:
+        n = F.regexp_replace(F.trim(name), f"^{edge}|{edge}$", "")
+        known = F.try_element_at(names, F.lower(n))
+        right = F.lower(known) != F.lower(F.coalesce(own, F.lit("")))
+        return F.when(right & n.rlike("[_A-Z]") if strict else right, known)
+
+    label = r"CORRECT_TYPE_NAME[ \t]*:[ \t]*(\S+)"
+    found = [F.try_element_at(F.regexp_extract_all(text, F.lit(p + label), F.lit(1)), F.lit(-1)) for p in (r"(?im)^[ \t]*", r"(?i)\b")]
+    said = F.coalesce(*found)
+    said = F.when(~F.upper(F.trim(said)).isin(*NO_FIELD), accepted(said))
+    prose = []
+    for pattern in (r"(?i)correct\s+(?:field|type)\s+is\s+([A-Za-z][A-Za-z_]+)", r"(?i)belongs\s+(?:in|to)\s+(?:the\s+)?([A-Za-z][A-Za-z_]+)"):
+        options = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: accepted(x, True))
+        prose.append(F.try_element_at(F.filter(options, lambda x: x.isNotNull()), F.lit(1)))
+    return F.coalesce(said, *prose)

@@ -146,7 +146,30 @@ def judge_run_cells(spark, sf_dir):
     return _run(spark, sf_dir)[0]["filtered"].select("pxd", "field", "row_idx", "fixed")
 
 
-QUERIES = {f.__name__: f for f in (judge_run_papers, judge_run_fields, judge_run_cells, judge_hints, judge_guards, sample_sheet_guard, recovered_values, modification_cells, unit_context, degenerate_answers)}
+REASONS = (  # answers about a value of the field tissue, and the field that they name
+    ("VERDICT: low\n**CORRECT_TYPE_NAME:** Cell_Line\n", "cell_line"),
+    ("CORRECT_TYPE_NAME: tissue\nIt belongs in the Disease_State column.", "disease_state"),
+    ("- CORRECT_TYPE_NAME: NONE", None),
+    ("It says CORRECT_TYPE_NAME: age.\n> CORRECT_TYPE_NAME: `(sex)`.", "sex"),
+    ("I think CORRECT_TYPE_NAME: age, no more", "age"),
+    ("The correct field is age here", None),
+    ("The correct type is nothing; the correct field is cell_line. It belongs to Sex", "cell_line"),
+    ("It belongs to Tissue or belongs in Age", "age"),
+    ("CORRECT_TYPE_NAME: unheard_of", None),
+    ("CORRECT_TYPE_NAME:\nage", None),
+    (None, None),
+)
+
+
+def corrected_fields(spark, sf_dir):
+    """The field that answers about parts say their value belongs to."""
+    p = table(spark, sf_dir, "part")
+    k = (F.col("p_partkey") % len(REASONS)).cast("int")
+    reason = F.get(F.array(*[F.lit(r) for r, _ in REASONS]), k)
+    return p.select("p_partkey", J.corrected_field(reason, F.lit("tissue"), ["tissue", "cell_line", "disease_state", "age", "sex"]).alias("field"))
+
+
+QUERIES = {f.__name__: f for f in (corrected_fields, judge_run_papers, judge_run_fields, judge_run_cells, judge_hints, judge_guards, sample_sheet_guard, recovered_values, modification_cells, unit_context, degenerate_answers)}
 GUARDS = (
     # verdict, match type, mismatch, hallucinated, value correct, value complete, corrected, guards
     "'high', 'CORRECT', false, false, true, true, NULL, ''",
@@ -174,6 +197,7 @@ u AS (SELECT DISTINCT p_brand pxd, 'type' field, lower(p_type) unit, length(p_ty
 COUNTED = """count(*) total, count(*) FILTER (m < 2) correct, count(*) FILTER (m = 3) hallucinated, count(*) FILTER (m = 4) mismatch, count(*) FILTER (m = 2) wrong,
   count(*) FILTER (m = 5) incomplete, count(*) FILTER (m = 2) corrected, count(*) FILTER (m = 6) error, round(count(*) FILTER (m < 2) / nullif(count(*) FILTER (m <> 6), 0)::DOUBLE, 6) accuracy"""
 ORACLES = {
+    "corrected_fields": "SELECT p_partkey, [" + ", ".join("NULL" if f is None else f"'{f}'" for _, f in REASONS) + f"][p_partkey % {len(REASONS)} + 1] AS field FROM part",
     "judge_run_papers": f"{RUN}, c AS (SELECT pxd, {COUNTED} FROM u GROUP BY 1) SELECT c.*, r.runs, 2 AS columns FROM c JOIN (SELECT p_brand pxd, count(DISTINCT p_partkey) runs FROM good GROUP BY 1) r USING (pxd)",
     "judge_run_fields": f"""{RUN}, f(place, field) AS (VALUES (0, 'type'), (1, 'size'), (2, 'age')), c AS (SELECT field, {COUNTED} FROM u GROUP BY 1)
 SELECT place, f.field, coalesce(total, 0) total, coalesce(correct, 0) correct, coalesce(hallucinated, 0) hallucinated, coalesce(mismatch, 0) mismatch, coalesce(wrong, 0) wrong,
