@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from metaloom.operators import judge as J
 from metaloom.operators import judge_run as J2
+from metaloom.operators import sheets as T
 from metaloom.session import table
 
 
@@ -169,7 +170,19 @@ def corrected_fields(spark, sf_dir):
     return p.select("p_partkey", J.corrected_field(reason, F.lit("tissue"), ["tissue", "cell_line", "disease_state", "age", "sex"]).alias("field"))
 
 
-QUERIES = {f.__name__: f for f in (corrected_fields, judge_run_papers, judge_run_fields, judge_run_cells, judge_hints, judge_guards, sample_sheet_guard, recovered_values, modification_cells, unit_context, degenerate_answers)}
+def sheet_columns(spark, sf_dir):
+    """Tables of brands' parts after values were recovered: one column is filled where it was empty, one is inserted."""
+    p = table(spark, sf_dir, "part")
+    even = F.substring_index("p_brand", "#", -1).cast("int") % 2 == 0
+    cell = lambda c, header, field, value: F.struct(F.lit(c).alias("col_idx"), F.lit(header).alias("header"), F.lit(field).alias("field"), value.alias("cell"))
+    own = F.array(cell(0, "source name", "other", F.col("p_name")), cell(1, "characteristics[organism part]", "tissue", F.when(even, "not available").otherwise(F.col("p_type"))), cell(2, "factor value[size]", "factor", F.col("p_size").cast("string")))
+    cells = p.select(F.col("p_brand").alias("pxd"), F.col("p_partkey").alias("row_idx"), F.explode(own).alias("c")).select("pxd", "row_idx", "c.*")
+    brands = p.select(F.col("p_brand").alias("pxd")).distinct()
+    found = brands.select("pxd", F.lit(0).alias("seq"), F.lit("tissue").alias("field"), F.concat(F.lit("of "), "pxd").alias("value")).unionAll(brands.select("pxd", F.lit(1), F.lit("age"), F.lit("9")))
+    return T.filled(cells, found, {"tissue": "characteristics[organism part]", "age": "characteristics[age]"})
+
+
+QUERIES = {f.__name__: f for f in (sheet_columns, corrected_fields, judge_run_papers, judge_run_fields, judge_run_cells, judge_hints, judge_guards, sample_sheet_guard, recovered_values, modification_cells, unit_context, degenerate_answers)}
 GUARDS = (
     # verdict, match type, mismatch, hallucinated, value correct, value complete, corrected, guards
     "'high', 'CORRECT', false, false, true, true, NULL, ''",
@@ -197,6 +210,11 @@ u AS (SELECT DISTINCT p_brand pxd, 'type' field, lower(p_type) unit, length(p_ty
 COUNTED = """count(*) total, count(*) FILTER (m < 2) correct, count(*) FILTER (m = 3) hallucinated, count(*) FILTER (m = 4) mismatch, count(*) FILTER (m = 2) wrong,
   count(*) FILTER (m = 5) incomplete, count(*) FILTER (m = 2) corrected, count(*) FILTER (m = 6) error, round(count(*) FILTER (m < 2) / nullif(count(*) FILTER (m <> 6), 0)::DOUBLE, 6) accuracy"""
 ORACLES = {
+    "sheet_columns": """
+WITH p AS (SELECT p_brand pxd, p_partkey row_idx, p_name, p_type, p_size, replace(p_brand, 'Brand#', '')::INT % 2 = 0 even FROM part)
+SELECT pxd, row_idx, 0 col_idx, 'source name' header, 'other' field, p_name cell FROM p
+UNION ALL SELECT pxd, row_idx, 1, 'characteristics[organism part]', 'tissue', CASE WHEN even THEN 'of ' || pxd ELSE p_type END FROM p
+UNION ALL SELECT pxd, row_idx, 2, 'characteristics[age]', 'age', '9' FROM p UNION ALL SELECT pxd, row_idx, 3, 'factor value[size]', 'factor', p_size::VARCHAR FROM p""",
     "corrected_fields": "SELECT p_partkey, [" + ", ".join("NULL" if f is None else f"'{f}'" for _, f in REASONS) + f"][p_partkey % {len(REASONS)} + 1] AS field FROM part",
     "judge_run_papers": f"{RUN}, c AS (SELECT pxd, {COUNTED} FROM u GROUP BY 1) SELECT c.*, r.runs, 2 AS columns FROM c JOIN (SELECT p_brand pxd, count(DISTINCT p_partkey) runs FROM good GROUP BY 1) r USING (pxd)",
     "judge_run_fields": f"""{RUN}, f(place, field) AS (VALUES (0, 'type'), (1, 'size'), (2, 'age')), c AS (SELECT field, {COUNTED} FROM u GROUP BY 1)
