@@ -21,16 +21,22 @@ def rendered(template: str, values: Mapping[str, Column]) -> Column:
 
 
 def terms_of(cell: Column) -> Column:
-    """The distinct known terms of a cell that may hold a JSON object with ``name`` or ``value``, a list of such or of strings, or plain text with ';', in order."""
-    kind = F.substring(F.trim(cell), 1, 1)
-    pick = "struct<ontology_name: string, name: string, value: string>"
-    one = lambda x: F.coalesce(X.known(x["ontology_name"]), X.known(x["name"]), X.known(x["value"]))
-    obj = F.array(one(F.from_json(cell, pick)))
-    objs = F.transform(F.from_json(cell, f"array<{pick}>"), one)
-    strings = F.transform(F.from_json(cell, "array<string>"), lambda x: F.when(F.substring(F.trim(x), 1, 1) != "{", X.known(x)))
-    listed = F.concat(F.coalesce(F.filter(objs, lambda x: x.isNotNull()), F.array().cast("array<string>")), F.coalesce(F.filter(strings, lambda x: x.isNotNull()), F.array().cast("array<string>")))
-    text = F.transform(F.split(cell, ";"), lambda x: X.known(x))
-    found = F.when(kind == "{", obj).when(kind == "[", listed).otherwise(text)
+    """The distinct known terms of a cell that may hold a JSON object with ``ontology_name``, ``name`` or ``value``, a list of such, of strings or of other lists, or plain text with ';', in order.
+
+    The cell is parsed once, as a VARIANT, whatever its shape: a list gives its items, lists within it theirs, and an object or a
+    value stands for a list of one. Text that only looks like JSON is plain text.
+    """
+    v = F.try_parse_json(cell)
+    items = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
+    flat = F.flatten(F.transform(items, lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array(x))))
+
+    def one(x: Column) -> Column:
+        fields = [X.known(F.try_variant_get(x, f"$.{name}", "string")) for name in ("ontology_name", "name", "value")]
+        text = F.when(~F.schema_of_variant(x).startswith("OBJECT") & ~F.schema_of_variant(x).startswith("ARRAY"), F.try_variant_get(x, "$", "string"))
+        return F.coalesce(*fields, X.known(text))
+
+    json = v.isNotNull() & F.substring(F.trim(cell), 1, 1).isin("{", "[")
+    found = F.when(json, F.transform(flat, one)).otherwise(F.transform(F.split(cell, ";"), lambda x: X.known(x)))
     return F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
 
 
