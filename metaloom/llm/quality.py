@@ -173,8 +173,8 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit(texts: list[str | None], target: np.ndarray, epochs: int = 12, rate: float = 0.3, seed: int = 9) -> Scorer:
-    """Logistic regression on soft labels by Adagrad, text by text in a fixed shuffled order."""
+def fit(texts: list[str | None], target: np.ndarray, epochs: int = 12, rate: float = 0.3, seed: int = 9, bins_too: bool = True) -> Scorer:
+    """Logistic regression on soft labels by Adagrad, text by text in a fixed shuffled order. Without ``bins_too`` it learns from the trigrams alone, and not from the statistics that the labellers vote by."""
     scorer = Scorer(np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0)
     rows = []
     for data, off, values, _ in _read(pa.array(texts, pa.large_string())):
@@ -192,7 +192,8 @@ def fit(texts: list[str | None], target: np.ndarray, epochs: int = 12, rate: flo
             gt[own] += (g * x) ** 2
             scorer.trigrams[own] -= rate * g * x / np.sqrt(gt[own])
             gb[bins] += g * g
-            scorer.bins[bins] -= rate * g / np.sqrt(gb[bins])
+            if bins_too:
+                scorer.bins[bins] -= rate * g / np.sqrt(gb[bins])
             g0 += g * g
             scorer.base -= rate * g / np.sqrt(g0)
     return scorer
@@ -219,10 +220,10 @@ def patterns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("votes").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, rows: int = 4000, chars: int = 32_768, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[LabelModel, Scorer]:
-    """The label model, from the votes on all texts, and the scorer, from the ``rows`` texts of smallest id hash with their posteriors.
+def train(docs: DataFrame, rows: int = 4000, chars: int = 32_768, *, id_col: str = "doc_id", text_col: str = "text", bins_too: bool = True) -> tuple[LabelModel, Scorer]:
+    """The label model, from the votes on all texts, and the scorer, from the ``rows`` texts of smallest id hash, among those of up to ``chars`` characters, with their posteriors.
 
-    Of a repeated id the smallest text is taken, and texts of over ``chars`` characters aren't, so no more than ``rows``
+    Of a repeated id the smallest text is taken, so no more than ``rows``
     texts and ``rows * chars`` characters reach the driver. Null texts count as empty; rows with a null id vote but
     don't train the scorer; other columns are not read; an empty table gives models that keep everything or nothing alike.
     """
@@ -230,13 +231,14 @@ def train(docs: DataFrame, rows: int = 4000, chars: int = 32_768, *, id_col: str
     v = np.array([np.frombuffer(r["votes"], np.int8) for r in found], np.int8).reshape(-1, len(STATS))
     order = np.lexsort(v.T) if len(v) else np.zeros(0, int)
     model = estimate(v[order], np.array([r["n"] for r in found], np.int64)[order])
-    picked = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
+    short = F.length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) <= chars
+    picked = docs.filter(short).select(F.col(id_col).alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter(F.length("text") <= chars)
     data = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text")).collect()
     data.sort(key=lambda r: (str(r["id"]), r["text"] or ""))
     texts = [r["text"] for r in data]
     parts = [model.posterior(votes(values, words)) for _, _, values, words in _read(pa.array(texts, pa.large_string()))]
-    return model, fit(texts, np.concatenate(parts) if parts else np.zeros(0))
+    return model, fit(texts, np.concatenate(parts) if parts else np.zeros(0), bins_too=bins_too)
 
 
 def score(docs: DataFrame, model: LabelModel, scorer: Scorer, *, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.5) -> DataFrame:
