@@ -118,3 +118,10 @@ def test_paths_to_roots(spark):
     assert got == {i: ">".join(map(str, range(i, -1, -1))) for i in range(20)} | {30: "30>31", 31: "31", 77: "77"}
     with pytest.raises(RuntimeError, match="cycle"):
         P.path_to_root(nodes, spark.createDataFrame([(1, 2), (2, 1)], "child long, parent long"), most=50)
+
+
+def test_negated_column(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("TMT", "No TMT"), ("TMT", "TMT"), (None, "No"), ("TMT", None)], "v string, e string")
+    assert [r.n for r in df.select(N.negated(F.col("v"), F.col("e")).alias("n")).collect()] == [True, False, False, False]
