@@ -15,7 +15,7 @@ from metaloom.refdata import COMPARISON_FIELDS, CONTROL_WORDS
 
 
 def _quote(evidence: Column) -> Column:
-    return F.trim(F.regexp_replace(evidence, r"(?i)^\s*inferred\s*:\s*", ""))
+    return F.trim(F.regexp_replace(evidence, r"(?i)^\s*inferred\s*: *", ""))
 
 
 def snapped(entries: DataFrame, sources: DataFrame) -> DataFrame:

@@ -99,3 +99,22 @@ def test_snapping():
     assert X.snapped("inferred: mice were fed ad libitum", "All mice were fed ad libitum.") == ("mice were fed ad libitum", "verbatim")
     assert X.snapped("ﬁbre–rich diet", "A Fibre-rich  Diet, they said") == ("Fibre-rich  Diet", "normalized")
     assert X.snapped("ample was\nheated", "The sample  was heated.") == ("ample  was heated", "normalized")
+
+
+def test_snapped_quotes_keep_line_ends_and_whole_letters():
+    src = "Das eneinßpf einsch.\nUnd der enäachß. Ende"
+    assert X.snapped("ßPF EINSCH", src) == ("ßpf einsch", "normalized")
+    assert X.snapped("UND DER ENÄ", src) == ("Und der enä", "normalized")
+    assert X.snapped("INßPF EINSCH.\n", src) == ("inßpf einsch.\n", "normalized")
+    assert X.snapped("\nUND DER", src) == ("\nUnd der", "normalized")
+    assert X.snapped("\n EINSCH", src) == ("einsch", "normalized")
+    assert X.snapped("inferred: \nUnd der", src) == ("\nUnd der", "verbatim")
+    assert X.snapped("inferred:\neinsch", src) == ("einsch", "verbatim")
+
+
+def test_snapped_entries_keep_line_ends(spark):
+    from metaloom.operators import grounding
+
+    e = spark.createDataFrame([(1, "tissue", 0, "v", "inferred: \nUnd der "), (1, "tissue", 1, "v", "\nUND DER")], "id long, field string, seq int, value string, evidence string")
+    got = grounding.snapped(e, spark.createDataFrame([(1, "Einsch.\nUnd der Ende")], "id long, text string")).sort("seq")
+    assert [(r.evidence, r.status) for r in got.collect()] == [("inferred: \nUnd der", "verbatim"), ("\nUnd der", "normalized")]
