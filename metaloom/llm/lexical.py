@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import runs, span_hashes, stored, text_slices
+from metaloom.llm.common import runs, span_hashes, stored, text_slices, thin
 
 #: Fixed value: a term is a maximal match of this; only A-Z are lower-cased.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLOCK_DOCS = 256
 BLOCK_POSTINGS = 1 << 15
+SLICE_BYTES = 1 << 19  # of texts that are cut into terms at once
+FILE_BLOCKS = 32  # in a file of the index, all of which a reader decodes at once
 MOST_TERMS = 1 << 16  # of the queries that one pass serves, about
 MOST_ITEMS = 1 << 12
 
@@ -38,7 +40,7 @@ class Index:
 
 def terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, last + 1, terms in each text, and of each distinct term of a text: the text, hash, occurrences), by text and hash."""
-    for lo, hi, data, off in text_slices(column):
+    for lo, hi, data, off in text_slices(column, SLICE_BYTES):
         starts, ends = runs(_TERM_BYTE[data], off)
         h = span_hashes(_LOWER[data], starts, ends)
         text = np.searchsorted(off, starts, "right") - 1
@@ -86,7 +88,7 @@ def index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bl
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 36
-        for b in batches:
+        for b in thin(batches, 4 * block_docs):
             for lo, hi, sizes, text, h, tf in terms(b.column(1)):
                 impact = impacts(tf, sizes[text], n, length)
                 per = np.bincount(text, minlength=hi - lo)
@@ -114,7 +116,7 @@ def index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bl
                     yield pa.RecordBatch.from_arrays(cells, ["block", "ids", "terms", "tops", "counts", "firsts", "places", "impacts"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text.alias("text"))
-    return Index(stored(rows.mapInArrow(run, schema), "lexical"), int(n), int(length))
+    return Index(stored(rows.mapInArrow(run, schema), "lexical", FILE_BLOCKS), int(n), int(length))
 
 
 class _Asked:
@@ -206,7 +208,7 @@ def _order(row: tuple) -> tuple:
 def _searched(blocks: DataFrame, asked: _Asked, least: list[int], k: int, best_only: bool, kind: str) -> DataFrame:
     """(q, doc, score, scored) of the ``k`` best documents for each search among those a task reads.
 
-    The blocks of an Arrow batch are sorted by their bound for a search and scored until the bound drops below ``least`` of
+    Up to FILE_BLOCKS blocks of an Arrow batch are sorted by their bound for a search and scored until the bound drops below ``least`` of
     the search and the k-th score so far; with ``best_only`` just the first is. ``scored`` counts the task's blocks scored for q.
     """
 
@@ -214,7 +216,7 @@ def _searched(blocks: DataFrame, asked: _Asked, least: list[int], k: int, best_o
         found: list[list[tuple]] = [[] for _ in least]
         scored = [0] * len(least)
         id_type = None
-        for b in batches:
+        for b in thin(batches, FILE_BLOCKS):
             ids = b.column(b.schema.get_field_index("ids"))
             id_type = ids.type.value_type
             (t, t_off), (tops, _) = _column(b, "terms"), _column(b, "tops")
@@ -281,7 +283,7 @@ def search(found: Index, items: DataFrame, *, id_col: str = "item_id", text_col:
     impact (see ``impacts``) over the item's distinct terms. Equal scores go by ascending id, null ids last.
 
     Items are served in passes of about ``most_terms`` distinct terms and ``most_items`` items, which every task receives. A
-    pass reads the index three times: term counts (two columns); the block of the highest bound of each Arrow batch,
+    pass reads the index three times: term counts (two columns); the block of the highest bound of each FILE_BLOCKS that a task reads,
     whose scores give every item a least score that k documents reach; and all blocks by falling bound while that isn't below
     the least score and the task's own k-th score. A bound is the sum of weights times block maxima, so no document is
     missed. ``scored`` counts the blocks that the document's task scored for the item. Only tops are shuffled: k for each

@@ -84,3 +84,11 @@ def test_empty(spark, odd):
     items = spark.createDataFrame([(1, "x")], "item_id long, text string")
     assert lexical.search(lexical.index(odd.limit(0)), items).collect() == []
     assert lexical.search(lexical.index(odd), items.limit(0)).collect() == []
+
+
+def test_files_and_slices_of_the_index_are_bounded(spark, corpus):
+    docs, items = corpus
+    index = lexical.index(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), block_docs=4)
+    files = index.blocks.groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1 and max(r[1] for r in files) <= lexical.FILE_BLOCKS
+    assert got(lexical.search(index, spark.createDataFrame(items, "item_id long, text string"))) == brute(docs, items)
