@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,56 +16,83 @@ WORD = r"\d+|\p{Lu}+(?!\p{Ll})|\p{Lu}?\p{Ll}+|\p{L}+"
 GRAM = 5
 
 
-def _grams(name: Column) -> tuple[Column, Column]:
-    """All runs of up to GRAM words of a name, written together: as they are, and in lower case."""
+SEP = "\x01"  # between the words of a name; no word holds it
+
+
+def _words(name: Column) -> Column:
+    """What is read of a name, once for all tables: its words, the words with SEP between and around them, as they are and in lower case, all of them together, and the whole name, the last two in lower case."""
     words = F.regexp_extract_all(name, F.lit(f"({WORD})"), F.lit(1))
+    written = F.concat(F.lit(SEP), F.array_join(words, SEP), F.lit(SEP))
+    return F.struct(words.alias("words"), written.alias("written"), F.lower(written).alias("folded"), F.lower(F.array_join(words, "")).alias("joined"), F.lower(name).alias("whole"))
+
+
+def _runs(words: Column) -> Column:
+    """All runs of up to GRAM words, written together."""
     at = F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))
-    runs = F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.array_join(F.slice(words, i, n), ""))))
-    return runs, F.transform(runs, lambda r: F.lower(r))
+    return F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.array_join(F.slice(words, i, n), ""))))
+
+
+def _holds(g: Column, kind: str, alias: str) -> Column:
+    """Whether the words hold an alias: anywhere in the name, or as a run of up to GRAM words."""
+    if kind == "anywhere":
+        return F.contains(g["whole"], F.lit(alias))
+    exact = kind == "as written"
+    run = F.array_contains(_runs(g["words"]) if exact else F.transform(_runs(g["words"]), lambda r: F.lower(r)), F.lit(alias))
+    if not alias.isascii():
+        return run
+    # From cheap to dear: the letters stand together; they begin and end with words; where these are too many, another run may do.
+    met = F.regexp_extract(g["written" if exact else "folded"], SEP + f"{SEP}?".join(map(re.escape, alias)) + SEP, 0)
+    return F.contains(g["joined"], F.lit(alias.lower())) & (met != "") & ((F.length(met) <= len(alias) + GRAM + 1) | run)
+
 
+def _found(table: list[tuple[str, str, str]], g: Column) -> Column:
+    """The canonical names of a table that the words hold, distinct, in the table's order."""
+    return F.array_except(F.array(*[F.when(_holds(g, kind, alias), F.lit(canonical)) for canonical, kind, alias in table]), F.array(F.lit(None).cast("string")))
 
-def _first_of(table: list[tuple[str, str, str]], name: Column, every: bool = False) -> Column:
-    """The canonical names of a table that a run's name holds, in the table's order: the first, or all."""
-    written, folded = _grams(name)
-    rows = F.array(*[F.struct(F.lit(canonical).alias("canonical"), F.lit(kind).alias("kind"), F.lit(alias).alias("alias")) for canonical, kind, alias in table])
-    # The words are a variable of the outer step, so they are read once for all rows of the table.
-    read = F.array(F.struct(written.alias("written"), folded.alias("folded"), F.lower(name).alias("whole")))
 
-    def holds(g: Column, r: Column) -> Column:
-        words = F.when(r["kind"] == "as written", F.array_contains(g["written"], r["alias"])).otherwise(F.array_contains(g["folded"], r["alias"]))
-        return F.when(r["kind"] == "anywhere", F.contains(g["whole"], r["alias"])).otherwise(words)
+def _of(tables: dict[str, list[tuple[str, str, str]]], name: Column) -> Column:
+    """A record with what each of the tables finds in a name, whose words are read once."""
+    return F.get(F.transform(F.array(_words(name)), lambda g: F.struct(*[_found(t, g).alias(f) for f, t in tables.items()])), F.lit(0))
 
-    found = F.flatten(F.transform(read, lambda g: F.transform(F.filter(rows, lambda r: holds(g, r)), lambda r: r["canonical"])))
-    found = F.array_distinct(found)
-    return found if every else F.get(found, F.lit(0))
+
+def _line_table(lines: list[str]) -> list[tuple[str, str, str]]:
+    return [*[(t, "words", "".join(c for c in t.lower() if c.isalnum())) for t in lines], *RUN_LINES]
 
 
 def hits(name: Column, field: str) -> Column:
     """All canonical names of a field that a run's name holds, distinct, in the order of the table."""
-    return _first_of(RUN_WORDS[field], name, every=True)
+    return _of({field: RUN_WORDS[field]}, name)[field]
 
 
 def line_hits(name: Column, lines: list[str]) -> Column:
     """Cell lines of a given vocabulary that a run's name holds, however their blanks and hyphens are written."""
-    rows = [(t, "words", "".join(c for c in t.lower() if c.isalnum())) for t in lines]
-    return _first_of([*rows, *RUN_LINES], name, every=True)
+    return _of({"line": _line_table(lines)}, name)["line"]
 
 
-def run_fields(name: Column, lines: list[str] | None = None) -> dict[str, Column]:
-    """A column for each field: the first name found, or all of them for COLLECTED fields.
+def run_hits(name: Column, lines: list[str] | None = None) -> Column:
+    """A record of all fields' names that a run's name holds, and of its cell lines as ``lines``; for ``fields_of``. Kept as a column, it is made once a row."""
+    return _of(RUN_WORDS | ({"lines": _line_table(lines)} if lines else {}), name)
+
+
+def fields_of(found: Column, lines: bool = False) -> dict[str, Column]:
+    """A column for each field of a record of ``run_hits``: the first name found, or all of them for COLLECTED fields.
 
-    A body fluid beats a solid tissue. A human cell line makes the species human, beside another that the name gives.
+    A body fluid beats a solid tissue. A human cell line (of a record with ``lines``) makes the species human, beside another that the name gives.
     """
-    out = {f: F.nullif(F.array_join(hits(name, f), "; "), F.lit("")) if f in COLLECTED else F.get(hits(name, f), F.lit(0)) for f in RUN_WORDS}
-    tissues = hits(name, "tissue")
-    out["tissue"] = F.coalesce(F.get(F.filter(tissues, lambda x: x.isin(*RUN_FLUIDS)), F.lit(0)), out["tissue"])
+    out = {f: F.nullif(F.array_join(found[f], "; "), F.lit("")) if f in COLLECTED else F.get(found[f], F.lit(0)) for f in RUN_WORDS}
+    out["tissue"] = F.coalesce(F.get(F.filter(found["tissue"], lambda x: x.isin(*RUN_FLUIDS)), F.lit(0)), out["tissue"])
     if lines:
-        out["cell_line"] = F.get(line_hits(name, lines), F.lit(0))
+        out["cell_line"] = F.get(found["lines"], F.lit(0))
         human, org = F.lit("Homo sapiens"), out["organism"]
         out["organism"] = F.when(out["cell_line"].isNull(), org).when(org.isNull() | (org == human), human).otherwise(F.concat_ws("; ", org, human))
     return out
 
 
+def run_fields(name: Column, lines: list[str] | None = None) -> dict[str, Column]:
+    """The columns of ``fields_of``, straight from a name. Each reads the name again; over many rows keep ``run_hits`` as a column."""
+    return fields_of(run_hits(name, lines), bool(lines))
+
+
 # ---- cohorts ------------------------------------------------------------------------------------------------------------
 
 

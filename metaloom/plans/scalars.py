@@ -87,7 +87,10 @@ def run_names(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     m, n = F.col("p_partkey") % 4, _s("p_partkey")
     name = F.when(m == 0, F.concat(L("QEHFX_HeLa_DIA_HCD_CID_"), n)).when(m == 1, F.concat(L("Mouse_liver_plasma_TMT"), n)).when(m == 2, F.concat(L("timsTOF-SCP_phospho_Nuc_WT_"), n)).otherwise(F.concat(L("deliveries_radial_"), n))
-    f = R.run_fields(name, ["HeLa", "MCF-7"])
+    # Reading a name takes far longer than moving it, and few files hold all names.
+    p = p.select("p_partkey", name.alias("name")).repartition(spark.sparkContext.defaultParallelism)
+    p = p.withColumn("found", R.run_hits(F.col("name"), ["HeLa", "MCF-7"]))
+    f = R.fields_of(F.col("found"), lines=True)
     return p.select("p_partkey", *[f[c].alias(c) for c in ("instrument", "acquisition", "fragmentation", "organism", "tissue", "labeling", "cell_line", "enrichment", "cell_part", "disease")])
 
 
