@@ -18,6 +18,49 @@ def _both_ways(edges: DataFrame) -> DataFrame:
     return e.groupBy("x", "y").agg(F.min("weight").alias("weight"))
 
 
+def _folded(pairs: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(a, b, p, q, before, after) of pairs (a, b), and the edges (x, y, weight) between the nodes p and q that are left.
+
+    A node with a single neighbour lies on no way between others, so a way that begins or ends there does so by its only
+    edge: the pair goes on from the neighbour, ``before`` or ``after`` dearer by that edge, and the node leaves the graph.
+    Where p = q nothing is left to search. Rounds go on while half of the nodes leave at least, so there are no more than
+    the logarithm of their number; None if the first has no such half.
+    """
+    zero = F.lit(0).cast(e.schema["weight"].dataType)
+    at, folds = pairs.select("a", "b", F.col("a").alias("p"), F.col("b").alias("q"), zero.alias("before"), zero.alias("after")), False
+    while True:
+        ends = kept(e.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("y").alias("y"), F.min("weight").alias("weight")))
+        nodes, single = ends.agg(F.count(F.lit(1)), F.count_if(F.col("n") == 1)).first()
+        if not nodes or 2 * single < nodes:
+            return (at, e) if folds else None
+        single = ends.filter("n = 1").select("x", "y", "weight")
+        # Of two nodes with no neighbour but each other the smaller stays.
+        other = single.select(F.col("x").alias("__y"))
+        gone = kept(single.join(other, F.col("y") == F.col("__y"), "left").filter("__y is null or y < x").select("x", "y", "weight"))
+        for end, more in (("p", "before"), ("q", "after")):
+            step = gone.select(F.col("x").alias(f"__{end}"), F.col("y").alias(f"__to_{end}"), F.col("weight").alias(f"__{more}"))
+            at = at.join(step, (F.col(end) == F.col(f"__{end}")) & (F.col("a") != F.col("b")), "left")
+        open_ = F.col("p") != F.col("q")
+        to = lambda end, more: (F.when(open_ & F.col(f"__{end}").isNotNull(), F.col(f"__to_{end}")).otherwise(F.col(end)).alias(end), (F.col(more) + F.when(open_, F.coalesce(f"__{more}", zero)).otherwise(zero)).alias(more))
+        at = kept(at.select("a", "b", *to("p", "before"), *to("q", "after")))
+        left = gone.select("x")
+        e, folds = kept(e.join(left, "x", "left_anti").join(left.withColumnRenamed("x", "y"), "y", "left_anti").select("x", "y", "weight")), True
+
+
+def _between(pairs: DataFrame, e: DataFrame, search, name: str) -> DataFrame:
+    """(a, b, ``name``) of pairs (a, b): what ``search`` (pairs, edges) gives between the nodes that folding leaves, and the edges before and after."""
+    wanted = kept(pairs.select("a", "b").distinct())
+    folded = _folded(wanted, e)
+    if folded is None:
+        return search(wanted, e)
+    at, e = folded
+    core = search(kept(at.filter("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()), e)
+    core = core.select(F.col("a").alias("__p"), F.col("b").alias("__q"), F.col(name).alias("__core"))
+    found = at.join(core, (F.col("p") == F.col("__p")) & (F.col("q") == F.col("__q")), "left")
+    inner = F.when(F.col("p") == F.col("q"), F.lit(0).cast(core.schema["__core"].dataType)).otherwise(F.col("__core"))
+    return found.select("a", "b", (F.col("before") + inner + F.col("after")).alias(name))
+
+
 def cheapest(pairs: DataFrame, edges: DataFrame, delta: float | None = None, most: int = 10_000) -> DataFrame:
     """(a, b, cost): the cheapest way between the pairs' nodes over edges (child, parent, weight) in either direction; null if there is none.
 
@@ -31,11 +74,16 @@ def cheapest(pairs: DataFrame, edges: DataFrame, delta: float | None = None, mos
     round is one join of the changed nodes with the edges and one sum by (a, node).
     """
     e = kept(_both_ways(edges))
-    low, mean = e.agg(F.min("weight"), F.avg("weight")).first()
+    low = e.agg(F.min("weight")).first()[0]
     if low is not None and low < 0:
         raise ValueError("negative weights")
+    return _stepped(kept(pairs.select("a", "b").distinct()), e, delta, most)
+
+
+def _stepped(wanted: DataFrame, e: DataFrame, delta: float | None, most: int) -> DataFrame:
+    """(a, b, cost) of distinct pairs over edges (x, y, weight) both ways, by delta-stepping."""
+    mean = e.agg(F.avg("weight")).first()[0]
     width = float(delta or 8 * (mean or 0.0)) or 1.0
-    wanted = kept(pairs.select("a", "b").distinct())
     bucket = F.floor(F.col("cost") / F.lit(width))
     # changed: its cost hasn't gone over light edges; heavy: nor over heavy ones
     state = kept(wanted.filter("a is not null").select("a", F.col("a").alias("at")).distinct().select("a", "at", F.lit(0.0).alias("cost"), F.lit(True).alias("changed"), F.lit(True).alias("heavy")))
@@ -69,11 +117,18 @@ def fewest(pairs: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
     """(a, b, hops, distance): the fewest edges between the pairs' nodes in either direction, and hops / (1 + hops); null if there is no way.
 
     Searches start at the pairs' first nodes, and each level goes on from the nodes that the one before reached first, until
-    it reaches none. ``most`` levels without an end raise.
+    it reaches none. ``most`` levels without an end raise. Nodes with a single neighbour are folded into it beforehand
+    where they are many (see ``_folded``).
     """
-    e = edges.select(F.col("child").alias("x"), F.col("parent").alias("y")).filter("child is not null and parent is not null")
-    e = kept(e.unionAll(e.select("y", "x")).distinct())
-    level = reached = kept(pairs.select("a", F.col("a").alias("at")).distinct().withColumn("hops", F.lit(0)))
+    e = edges.select(F.col("child").alias("x"), F.col("parent").alias("y")).filter("child is not null and parent is not null and child <> parent")
+    e = kept(e.unionAll(e.select("y", "x")).distinct().withColumn("weight", F.lit(1)))
+    found = _between(pairs, e, lambda p, e: _levelled(p, e, most), "hops")
+    return found.select("a", "b", "hops", (F.col("hops") / (1 + F.col("hops"))).alias("distance"))
+
+
+def _levelled(wanted: DataFrame, e: DataFrame, most: int) -> DataFrame:
+    """(a, b, hops) of distinct pairs over edges (x, y) both ways, level by level."""
+    level = reached = kept(wanted.select("a", F.col("a").alias("at")).distinct().withColumn("hops", F.lit(0)))
     for h in range(1, most + 1):
         step = level.join(e, F.col("at") == F.col("x")).select("a", F.col("y").alias("at")).distinct()
         level = kept(step.join(reached.select("a", "at"), ["a", "at"], "left_anti").withColumn("hops", F.lit(h)))
@@ -82,8 +137,7 @@ def fewest(pairs: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
         reached = reached.unionAll(level)
     else:
         raise RuntimeError(f"more than {most} levels")
-    d = reached.withColumnRenamed("at", "b")
-    return pairs.select("a", "b").distinct().join(d, ["a", "b"], "left").select("a", "b", "hops", (F.col("hops") / (1 + F.col("hops"))).alias("distance"))
+    return wanted.join(reached.withColumnRenamed("at", "b"), ["a", "b"], "left").select("a", "b", "hops")
 
 
 def _peeled(edges: DataFrame, most: int) -> DataFrame:

@@ -81,6 +81,22 @@ def test_cheapest_ways(spark, delta):
     assert got == {(a, b): pytest.approx(dijkstra(e, a).get(b)) for a, b in pairs}
 
 
+def test_ways_of_many_nodes_with_one_neighbour_fold_into_it(spark, monkeypatch):
+    r = random.Random(4)
+    # hubs with hundreds of leaves, leaves below leaves, a loop, an edge apart, parallel edges, a cycle of hubs
+    e = [(100 + i, i % 4, 1.0 + i % 3) for i in range(400)] + [(1000 + i, 100 + i, 0.5) for i in range(40)] + [(0, 1, 2.0), (1, 2, 0.25), (2, 0, 1.0), (7, 7, 0.0), (50, 51, 3.0), (100, 0, 9.0)]
+    nodes = [*range(5), 7, 50, 51, *range(100, 140), *range(1000, 1040), 9999]
+    pairs = [(r.choice(nodes), r.choice(nodes)) for _ in range(300)] + [(50, 51), (51, 50), (1000, 100), (100, 1000), (9999, 9999), (1001, 1001), (3, 103), (None, 1), (1, None), (None, None)]
+    searched = []
+    for name in ("_stepped", "_levelled"):
+        monkeypatch.setattr(P, name, lambda p, e, *o, real=getattr(P, name): (searched.append(e.count()), real(p, e, *o))[1])
+    p, df = spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(e, "child long, parent long, weight double")
+    hops = {(x.a, x.b): (x.hops, x.distance) for x in P.fewest(p, df).collect()}
+    steps = {(a, b): None if a is None or b is None else 0 if a == b else dijkstra([(x, y, 1) for x, y, _ in e], a).get(b) for a, b in pairs}
+    assert hops == {k: (v, v if v is None else v / (1 + v)) for k, v in steps.items()}
+    assert len(searched) == 1 and max(searched) <= 12  # the hubs' cycle at most, instead of 446 edges both ways
+
+
 def test_cheapest_raises(spark):
     p = spark.createDataFrame([(0, 3)], "a long, b long")
     with pytest.raises(ValueError, match="negative"):
