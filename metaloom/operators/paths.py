@@ -71,13 +71,14 @@ def cheapest(pairs: DataFrame, edges: DataFrame, delta: float | None = None, mos
     its pairs are settled, to the bucket of the dearest.
 
     A negative weight raises, as do ``most`` rounds without an end: no cost is given that a further round would lower. A
-    round is one join of the changed nodes with the edges and one sum by (a, node).
+    round is one join of the changed nodes with the edges and one sum by (a, node). Nodes with a single neighbour are
+    folded into it beforehand where they are many (see ``_folded``).
     """
     e = kept(_both_ways(edges))
     low = e.agg(F.min("weight")).first()[0]
     if low is not None and low < 0:
         raise ValueError("negative weights")
-    return _stepped(kept(pairs.select("a", "b").distinct()), e, delta, most)
+    return _between(pairs, e, lambda p, e: _stepped(p, e, delta, most), "cost")
 
 
 def _stepped(wanted: DataFrame, e: DataFrame, delta: float | None, most: int) -> DataFrame:
