@@ -8,6 +8,7 @@ model or other settings get an index of their own, and an unchanged one is read
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,8 @@ from metaloom.session import kept
 
 MOST_CELLS = 4096
 PART_ROWS = 1 << 15  # codes of a cell that one task scores
-QUERY_ROWS = 1 << 14  # queries, each with its cells, that meet codes together
+BUNDLE_ROWS = 1 << 14  # codes of neighbouring cells that one task scores together
+QUERY_ROWS = 1 << 14  # queries that meet a bundle of codes together
 FIT_ROWS = 256  # vectors a cell from which the cells are made, at most
 LEVELS = 255
 
@@ -69,20 +71,71 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
 
 
-def _nearest_cells(rows: DataFrame, key: str, centroids: np.ndarray, count: int) -> DataFrame:
-    """(key, vec, cell, place) of the ``count`` cells nearest to each row's unit vector, from place 0."""
-    kind = rows.schema[key].dataType.simpleString()
+def _placed(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """(id, vec, cell): each unit vector and its nearest cell."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 some = b.slice(lo, 1024)
-                near = np.argsort(-(_matrix(some.column(1)) @ centroids.T), axis=1, kind="stable")[:, :count]
-                at = pa.array(np.repeat(np.arange(some.num_rows), near.shape[1]))
-                place = np.tile(np.arange(near.shape[1], dtype=np.int32), some.num_rows)
-                yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), pa.array(near.ravel().astype(np.int32)), pa.array(place)], [key, "vec", "cell", "place"])
+                near = np.argmax(_matrix(some.column(1)) @ centroids.T, axis=1)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(near.astype(np.int32))], ["id", "vec", "cell"])
 
-    return rows.select(key, "vec").mapInArrow(run, f"`{key}` {kind}, vec array<double>, cell int, place int")
+    return rows.select("id", "vec").mapInArrow(run, f"id {kind}, vec array<double>, cell int")
+
+
+def _places(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """(place): where the cell of each row (vec, cell) stands among all in their order of nearness, from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                some = b.slice(lo, 1024)
+                order = np.argsort(-(_matrix(some.column(0)) @ centroids.T), axis=1, kind="stable")
+                yield pa.RecordBatch.from_arrays([pa.array((order == some.column(1).to_numpy()[:, None]).argmax(1))], ["place"])
+
+    return rows.select("vec", "cell").mapInArrow(run, "place long")
+
+
+def _bundles(sizes: dict[int, int], parts: list[int]) -> list[tuple[int, int, int]]:
+    """(cell, part, bundle): parts of cells in bundles of about BUNDLE_ROWS codes, in the order of cells."""
+    out, bundle, rows = [], 0, 0
+    for cell in sorted(sizes):
+        for part in range(parts[cell]):
+            more = -(-sizes[cell] // parts[cell])
+            if rows and rows + more > BUNDLE_ROWS:
+                bundle, rows = bundle + 1, 0
+            out.append((cell, part, bundle))
+            rows += more
+    return out
+
+
+def _asked(queries: DataFrame, centroids: np.ndarray, count: int, units: list[tuple[int, int, int]]) -> DataFrame:
+    """(q, vec, bundle, cells): a row for each bundle with cells among the ``count`` nearest to a query (id, vec), and which; no cells stand for all."""
+    kind = queries.schema["id"].dataType.simpleString()
+    bundles = units[-1][2] + 1
+    inside = [np.array(sorted({c for c, _, b in units if b == k})) for k in range(bundles)] if count < len(centroids) else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                some = b.slice(lo, 256)
+                n = some.num_rows
+                if inside:
+                    near = np.argsort(-(_matrix(some.column(1)) @ centroids.T), axis=1, kind="stable")[:, :count]
+                    probed = np.zeros((n, len(centroids)), bool)
+                    np.put_along_axis(probed, near, True, axis=1)
+                for k in range(bundles):
+                    rows, lists = np.arange(n), pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int32()))
+                    if inside:
+                        at, cells = np.nonzero(probed[:, inside[k]])
+                        rows, counts = np.unique(at, return_counts=True)
+                        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(inside[k][cells].astype(np.int32)))
+                    take = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(take), some.column(1).take(take), pa.array(np.full(len(rows), k, np.int32)), lists], ["q", "vec", "bundle", "cells"])
+
+    return queries.select("id", "vec").mapInArrow(run, f"q {kind}, vec array<double>, bundle int, cells array<int>")
 
 
 def _ranges(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -102,33 +155,64 @@ def _ranges(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r[1] for r in found]), np.array([r[2] for r in found])
 
 
+def _means(fit: DataFrame, cells: int, seed: int, rounds: int = 10) -> np.ndarray:
+    """Unit centroids of ``cells`` cells of unit vectors (id, vec): k-means by cosine from the vectors of smallest id hash.
+
+    A round sums the vectors of each cell by task, then over tasks. A cell that no vector is nearest to stays as it is.
+    """
+    first = fit.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(cells).select("vec").collect()  # at most MOST_CELLS vectors
+    centroids = np.array([r[0] for r in first])
+
+    def summed(cell: np.ndarray, n: np.ndarray, total: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(list(total), pa.list_(pa.float64()))], ["cell", "n", "total"])
+
+    for _ in range(rounds):
+        now = centroids.astype(np.float32)
+
+        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
+            n, total = np.zeros(len(now)), np.zeros(now.shape)
+            for b in batches:
+                for lo in range(0, b.num_rows, 1024):
+                    m = _matrix(b.column(0).slice(lo, 1024))
+                    cell = (m.astype(np.float32) @ now.T).argmax(1)
+                    np.add.at(total, cell, m)
+                    n += np.bincount(cell, minlength=len(n))
+            yield summed(np.flatnonzero(n), n[n > 0], total[n > 0])
+
+        def over(some: pa.Table) -> pa.Table:
+            return pa.Table.from_batches([summed(some.column("cell").to_numpy()[:1], np.array([some.column("n").to_numpy().sum()]), _matrix(some.column("total").combine_chunks()).sum(0, keepdims=True))])
+
+        kind = "cell int, n long, total array<double>"
+        found = fit.select("vec").mapInArrow(run, kind).groupBy("cell").applyInArrow(over, kind).collect()  # a row for each cell
+        centroids = centroids.copy()
+        for r in found:
+            centroids[r.cell] = r.total
+        centroids /= np.maximum(np.sqrt((centroids**2).sum(1, keepdims=True)), 1e-12)
+    return centroids
+
+
 def build(vectors: DataFrame, path: str, cells: int | None = None, k: int = 10, target: float = 0.95, seed: int = 7) -> None:
     """Writes the index of ``vectors`` (id, vec) to ``path``.
 
     Cells: k-means by cosine over a sample of at most FIT_ROWS vectors a cell; every vector is then put into its nearest
-    cell. There are n / 30 of them, MOST_CELLS at most. A component's code is its place among 256 steps of its range. For
+    cell. There are n / 30 of them, 4 times the root of n and MOST_CELLS at most: each is a file at least. A component's code is its place among 256 steps of its range. For
     up to 200 of the vectors the ``k`` nearest of all are found, and where the cells of these stand in the order in
     which cells are probed: the probes are as many as hold the share ``target`` of them.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
     spark = vectors.sparkSession
     unit = kept(_unit(vectors))
     n = unit.count()
-    cells = max(1, cells or min(MOST_CELLS, n // 30))
+    cells = max(1, cells or min(MOST_CELLS, n // 30, 4 * math.isqrt(n)))
     mix = lambda s: F.pmod(F.xxhash64(F.lit(s), "id"), F.lit(1 << 30))
     if cells > 1:
         share = min(1.0, FIT_ROWS * cells / n)
-        fit = unit.filter(mix(seed) < int(share * (1 << 30))).select(array_to_vector("vec").alias("features")) if share < 1 else unit.select(array_to_vector("vec").alias("features"))
-        found = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(fit.repartition(spark.sparkContext.defaultParallelism))
-        centroids = np.array(found.clusterCenters())
-        centroids /= np.maximum(np.sqrt((centroids**2).sum(1, keepdims=True)), 1e-12)
+        fit = unit.filter(mix(seed) < int(share * (1 << 30))) if share < 1 else unit
+        centroids = _means(kept(fit.repartition(spark.sparkContext.defaultParallelism)), cells, seed)
     else:
         centroids = np.ones((1, len(unit.first()["vec"]) if n else 1))
     low, high = _ranges(unit)
     step = np.where(high > low, (high - low) / LEVELS, 1.0)
-    placed = _nearest_cells(unit, "id", centroids, 1).drop("place")
+    placed = _placed(unit, centroids)
     sizes = dict(placed.groupBy("cell").count().collect())
     parts = [max(1, -(-sizes.get(c, 0) // PART_ROWS)) for c in range(len(centroids))]
     of = F.element_at(F.array(*[F.lit(p) for p in parts]), F.col("cell") + 1) if max(parts) > 1 else F.lit(1)
@@ -142,14 +226,13 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, k: int = 10,
     placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), of.cast("long")).cast("int"))
     codes = placed.select("id", "vec", "part", "cell").mapInArrow(coded, f"id {kind}, code binary, part int, cell int")
     codes.repartition("cell", "part").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/codes")
-    placed.select("id", "vec", "cell").repartition("cell", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
+    placed.select("id", "vec", "part", "cell").repartition("cell", "part").drop("part").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
     probes, recall = len(centroids), 1.0
     if n:
         draft = Index(spark, path, True, n, centroids, low, step, parts, probes, 1.0)
         few = unit.filter(mix(seed + 1) < max(1, int(min(1.0, 200 / n) * (1 << 30)))).limit(400)
         near = search(draft, few, k, probes=len(centroids)).select("q", "cell")
-        asked = _nearest_cells(few.withColumnRenamed("id", "q"), "q", centroids, len(centroids)).select("q", "cell", "place")
-        places = np.array([r[0] for r in near.join(asked, ["q", "cell"]).select("place").collect()])  # at most 400 k
+        places = np.array([r[0] for r in _places(near.join(few.withColumnRenamed("id", "q"), "q"), centroids).collect()])  # at most 400 k
         if len(places):
             probes = int(np.sort(places)[min(len(places) - 1, int(np.ceil(target * len(places))) - 1)]) + 1
             recall = float((places < probes).mean())
@@ -174,47 +257,72 @@ def search(index: Index, queries: DataFrame, k: int, probes: int | None = None)
     Only partitions of probed cells are read. Codes give each cosine up to a bound (half a step of each component times
     the query's); in each part of a cell those go on that may be among the best, then those that may over all parts,
     and only for these are whole vectors read and exact cosines taken. So within the probed cells the result is exact.
-    A cell is scored in parts of PART_ROWS rows. Queries without a direction give no rows.
+    Codes of neighbouring cells meet the queries in bundles of about BUNDLE_ROWS, and a cell in parts of PART_ROWS rows, so a
+    query goes to each bundle once, and what it brings back is ``k`` rows a bundle and those within the bound. Queries
+    without a direction give no rows.
     """
     spark = index.spark
     kind = queries.schema["id"].dataType.simpleString()
     if not index.n:
         return spark.createDataFrame([], f"q {kind}, rank int, id {kind}, cosine double, cell int")
-    low, step = index.low, index.step
-    q = kept(_nearest_cells(_unit(queries).withColumnRenamed("id", "q"), "q", index.centroids, min(probes or index.probes, len(index.centroids))).drop("place"))
-    cells = [r[0] for r in q.select("cell").distinct().collect()]  # at most MOST_CELLS numbers
-    parts = spark.createDataFrame([(c, p) for c in cells for p in range(index.parts[c])], "cell int, part int")
+    low, step, count = index.low, index.step, min(probes or index.probes, len(index.centroids))
+    given = kept(_unit(queries))
+    units = _bundles(dict(index.table("codes").groupBy("cell").count().collect()), index.parts)  # at most MOST_CELLS numbers
+    asked = _asked(given, index.centroids, count, units)
+    every = count == len(index.centroids)
+    cells = sorted({c for c, _, _ in units}) if every else [r[0] for r in asked.select(F.explode("cells").alias("cell")).distinct().collect()]
+    bundled = F.broadcast(spark.createDataFrame(units, "cell int, part int, bundle int"))
     # Many queries come in blocks, each of which meets the codes on its own.
-    blocks = -(-max(1, q.count()) // QUERY_ROWS)
-    met = q.join(F.broadcast(parts), "cell").withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
-    codes = index.table("codes").filter(F.col("cell").isin(cells)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    blocks = -(-max(1, given.count()) // QUERY_ROWS)
+    met = asked.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int"))
+    codes = index.table("codes").filter(F.col("cell").isin(cells)).join(bundled, ["cell", "part"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = [[], [], [], [], []]
+        out = []
+        types = [a.schema.field("q").type, b.schema.field("id").type, pa.int32(), pa.float64(), pa.float64()]
         if a.num_rows and b.num_rows:
-            d = len(low)
-            m = low + np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(-1, d) * step
-            ids, a = b.column("id").combine_chunks(), a.combine_chunks()
+            d, best = len(low), k + 1  # itself may be among them
+            b = b.sort_by("cell")
+            m = (low + np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(-1, d) * step).astype(np.float32)
+            cell, ids, a = b.column("cell").to_numpy(), b.column("id").combine_chunks(), a.combine_chunks()
+            names, first = np.unique(cell, return_index=True)
+            ends = np.append(first[1:], len(cell))
+            # what single precision may be wrong by, besides half a step
+            blur = (d + 4) * 2.0**-23 * max(1.0, float(np.sqrt((m.astype(np.float64) ** 2).sum(1)).max()))
             for lo in range(0, a.num_rows, 256):
                 some = a.slice(lo, 256)
                 v = _matrix(some.column("vec").combine_chunks())
-                near, off = v @ m.T, np.abs(v) @ (step / 2) + 1e-12
-                for i, (name, row) in enumerate(zip(some.column("q").to_pylist(), near, strict=True)):
-                    least = np.partition(row, -min(k + 1, len(row)))[-min(k + 1, len(row))] - 2 * off[i]
-                    good = np.flatnonzero(row >= least)
-                    for o, x in zip(out, ([name] * len(good), ids.take(pa.array(good)).to_pylist(), [some.column("cell")[i].as_py()] * len(good), row[good] - off[i], row[good] + off[i]), strict=True):
-                        o += list(x)
-        types = [a.schema.field("q").type, b.schema.field("id").type, pa.int32(), pa.float64(), pa.float64()]
-        return pa.table({n: pa.array(o, t) for n, o, t in zip(("q", "id", "cell", "least", "most"), out, types, strict=True)})
+                v32, off = v.astype(np.float32), np.abs(v) @ (step / 2) + blur
+                if every:
+                    near = v32 @ m.T
+                else:
+                    near, lists = np.full((len(v), len(m)), -np.inf, np.float32), some.column("cells").combine_chunks()
+                    at, flat = lists.value_parent_indices().to_numpy(), lists.flatten().to_numpy()
+                    here = np.searchsorted(names, flat)
+                    ok = (here < len(names)) & (names[np.minimum(here, len(names) - 1)] == flat)
+                    probed = np.zeros((len(v), len(names)), bool)
+                    probed[at[ok], here[ok]] = True
+                    for c in range(len(names)):
+                        rows = np.flatnonzero(probed[:, c])
+                        if len(rows):
+                            near[rows, first[c] : ends[c]] = v32[rows] @ m[first[c] : ends[c]].T
+                # The greatest of each of some groups of codes: of these the last of the best is no better than that of all codes.
+                groups = min(len(m), max(512, 8 * best))
+                top = near[:, : len(m) // groups * groups].reshape(len(v), -1, groups).max(axis=1)
+                least = np.partition(top, groups - best, axis=1)[:, groups - best] if groups >= best else np.full(len(v), -np.inf)
+                rows, cols = np.nonzero((near >= (least - 2 * off)[:, None]) & (near > -np.inf))
+                x = near[rows, cols].astype(np.float64)
+                out.append([some.column("q").combine_chunks().take(pa.array(rows)), ids.take(pa.array(cols)), pa.array(cell[cols], pa.int32()), pa.array(x - off[rows]), pa.array(x + off[rows])])
+        columns = [pa.chunked_array([o[i] for o in out], t) for i, t in enumerate(types)]
+        return pa.table(dict(zip(("q", "id", "cell", "least", "most"), columns, strict=True)))
 
     ids = codes.schema["id"].dataType.simpleString()
-    scored = met.groupBy("cell", "part", "block").cogroup(codes.groupBy("cell", "part", "block")).applyInArrow(run, f"q {kind}, id {ids}, cell int, least double, most double").filter("q <> id")
+    scored = met.groupBy("bundle", "block").cogroup(codes.groupBy("bundle", "block")).applyInArrow(run, f"q {kind}, id {ids}, cell int, least double, most double").filter("q <> id")
     ranked = scored.withColumn("__r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("least"))))
     ranked = ranked.withColumn("__k", F.max(F.when(F.col("__r") == k, F.col("least"))).over(W.partitionBy("q")))
     hopeful = ranked.filter(F.col("__k").isNull() | (F.col("most") >= F.col("__k"))).select("q", "id", "cell")
     whole = index.table("vectors").filter(F.col("cell").isin(cells))
-    given = q.select("q", "cell", F.col("vec").alias("__q"))
-    exact = hopeful.join(whole, ["cell", "id"]).join(given, ["q", "cell"])
+    exact = hopeful.join(whole, ["cell", "id"]).join(given.select(F.col("id").alias("q"), F.col("vec").alias("__q")), "q")
     cosine = F.aggregate(F.zip_with("__q", "vec", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     best = exact.select("q", "id", "cell", F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)).alias("cosine"))
     best = best.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("cosine"), "id")))

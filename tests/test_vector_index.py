@@ -44,6 +44,23 @@ def test_exact_when_all_cells_are_probed_and_recall_when_few_are(spark, clustere
     assert np.mean([len(set(few.get(q, [])) & set(w)) / 10 for q, w in want.items()]) >= 0.9
 
 
+def test_a_query_meets_a_bundle_of_cells_once(spark, clustered, tmp_path, monkeypatch):
+    df, m, ids = clustered
+    index = X.opened(df, str(tmp_path), "bundles", cells=60)
+    queries = df.filter("id % 20 = 0")
+    for rows, most in ((1 << 14, 1), (700, 6)):
+        monkeypatch.setattr(X, "BUNDLE_ROWS", rows)
+        units = X._bundles(dict(index.table("codes").groupBy("cell").count().collect()), index.parts)
+        assert units[-1][2] < most
+        for probes in (60, 20):
+            asked = X._asked(X._unit(queries), index.centroids, probes, units)
+            assert asked.count() <= 150 * most  # as many rows as queries and cells probed before: 9,000 and 3,000
+    found = {}
+    for r in X.search(index, queries, 10, probes=60).collect():
+        found.setdefault(r.q, []).append((r["rank"], r.id))
+    assert {q: [i for _, i in sorted(v)] for q, v in found.items()} == brute(m, ids, range(0, 3000, 20), 10)
+
+
 def test_an_unchanged_table_is_not_built_again(spark, clustered, tmp_path, monkeypatch):
     df, _, _ = clustered
     first = X.opened(df, str(tmp_path), "a", cells=5)
