@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.llm.common import _WORD_BYTE, lower, mix64, runs, span_hashes, text_slices, thin, word_hashes
+from metaloom.llm.common import _WORD_BYTE, free_memory, lower, mix64, runs, span_hashes, text_slices, thin, word_hashes
 
 BUCKETS = 1 << 16  # of each of the two hash tables of embeddings
 WIDTHS = (1, 2, 3)
@@ -322,7 +322,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 4000, chars: int = 32_
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.length("text") <= chars)
     data = texts.join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
     data.sort(key=lambda r: (hash_order(r["doc_id"]), r["text"] or ""))
-    return fit([r["text"] for r in data], [r["toxic"] for r in data])
+    texts, marks = [r["text"] for r in data], [r["toxic"] for r in data]
+    del data
+    model = fit(texts, marks)
+    del texts
+    free_memory()
+    return model
 
 
 def hash_order(i: int) -> int:
