@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import itertools
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -160,25 +162,125 @@ def one_to_one(scored: DataFrame, by: list[str], method: str = "greedy", large:
     return _by_task(small, by, method).unionByName(_by_task(rest, [*by, "__part"], method).drop("__part"))
 
 
+def greedy_counts(pairs: list[tuple[float, str, str]], left: dict[str, list[int]], right: dict[str, list[int]]) -> Counter:
+    """{(v, w): number} of one-to-one pairs by falling score between the rows of values, for pairs (score, v, w) of values.
+
+    left, right: the places of each value's rows in the order of choice, rising. Rows of a value are chosen in that order, so a
+    number for each value says which are left. Where several values meet at one score, their rows are merged by place, and
+    each takes the row of the first place; the result is that of greedy_pairs over all pairs of rows.
+    """
+    out, taken = Counter(), (Counter(), Counter())
+    open_ = lambda v, w: taken[0][v] < len(left[v]) and taken[1][w] < len(right[w])
+
+    def take(v: str, w: str, n: int) -> None:
+        out[v, w] += n
+        taken[0][v] += n
+        taken[1][w] += n
+
+    for _, level in itertools.groupby(sorted(pairs, reverse=True), key=lambda x: x[0]):
+        level = [(v, w) for _, v, w in level if open_(v, w)]
+        n_v, n_w, several = Counter(v for v, _ in level), Counter(w for _, w in level), {}
+        for v, w in level:
+            if n_v[v] == n_w[w] == 1:
+                take(v, w, min(len(left[v]) - taken[0][v], len(right[w]) - taken[1][w]))
+            else:
+                several.setdefault(v, []).append(w)
+        for _, v in heapq.merge(*[[(place, v) for place in left[v][taken[0][v] :]] for v in several]):
+            several[v] = [w for w in several[v] if taken[1][w] < len(right[w])]
+            if several[v]:
+                take(v, min(several[v], key=lambda w: right[w][taken[1][w]]), 1)
+    return out
+
+
+def _counted_by_task(rows: DataFrame, pairs: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., predicted, golden, n): greedy pairs of rows (by..., side, value, place) by the pairs (by..., predicted, golden, s) of their values, a group in a task."""
+
+    def run(rows: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        sides = [{v: sorted(x) for v, x in rows[rows["__side"] == k].groupby("value")["__place"]} for k in (0, 1)]
+        found = greedy_counts(list(zip(pairs["s"], pairs["predicted"], pairs["golden"], strict=True)), *sides)
+        out = pd.DataFrame([(v, w, n) for (v, w), n in found.items()], columns=["predicted", "golden", "n"])
+        for k, c in enumerate(by):
+            out.insert(k, c, pairs[c].iloc[0] if len(pairs) else None)
+        return out
+
+    schema = T.StructType([*pairs.select(*by, "predicted", "golden").schema, T.StructField("n", T.LongType())])
+    keys = [f"__{c}" for c in by]  # both sides come from one table
+    rows = rows.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], "__side", "value", "__place")
+    return rows.groupBy(*keys).cogroup(pairs.groupBy(*by)).applyInPandas(run, schema)
+
+
+def _counted_in_rounds(rows: DataFrame, pairs: DataFrame, by: list[str], most: int = 10_000) -> DataFrame:
+    """As _counted_by_task, of groups of any size, in rounds of joins.
+
+    In each round those pairs of values are taken that are the best of both values, by score and by the first places that are
+    left; of their rows all that come before those of the next value of the same score. ``most`` rounds without an end raise.
+    """
+    own = W.partitionBy(*by, "__side", "value").orderBy("__place")
+    ranked, out = rows.withColumn("__k", F.row_number().over(own)), None
+    names = ("predicted", "golden")
+    sides = {c: kept(ranked.filter(F.col("__side") == k).select(*by, F.col("value").alias(c), "__place", "__k")) for k, c in enumerate(names)}
+    taken = {c: kept(x.select(*by, c).distinct().withColumn("__taken", F.lit(0).cast("long"))) for c, x in sides.items()}
+    for _ in range(most):
+        e = pairs
+        for c in names:
+            head = taken[c].join(sides[c], [*by, c]).filter("__k = __taken + 1")
+            e = e.join(head.select(*by, c, F.col("__taken").alias(f"__taken_{c}"), F.col("__place").alias(f"__head_{c}")), [*by, c])
+        for c, other in (names, names[::-1]):
+            w = W.partitionBy(*by, c).orderBy(F.desc("s"), f"__head_{other}")
+            rival = F.when(F.lead("s").over(w) == F.col("s"), F.lead(f"__head_{other}").over(w))
+            e = e.withColumns({f"__rank_{c}": F.row_number().over(w), f"__rival_{other}": rival})
+        best = step = kept(e.filter("__rank_predicted = 1 and __rank_golden = 1"))
+        if best.isEmpty():
+            break
+        for c in names:
+            free = best.join(sides[c], [*by, c]).filter((F.col("__k") > F.col(f"__taken_{c}")) & (F.col(f"__rival_{c}").isNull() | (F.col("__place") < F.col(f"__rival_{c}"))))
+            step = step.join(free.groupBy(*by, c).agg(F.count(F.lit(1)).alias(f"__n_{c}")), [*by, c])
+        step = kept(step.select(*by, *names, F.least("__n_predicted", "__n_golden").alias("n")))
+        out = step if out is None else out.unionAll(step)
+        for c in names:
+            more = taken[c].join(step.select(*by, c, "n"), [*by, c], "left")
+            taken[c] = kept(more.select(*by, c, (F.col("__taken") + F.coalesce("n", F.lit(0))).alias("__taken")))
+    else:
+        raise RuntimeError(f"no end in {most} rounds")
+    return (step.select(*by, *names, F.lit(0).cast("long").alias("n")) if out is None else out).groupBy(*by, *names).agg(F.sum("n").alias("n"))
+
+
 def field_scores(predicted: DataFrame, golden: DataFrame, vectors: DataFrame, by: list[str], least: float = 0.75, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """Scores of fields with several values: (by..., n_predicted, n_golden, tp, p, r, f1), and the matched pairs (by..., predicted, golden, score, method).
 
     predicted, golden: (by..., seq, value); vectors: (term, vec). Two values score 1 if they are equal, case and blanks around aside
     (``exact``), else the cosine of their vectors if that is ``least`` or more (``semantic``), else 0. Pairs are taken greedily,
     one to one, of equal scores those of larger seq first. A field that only one side has scores 0; null values are none.
+
+    Different values of a field meet once, however many rows hold them. Fields of up to ``large`` rows and pairs of values are
+    matched in a task each, larger ones in rounds of joins, with the same result.
     """
-    p = predicted.filter("value is not null").select(*by, F.col("seq").alias("i"), F.col("value").alias("predicted"))
-    g = golden.filter("value is not null").select(*by, F.col("seq").alias("j"), F.col("value").alias("golden"))
-    met = p.join(g, by)
-    same = F.lower(F.trim("predicted")) == F.lower(F.trim("golden"))
+    p = predicted.filter("value is not null").select(*by, "seq", "value")
+    g = golden.filter("value is not null").select(*by, "seq", "value")
+    values = lambda x, name: x.select(*by, F.col("value").alias(name)).distinct().withColumn(f"__{name}", F.lower(F.trim(name)))
+    met = values(p, "predicted").join(values(g, "golden"), by)
+    same = F.col("__predicted") == F.col("__golden")
     pairs = met.filter(~same).select("predicted", "golden").distinct()
     pairs = pairs.join(vectors.select(F.col("term").alias("predicted"), F.col("vec").alias("__x")), "predicted").join(vectors.select(F.col("term").alias("golden"), F.col("vec").alias("__y")), "golden")
     near = pairs.select("predicted", "golden", M.cosine(F.col("__x"), F.col("__y")).alias("cosine")).filter(F.col("cosine") >= least)
     scored = met.join(near, ["predicted", "golden"], "left").withColumn("s", F.when(same, 1.0).otherwise(F.coalesce("cosine", F.lit(0.0)))).filter("s > 0")
-    scored = kept(scored)
-    chosen = one_to_one(scored.select(*by, "i", "j", "s"), by, large=large).select(*by, "i", "j")
-    matched = kept(scored.join(chosen, [*by, "i", "j"]).select(*by, "predicted", "golden", F.col("s").alias("score"), F.when(same, "exact").otherwise("semantic").alias("method")))
-    counts = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n_predicted")).join(g.groupBy(*by).agg(F.count(F.lit(1)).alias("n_golden")), by, "full").join(matched.groupBy(*by).agg(F.count(F.lit(1)).alias("tp")), by, "left").na.fill(0, ["n_predicted", "n_golden", "tp"])
+    scored = kept(scored.select(*by, "predicted", "golden", "s", F.when(same, "exact").otherwise("semantic").alias("method")))
+    size = p.select(*by).unionAll(g.select(*by)).groupBy(*by).count().unionAll(scored.groupBy(*by).count())
+    size = size.groupBy(*by).agg(F.sum("count").alias("__size"))
+    big = kept(size.filter(F.col("__size") > large).select(*by))
+    # Rows in the order of choice: of larger seq first.
+    rows = p.withColumn("__side", F.lit(0)).unionAll(g.withColumn("__side", F.lit(1))).join(scored.select(*by).distinct(), by, "left_semi")
+    place = F.row_number().over(W.partitionBy(*by).orderBy("__side", F.desc_nulls_last("seq"), "value"))
+    rows, met = rows.select(*by, "__side", "value", place.alias("__place")), scored.select(*by, "predicted", "golden", "s")
+    if big.isEmpty():
+        chosen = _counted_by_task(rows, met, by)
+    else:
+        chosen = _counted_by_task(rows.join(big, by, "left_anti"), met.join(big, by, "left_anti"), by)
+        chosen = chosen.unionByName(_counted_in_rounds(rows.join(big, by, "left_semi"), met.join(big, by, "left_semi"), by))
+    chosen = kept(chosen)
+    matched = scored.join(chosen, [*by, "predicted", "golden"]).withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    matched = matched.select(*by, "predicted", "golden", F.col("s").alias("score"), "method")
+    counts = p.groupBy(*by).agg(F.count(F.lit(1)).alias("n_predicted")).join(g.groupBy(*by).agg(F.count(F.lit(1)).alias("n_golden")), by, "full").join(chosen.groupBy(*by).agg(F.sum("n").alias("tp")), by, "left").na.fill(0, ["n_predicted", "n_golden", "tp"])
     r = counts.withColumn("p", M.ratio_or(F.col("tp"), F.col("n_predicted"))).withColumn("r", M.ratio_or(F.col("tp"), F.col("n_golden")))
     return r.withColumn("f1", M.ratio_or(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r"))), matched
 
