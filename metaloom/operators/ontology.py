@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from metaloom.functions import measures as M
 from metaloom.functions.text import key
-from metaloom.session import kept
+from metaloom.session import kept, unsent
 
 
 def closure(edges: DataFrame, levels: int | None = None, most: int = 64) -> DataFrame:
@@ -25,10 +25,11 @@ def closure(edges: DataFrame, levels: int | None = None, most: int = 64) -> Data
     level = e.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("hops"))
     if levels is None:
         e, level = kept(e), kept(level)
+    side = unsent if levels is None else lambda x: x
     found = level
     for h in range(2, (levels or most) + 1):
-        step = level.join(e, F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor"), F.lit(h).alias("hops")).filter("node <> ancestor").distinct()
-        step = step.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti")
+        step = level.join(side(e), F.col("ancestor") == F.col("child")).select("node", F.col("parent").alias("ancestor"), F.lit(h).alias("hops")).filter("node <> ancestor").distinct()
+        step = step.join(side(found.select("node", "ancestor")), ["node", "ancestor"], "left_anti")
         if levels is None:
             step = kept(step)
             if step.isEmpty():

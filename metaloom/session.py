@@ -52,3 +52,11 @@ def kept(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="metaloom-"))
     return df.checkpoint()
+
+
+def unsent(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that sorts and merges, so that it is never gathered by the driver to be sent to all.
+
+    Spark takes the size of a checkpointed table from the files that it came from; of exploded or few columns that is far too small.
+    """
+    return df.hint("merge")
