@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metaloom.session import kept
+from metaloom.session import kept, unsent
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -36,15 +36,15 @@ def _folded(pairs: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame] | Non
         single = ends.filter("n = 1").select("x", "y", "weight")
         # Of two nodes with no neighbour but each other the smaller stays.
         other = single.select(F.col("x").alias("__y"))
-        gone = kept(single.join(other, F.col("y") == F.col("__y"), "left").filter("__y is null or y < x").select("x", "y", "weight"))
+        gone = kept(single.join(unsent(other), F.col("y") == F.col("__y"), "left").filter("__y is null or y < x").select("x", "y", "weight"))
         for end, more in (("p", "before"), ("q", "after")):
             step = gone.select(F.col("x").alias(f"__{end}"), F.col("y").alias(f"__to_{end}"), F.col("weight").alias(f"__{more}"))
-            at = at.join(step, (F.col(end) == F.col(f"__{end}")) & (F.col("a") != F.col("b")), "left")
+            at = at.join(unsent(step), (F.col(end) == F.col(f"__{end}")) & (F.col("a") != F.col("b")), "left")
         open_ = F.col("p") != F.col("q")
         to = lambda end, more: (F.when(open_ & F.col(f"__{end}").isNotNull(), F.col(f"__to_{end}")).otherwise(F.col(end)).alias(end), (F.col(more) + F.when(open_, F.coalesce(f"__{more}", zero)).otherwise(zero)).alias(more))
         at = kept(at.select("a", "b", *to("p", "before"), *to("q", "after")))
-        left = gone.select("x")
-        e, folds = kept(e.join(left, "x", "left_anti").join(left.withColumnRenamed("x", "y"), "y", "left_anti").select("x", "y", "weight")), True
+        left = unsent(gone.select("x"))
+        e, folds = kept(e.join(left, "x", "left_anti").join(unsent(left.withColumnRenamed("x", "y")), "y", "left_anti").select("x", "y", "weight")), True
 
 
 def _between(pairs: DataFrame, e: DataFrame, search, name: str) -> DataFrame:
@@ -56,7 +56,7 @@ def _between(pairs: DataFrame, e: DataFrame, search, name: str) -> DataFrame:
     at, e = folded
     core = search(kept(at.filter("p <> q").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()), e)
     core = core.select(F.col("a").alias("__p"), F.col("b").alias("__q"), F.col(name).alias("__core"))
-    found = at.join(core, (F.col("p") == F.col("__p")) & (F.col("q") == F.col("__q")), "left")
+    found = at.join(unsent(core), (F.col("p") == F.col("__p")) & (F.col("q") == F.col("__q")), "left")
     inner = F.when(F.col("p") == F.col("q"), F.lit(0).cast(core.schema["__core"].dataType)).otherwise(F.col("__core"))
     return found.select("a", "b", (F.col("before") + inner + F.col("after")).alias(name))
 
@@ -96,7 +96,7 @@ def _stepped(wanted: DataFrame, e: DataFrame, delta: float | None, most: int) ->
         now = light if by_light else deep
         going = F.col("changed" if by_light else "heavy") & (bucket == now)
         way = e.filter(F.col("weight") <= width) if by_light else e.filter(F.col("weight") > width)
-        sent = state.filter(going).select("a", F.col("at").alias("x"), "cost").join(way, "x").select("a", F.col("y").alias("at"), (F.col("cost") + F.col("weight")).alias("cost"))
+        sent = state.filter(going).select("a", F.col("at").alias("x"), "cost").join(unsent(way), "x").select("a", F.col("y").alias("at"), (F.col("cost") + F.col("weight")).alias("cost"))
         old = state.select("a", "at", "cost", F.col("cost").alias("before"), *[F.when(going, F.lit(False)).otherwise(F.col(c)).alias(c) if (c == "changed") == by_light else F.col(c) for c in ("changed", "heavy")])
         new = sent.select("a", "at", "cost", F.lit(None).cast("double").alias("before"), F.lit(False).alias("changed"), F.lit(False).alias("heavy"))
         met = old.unionAll(new).groupBy("a", "at").agg(F.min("cost").alias("cost"), F.min("before").alias("before"), F.max("changed").alias("changed"), F.max("heavy").alias("heavy"))
@@ -104,14 +104,14 @@ def _stepped(wanted: DataFrame, e: DataFrame, delta: float | None, most: int) ->
         state = met.select("a", "at", "cost", (F.col("changed") | fell).alias("changed"), (F.col("heavy") | fell).alias("heavy"))
         # Where all pairs of a node cost less than the bucket at hand begins with, nothing dearer matters.
         if not by_light:
-            done = wanted.join(state.select("a", F.col("at").alias("b"), "cost"), ["a", "b"], "left").groupBy("a").agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("dearest"))
+            done = wanted.join(unsent(state.select("a", F.col("at").alias("b"), "cost")), ["a", "b"], "left").groupBy("a").agg(F.max(F.coalesce("cost", F.lit(float("inf")))).alias("dearest"))
             state = state.join(done.filter(F.col("dearest") <= width * (now + 1)), "a", "left")
             over = F.col("dearest").isNotNull()
             state = state.select("a", "at", "cost", (F.col("changed") & ~over).alias("changed"), (F.col("heavy") & ~over).alias("heavy"))
         state = kept(state)
     else:
         raise RuntimeError(f"no fixed point in {most} rounds")
-    return wanted.join(state.select("a", F.col("at").alias("b"), "cost"), ["a", "b"], "left").select("a", "b", "cost")
+    return wanted.join(unsent(state.select("a", F.col("at").alias("b"), "cost")), ["a", "b"], "left").select("a", "b", "cost")
 
 
 def fewest(pairs: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
@@ -131,14 +131,14 @@ def _levelled(wanted: DataFrame, e: DataFrame, most: int) -> DataFrame:
     """(a, b, hops) of distinct pairs over edges (x, y) both ways, level by level."""
     level = reached = kept(wanted.select("a", F.col("a").alias("at")).distinct().withColumn("hops", F.lit(0)))
     for h in range(1, most + 1):
-        step = level.join(e, F.col("at") == F.col("x")).select("a", F.col("y").alias("at")).distinct()
-        level = kept(step.join(reached.select("a", "at"), ["a", "at"], "left_anti").withColumn("hops", F.lit(h)))
+        step = level.join(unsent(e), F.col("at") == F.col("x")).select("a", F.col("y").alias("at")).distinct()
+        level = kept(step.join(unsent(reached.select("a", "at")), ["a", "at"], "left_anti").withColumn("hops", F.lit(h)))
         if level.isEmpty():
             break
         reached = reached.unionAll(level)
     else:
         raise RuntimeError(f"more than {most} levels")
-    return wanted.join(reached.withColumnRenamed("at", "b"), ["a", "b"], "left").select("a", "b", "hops")
+    return wanted.join(unsent(reached.withColumnRenamed("at", "b")), ["a", "b"], "left").select("a", "b", "hops")
 
 
 def _peeled(edges: DataFrame, most: int) -> DataFrame:
@@ -149,10 +149,10 @@ def _peeled(edges: DataFrame, most: int) -> DataFrame:
     """
     e = edges.select("child", "parent").filter("child is not null and parent is not null").distinct()
     weight = e.groupBy("parent").agg(F.ln(F.count(F.lit(1)).cast("double")).alias("w"))
-    e = kept(e.join(weight, "parent"))
+    e = kept(e.join(unsent(weight), "parent"))
     nodes = e.select(F.col("child").alias("node")).unionAll(e.select("parent")).distinct()
     need = e.groupBy(F.col("child").alias("__c")).agg(F.count(F.lit(1)).alias("need"))
-    waiting = nodes.join(need, F.col("node") == F.col("__c"), "left").select("node", F.coalesce("need", F.lit(0)).alias("need"), F.lit(0.0).alias("total"))
+    waiting = nodes.join(unsent(need), F.col("node") == F.col("__c"), "left").select("node", F.coalesce("need", F.lit(0)).alias("need"), F.lit(0.0).alias("total"))
     waiting, out = kept(waiting), None
     for level in range(most + 1):
         free = waiting.filter("need = 0").select("node", F.lit(level).alias("level"), "total")
@@ -161,8 +161,8 @@ def _peeled(edges: DataFrame, most: int) -> DataFrame:
                 raise ValueError("the graph has a cycle")
             break
         out = free if out is None else out.unionAll(free)
-        sent = free.join(e, F.col("node") == F.col("parent")).groupBy(F.col("child").alias("__c")).agg(F.count(F.lit(1)).alias("came"), F.sum(F.col("total") + F.col("w")).alias("more"))
-        left = waiting.filter("need > 0").join(sent, F.col("node") == F.col("__c"), "left")
+        sent = free.join(unsent(e), F.col("node") == F.col("parent")).groupBy(F.col("child").alias("__c")).agg(F.count(F.lit(1)).alias("came"), F.sum(F.col("total") + F.col("w")).alias("more"))
+        left = waiting.filter("need > 0").join(unsent(sent), F.col("node") == F.col("__c"), "left")
         waiting = kept(left.select("node", (F.col("need") - F.coalesce("came", F.lit(0))).alias("need"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")))
     else:
         raise RuntimeError(f"more than {most} levels")
