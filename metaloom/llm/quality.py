@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -238,7 +239,8 @@ def train(docs: DataFrame, rows: int = 4000, chars: int = 32_768, *, id_col: str
     data.sort(key=lambda r: (str(r["id"]), r["text"] or ""))
     texts = [r["text"] for r in data]
     parts = [model.posterior(votes(values, words)) for _, _, values, words in _read(pa.array(texts, pa.large_string()))]
-    return model, fit(texts, np.concatenate(parts) if parts else np.zeros(0), bins_too=bins_too)
+    learn = fit if bins_too else partial(fit, bins_too=False)
+    return model, learn(texts, np.concatenate(parts) if parts else np.zeros(0))
 
 
 def score(docs: DataFrame, model: LabelModel, scorer: Scorer, *, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.5) -> DataFrame:
