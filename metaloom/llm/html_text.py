@@ -6,8 +6,9 @@ import bisect
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from operator import mul
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -91,20 +92,23 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
     last = {q: page.rfind(q) for q in "\"'"}
     start = 0  # of the text not yet given
     while (lt := page.find("<", at)) >= 0:
-        end = None
-        if page.startswith("<!--", lt):
+        end, mark = None, page[lt + 1 : lt + 2]
+        if mark == "!" and page.startswith("<!--", lt):
             k = page.find("-->", lt + 4)
             end, token = (n if k < 0 else k + 3), None
-        elif page.startswith("<![CDATA[", lt):
+        elif mark == "!" and page.startswith("<![CDATA[", lt):
             k = page.find("]]>", lt)
             end, token = (n if k < 0 else k + 3), None
         elif lt >= last_gt:
             break
-        elif page[lt + 1 : lt + 2] in ("!", "?"):
+        elif mark in ("!", "?"):
             end, token = page.find(">", lt) + 1, None
         elif m := _TAG.match(page, lt + 1):
             k = m.end()
             while True:
+                if page.startswith(">", k):
+                    end = k + 1
+                    break
                 stop = _STOP.search(page, k)
                 if stop is None:
                     end = last_gt + 1
@@ -118,7 +122,7 @@ def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 break
             end = max(end, m.end())
             tag, attrs = m[1].lower(), page[m.end() : end - 1]
-            token = ("end" if page[lt + 1] == "/" else "open", tag, attrs)
+            token = ("end" if mark == "/" else "open", tag, attrs)
             if token[0] == "open" and tag in RAW and not (tag in FOREIGN and attrs.endswith("/")):
                 close = _RAW_END[tag].search(page, end)
                 end, token = (close.end() if close else n), None
@@ -139,7 +143,7 @@ def nodes(page: str) -> tuple[list[tuple[int, str, _Element]], list[_Element]]:
     root = _Element("", None, 0, 0)
     stack, elements, out, block = [root], [root], [], 0
     paths: dict[tuple[int, str], int] = {}
-    open_tags: Counter[str] = Counter()
+    open_tags: defaultdict[str, int] = defaultdict(int)
     blocks, marked = [0], False  # places in the stack of elements that aren't inline; whether an article or main element came
 
     def close(to: int) -> None:
@@ -152,7 +156,7 @@ def nodes(page: str) -> tuple[list[tuple[int, str, _Element]], list[_Element]]:
 
     for kind, tag, attrs in _tokens(page):
         if kind == "text":
-            out.append((block, html.unescape(tag), stack[-1]))
+            out.append((block, html.unescape(tag) if "&" in tag else tag, stack[-1]))
         elif kind == "end":
             if tag not in INLINE and (open_tags[tag] > 0 or tag in ("p", "br")):
                 block += 1
@@ -204,11 +208,14 @@ def _smooth(values: list[float], sigma: float = 1.0) -> list[float]:
     """Gaussian smoothing over the neighbours in page order, weights renewed at the ends."""
     r = math.ceil(2 * sigma)
     w = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-r, r + 1)]
-    out = []
-    for i in range(len(values)):
-        lo, hi = max(0, i - r), min(len(values), i + r + 1)
-        ws = w[lo - i + r : hi - i + r]
-        out.append(sum(a * b for a, b in zip(ws, values[lo:hi], strict=True)) / sum(ws))
+    whole, n, out = sum(w), len(values), []
+    for i in range(n):
+        if r <= i < n - r:
+            out.append(sum(map(mul, w, values[i - r : i + r + 1])) / whole)
+        else:
+            lo, hi = max(0, i - r), min(n, i + r + 1)
+            ws = w[lo - i + r : hi - i + r]
+            out.append(sum(map(mul, ws, values[lo:hi])) / sum(ws))
     return out
 
 
@@ -232,16 +239,19 @@ def main_text(page: str | None, spread: float = 0.5, named: float = 0.1) -> str:
         return ""
     sums: dict[int, list[float]] = {}
     for _, t, e in found:
-        s = sums.setdefault(e.path, [0.0, 0.0, 0.0])
+        s = sums.get(e.path)
+        if s is None:
+            s = sums[e.path] = [0.0, 0.0, 0.0]
         s[0] += len(t)
         s[1] += len(PUNCTUATION.findall(t))
         s[2] += 1
-    lengths = _smooth([sums[e.path][0] / sums[e.path][2] for _, _, e in found])
-    marks = _smooth([sums[e.path][1] / sums[e.path][2] for _, _, e in found])
+    ratios = {path: (length / n, points / n) for path, (length, points, n) in sums.items()}
+    lengths = _smooth([ratios[e.path][0] for _, _, e in found])
+    marks = _smooth([ratios[e.path][1] for _, _, e in found])
     fused = [a * (1 + b) * (named if e.side == 2 else 1) for a, b, (_, _, e) in zip(lengths, marks, found, strict=True)]
     mean = sum(fused) / len(fused)
     bound = spread * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    own = [(sums[e.path][0] / sums[e.path][2]) * (1 + sums[e.path][1] / sums[e.path][2]) for _, _, e in found]
+    own = [a * (1 + b) for a, b in (ratios[e.path] for _, _, e in found)]
     content = [(len(t), e) for x, y, (_, t, e) in zip(fused, own, found, strict=True) if min(x, y) >= bound and e.side < 2]
     content = content or [(len(t), e) for _, t, e in found if e.side < 2] or [(len(t), e) for _, t, e in found]
     weight: Counter[int] = Counter()
