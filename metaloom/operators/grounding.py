@@ -19,12 +19,18 @@ def _quote(evidence: Column) -> Column:
 
 
 def snapped(entries: DataFrame, sources: DataFrame) -> DataFrame:
-    """``entries`` with ``evidence`` in the source's own words where it is found, and ``status`` (see functions.text.snapped). sources: (id, text). An ``inferred:`` is kept before the words."""
+    """``entries`` with ``evidence`` in the source's own words where it is found, and ``status`` (see functions.text.snapped). sources: (id, text). An ``inferred:`` is kept before the words.
+
+    Entries may have a ``place``: the character (from 0) of the source at which the quote, without its outer blanks, was taken. It tells which words are meant where a quote stands there in several
+    places; ``status`` tells, as ever, whether the quote stands anywhere as written.
+    """
     j = entries.join(sources.select("id", "text"), "id", "left")
     q = _quote(F.col("evidence"))
     here = F.coalesce((q != "") & F.contains("text", q), F.lit(False))
-    # The Python side is asked only where the quote isn't there as written.
-    j = j.withColumn("__snap", F.when(here | q.isNull() | (q == "") | F.col("text").isNull(), None).otherwise(X.snap(F.when(~here, q), F.when(~here, F.col("text")))))
+    place = F.col("place").cast("int") if "place" in entries.columns else F.lit(None).cast("int")
+    # The Python side is asked only where the quote isn't there as written, at its place if that is known.
+    done = here & (place.isNull() | (F.substr("text", place + 1, F.length(q)) == q))
+    j = j.withColumn("__snap", F.when(done | q.isNull() | (q == "") | F.col("text").isNull(), None).otherwise(X.snap(F.when(~done, q), F.when(~done, F.col("text")), place)))
     status = F.when(here, "verbatim").when(F.col("__snap").isNull(), "absent").otherwise(F.col("__snap.status"))
     words = F.coalesce(F.col("__snap.quote"), q)
     inferred = X.inferred("evidence")

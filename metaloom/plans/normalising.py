@@ -108,12 +108,12 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def _entries(spark, sf_dir):
-    """Documents' own words as evidence: as written, in upper case, as inferred, made up, or of an unknown value."""
+    """Documents' own words as evidence, with their place: as written, in upper case, as inferred, made up, or of an unknown value."""
     d = table(spark, sf_dir, "documents")
     m, words = F.col("doc_id") % 6, F.substring("text", 10, 60)
     evidence = F.when(m == 0, words).when(m == 1, F.translate(words, LOWER, LOWER.upper())).when(m == 2, F.concat(F.lit("inferred: "), words)).when(m == 3, F.concat(F.lit("made up "), F.col("doc_id").cast("string"))).when(m == 4, F.lit("")).otherwise(words)
     value = F.when(m == 5, "unknown").when(m == 3, "drug vs placebo").otherwise(F.substring_index(words, " ", 2))
-    e = d.select(F.col("doc_id").alias("id"), F.when(m == 3, "factor_value").otherwise("tissue").alias("field"), F.lit(0).alias("seq"), value.alias("value"), evidence.alias("evidence"))
+    e = d.select(F.col("doc_id").alias("id"), F.when(m == 3, "factor_value").otherwise("tissue").alias("field"), F.lit(0).alias("seq"), value.alias("value"), evidence.alias("evidence"), (F.lit(9) + F.length(words) - F.length(F.ltrim(words))).alias("place"))
     return e, d.select(F.col("doc_id").alias("id"), "text")
 
 

@@ -112,6 +112,35 @@ def test_snapped_quotes_keep_line_ends_and_whole_letters():
     assert X.snapped("inferred:\neinsch", src) == ("einsch", "verbatim")
 
 
+def test_snapped_quotes_of_several_places_have_the_words_of_their_own(spark):
+    from metaloom.operators import grounding
+
+    src = "La La La la la, LA LA\n La la"
+    assert X.snapped("LA LA LA", src) == ("La La La", "normalized")
+    assert X.snapped("LA LA LA", src, place=3) == ("La La la", "normalized")
+    assert X.snapped("LA LA LA", src, place=4) == ("La La La", "normalized")  # not there
+    assert X.snapped("LA LA", src, place=6) == ("La la", "verbatim")  # as written elsewhere
+    assert X.snapped("\nLA LA", src, place=21) == ("La la", "normalized")
+    assert X.snapped("NONE", src, place=99) == (None, "absent")
+    e = spark.createDataFrame([(1, 0, "LA LA LA", 3), (1, 1, "inferred: LA LA LA", 3), (1, 2, "LA LA LA", None), (1, 3, "LA LA", 6), (1, 4, "LA LA", None), (1, 5, "la LA", 12)], "id long, seq int, evidence string, place int")
+    got = grounding.snapped(e, spark.createDataFrame([(1, src)], "id long, text string")).sort("seq").collect()
+    assert [r.evidence for r in got] == ["La La la", "inferred: La La la", "La La La", "La la", "LA LA", "La La"]
+    assert [r.status for r in got] == ["normalized"] * 3 + ["verbatim"] * 2 + ["normalized"]
+
+
+def test_evidence_snapped_of_repeated_words_equals_sql(spark, tmp_path):
+    import duckdb
+
+    from metaloom.plans import registry
+
+    texts = ["La " * 25 + "la " * 30, "x" * 9 + "Word one, two. " * 8 + "WORD ONE, TWO. " * 8]
+    spark.createDataFrame([(6 * i + m, t) for m in range(6) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.ORACLES["evidence_snapped"]).fetchall()
+    assert sorted(map(tuple, registry.QUERIES["evidence_snapped"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_snapped_entries_keep_line_ends(spark):
     from metaloom.operators import grounding
 
