@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,24 +54,26 @@ def score_lists(pairs: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumn("kind", kind).drop("low")
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, query_block: int = 512) -> DataFrame:
+def knn(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096, query_block: int = 512, rows: int | None = None) -> DataFrame:
     """(q, rank, id, cosine): each query's ``k`` rows of greatest cosine, ties to the smaller id, itself left out; exact.
 
     Blocks of queries meet blocks of vectors; each meeting gives its ``k`` best, so the rows between are queries times
-    blocks times ``k``. queries and vectors: (id, vec). Vectors of length 0 have cosine 0.
+    blocks times ``k``. Few vectors meet larger blocks of queries. queries and vectors: (id, vec). Vectors of length 0 have
+    cosine 0. ``rows``: the number of queries, where it is known; with it they are computed once.
     """
 
-    def blocks(df: DataFrame, size: int) -> tuple[DataFrame, int]:
-        n = max(1, -(-df.count() // size))
+    def blocks(df: DataFrame, rows: int, size: int) -> tuple[DataFrame, int]:
+        n = max(1, -(-rows // size))
         return df.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("blk")), n
 
-    q, nq = blocks(queries, query_block)
-    v, nv = blocks(vectors, block)
+    have = max(1, vectors.count())
+    v, nv = blocks(vectors, have, block)
+    q, nq = blocks(queries, queries.count() if rows is None else rows, query_block * max(1, min(8, block // have)))
     q = q.select(F.col("id"), "vec", F.col("blk").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("vb"))
     v = v.select(F.col("id"), "vec", F.col("blk").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
 
     def matrix(c: pa.ChunkedArray) -> np.ndarray:
-        m = np.array(c.to_pylist(), np.float64)
+        m = np.array([x for chunk in c.chunks for x in chunk.to_numpy(zero_copy_only=False)], np.float64)
         n = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return m / np.where(n == 0, 1, n)
 
@@ -213,13 +216,21 @@ def restricted_choice(ranked: Column, allowed: Column) -> Column:
 
 
 def hashed_ngrams(texts: DataFrame, dims: int = 256, n: int = 3) -> DataFrame:
-    """(term, vec): unit vectors of hashed character n-grams, where no model is at hand. Each text is embedded once."""
-    t = texts.select("term").distinct().withColumn("k", F.concat(F.lit(" "), X.key("term"), F.lit(" ")))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length("k") - n + 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substr(F.col("k"), i, F.lit(n))), F.lit(dims)).cast("int"))
-    g = t.select("term", F.explode(grams).alias("slot")).groupBy("term", "slot").agg(F.count(F.lit(1)).alias("c"))
-    v = g.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("slot", "c"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0)).cast("double"))
-    return v.select("term", dense.alias("vec")).select("term", F.transform("vec", lambda x: x / M.norm(F.col("vec"))).alias("vec"))
+    """(term, vec): unit vectors of hashed character n-grams, where no model is at hand. Each text is embedded once; a text's grams are counted where it is read."""
+    t = texts.select("term").filter("term is not null").distinct()
+    slots = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(k) - n + 1, F.lit(1))), lambda i: F.pmod(F.xxhash64(F.substr(k, i, F.lit(n))), F.lit(dims)).cast("int"))
+    grams = F.transform(F.array(F.concat(F.lit(" "), X.key("term"), F.lit(" "))), slots)[0]  # so that the key is made once, not for each gram
+    step = max(1, (1 << 19) // dims)  # rows whose vectors are made at once
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
+                sizes, slots = pc.list_value_length(b.column(1)).to_numpy(), b.column(1).flatten().to_numpy()
+                m = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * dims + slots, minlength=len(sizes) * dims).reshape(-1, dims).astype(np.float64)
+                m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(0, m.size + 1, dims, dtype=np.int32), m.ravel())], ["term", "vec"])
+
+    return t.select("term", grams.alias("slots")).mapInArrow(run, "term string, vec array<double>")
 
 
 def embed(texts: DataFrame, model, batch: int = 64) -> DataFrame:

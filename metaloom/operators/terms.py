@@ -14,6 +14,8 @@ from metaloom.operators import ontology as O
 from metaloom.refdata import MODIFICATION_ALIASES
 from metaloom.session import kept
 
+EMBEDDED = 1 << 13  # texts that one task embeds
+
 
 def modification_nodes(terms: DataFrame, names: DataFrame, prefix: str = "UNIMOD:") -> DataFrame:
     """(term, node): nodes of one namespace whose name a term is, or is another word for; only names of one node."""
@@ -26,14 +28,18 @@ def modification_nodes(terms: DataFrame, names: DataFrame, prefix: str = "UNIMOD
 def neighbours(terms: DataFrame, names: DataFrame, embed: Callable[[DataFrame], DataFrame] = V.hashed_ngrams, k: int = 1) -> DataFrame:
     """(term, node, name, similarity): the ``k`` nearest of ``names`` (node, name) to each term, by cosine of what ``embed`` makes of distinct texts (term) -> (term, vec).
 
-    Each text of both sides is embedded once, in one pass; the search is exact and goes block by block.
+    Each text of both sides is embedded once; the search is exact and goes block by block.
     """
-    texts = terms.select("term").unionAll(names.select(F.col("name").alias("term"))).filter("term is not null").distinct()
-    vectors = kept(embed(texts))
-    q = kept(vectors.join(terms.select("term").distinct(), "term").select("term", "vec", F.xxhash64("term", F.lit("term")).alias("id")))
-    v = kept(vectors.join(names.select(F.col("name").alias("term")).distinct(), "term").select("term", "vec", F.xxhash64("term").alias("id")))
-    near = V.knn(q.select("id", "vec"), v.select("id", "vec"), k)
-    found = near.join(v.select("id", F.col("term").alias("name")), "id").join(q.select(F.col("id").alias("q"), "term"), "q")
+    known = names.select(F.col("name").alias("term")).filter("term is not null").distinct()
+    v = kept(embed(known).select("term", "vec", F.xxhash64("term").alias("id")))
+    own = F.xxhash64("term", F.lit("term")).alias("id")
+    t = kept(terms.select("term").filter("term is not null").distinct().select("term", own))
+    rows = t.count()
+    # The terms' vectors are wide: they are made where they are sent from, once, and not kept. Short texts are work too, so they are dealt by number, not by size.
+    fresh = t.select("term").join(known, "term", "left_anti").repartition(max(1, -(-rows // EMBEDDED)), "term")
+    q = embed(fresh).select(own, "vec").unionAll(v.join(t.select("term"), "term", "left_semi").select(own, "vec"))
+    near = V.knn(q, v.select("id", "vec"), k, rows=rows)
+    found = near.join(v.select("id", F.col("term").alias("name")), "id").join(t.select(F.col("id").alias("q"), "term"), "q")
     return found.join(names.select("node", "name").distinct(), "name").select("term", "node", "name", F.col("cosine").alias("similarity"))
 
 
@@ -47,7 +53,7 @@ def normalised(items: DataFrame, names: DataFrame, synonyms: DataFrame, expansio
     """
     terms = items.select("term").filter("term is not null").distinct()
     mods = modification_nodes(terms, names)
-    lexical = O.resolve(terms, names, synonyms, prefix)
+    lexical = kept(O.resolve(terms, names, synonyms, prefix))
     open_ = lexical.filter("status = 'unresolved'").select("term").join(mods.select("term"), "term", "left_anti")
     known = names.select("node", "name").unionAll(synonyms.filter("scope = 'EXACT'").select("node", F.col("synonym")))
     if prefix:
@@ -55,6 +61,7 @@ def normalised(items: DataFrame, names: DataFrame, synonyms: DataFrame, expansio
     own = open_.select("term", F.col("term").alias("__text"), F.lit(False).alias("expanded"))
     if expansions is not None:
         own = own.unionAll(open_.join(expansions.select("term", "expanded"), "term").select("term", "expanded", F.lit(True)))
+    own = kept(own)
     near = neighbours(own.select(F.col("__text").alias("term")), known, embed).withColumnRenamed("term", "__text")
     near = own.join(near, "__text").withColumn("entity", F.lit(""))
     best = N.nearest_names(near, least).select("term", "node", "similarity")
