@@ -11,20 +11,24 @@ from pyspark.sql import functions as F
 
 from metaloom.functions import measures as M
 from metaloom.functions.text import key
+from metaloom.operators import ancestry
 from metaloom.session import kept, unsent
 
 
 def closure(edges: DataFrame, levels: int | None = None, most: int = 64) -> DataFrame:
     """All ancestors of each node with the fewest hops to them.
 
-    With ``levels``, ancestors within so many hops, as one lazy plan. Without, levels are added until there are no new
+    With ``levels``, ancestors within so many hops, as one lazy plan. Without, tasks that hold the graph walk up from their
+    nodes (see ancestry.closure); of graphs that it leaves, levels are added until there are no new
     pairs; each new level is checkpointed, so nothing is walked twice. Diamonds give one row, and cycles end.
     A graph of more than ``most`` levels raises an error: no closure is given in part.
     """
     e = edges.select(F.col("child"), F.col("parent")).filter("child is not null and parent is not null and child <> parent").distinct()
-    level = e.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("hops"))
     if levels is None:
-        e, level = kept(e), kept(level)
+        e = kept(e)
+        if (walked := ancestry.closure(e, most)) is not None:
+            return walked
+    level = e.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("hops"))
     side = unsent if levels is None else lambda x: x
     found = level
     for h in range(2, (levels or most) + 1):
