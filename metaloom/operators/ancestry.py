@@ -59,24 +59,30 @@ class Graph:
         ids, sizes = [], []
         for first, _, n, child, _ in packed:
             i, s = np.unique(np.cumsum(_opened(child, n)) + first, return_counts=True)
-            ids.append(i)
-            sizes.append(s)
-        every, count = np.concatenate(ids), np.concatenate(sizes)
-        start = np.flatnonzero(np.diff(every, prepend=every[0] - 1))  # a node may stand in several rows
-        self.below, count = every[start], np.add.reduceat(count, start)
-        self.at = np.concatenate([[0], np.cumsum(count)])
+            if ids and ids[-1][-1] == i[0]:  # a node may stand in several rows
+                sizes[-1][-1] += s[0]
+                i, s = i[1:], s[1:]
+            if len(i):
+                ids.append(i)
+                sizes.append(s.astype(np.int32))
+        below = np.concatenate(ids)
+        del ids
+        self.at = np.zeros(len(below) + 1, np.int32)
+        np.cumsum(np.concatenate(sizes), out=self.at[1:])
+        del sizes
         self.up, done, lone = np.empty(self.at[-1], np.int32), 0, []
         for first, _, n, child, parent in packed:
             p = np.cumsum(_opened(child, n)) + first - _opened(parent, n)
-            k = np.minimum(np.searchsorted(self.below, p), len(self.below) - 1)
-            root = np.flatnonzero(self.below[k] != p)
+            k = np.minimum(np.searchsorted(below, p), len(below) - 1)
+            root = np.flatnonzero(below[k] != p)
             lone.append((done + root, p[root]))
             self.up[done : done + n] = k
             done += n
         places, roots = (np.concatenate(x) for x in zip(*lone, strict=True))
         top, number = np.unique(roots, return_inverse=True)
-        self.up[places] = len(self.below) + number
-        self.ids = np.concatenate([self.below, top])
+        self.up[places] = len(below) + number
+        self.ids = np.concatenate([below, top])
+        self.below = self.ids[: len(below)]
 
     def longest(self, most: int) -> int:
         """The edges of the longest way up; ``most`` where it has as many or more, or goes in a circle."""
